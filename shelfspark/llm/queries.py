@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, mixing, quality, secret_scan, token_scan
+from . import bpe, exact_dedup, html_extract, jaccard, language_id, line_dedup, mixing, quality, secret_scan, token_scan
 from .common import read
 
 #: Folder of the public vocabulary files.
@@ -29,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_classes(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.token_counts(read(spark, sf_dir, "documents"), BYTE_BPE, byte_pattern())
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(read(spark, sf_dir, "pages"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(read(spark, sf_dir, "documents"))
 
@@ -49,7 +61,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_exact_dedup, op5_quality_rules, op6_token_counts, op9_secret_scan, op10_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_bpe,
+        op3_ngram_join,
+        op4_exact_dedup,
+        op5_quality_rules,
+        op6_token_counts,
+        op7_html_extract,
+        op8_line_dedup,
+        op9_secret_scan,
+        op10_source_mixing,
+    )
+}
 
 ORACLE = {
     "op4_exact_dedup": """
