@@ -1,2 +1,329 @@
+"""The catalog's operators as registered queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfspark.functions import values as V
+from shelfspark.functions.text import norm
+from shelfspark.operators import cards, collections, facets, favorites, similar, wizard
+from shelfspark.operators.enrich import enrich
+from shelfspark.operators.recommend import Query, evaluate, first_results, neighbour_duration, query_frame, recommend, recommend_batch
+from shelfspark.operators.search import matches_search, needle_columns
+from shelfspark.operators.section import Section, near_matches, section, section_domains
+from shelfspark.sources import codec
+from shelfspark.sources.catalog import derived_catalog, derived_collections
+
+from . import scenarios as S
+from .oracle import oracle
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return enrich(derived_catalog(spark, d))
+
+
+def text(df: DataFrame, *columns: str, sep: str = "|") -> DataFrame:
+    return df.withColumns({c: F.array_join(c, sep) for c in columns})
+
+
+@query
+def catalog_enriched(spark, d):
+    df = items(spark, d).select(
+        "id", "ord", "slug", "title", "original_title", "app_type", "official_rating", "age_label", "description", "path", "artwork_seed", "type_label", "country", "year", "duration_category", "interests", "moods", "genres"
+    )
+    return text(df, "interests", "moods", "genres")
+
+
+@query
+def type_partition_counts(spark, d):
+    return items(spark, d).groupBy("app_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def facet_interests(spark, d):
+    return facets.sorted_domain(items(spark, d), "interests")
+
+
+@query
+def facet_moods(spark, d):
+    return facets.sorted_domain(items(spark, d), "moods")
+
+
+@query
+def facet_durations_first_seen(spark, d):
+    return facets.first_seen_domain(items(spark, d))
+
+
+@query
+def quick_interests(spark, d):
+    return facets.quick_interests(items(spark, d))
+
+
+@query
+def age_bounds(spark, d):
+    return facets.age_bounds(items(spark, d))
+
+
+@query
+def official_rating(spark, d):
+    return items(spark, d).filter("official_rating is not null").select("id", "official_rating")
+
+
+@query
+def book_attributes(spark, d):
+    return items(spark, d).filter("app_type = 'book'").select("id", F.col("creator").alias("author"), "reading_mode", "length_category", "language_difficulty", "classic_or_modern")
+
+
+@query
+def cartoon_attributes(spark, d):
+    return items(spark, d).filter("app_type = 'cartoon'").select("id", "studio", "cartoon_format", "purpose", "pace")
+
+
+@query
+def movie_attributes(spark, d):
+    return items(spark, d).filter("app_type = 'movie'").select("id", "audience_type", "discussion_potential")
+
+
+@query
+def neutral_description(spark, d):
+    return items(spark, d).select("id", "description")
+
+
+@query
+def content_path(spark, d):
+    return items(spark, d).select("id", "path")
+
+
+@query
+def artwork_seed(spark, d):
+    return items(spark, d).select("id", "artwork_seed")
+
+
+@query
+def card_details(spark, d):
+    return cards.content_cards(items(spark, d))
+
+
+@query
+def detail_facts(spark, d):
+    return cards.detail_facts(items(spark, d))
+
+
+@query
+def normalize_documents(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", norm(F.col("text")).alias("t")).select("doc_id", F.md5("t").alias("normalized_md5"), F.length("t").cast("bigint").alias("n"))
+
+
+def _search(phrase: str):
+    def run(spark, d):
+        rows = items(spark, d).withColumns({f"q_{k}": c for k, c in needle_columns(F.lit(phrase)).items()})
+        return rows.filter(matches_search("q_")).select("id", "title")
+
+    return run
+
+
+for _name, _phrase in S.SEARCHES.items():
+    QUERIES[_name] = _search(_phrase)
+
+
+def _section(state: Section):
+    return lambda spark, d: section(items(spark, d), state).select("id", "ord", "age_min", "duration_minutes", "page_count", "year")
+
+
+QUERIES["section_books_age"] = _section(Section("book", age=6, sort="age"))
+QUERIES["section_cartoons_duration"] = _section(Section("cartoon", primary="short-or-series", tertiary="Studio 2", sort="duration"))
+QUERIES["section_movies_new"] = _section(Section("movie", primary="family", secondary="high", mood="уютное", sort="new"))
+QUERIES["section_books_mode"] = _section(Section("book", primary="together", secondary="medium", duration="на один вечер", theme="дружба"))
+QUERIES["section_haystack"] = _section(Section("movie", search="  STORY  about r"))
+
+
+@query
+def section_near(spark, d):
+    state = Section("movie", age=5, theme="роботы", mood="уютное", duration="до 30 минут")
+    return near_matches(items(spark, d), state).select("id", "title")
+
+
+@query
+def section_facets(spark, d):
+    return section_domains(items(spark, d), "cartoon")
+
+
+@query
+def neighbour_durations(spark, d):
+    names = [*V.WATCH_DURATIONS, *V.READ_DURATIONS, "иное"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "selected string, candidate string")
+    return pairs.withColumn("neighbour", neighbour_duration(F.col("selected"), F.col("candidate")))
+
+
+QUERIES["neighbour_duration"] = QUERIES.pop("neighbour_durations")
+
+
+@query
+def evaluate_scores(spark, d):
+    scored = evaluate(items(spark, d), query_frame(spark, S.SCENARIOS))
+    return text(scored.select("qid", "id", "score", "reasons", "missed"), "reasons", "missed", sep="; ")
+
+
+def _scenarios(spark, *names: str) -> DataFrame:
+    return query_frame(spark, {k: S.SCENARIOS[k] for k in names} if names else S.SCENARIOS)
+
+
+@query
+def recommend_all(spark, d):
+    found = recommend_batch(items(spark, d), _scenarios(spark))
+    return text(found.select("qid", "bucket", "id", "score", "reasons", "missed", "rank"), "reasons", "missed", sep="; ")
+
+
+QUERIES["recommend_batch"] = QUERIES.pop("recommend_all")
+
+
+@query
+def recommend_exact(spark, d):
+    return recommend(items(spark, d), S.SCENARIOS["q2"], exact_limit=100).filter("bucket = 'exact'").select("id", "score", "rank")
+
+
+@query
+def recommend_partial(spark, d):
+    return recommend_batch(items(spark, d), _scenarios(spark, "q3", "q4", "q5", "q6")).filter("bucket = 'partial'").select("qid", "id", "score", "rank")
+
+
+@query
+def recommend_alternate(spark, d):
+    return recommend_batch(items(spark, d), _scenarios(spark, "q7", "q8", "q9")).filter("bucket = 'alternate'").select("qid", "id", "score", "rank")
+
+
+@query
+def recommendation_cards(spark, d):
+    rows = items(spark, d)
+    found = recommend_batch(rows, _scenarios(spark, "q3", "q4")).select("id", "reasons", "missed")
+    return cards.recommendation_cards(found.join(rows, "id"))
+
+
+@query
+def facet_counts(spark, d):
+    return facets.facet_counts(items(spark, d), S.FACET_QUERY)
+
+
+def _answers(spark) -> DataFrame:
+    return spark.createDataFrame(S.ANSWERS, "qid string, age int, format string, feeling string, interest string, time string, interaction string")
+
+
+@query
+def wizard_query(spark, d):
+    return text(wizard.to_queries(_answers(spark)), "interests", "moods").drop("search")
+
+
+@query
+def wizard_results(spark, d):
+    return wizard.results(items(spark, d), _answers(spark)).select("qid", "bucket", "id", "place")
+
+
+@query
+def wizard_explanation(spark, d):
+    return wizard.explanation(_answers(spark))
+
+
+@query
+def home_picks(spark, d):
+    return cards.home_picks(items(spark, d)).select("id", "app_type")
+
+
+@query
+def slug_lookup(spark, d):
+    rows = items(spark, d)
+    front = rows.filter("app_type = 'cartoon' and ord < 20").agg(F.min("slug").alias("slug"))
+    return rows.filter("app_type = 'cartoon'").join(F.broadcast(front), "slug").orderBy("ord").limit(1).select("id", "slug")
+
+
+@query
+def collection_expand(spark, d):
+    return collections.expand(derived_collections(spark), items(spark, d)).select("collection_id", "pos", "id", "why")
+
+
+@query
+def collection_orphans(spark, d):
+    return collections.orphans(derived_collections(spark), items(spark, d))
+
+
+@query
+def collection_cards(spark, d):
+    return collections.cards(derived_collections(spark))
+
+
+@query
+def similar_theme(spark, d):
+    rows = items(spark, d)
+    return similar.similar_by_theme(rows, rows)
+
+
+@query
+def similar_scored(spark, d):
+    rows = items(spark, d)
+    listed = derived_collections(spark).select(F.explode("itemIds").alias("id")).distinct()
+    return similar.similar_by_score(rows, rows.join(F.broadcast(listed), "id", "left_semi"))
+
+
+def _clicks(spark, d) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'click'")
+    return events.select("user_id", (F.col("event_id") % 40).alias("item"), F.col("event_id").alias("seq"))
+
+
+@query
+def favorites_parity(spark, d):
+    return favorites.toggled_set(_clicks(spark, d)).select("user_id", "item", "place")
+
+
+@query
+def favorites_view(spark, d):
+    rows = items(spark, d)
+    active = favorites.toggled_set(_clicks(spark, d)).select("item").distinct()
+    return favorites.favorites_view(rows, active.select(F.concat(F.lit("w-"), F.lpad(F.col("item").cast("string"), 6, "0")).alias("id"))).select("id", "title")
+
+
+@query
+def debounced_events(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    return favorites.debounced(events).select("event_id", "user_id")
+
+
+@query
+def json_favorites_sanitize(spark, d):
+    stored = spark.createDataFrame([(i, t) for i, t in enumerate(S.STORED)], "k int, stored string")
+    return stored.select("k", F.array_join(favorites.parse_favorites(F.col("stored")), "|").alias("items"))
+
+
+@query
+def params_decode(spark, d):
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(S.PARAMS)], "k int, params string")
+    return text(rows.select("k", *[c.alias(n) for n, c in codec.decode_query(F.col("params")).items()]), "interests", "moods")
+
+
+@query
+def params_encode(spark, d):
+    queries = _scenarios(spark)
+    return queries.select("qid", codec.encode_query(queries).alias("params"))
+
+
+@query
+def section_params(spark, d):
+    rows = spark.createDataFrame([(0, "age=6&mode=both&sort=new&q=a+b"), (1, "age=40&sort=best&extra=x"), (2, "")], "k int, params string")
+    decoded = rows.select("k", *[c.alias(n) for n, c in codec.decode_section(F.col("params"), 2, 17).items()])
+    return decoded.withColumn("params", codec.encode_section(decoded))
+
+
+@query
+def routes(spark, d):
+    rows = spark.createDataFrame([(p,) for p in S.ROUTES], "path string")
+    return rows.select("path", codec.route(F.col("path")).alias("r")).select("path", "r.*")
+
+
+ORACLE = oracle()

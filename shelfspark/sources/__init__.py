@@ -1 +1 @@
-
+"""Readers of catalog rows, collections and URLs."""
