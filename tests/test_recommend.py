@@ -1,0 +1,174 @@
+from __future__ import annotations
+
+import dataclasses
+import random
+
+import pytest
+from fixtures import items
+from shelfspark.functions import values as V
+from shelfspark.operators.recommend import Query, evaluate, first_results, query_frame, recommend, recommend_batch
+
+QUERY = Query(6, "cartoon", ("дружба",), (), "family")
+
+
+def buckets(rows, query, **more):
+    found = recommend(rows, query, exact_limit=50, **more).orderBy("rank").collect()
+    return {b: [r.asDict() for r in found if r.bucket == b] for b in ("exact", "partial", "alternate")}
+
+
+def change(**fields):
+    return dataclasses.replace(QUERY, **fields)
+
+
+def test_one_exact(spark):
+    found = buckets(items(spark, {}), QUERY)
+    assert [r["id"] for r in found["exact"]] == ["1"]
+    assert found["exact"][0]["score"] == 100 + 40 + 25 + 14
+    assert found["exact"][0]["reasons"] == ["Подходит для 4–8 лет", "Всей семьёй", "Совпадает по интересу: дружба"]
+
+
+def test_several_exact(spark):
+    assert len(buckets(items(spark, {}, {"title": "Другой"}), QUERY)["exact"]) == 2
+
+
+def test_exact_apart_from_near(spark):
+    found = buckets(items(spark, {}, {"age_min": 10, "age_max": 12}), QUERY)
+    assert [r["id"] for r in found["exact"]] == ["1"] and not found["partial"]
+
+
+def test_near_when_nothing_is_exact(spark):
+    found = buckets(items(spark, {}), change(moods=("таинственное",)))
+    assert not found["exact"] and found["partial"][0]["missed"] == ["Настроение отличается от выбранного"]
+
+
+def test_unknown_interest(spark):
+    found = buckets(items(spark, {}), change(interests=("роботы",)))
+    assert not found["exact"] and "Выбранный интерес пока не представлен в базе" in found["partial"][0]["missed"]
+
+
+def test_neighbour_duration(spark):
+    found = buckets(items(spark, {}), change(duration="до 30 минут"))
+    assert not found["exact"] and found["partial"][0]["missed"] == ["Немного отличается по длительности: до 15 минут"]
+
+
+def test_most_matches_first(spark):
+    weak = {"id": "2", "interests": ["дружба"], "moods": [], "ord": 0}
+    found = buckets(items(spark, weak, {"id": "1", "ord": 1}), change(interests=("дружба", "животные"), moods=("спокойное",), duration="до 30 минут"))
+    assert not found["exact"] and found["partial"][0]["id"] == "1"
+
+
+def test_fallback_with_a_known_interest(spark):
+    rows = items(spark, {"interests": ["семья"]}, {"age_min": 10, "age_max": 12, "interests": ["космос"]})
+    assert [r["id"] for r in buckets(rows, change(interests=("космос",)))["partial"]] == ["1"]
+
+
+def test_filters_hold_across_formats(spark):
+    rows = items(spark, {"interests": ["космос"]}, {"content_type": "movie", "interests": ["семья"]})
+    found = buckets(rows, Query(6, "movie", ("космос",)))
+    assert not found["partial"] and [r["id"] for r in found["alternate"]] == ["1"]
+
+
+def test_blank_search_scores(spark):
+    found = buckets(items(spark, {}), change(search="  "))
+    assert found["exact"][0]["score"] == 179 + 24
+
+
+def test_repeated_interest_counts_twice(spark):
+    found = buckets(items(spark, {}), change(interests=("дружба", "дружба")))
+    assert found["exact"][0]["score"] == 179 + 14
+
+
+def test_first_results_follow_buckets(spark):
+    rows = items(spark, {}, {"age_max": 9, "moods": []}, {"independent": True, "family": False})
+    found = first_results(rows, query_frame(spark, {"a": QUERY}), 2).orderBy("place").collect()
+    assert [(r.place, r.bucket) for r in found] == [(1, "exact"), (2, "exact")]
+
+
+def step_by_step(rows, known, q):
+    """Plain Python, stage after stage."""
+
+    def near(a, b):
+        scale = V.WATCH_DURATIONS if a in V.WATCH_DURATIONS else V.READ_DURATIONS
+        return a in scale and b in scale and abs(scale.index(a) - scale.index(b)) == 1
+
+    def scored(r):
+        score, missed = 0, 0
+        age = q.age is None or r["age_min"] <= q.age <= r["age_max"]
+        kind = q.format == "all" or (r["content_type"] in ("book", "fairy-tale") if q.format == "reading" else r["content_type"] == q.format)
+        place = not q.situation or bool(r[q.situation])
+        score += 100 * age + 40 * (kind and q.format != "all") + 25 * bool(q.situation and place)
+        missed += (not age) + (not kind) + (not place)
+        hit = [x for x in q.interests if x in r["interests"]]
+        score += 14 * len(hit)
+        missed += len(hit) < len(q.interests)
+        moods = [x for x in q.moods if x in r["moods"]]
+        score += 7 * len(moods)
+        missed += len(moods) < len(q.moods)
+        if q.duration:
+            if r["duration_category"] == q.duration:
+                score += 16
+            else:
+                missed += 1
+                score += 7 * near(q.duration, r["duration_category"])
+        return {**r, "score": score, "n": missed, "age": age, "kind": kind, "place": place}
+
+    order = lambda x: (-x["score"], x["n"], x["title"], x["ord"])
+    every = [scored(r) for r in rows]
+    exact = sorted((r for r in every if not r["n"]), key=order)
+    pool = [r for r in every if r["n"] and r["age"]]
+    chosen = [x for x in q.interests if x in known]
+    if chosen:
+        pool = [r for r in pool if any(x in r["interests"] for x in chosen)] or pool
+    if q.duration:
+        pool = [r for r in pool if r["duration_category"] == q.duration or near(q.duration, r["duration_category"])] or pool
+    same = [r for r in pool if r["kind"]]
+    if q.situation:
+        same = [r for r in same if r["place"]] or same
+    partial = sorted(same, key=order)[: 6 - len(exact)] if len(exact) < 3 else []
+    other = sorted((r for r in pool if not r["kind"]), key=order)[:4] if not exact and not partial and q.format != "all" else []
+    return [[r["id"] for r in part] for part in (exact, partial, other)]
+
+
+def test_relaxation_against_stages(spark):
+    rng = random.Random(3)
+    pick = lambda xs, k: rng.sample(xs, k)
+    tags, moods = ["дружба", "космос", "школа"], ["спокойное", "уютное", "смешное"]
+    durations = [*V.WATCH_DURATIONS[:3], *V.READ_DURATIONS[:3], None]
+    changes = []
+    for i in range(40):
+        low = rng.randint(2, 9)
+        changes.append(
+            {"title": f"t{i:02}", "content_type": rng.choice(["book", "fairy-tale", "cartoon", "movie"]), "age_min": low, "age_max": low + rng.randint(0, 4), "interests": pick(tags, rng.randint(0, 2)), "moods": pick(moods, rng.randint(0, 2)),
+             "bedtime": rng.random() < 0.4, "family": rng.random() < 0.4, "independent": rng.random() < 0.3, "duration_category": rng.choice(durations)}
+        )
+    rows = items(spark, *changes)
+    plain = [r.asDict() for r in rows.collect()]
+    known = {x for r in plain for x in r["interests"]}
+    queries = {}
+    for i in range(150):
+        queries[f"q{i}"] = Query(rng.choice([None, 3, 6.5, 12]), rng.choice(["all", "reading", "cartoon", "movie"]), tuple(pick([*tags, "роботы"], rng.randint(0, 2))), tuple(pick(moods, rng.randint(0, 2))), rng.choice([None, "bedtime", "family", "independent"]), rng.choice([None, *durations[:-1]]))
+    found = recommend_batch(rows, query_frame(spark, queries), exact_limit=100).collect()
+    for qid, q in queries.items():
+        got = [[r.id for r in sorted((r for r in found if r.qid == qid and r.bucket == b), key=lambda r: r.rank)] for b in ("exact", "partial", "alternate")]
+        assert got == step_by_step(plain, known, q), (qid, q)
+
+
+def test_buckets_are_disjoint_and_exact_misses_nothing(spark):
+    rows = items(spark, *[{"age_min": 2 + i % 5, "content_type": ["book", "cartoon", "movie"][i % 3]} for i in range(20)])
+    found = recommend(rows, change(duration="до 30 минут")).collect()
+    assert len({r.id for r in found}) == len(found)
+    assert all(not r.missed for r in found if r.bucket == "exact") and all(r.missed for r in found if r.bucket != "exact")
+
+
+def test_evaluate_keeps_every_row(spark):
+    rows = items(spark, {}, {"age_min": 15, "age_max": 16})
+    assert evaluate(rows, query_frame(spark, {"a": QUERY})).count() == 2
+
+
+def test_empty_catalog(spark):
+    assert recommend(items(spark, {}).filter("false"), QUERY).collect() == []
+
+
+@pytest.mark.parametrize("age", [None, 6.5])
+def test_ages_may_be_missing_or_decimal(spark, age):
+    assert len(buckets(items(spark, {}), change(age=age))["exact"]) == 1
