@@ -30,7 +30,7 @@ WINDOW = 8
 GAMMA = 1.02
 WIDE = 3.0
 #: Measures of a document, and the least value at which each may reject it.
-MEASURES = {"symbol_share": 0.05, "dup_line_share": 0.35, "repeat_share": 0.2, "caps_share": 0.6, "mean_chars": 12.0, "stutter_share": 0.15}
+MEASURES = {"symbol_share": 0.05, "dup_line_share": 0.35, "repeat_share": 0.3, "caps_share": 0.6, "mean_chars": 12.0, "stutter_share": 0.15}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Bits of every code point: 1 for a letter, 2 for an upper-case letter.
