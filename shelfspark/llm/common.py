@@ -5,13 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One Arrow batch may hold very long texts, so batches are kept short for text columns.
-TEXT_BATCH = 256
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -58,6 +55,29 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with a stable name for the call, for one place to change batch handling."""
-    return df.mapInArrow(function, schema)
+#: Bits of a filter that goes to the executors: four megabytes, whatever the input.
+FILTER_BITS = 1 << 25
+_PAGE_BITS = 32768
+
+
+def filter_slot(value):
+    """The bit that a 64-bit number sets; for a Column and for numpy arrays alike."""
+    if isinstance(value, Column):
+        return F.shiftright(value, 25).bitwiseXOR(value).bitwiseAND(F.lit(FILTER_BITS - 1))
+    return (value ^ (value >> 25)) & (FILTER_BITS - 1)
+
+
+def bit_filter(values: DataFrame) -> np.ndarray:
+    """A bitmap of the one column of 64-bit numbers. It lets through all of them and, by chance, others: a join has to settle those."""
+    slot = filter_slot(F.col(values.columns[0]))
+    pages = values.select(slot.alias("s")).groupBy(F.floor(F.col("s") / _PAGE_BITS).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("s") % _PAGE_BITS).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for page in pages.collect():  # FILTER_BITS / 8 bytes at most
+        at = page["page"] * (_PAGE_BITS // 8)
+        out[at : at + _PAGE_BITS // 8] = np.frombuffer(bytes(page["bits"]), np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = filter_slot(values)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1

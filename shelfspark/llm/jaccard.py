@@ -6,9 +6,9 @@ per document (the smallest identifier that links reach) and never the pairs of
 a class.
 
 1. Documents of the same word sequence fall into one representative.
-2. Shingle frequencies over all representatives: tasks deal shingles of a chunk
-   of documents out to buckets as packed arrays; a bucket counts its shingles
-   and answers each chunk with those that occur more than once.
+2. Shingle frequencies over all documents: tasks deal shingles of a chunk of
+   documents out to buckets as packed arrays; a bucket counts its shingles and
+   answers each chunk with those that occur more than once.
 3. Prefixes: shingles are ordered by rising frequency. With o = ceil(percent *
    n / 100) the first n - o + l shingles of a document share at least l with
    the like prefix of any document it links to. Each document picks its own l
@@ -20,9 +20,10 @@ a class.
    each document with the entry's smallest one. Pairs are verified in two
    rounds: first each document with its smallest candidate, then, after links
    are closed, the pairs whose classes still differ.
-5. Entries with more documents whose classes still differ are dealt out by
-   blocks of documents; each pair of blocks is one task group, which verifies
-   by a matrix product what no class joins yet.
+5. Entries with more documents whose classes still differ, or chains of such
+   entries where that costs less, are dealt out by blocks of documents; each
+   pair of blocks is one task group, which verifies by a matrix product what no
+   class joins yet.
 6. Classes: smallest labels along links, with pointer jumping.
 
 Defined results: null text, or text without words, has an empty set, links with
@@ -41,13 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, stage
+from .common import bit_filter, drop, passes, stage
 from .textops import shingles
 
 #: Shingles of a chunk, and mean shingles of a bucket.
 CHUNK = 1_000_000
 BUCKET = 1_000_000
 MOST_MATCHES = 8
+#: Bytes of text that a shingle is taken for in the choice of bucket numbers.
+BYTES_A_WORD = 6
 #: Cost of verifying one candidate, in entries scanned.
 VERIFY_COST = 8.0
 FEW = 8
@@ -59,30 +62,26 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _profiles(width: int):
-    def run(batches):
-        for batch in batches:
-            sizes, signatures = [], []
-            for x in batch.column("text"):
-                data = _bytes(x.as_py())
-                sizes.append(len(shingles(data, width)))
-                signatures.append(xxhash.xxh3_128_digest(b" ".join(data.split())))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], names=["id", "n", "signature"])
-
-    return run
+def _expanded(batches):
+    """Chunk heads as rows: id, n, signature."""
+    for batch in batches:
+        for ids, sizes, signatures in zip(batch.column("tokens"), batch.column("owners"), batch.column("times")):
+            ids, data = np.frombuffer(ids.as_buffer(), np.int64), signatures.as_py()
+            each = [data[i : i + 16] for i in range(0, len(data), 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(sizes.as_buffer(), np.int64)), pa.array(each, pa.binary())], names=["id", "n", "signature"])
 
 
 def _dealt(width: int, bits: int):
-    """Chunks of documents: for each bucket the low halves of its shingles with document numbers; in bucket -1 identifiers and set sizes."""
+    """Chunks of documents: for each bucket a part of its shingles' bits, with document numbers; under a negative number of its own the chunk's head: identifiers, set sizes and digests of the word sequences."""
 
     def run(batches):
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 28
-        ids, sets, held = [], [], 0
+        ids, sets, signatures, held = [], [], [], 0
 
         def flush():
-            nonlocal at, ids, sets, held
+            nonlocal at, ids, sets, signatures, held
             sizes = np.array([len(s) for s in sets], np.int64)
             tokens = np.concatenate(sets)
             owners = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
@@ -93,25 +92,27 @@ def _dealt(width: int, bits: int):
             full = [b for b in range(1 << bits) if edges[b] < edges[b + 1]]
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([-1, *full], pa.int64()),
+                    pa.array([-1 - at, *full], pa.int64()),
                     pa.array([at] * (len(full) + 1), pa.int64()),
                     pa.array([np.array(ids, np.int64).tobytes(), *[low[edges[b] : edges[b + 1]].tobytes() for b in full]], pa.binary()),
                     pa.array([sizes.tobytes(), *[owners[edges[b] : edges[b + 1]].tobytes() for b in full]], pa.binary()),
+                    pa.array([b"".join(signatures), *[None] * len(full)], pa.binary()),
                 ],
-                names=["bucket", "chunk", "tokens", "owners"],
+                names=["bucket", "chunk", "tokens", "owners", "times"],
             )
-            at, ids, sets, held = at + 1, [], [], 0
+            at, ids, sets, signatures, held = at + 1, [], [], [], 0
             return out
 
         for batch in batches:
             for doc, x in zip(batch.column("id").to_pylist(), batch.column("text")):
-                s = shingles(_bytes(x.as_py()), width)
-                if len(s):
-                    ids.append(doc)
-                    sets.append(s)
-                    held += len(s)
-                    if held >= CHUNK or len(ids) >= 65_000:
-                        yield flush()
+                data = _bytes(x.as_py())
+                s = shingles(data, width)
+                ids.append(doc)
+                sets.append(s)
+                signatures.append(xxhash.xxh3_128_digest(b" ".join(data.split())))
+                held += len(s)
+                if held >= CHUNK or len(ids) >= 65_000:
+                    yield flush()
         if ids:
             yield flush()
 
@@ -119,7 +120,9 @@ def _dealt(width: int, bits: int):
 
 
 def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, for each chunk the shingles that occur more than once, with their frequency."""
+    """Of one bucket, for each chunk the shingles that occur more than once, with their frequency. Heads pass."""
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[["chunk", "bucket", "tokens", "owners", "times"]]
     tokens = [np.frombuffer(x, np.uint32) for x in pdf["tokens"]]
     _, inverse, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     often = np.minimum(times, 65_535).astype(np.uint16)[inverse]
@@ -278,25 +281,24 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NONE)).alias("id"), docs[text_col].cast("string").alias("text"))
-    profiles = stage(rows.mapInArrow(_profiles(width), "id bigint, n bigint, signature binary"), "profiles")
-    firsts = stage(profiles.filter("n > 0").groupBy("signature").agg(F.min("id").alias("first"), F.max("n").alias("n")), "firsts")
-    # Bucket numbers follow the number of shingles.
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    bits = max(6, min(28, (total // BUCKET).bit_length()))
-    copies = profiles.join(firsts.select("signature", "first"), "signature").filter("id != first").select("id")
-    own = rows.join(copies, "id", "left_anti")
-
-    schema = "bucket bigint, chunk bigint, tokens binary, owners binary"
-    dealt = stage(own.mapInArrow(_dealt(width, bits), schema), "dealt")
-    answers = dealt.filter("bucket >= 0").groupBy("bucket").applyInPandas(_count_bucket, schema + ", times binary")
-    answers = answers.select("bucket", "chunk", "tokens", "owners", "times").unionByName(dealt.filter("bucket < 0").withColumn("times", F.lit(None).cast("binary")))
-    entries = stage(answers.groupBy("chunk").applyInPandas(_prefixes(percent), "token bigint, id bigint, n bigint, matches bigint"), "entries")
-    drop(dealt)
+    # Bucket numbers follow the number of shingles, as the bytes of text tell it.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, min(28, (size // BYTES_A_WORD // BUCKET).bit_length()))
+    schema = "bucket bigint, chunk bigint, tokens binary, owners binary, times binary"
+    dealt = rows.mapInArrow(_dealt(width, bits), schema)
+    answers = stage(dealt.groupBy("bucket").applyInPandas(_count_bucket, "chunk bigint, bucket bigint, tokens binary, owners binary, times binary"), "answers")
+    _settle(spark)
+    profiles = stage(answers.filter("bucket < 0").mapInArrow(_expanded, "id bigint, n bigint, signature binary"), "profiles")
+    firsts = stage(profiles.filter("n > 0").groupBy("signature").agg(F.min("id").alias("first")), "firsts")
+    # Copies were counted, which only moves their shingles back in the order; their entries go here.
+    copies = profiles.join(firsts, "signature").filter("id != first").select("id")
+    entries = stage(answers.groupBy("chunk").applyInPandas(_prefixes(percent), "token bigint, id bigint, n bigint, matches bigint").join(copies, "id", "left_anti"), "entries")
+    drop(answers)
     _settle(spark)
 
-    stats = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).filter("m > 1")
+    stats = stage(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).filter("m > 1"), "stats")
     sized = stage(entries.join(stats, "token"), "sized")
-    drop(entries)
+    drop(entries, stats)
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     few = sized.filter(F.col("m") <= FEW)
     left = few.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("matches").alias("la"))
@@ -309,12 +311,16 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     # Sets of the documents that some candidate concerns.
     asked = sized.select("id").distinct()
 
+    wanted = spark.sparkContext.broadcast(bit_filter(asked))
+
     def packed(batches):
         for batch in batches:
-            sets = [shingles(_bytes(x.as_py()), width) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
+            ids = batch.column("id").to_numpy()
+            at = np.flatnonzero(passes(wanted.value, ids))
+            sets = [shingles(_bytes(batch.column("text")[i].as_py()), width).tobytes() for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    sets = stage(own.join(asked, "id", "left_semi").mapInArrow(packed, "id bigint, tokens binary"), "sets")
+    sets = stage(rows.mapInArrow(packed, "id bigint, tokens binary").join(asked, "id", "left_semi"), "sets")
 
     def verified(some: DataFrame, label: str) -> DataFrame:
         joined = some.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("set_b")), "b")
@@ -339,25 +345,34 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     drop(old)
     _settle(spark)
 
-    # Entries of many documents: pairs of blocks, where more than one class is left.
+    # Entries of many documents, where more than one class is left: pairs of blocks. Entries that chain the same
+    # documents together are dealt as one group where that means fewer comparisons.
     many = with_labels(sized.filter(F.col("m") > FEW), "id")
     mixed = many.groupBy("token").agg(F.min("label_id").alias("low_label"), F.max("label_id").alias("high_label")).filter("low_label != high_label").select("token")
+    left_over = stage(many.join(mixed, "token", "left_semi").select("token", "id", "m", "hub", F.col("label_id").alias("label")), "open")
+    chained = classes(left_over.select(F.col("hub").alias("a"), F.col("id").alias("b"))).select("id", F.col("label").alias("chain"))
+    each = left_over.select("id", "label").distinct().join(chained, "id")
+    alone = left_over.groupBy("token").agg(F.max("m").alias("m"), F.min("hub").alias("id")).join(chained, "id")
+    costs = alone.groupBy("chain").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+    chains = stage(each.groupBy("chain").agg(F.count(F.lit(1)).alias("size")).join(costs, "chain").filter(F.col("size") * F.col("size") <= F.col("cost")).select("chain", "size"), "chains")
+    as_chain = each.join(chains, "chain").select(F.lit(True).alias("whole"), F.col("chain").alias("unit"), "size", "id", "label")
+    by_entry = left_over.join(alone.select("token", "chain"), "token").join(chains, "chain", "left_anti").select(F.lit(False).alias("whole"), F.col("token").alias("unit"), F.col("m").alias("size"), "id", "label")
     dealt_blocks = (
-        many.join(mixed, "token", "left_semi")
-        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        as_chain.unionByName(by_entry)
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", F.col("label_id").alias("label"))
+        .select("whole", "unit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "label")
     )
     block_rows = dealt_blocks.join(sets, "id")
-    found = block_rows.groupBy("token", "low", "high").applyInPandas(_block_group(percent), "a bigint, b bigint")
+    found = block_rows.groupBy("whole", "unit", "low", "high").applyInPandas(_block_group(percent), "a bigint, b bigint")
     links = stage(links.unionByName(found.distinct()), "links")
-    drop(sized, sets)
+    drop(sized, sets, left_over, chains)
     old, labels = labels, classes(links)
     drop(old, links)
     _settle(spark)
 
-    named = profiles.join(firsts.select("signature", "first"), "signature", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")))
+    named = profiles.join(firsts, "signature", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")))
     found = labels.select(F.col("id").alias("first"), "label")
     out = named.join(found, "first", "left").select("id", "n", F.coalesce("label", "first").alias("component"))
     shown = lambda c: F.when(F.col(c) == _NONE, None).otherwise(F.col(c))
