@@ -11,10 +11,12 @@ from shelfspark.functions.text import lookup
 
 def expand(collections: DataFrame, items: DataFrame) -> DataFrame:
     """collection_id, pos and the item: identifiers in their order, missing ones left out, the first item of an identifier."""
-    first = items.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).filter("k = 1").drop("k")
     listed = collections.select(F.col("id").alias("collection_id"), F.posexplode("itemIds").alias("pos", "id"))
+    # Items meet the lists before the first of an identifier is picked: the catalog itself isn't dealt by identifier.
+    found = listed.join(items, "id")
+    first = found.withColumn("k", F.row_number().over(Window.partitionBy("collection_id", "pos").orderBy("ord"))).filter("k = 1").drop("k")
     why = F.concat(F.lit("соответствует темам «"), F.array_join(F.slice("interests", 1, 2), "» и «"), F.lit("» и возрастной рекомендации "), F.col("age_label"))
-    return listed.join(first, "id").withColumn("why", why).orderBy("collection_id", "pos")
+    return first.withColumn("why", why).orderBy("collection_id", "pos")
 
 
 def orphans(collections: DataFrame, items: DataFrame) -> DataFrame:
