@@ -11,6 +11,9 @@ are final at once; memory stays constant however long a text or a run is.
 Decoding maps each id to its string's bytes and feeds them through an
 incremental UTF-8 state machine that holds at most three bytes.
 
+Ids are little-endian on every platform that Spark runs on here; array("I") is
+checked to be 32 bits wide.
+
 Defined results: null text counts as empty: no tokens, the digests of nothing;
 each row stands alone, so ties and repeated rows repeat their results; an empty
 table gives an empty result; other columns are ignored.
@@ -22,12 +25,16 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
+
+assert array("I").itemsize == 4
 
 #: White space as the tokenizer's normaliser takes it (Unicode's White_Space).
 WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -35,7 +42,49 @@ WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 CHUNK = 1 << 16
 #: Blank-free pieces up to this length are encoded once and remembered.
 PIECE = 64
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+
+
+def _ranges(points: list[int]) -> str:
+    """The inside of a regex class that holds the code points, given in order."""
+    out, at = [], 0
+    while at < len(points):
+        end = at
+        while end + 1 < len(points) and points[end + 1] == points[end] + 1:
+            end += 1
+        out.append(f"\\U{points[at]:08x}-\\U{points[end]:08x}")
+        at = end + 1
+    return "".join(out)
+
+
+def unicode_classes() -> tuple[str, str, dict[int, str]]:
+    """Letters and numbers as insides of regex classes, and lower-case forms that Python doesn't know.
+
+    Python's tables say what an assigned code point is. The tokenizers library
+    may follow a later Unicode version; for code points that Python holds for
+    unassigned its own tables are asked.
+    """
+    is_letter = pre_tokenizers.Split(Regex(r"\p{L}"), "removed").pre_tokenize_str
+    is_number = pre_tokenizers.Split(Regex(r"\p{N}"), "removed").pre_tokenize_str
+    lower = normalizers.Lowercase().normalize_str
+    letters, numbers, lowered = [], [], {}
+    for point in range(0x110000):
+        kind = unicodedata.category(chr(point))
+        if kind == "Cn" and point < 0x20000:
+            char = chr(point)
+            kind = "L" if not is_letter(char) else "N" if not is_number(char) else "C"
+            if lower(char) != char:
+                lowered[point] = lower(char)
+        if kind[0] == "L":
+            letters.append(point)
+        elif kind[0] == "N":
+            numbers.append(point)
+    # Letters that Python does know may have gained a lower-case form since.
+    for point in letters:
+        char = chr(point)
+        if point >= 0x80 and point not in lowered and char.lower() != lower(char):
+            lowered[point] = lower(char)
+    return _ranges(letters), _ranges(numbers), lowered
 
 
 def byte_symbols() -> list[str]:
@@ -74,25 +123,20 @@ class Merger:
     def merge(self, symbols: list[str]) -> list[str]:
         if len(symbols) > PIECE:
             return self._merge_long(symbols)
-        ranks = self.ranks
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                r = ranks.get((symbols[i], symbols[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        rank = self.ranks.get
+        never = len(self.ranks)
+        ranks = [rank(pair, never) for pair in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            left, right = symbols[at], symbols[at + 1]
-            out, i, n = symbols[:at], at, len(symbols)
-            while i < n:
-                if i + 1 < n and symbols[i] == left and symbols[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+            i = ranks.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), never)
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), never)
         return symbols
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
@@ -156,17 +200,22 @@ class WordBpe:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merger = Merger(merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        letters, numbers, self.lowered = unicode_classes()
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = re.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", WHITE[1:-2]))
+        self.odd_case = re.compile("[" + "".join(map(re.escape, map(chr, self.lowered))) + "]").search if self.lowered else None
         self.symbols = byte_symbols()
         self.strings = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
         for s, i in (*self.vocab.items(), *self.special.items()):
             self.strings[i] = s
         self.as_bytes = [s.encode() for s in self.strings]
         self.known: dict[str, bytes] = {}
-        self.words_known: dict[str, list[int]] = {}
+        self.words_known: dict[str, bytes] = {}
+        # The library's composition tables are its own; they matter only for texts that aren't composed yet.
+        self.compose = normalizers.NFC().normalize_str
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         known = self.words_known.get(word)
         if known is not None:
             return known
@@ -175,18 +224,15 @@ class WordBpe:
         marks[-1] += self.end
         vocab = self.vocab
         if len(marks) <= PIECE:
-            ids = [vocab[t] for t in self.merger.merge(marks) if t in vocab]
-            if len(self.words_known) >= REMEMBERED:
+            out = array("I", [vocab[t] for t in self.merger.merge(marks) if t in vocab]).tobytes()
+            if len(self.words_known) >= REMEMBERED // 2:
                 self.words_known.clear()
-            self.words_known[word] = ids
-            return ids
-        return [vocab[t] for t in self.merger.stream(iter(marks)) if t in vocab]
+            self.words_known[word] = out
+            return out
+        return array("I", [vocab[t] for t in self.merger.stream(iter(marks)) if t in vocab]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for word in self.words.findall(piece):
-            ids += self._word(word)
-        out = np.array(ids, "<u4").tobytes()
+        out = b"".join(map(self._word, self.words.findall(piece)))
         if len(piece) <= PIECE:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -194,7 +240,12 @@ class WordBpe:
         return out
 
     def normalise(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
+        if text.isascii():
+            return text.lower()
+        if not unicodedata.is_normalized("NFC", text):
+            text = self.compose(text)
+        if self.odd_case and self.odd_case(text):
+            return "".join(self.lowered.get(ord(c)) or c.lower() for c in text)
         # Case goes code point by code point: the final sigma of Python's lower() isn't wanted.
         return "σ".join(x.lower() for x in text.split("Σ")) if "Σ" in text else text.lower()
 
@@ -224,9 +275,9 @@ class WordBpe:
         yield utf8.decode(b"", True)
 
 
-_WHITE = regex.compile(WHITE)
+_WHITE = re.compile(WHITE)
 #: Where a text may be cut without a change of normalisation or words: before an ASCII blank.
-_BLANK = regex.compile("[\\t-\\r ]")
+_BLANK = re.compile("[\\t-\\r ]")
 
 
 def chunks(text: str, size: int = CHUNK):
