@@ -33,6 +33,7 @@ MAX_LANGUAGES = 256
 BLOCK = 4096
 LEVEL = 9
 MIN_SCORE = 0.02
+_HASHES = 1 << 40
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -49,15 +50,17 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 def fit(labelled: DataFrame) -> list[tuple[str, bytes]]:
     """labelled: doc_id, text, lang. (lang, dictionary) in order of lang. At most SAMPLE_DOCS rows a language reach the driver."""
     usable = labelled.filter("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Only identifiers and languages are ranked; each task first cuts its own rows to the bound.
-    chosen = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_DOCS)
-    rows = chosen.limit(SAMPLE_DOCS * MAX_LANGUAGES + 1).select("doc_id", "lang", "rank").collect()
-    names = sorted({r.lang for r in rows})
-    if len(names) > MAX_LANGUAGES:
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not rows:
+    if not sizes:
         return []
+    # A bound on the hash leaves about twice the sample of a large language to rank.
+    bound = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, _HASHES if r.n <= 4 * SAMPLE_DOCS else _HASHES * 2 * SAMPLE_DOCS // r.n)]), F.col("lang"))
+    hashed = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("hash")).filter(F.col("hash") < bound)
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    rows = hashed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "lang").collect()
+    names = sorted({r.lang for r in rows})
     spark = labelled.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(r.doc_id, r.lang) for r in rows], "doc_id bigint, lang string"))
     head = F.substring(F.col("text"), 1, SAMPLE_BYTES)
