@@ -25,8 +25,10 @@ from .common import drop, stage, text_of
 WORD = r"[^\x20\x09-\x0D]+"
 #: Repetitions of a document that no source may exceed.
 MAX_REPEATS = 4.0
-SECTIONS, ROUNDS = 32, 6
+SECTIONS, ROUNDS = 32, 8
 _KEY_BITS = 40
+#: A quota this close below a whole number of epochs counts as that number.
+EPOCH_DUST = 1e-6
 
 
 def word_count(text: Column) -> Column:
@@ -90,12 +92,14 @@ def plan_mix(meta: DataFrame, target: tuple[str, float] = ("max_repeats", MAX_RE
         exponent = solve_exponent(shares, target, budget_factor)
     z = shares.agg(F.sum(F.pow("share", F.lit(exponent))).alias("z"))
     quota = F.col("weight") * F.col("all_tokens") * budget_factor
-    sources = (
+    # Staged, so that Spark knows its size where it joins the documents.
+    sources = stage(
         shares.crossJoin(F.broadcast(z))
         .withColumn("weight", F.pow("share", F.lit(exponent)) / F.col("z"))
-        .withColumn("epochs", F.floor(quota / F.col("tokens") + 1e-9).cast("bigint"))
+        .withColumn("epochs", F.floor(quota / F.col("tokens") + EPOCH_DUST).cast("bigint"))
         .withColumn("rest", F.greatest(F.lit(0.0), quota - F.col("epochs") * F.col("tokens")))
-        .withColumn("blocks", F.ceil(F.sqrt("docs")).cast("bigint"))
+        .withColumn("blocks", F.ceil(F.sqrt("docs")).cast("bigint")),
+        "sources",
     )
     in_blocks = sized.join(sources.select("source_key", "blocks", "rest"), "source_key").withColumn(
         "block", F.floor(F.col("u") * F.col("blocks") / F.lit(float(1 << _KEY_BITS))).cast("bigint")
@@ -133,11 +137,11 @@ def token_meta(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_counts(docs: DataFrame, target: tuple[str, float] = ("max_repeats", MAX_REPEATS), budget_factor: float = 1.0, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, source, n_tokens, weight (of its source), copies (0 if it is left out)."""
+    """One row per document: doc_id, source, n_tokens, weight (of its source, to six places), copies (0 if it is left out)."""
     meta = token_meta(docs)
     plan = stage(plan_mix(meta, target, budget_factor, seed), "plan")
     out = with_copies(meta.withColumnRenamed("source_key", "source"), plan, seed)
-    return out.select("doc_id", "source", "n_tokens", F.col("mix_weight").alias("weight"), F.col("mix_copies").alias("copies"))
+    return out.select("doc_id", "source", "n_tokens", F.round("mix_weight", 6).alias("weight"), F.col("mix_copies").alias("copies"))
 
 
 def mix(docs: DataFrame, target: tuple[str, float] = ("max_repeats", MAX_REPEATS), budget_factor: float = 1.0, seed: int = 0) -> DataFrame:

@@ -77,7 +77,7 @@ def test_against_brute_force(documents, target, factor):
     got = {r.doc_id: (r.copies, r.weight) for r in mixing.mix_counts(documents(rows), target, factor).collect()}
     want = brute(rows, target, factor)
     assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
-    assert all(abs(got[i][1] - want[i][1]) < 1e-6 for i in got)
+    assert all(abs(got[i][1] - want[i][1]) < 2e-6 for i in got)
 
 
 def test_sample(documents, sample):

@@ -60,3 +60,15 @@ def test_one_query_for_each_operator():
 def test_queries_cover_their_tables(spark, sf_dir, name):
     table = "pages" if name == "op7_html_extract" else "documents"
     assert QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_against_sql(spark, sf_dir, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = c.execute(ORACLE[name])
+    names = [d[0] for d in want.description]
+    got = QUERIES[name](spark, sf_dir).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
