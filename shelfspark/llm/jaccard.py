@@ -8,7 +8,9 @@ a class.
 1. Documents of the same word sequence fall into one representative.
 2. Shingle frequencies over all documents: tasks deal shingles of a chunk of
    documents out to buckets as packed arrays; a bucket counts its shingles and
-   answers each chunk with those that occur more than once.
+   answers each chunk with those that occur more than once. A shingle of many
+   documents of a chunk goes out once, with their number, so that a bucket's
+   size follows the chunks and not the documents of its commonest shingle.
 3. Prefixes: shingles are ordered by rising frequency. With o = ceil(percent *
    n / 100) the first n - o + l shingles of a document share at least l with
    the like prefix of any document it links to. Each document picks its own l
@@ -48,6 +50,11 @@ from .textops import shingles
 #: Shingles of a chunk, and mean shingles of a bucket.
 CHUNK = 1_000_000
 BUCKET = 1_000_000
+#: Documents of a chunk that make a shingle common in it.
+COMMON = 8
+_MANY = 65_535
+#: Rows of a chunk: its head is numbered from -1 down, its common shingles' owners from here down.
+_SIDE = -(1 << 62)
 MOST_MATCHES = 8
 #: Bytes of text that a shingle is taken for in the choice of bucket numbers.
 BYTES_A_WORD = 6
@@ -86,17 +93,32 @@ def _dealt(width: int, bits: int):
             tokens = np.concatenate(sets)
             owners = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
             order = np.argsort(tokens, kind="stable")
-            tokens, owners = tokens[order], owners[order]
-            edges = np.searchsorted(tokens >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-            low = (tokens >> np.uint64(32 - bits)).astype(np.uint32)
+            # What travels of a shingle: its bucket's bits and the 32 after them.
+            tokens, owners = tokens[order] >> np.uint64(32 - bits), owners[order]
+            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+            runs = np.diff(np.append(first, len(tokens)))
+            # A shingle of many documents here goes to its bucket once, with their number; its owners stay with the chunk.
+            common = runs >= COMMON
+            among = np.repeat(common, runs)
+            side = (tokens[first[common]], runs[common].astype(np.int64), owners[among])
+            keep = ~among
+            keep[first[common]] = True
+            weights = np.ones(len(tokens), np.uint16)
+            weights[first[common]] = runs[common]
+            owners[first[common]] = _MANY
+            tokens, owners, weights = tokens[keep], owners[keep], weights[keep]
+            edges = np.searchsorted(tokens >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+            low = tokens.astype(np.uint32)
             full = [b for b in range(1 << bits) if edges[b] < edges[b + 1]]
+            plain = [(weights[edges[b] : edges[b + 1]] == 1).all() for b in full]
+            cut = lambda x: [x[edges[b] : edges[b + 1]].tobytes() for b in full]
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([-1 - at, *full], pa.int64()),
-                    pa.array([at] * (len(full) + 1), pa.int64()),
-                    pa.array([np.array(ids, np.int64).tobytes(), *[low[edges[b] : edges[b + 1]].tobytes() for b in full]], pa.binary()),
-                    pa.array([sizes.tobytes(), *[owners[edges[b] : edges[b + 1]].tobytes() for b in full]], pa.binary()),
-                    pa.array([b"".join(signatures), *[None] * len(full)], pa.binary()),
+                    pa.array([-1 - at, _SIDE - at, *full], pa.int64()),
+                    pa.array([at] * (len(full) + 2), pa.int64()),
+                    pa.array([np.array(ids, np.int64).tobytes(), side[0].tobytes(), *cut(low)], pa.binary()),
+                    pa.array([sizes.tobytes(), side[1].tobytes(), *cut(owners)], pa.binary()),
+                    pa.array([b"".join(signatures), side[2].tobytes(), *[None if p else w for p, w in zip(plain, cut(weights))]], pa.binary()),
                 ],
                 names=["bucket", "chunk", "tokens", "owners", "times"],
             )
@@ -124,7 +146,9 @@ def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     if pdf["bucket"].iloc[0] < 0:
         return pdf[["chunk", "bucket", "tokens", "owners", "times"]]
     tokens = [np.frombuffer(x, np.uint32) for x in pdf["tokens"]]
-    _, inverse, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    weights = [np.ones(len(t), np.uint16) if w is None else np.frombuffer(w, np.uint16) for t, w in zip(tokens, pdf["times"])]
+    _, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+    times = np.bincount(inverse, np.concatenate(weights))
     often = np.minimum(times, 65_535).astype(np.uint16)[inverse]
     out, at = [], 0
     for chunk, bucket, own, owners in zip(pdf["chunk"], pdf["bucket"], tokens, pdf["owners"]):
@@ -155,7 +179,8 @@ def pick_matches(times: np.ndarray, first: int) -> int:
 
 def _prefixes(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["bucket"] < 0].iloc[0]
+        head = pdf[(pdf["bucket"] < 0) & (pdf["bucket"] > _SIDE)].iloc[0]
+        side = pdf[pdf["bucket"] <= _SIDE].iloc[0]
         ids, sizes = np.frombuffer(head["tokens"], np.int64), np.frombuffer(head["owners"], np.int64)
         rest = pdf[pdf["bucket"] >= 0]
         columns = ([], [], [], [])
@@ -163,6 +188,19 @@ def _prefixes(percent: int):
             tokens = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(rest["bucket"], rest["tokens"])])
             owners = np.concatenate([np.frombuffer(x, np.uint16) for x in rest["owners"]])
             times = np.concatenate([np.frombuffer(x, np.uint16) for x in rest["times"]])
+            # Shingles whose owners stayed here: one entry for each owner.
+            many = owners == _MANY
+            if many.any():
+                held, runs = np.frombuffer(side["tokens"], np.uint64), np.frombuffer(side["owners"], np.int64)
+                ends = np.cumsum(runs)
+                order = np.argsort(tokens[many])
+                asked, frequency = tokens[many][order], times[many][order]
+                at = np.searchsorted(held, asked)
+                width = runs[at]
+                slots = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(ends[at] - width, width)
+                owners = np.concatenate([owners[~many], np.frombuffer(side["times"], np.uint16)[slots]])
+                tokens = np.concatenate([tokens[~many], np.repeat(asked, width)])
+                times = np.concatenate([times[~many], np.repeat(frequency, width)])
             order = np.lexsort((tokens, times, owners))
             tokens, owners, times = tokens[order], owners[order], times[order]
             edges = np.searchsorted(owners, np.arange(len(ids) + 1))
@@ -288,7 +326,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     dealt = rows.mapInArrow(_dealt(width, bits), schema)
     answers = stage(dealt.groupBy("bucket").applyInPandas(_count_bucket, "chunk bigint, bucket bigint, tokens binary, owners binary, times binary"), "answers")
     _settle(spark)
-    profiles = stage(answers.filter("bucket < 0").mapInArrow(_expanded, "id bigint, n bigint, signature binary"), "profiles")
+    profiles = stage(answers.filter((F.col("bucket") < 0) & (F.col("bucket") > _SIDE)).mapInArrow(_expanded, "id bigint, n bigint, signature binary"), "profiles")
     firsts = stage(profiles.filter("n > 0").groupBy("signature").agg(F.min("id").alias("first")), "firsts")
     # Copies were counted, which only moves their shingles back in the order; their entries go here.
     copies = profiles.join(firsts, "signature").filter("id != first").select("id")
