@@ -2,10 +2,12 @@
 
 Counts are exact per text. For each measure a mergeable quantile sketch is
 kept per (lang, source): logarithmic buckets of ratio GAMMA with a count each,
-so that sketches merge by adding counts, in any order, to the same result. From
-a group's quartiles comes an upper fence (Tukey's: the third quartile and WIDE
-interquartile ranges more, never under the measure's floor), and a join brings
-each document's fences to its counts. A document over a fence is rejected.
+so that sketches merge by adding counts, in any order, to the same result. From a
+group's quartiles comes an upper fence: the third quartile and some
+interquartile ranges more, or some medians, whichever is more. A floor stands in
+where a measure is 0 for most of a group, so that quartiles say nothing. A join
+brings each document's fences to its counts; a document over a fence is
+rejected.
 
 Defined results: null text has no words, and fails the base rule; null lang or
 source are a group of their own; a group of any size has fences, for the floors
@@ -28,9 +30,15 @@ from .textops import _STARTS, span_hashes, window_hashes, word_bounds
 
 WINDOW = 8
 GAMMA = 1.02
-WIDE = 3.0
-#: Measures of a document, and the least value at which each may reject it.
-MEASURES = {"symbol_share": 0.05, "dup_line_share": 0.35, "repeat_share": 0.3, "caps_share": 0.6, "mean_chars": 12.0, "stutter_share": 0.15}
+#: Measures of a document. For each: the floor, the interquartile ranges over the third quartile, the medians.
+MEASURES = {
+    "symbol_share": (0.05, 3.0, 3.0),
+    "dup_line_share": (0.35, 3.0, 3.0),
+    "repeat_share": (0.3, 3.0, 3.0),
+    "caps_share": (0.15, 8.0, 10.0),
+    "mean_chars": (8.0, 8.0, 1.5),
+    "stutter_share": (0.15, 3.0, 3.0),
+}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Bits of every code point: 1 for a letter, 2 for an upper-case letter.
@@ -117,17 +125,17 @@ def sketch(counts: DataFrame) -> DataFrame:
 
 
 def quartiles(sketched: DataFrame) -> DataFrame:
-    """The first and third quartile of each group's measures."""
+    """The quartiles of each group's measures."""
     of = Window.partitionBy("lang", "source", "measure")
     running = sketched.withColumn("upto", F.sum("n").over(of.orderBy("bucket"))).withColumn("all", F.sum("n").over(of))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bucket")))
-    return running.groupBy("lang", "source", "measure").agg(bucket_value(at(0.25)).alias("q1"), bucket_value(at(0.75)).alias("q3"))
+    return running.groupBy("lang", "source", "measure").agg(*[bucket_value(at(k / 4)).alias(f"q{k}") for k in (1, 2, 3)])
 
 
 def fences(counts: DataFrame) -> DataFrame:
     """One row per lang and source, with a fence for each measure."""
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
-    fence = F.greatest(floor, F.col("q3") + WIDE * (F.col("q3") - F.col("q1")))
+    part = lambda i: F.element_at(F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[i]))]), F.col("measure"))
+    fence = F.greatest(part(0), F.col("q3") + part(1) * (F.col("q3") - F.col("q1")), part(2) * F.col("q2"))
     return quartiles(sketch(counts)).groupBy("lang", "source").pivot("measure", list(MEASURES)).agg(F.first(fence)).select(
         F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *[F.col(m).alias(f"fence_{m}") for m in MEASURES]
     )

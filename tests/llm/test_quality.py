@@ -50,12 +50,12 @@ def brute_fences(rows):
     out = {}
     for key, values in groups.items():
         fence = []
-        for k, (name, floor) in enumerate(quality.MEASURES.items()):
+        for k, (floor, wide, times) in enumerate(quality.MEASURES.values()):
             buckets = sorted(0 if v[k] <= 1e-6 else max(1, math.ceil(math.log(v[k] * 1e6) / math.log(quality.GAMMA))) for v in values)
             at = lambda q: buckets[math.ceil(len(buckets) * q) - 1]
             value = lambda b: 0.0 if b == 0 else 1e-6 * quality.GAMMA**b * 2 / (1 + quality.GAMMA)
-            q1, q3 = value(at(0.25)), value(at(0.75))
-            fence.append(max(floor, q3 + quality.WIDE * (q3 - q1)))
+            q1, q2, q3 = (value(at(x / 4)) for x in (1, 2, 3))
+            fence.append(max(floor, q3 + wide * (q3 - q1), times * q2))
         out[key] = fence
     return out
 
