@@ -55,3 +55,5 @@ WIZARD_AGE = 7
 QUERY_AGES = (1, 17)
 # JavaScript's white space, as a regex class that Java and RE2 share.
 WHITE = r"[\x{9}-\x{d} \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# The wizard's closing sentence.
+WIZARD_NOTE = "Мы сохранили возрастную рекомендацию и сначала искали точные совпадения, а затем — ближайшие варианты."

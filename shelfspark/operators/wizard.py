@@ -35,8 +35,8 @@ def results(items: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def explanation(answers: DataFrame) -> DataFrame:
-    """qid and the sentence over the results."""
+    """qid and the sentences over the results."""
     form = F.when(F.col("format") == "reading", "историю для чтения").when(F.col("format") == "cartoon", "мультфильм").when(F.col("format") == "movie", "фильм").otherwise("книгу, мультфильм или фильм")
     mood = F.when(F.col("feeling") == "anxious", "спокойный и уютный").when(F.col("feeling") == "laugh", "смешной").when(F.col("feeling") == "learn", "познавательный").otherwise("подходящий по настроению")
     way = F.when(F.col("interaction") == "self", "для самостоятельного знакомства").otherwise("для совместного времени")
-    return answers.select("qid", F.concat(F.lit("Сейчас лучше выбрать "), mood, F.lit(" "), form, F.lit(" "), way, F.lit(".")).alias("sentence"))
+    return answers.select("qid", F.concat(F.lit("Сейчас лучше выбрать "), mood, F.lit(" "), form, F.lit(" "), way, F.lit(f". {V.WIZARD_NOTE}")).alias("sentence"))

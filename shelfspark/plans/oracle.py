@@ -282,7 +282,7 @@ def oracle() -> dict[str, str]:
         ),
         "wizard_explanation": f"""WITH {wizard_rows()} SELECT qid, 'Сейчас лучше выбрать ' || (CASE feeling WHEN 'anxious' THEN 'спокойный и уютный' WHEN 'laugh' THEN 'смешной' WHEN 'learn' THEN 'познавательный' ELSE 'подходящий по настроению' END) || ' '
                || (CASE format WHEN 'reading' THEN 'историю для чтения' WHEN 'cartoon' THEN 'мультфильм' WHEN 'movie' THEN 'фильм' ELSE 'книгу, мультфильм или фильм' END) || ' '
-               || (CASE interaction WHEN 'self' THEN 'для самостоятельного знакомства' ELSE 'для совместного времени' END) || '.' AS sentence FROM answers""",
+               || (CASE interaction WHEN 'self' THEN 'для самостоятельного знакомства' ELSE 'для совместного времени' END) || '. ' || {s(V.WIZARD_NOTE)} AS sentence FROM answers""",
         "home_picks": with_items("SELECT id, app_type FROM (SELECT *, row_number() OVER (PARTITION BY app_type ORDER BY ord) - 1 AS spot FROM item) WHERE spot = CASE app_type WHEN 'book' THEN 10 WHEN 'cartoon' THEN 0 ELSE 4 END"),
         "slug_lookup": with_items("SELECT id, slug FROM item WHERE app_type = 'cartoon' AND slug = (SELECT min(slug) FROM item WHERE app_type = 'cartoon' AND ord < 20) ORDER BY ord LIMIT 1"),
         "collection_expand": with_items(
