@@ -6,10 +6,13 @@ variable (they hold a digit, or are addresses) become `<*>`. Leaves that fewer
 than MIN_DOCS different texts reach can't hold a recurring template and go no
 further. In the others, masked lines whose tokens agree in ALIKE of their
 places merge into one template, whose differing places become `<*>`. They meet in
-cells of a leaf: by the token at a place that changes from round to round
-(PLACES), and by slots of about CELL templates where a cell holds more, so that a
-leaf of any size is merged piece by piece. A template that occurs in MIN_DOCS different texts recurs: its lines are dropped from every
-document but the one with the smallest identifier.
+cells of a leaf, by the token at a place that changes from round to round
+(PLACES); the last round's cell is what is left of the leaf, so that any two
+templates of a leaf meet. A cell is merged as a whole, whatever its size: alike
+templates agree in one of a few blocks of places, and an index of the blocks finds
+every group that a template can join. A template that occurs in MIN_DOCS different
+texts recurs: its lines are dropped from every document but the one with the
+smallest identifier.
 
 Documents of identical text count once, so that whole copies, which are another
 operator's matter, do not make their own lines recur.
@@ -38,9 +41,11 @@ from .common import bit_filter, drop, filter_slot, stage
 MIN_WORDS, MIN_DOCS = 5, 3
 LEADING = 3
 ALIKE = 0.8
-#: Templates that meet in one task; and by round the place whose token picks the cell, (a, b, c) for a * n // b + c of n tokens.
+#: Templates that a task gets on average (a larger cell travels whole); and by round the place whose token picks the cell, (a, b, c) for a * n // b + c of n tokens. The first token is the leaf's own.
 CELL = 512
-PLACES = ((1, 2, 0), (3, 4, 0), (0, 1, LEADING), (1, 1, -2))
+#: Groups of a cell that are compared one and all; for more an index picks them.
+SCAN = 256
+PLACES = ((1, 2, 0), (3, 4, 0), (0, 1, LEADING), (1, 1, -2), (0, 1, 0))
 _VARIABLE = re.compile(rb"[0-9]|://|@")
 _NONE = -(1 << 63)
 
@@ -132,17 +137,16 @@ def merge_templates(templates: DataFrame) -> DataFrame:
     current = whole.join(several, "leaf").drop("here")
     groups = whole.join(several, "leaf", "left_anti").select("template", F.col("template").alias("grp"))
     placed = None
-    for at, (a, b, c) in enumerate(PLACES):
+    for a, b, c in PLACES:
         tokens = F.split(F.col("spelled").cast("string"), " ")
         place = (F.floor(F.size(tokens) * a / b) + c).cast("int")
         celled = current.withColumn("cell", F.xxhash64("leaf", F.get(tokens, place)))
         sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-        slot = F.pmod(F.xxhash64("template", F.lit(at)), F.ceil(F.col("size") / CELL)).cast("int")
-        sized = stage(celled.join(sizes, "cell").withColumn("slot", slot), "celled")
+        sized = stage(celled.join(sizes, "cell"), "celled")
         # Templates alone in their cell stay as they are; the others travel in buckets of several cells.
         buckets = sized.filter("size > 1").count() // CELL + 1
-        together = sized.filter("size > 1").withColumn("bucket", F.pmod(F.xxhash64("cell", "slot"), F.lit(buckets)))
-        merged = together.select("bucket", "cell", "slot", "leaf", "template", "spelled", "n").groupBy("bucket").applyInPandas(_merge_bucket, "leaf bigint, template bigint, grp bigint, spelled binary, n bigint")
+        together = sized.filter("size > 1").withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
+        merged = together.select("bucket", "cell", "leaf", "template", "spelled", "n").groupBy("bucket").applyInPandas(_merge_bucket, "leaf bigint, template bigint, grp bigint, spelled binary, n bigint")
         alone = sized.filter("size = 1").select("leaf", "template", F.col("template").alias("grp"), "spelled", "n")
         merged = stage(merged.unionByName(alone), "merged")
         drop(sized)
@@ -153,40 +157,81 @@ def merge_templates(templates: DataFrame) -> DataFrame:
 
 
 def _merge_bucket(pdf):
-    """Greedy merging in each cell, in a fixed order: the most frequent template first, then by spelling. A group bears its first template's number."""
     import pandas as pd
 
     out = []
-    for (_, _, leaf), part in pdf.groupby(["cell", "slot", "leaf"], sort=False):
+    for (_, leaf), part in pdf.groupby(["cell", "leaf"], sort=False):
         rows = sorted(zip((-part["n"]).tolist(), map(bytes, part["spelled"]), part["template"].tolist()))
-        matrix = np.zeros((8, rows[0][1].count(b" ") + 1), np.int64)
-        groups: list[list] = []
-        for n, spelled, template in rows:
-            tokens = spelled.split(b" ")
-            codes = np.array([hash_token(t) for t in tokens])
-            group = None
-            if groups:
-                same = (matrix[: len(groups)] == codes).mean(1)
-                best = int(same.argmax())
-                if same[best] >= ALIKE:
-                    group = best
-            if group is None:
-                if len(groups) == len(matrix):
-                    matrix = np.concatenate([matrix, np.zeros_like(matrix)])
-                matrix[len(groups)] = codes
-                groups.append([tokens, 0, []])
-                group = len(groups) - 1
-            else:
-                differ = matrix[group] != codes
-                matrix[group][differ] = _WILD
-                groups[group][0] = [b"<*>" if d else t for t, d in zip(groups[group][0], differ)]
-            groups[group][1] -= n
-            groups[group][2].append(template)
-        for tokens, n, members in groups:
-            out += [(leaf, template, members[0], b" ".join(tokens), n) for template in members]
+        out += [(leaf, template, members[0], spelled, n) for spelled, n, members in merge_cell(rows) for template in members]
     return pd.DataFrame(out, columns=["leaf", "template", "grp", "spelled", "n"])
 
 
+def merge_cell(rows: list[tuple[int, bytes, int]], scan: int = SCAN) -> list[tuple[bytes, int, list[int]]]:
+    """Greedy merging of (-n, spelled, template) in a fixed order: the most frequent template first, then by spelling.
+
+    A template joins the group that it agrees with in most places, the first of
+    equals. Up to `scan` groups all are compared; beyond, those that share a block
+    of places with it, which leaves none out. A group bears its first template's number.
+    """
+    known: dict[bytes, int] = {b"<*>": _WILD}
+    width = rows[0][1].count(b" ") + 1
+    codes = np.empty((len(rows), width), np.int64)
+    for i, (_, spelled, _) in enumerate(rows):
+        codes[i] = [known.get(t) or known.setdefault(t, hash_token(t)) for t in spelled.split(b" ")]
+    varying = np.flatnonzero((codes != codes[0]).any(0))
+    codes = np.ascontiguousarray(codes[:, varying])
+    # Of the places that differ at all in this cell, so many have to agree.
+    need = next(k for k in range(width + 1) if k / width >= ALIKE) - (width - len(varying))
+    blocks = _blocks(codes, len(varying) - need + 1) if need > 0 and len(rows) > scan else []
+    index: dict[tuple[int, bytes], list[int]] = {}
+
+    matrix = np.zeros((8, len(varying)), np.int64)
+    groups: list[list] = []
+    for (n, spelled, template), row in zip(rows, codes):
+        group = None
+        near = slice(0, len(groups))
+        if len(groups) > scan and blocks:
+            lists = [x for k, block in enumerate(blocks) if (x := index.get((k, row[block].tobytes())))]
+            if sum(map(len, lists)) * 4 < len(groups):
+                near = np.array(sorted({g for x in lists for g in x}), np.int64)
+        same = (matrix[near] == row).sum(1)
+        if len(same):
+            best = int(same.argmax())
+            if same[best] >= need:
+                group = best if isinstance(near, slice) else int(near[best])
+        if group is None:
+            if len(groups) == len(matrix):
+                matrix = np.concatenate([matrix, np.zeros_like(matrix)])
+            group = len(groups)
+            matrix[group] = row
+            groups.append([spelled, 0, []])
+            changed = range(len(blocks))
+        else:
+            differ = (matrix[group] != row) & (matrix[group] != _WILD)
+            changed = [k for k, block in enumerate(blocks) if differ[block].any()]
+            if differ.any():
+                matrix[group][differ] = _WILD
+                tokens = groups[group][0].split(b" ")
+                for at in varying[differ]:
+                    tokens[at] = b"<*>"
+                groups[group][0] = b" ".join(tokens)
+        for k in changed:
+            index.setdefault((k, matrix[group][blocks[k]].tobytes()), []).append(group)
+        groups[group][1] -= n
+        groups[group][2].append(template)
+    return [tuple(g) for g in groups]
+
+
+def _blocks(codes: np.ndarray, count: int) -> list[np.ndarray]:
+    """The places in `count` blocks, those of many tokens dealt evenly. Rows that differ in fewer places than there are blocks agree in one of them."""
+    order = np.argsort([-len(np.unique(column)) for column in codes.T], kind="stable")
+    dealt: list[list[int]] = [[] for _ in range(count)]
+    for i, place in enumerate(order.tolist()):
+        turn, k = divmod(i, count)
+        dealt[count - 1 - k if turn % 2 else k].append(place)
+    return [np.array(x) for x in dealt]
+
+
 def hash_token(token: bytes) -> int:
     return xxhash.xxh3_64_intdigest(token) - (1 << 63)
 

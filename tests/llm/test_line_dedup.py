@@ -116,3 +116,37 @@ def test_a_leaf_larger_than_a_cell(documents, monkeypatch):
         rows.append((i, " ".join(line)))
     got = ld.line_counts(documents(rows)).collect()
     assert sum(r.n_dropped for r in got) >= 140
+
+
+def test_alike_templates_meet_in_a_hot_leaf(documents):
+    # Groups of three alike lines, all in one leaf and, in the first four rounds, in one cell.
+    word = lambda *x: "w" + "".join(chr(97 + k // 26) + chr(97 + k % 26) for k in x)
+    rows, groups = [], 1000
+    for g in range(groups):
+        for k in range(3):
+            w = ["a", "b", "c", "d", word(g, 1), "f", word(g, 2), "h", word(g, 3), word(g, 4, k), "k", "l", word(g, 5), "n", "o"]
+            assert w[3] == "d" and w[7] == "h" and w[11] == "l" and w[13] == "n"
+            rows.append((len(rows), " ".join(w)))
+    got = ld.line_counts(documents(rows)).collect()
+    assert sum(r.n_dropped for r in got) == 2 * groups
+
+
+def test_index_finds_what_a_scan_finds():
+    import random
+
+    rng = random.Random(5)
+    for width in (5, 9, 10, 16, 24):
+        spelled = {b" ".join(rng.choice([b"<*>", b"a", b"b", b"c%d" % rng.randrange(40)]) if i % 3 else b"x" for i in range(width)) for _ in range(600)}
+        rows = sorted((-rng.randint(1, 4), s, k) for k, s in enumerate(sorted(spelled)))
+        assert ld.merge_cell(rows, 0) == ld.merge_cell(rows, len(rows))
+
+
+def test_long_lines_without_a_probed_token_in_common(documents):
+    words = [f"w{chr(97 + i)}" for i in range(25)]
+    rows = []
+    for k in "xyz":
+        line = list(words)
+        for place in (12, 18, 3, 23):
+            line[place] = f"{k}{chr(97 + place)}"
+        rows.append((ord(k), " ".join(line)))
+    assert sum(r.n_dropped for r in ld.line_counts(documents(rows)).collect()) == 2
