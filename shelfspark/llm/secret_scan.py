@@ -5,7 +5,10 @@ more of `[A-Za-z0-9+/_=.-]` in which digits and letters mix) is priced: the
 bytes that it adds to a zstandard frame of its surroundings, where the
 compressor is primed with a dictionary of identifiers and common words. A
 candidate that costs at least MIN_BITS a character, near a sensitive word, is
-reported with kind `novel`, unless a base span overlaps it.
+reported with kind `novel`, unless a base span overlaps it. Copies of the
+candidate in its surroundings are blanked out before, unless a span that is
+already reported holds them: a string that repeats is reported once at least, and
+a copy near a reported one is not reported again.
 
 Defined results: null or empty text has no spans; offsets count code points,
 ends are exclusive; each row stands alone, so repeated rows repeat their spans;
@@ -67,6 +70,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def surroundings(text: str, start: int, end: int, reported: list[tuple[int, int, int]]) -> tuple[str, str]:
+    """AROUND characters before and after, with copies of the string blanked that no reported span overlaps."""
+    word, low = text[start:end], max(0, start - AROUND)
+    sides = [text[low:start], text[end : end + AROUND]]
+    # A copy may be cut by the window's edge.
+    for side, (a, b, at) in enumerate(((max(0, low - len(word)), start, low), (end, end + AROUND + len(word), end))):
+        found = text.find(word, a, b)
+        while found >= 0:
+            stop = found + len(word)
+            if not any(s < stop and found < e for s, _, e in reported):
+                x, y = max(0, found - at), min(stop - at, len(sides[side]))
+                if x < y:
+                    sides[side] = sides[side][:x] + " " * (y - x) + sides[side][y:]
+            found = text.find(word, stop, b)
+    return sides[0], sides[1]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     global _price
     out = []
@@ -76,9 +96,9 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             continue
         if any(s < end and start < e for s, _, e in base):
             continue
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        if not SENSITIVE.search(before[-60:] + " " + word[:12]):
+        if not SENSITIVE.search(text[max(0, start - 60) : start] + " " + word[:12]):
             continue
+        before, after = surroundings(text, start, end, base + out)
         _price = _price or Novelty()
         if _price.bits(before, word, after) >= MIN_BITS:
             out.append((start, 3, end))

@@ -59,3 +59,26 @@ def test_offsets_count_code_points():
     text = "é😀 token=abcdefghijkl"
     start, _, end = ss.base_spans(text)[0]
     assert text[start:end] == "token=abcdefghijkl"
+
+
+def novel(text):
+    return [text[s:e] for s, k, e in ss.novel_spans(text, ss.base_spans(text))]
+
+
+SECRET = "Zx9Qw3Er7Ty1Ui5Op8As2Df4"
+
+
+def test_a_repeated_secret_is_reported():
+    assert novel(f"the bearer credential {SECRET} again {SECRET}") == [SECRET]
+    assert novel(f"the bearer credential {SECRET} then {SECRET} then {SECRET}") == [SECRET]
+    words = "plain words without any meaning " * 2
+    assert novel(f"just {SECRET} and {words}the credential {SECRET}") == [SECRET]
+    assert novel(f"the bearer credential {SECRET} {'some other words ' * 9}{SECRET}") == [SECRET]
+
+
+def test_copies_cut_by_the_window_are_blanked():
+    for gap in range(ss.AROUND - len(SECRET), ss.AROUND + 2):
+        text = SECRET + " " * gap + SECRET + " " * gap + SECRET + " " * ss.AROUND
+        start = len(SECRET) + gap
+        before, after = ss.surroundings(text, start, start + len(SECRET), [])
+        assert (len(before), len(after)) == (ss.AROUND, ss.AROUND) and not (before + after).strip()
