@@ -1,8 +1,12 @@
 """Line dedup by a log-template tree.
 
-Each line of at least MIN_WORDS words goes down a tree of fixed depth: by its
-token count, its first LEADING tokens and its last one, where tokens that look
-variable (they hold a digit, or are addresses) become `<*>`. Leaves that fewer
+Each line goes down a tree of fixed depth: by its token count, its first LEADING
+tokens and its last one, where tokens that look variable (they hold a digit, or
+are addresses) become `<*>`. A line of fewer than MIN_WORDS words, as one in a
+script without blanks mostly is, has nothing to spare: none of its tokens is
+masked, its leaf holds all of them, and it recurs only as it stands. Of such lines
+those without a letter (blank ones, rules, brackets, bare numbers) are layout and
+stay. Leaves that fewer
 than MIN_DOCS different texts reach can't hold a recurring template and go no
 further. In the others, masked lines whose tokens agree in ALIKE of their
 places merge into one template, whose differing places become `<*>`. They meet in
@@ -47,6 +51,7 @@ CELL = 512
 SCAN = 256
 PLACES = ((1, 2, 0), (3, 4, 0), (0, 1, LEADING), (1, 1, -2), (0, 1, 0))
 _VARIABLE = re.compile(rb"[0-9]|://|@")
+_LETTER = re.compile(rb"[A-Za-z]")
 _NONE = -(1 << 63)
 
 
@@ -55,10 +60,11 @@ def mask(token: bytes) -> bytes:
 
 
 def masked(line: bytes) -> list[bytes] | None:
-    """The line's tokens, variable ones as <*>; none for a line that isn't considered."""
+    """The line's tokens, variable ones as <*>; those of a short line as they are, and none if it has no letter."""
     tokens = line.split()
     if len(tokens) < MIN_WORDS:
-        return None
+        lettered = _LETTER.search(line) or (not line.isascii() and any(map(str.isalpha, line.decode("utf-8", "surrogatepass"))))
+        return tokens if lettered else None
     return [mask(t) for t in tokens] if _VARIABLE.search(line) else tokens
 
 

@@ -150,3 +150,22 @@ def test_long_lines_without_a_probed_token_in_common(documents):
             line[place] = f"{k}{chr(97 + place)}"
         rows.append((ord(k), " ".join(line)))
     assert sum(r.n_dropped for r in ld.line_counts(documents(rows)).collect()) == 2
+
+
+def test_short_lines_recur_as_they_stand(documents):
+    short = ["All rights reserved.", "版权所有侵权必究未经许可不得转载", "Читать далее", "Page 3"]
+    rows = []
+    for i in range(4):
+        own = f"own line {chr(97 + i) * 3} with some {chr(104 + i) * 3} words"
+        rows.append((i, "\n".join([own, *short, f"Page 1{i}", "}", "———", "", "1 2 3 4", str(i)])))
+    got = result(ld.line_dedup(documents(rows)))
+    assert got == brute(rows)
+    for line in short:
+        assert [i for i, lines in got.items() if line.encode() in lines] == [0]
+    for i, lines in got.items():
+        assert [x.decode() for x in lines[-6:]] == [f"Page 1{i}", "}", "———", "", "1 2 3 4", str(i)]
+
+
+def test_short_lines_of_two_texts_stay(documents):
+    rows = [(i, f"All rights reserved.\nown {chr(97 + i) * 4}") for i in range(2)]
+    assert all(r.n_dropped == 0 for r in ld.line_counts(documents(rows)).collect())
