@@ -33,16 +33,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POW, _INV = _powers(_BASE, 1 << 16), _powers(_BASE_INVERSE, 1 << 16)
+#: Bytes that are hashed at a time, unless one word is longer.
+PIECE = 1 << 16
+_POW, _INV = _powers(_BASE, 2 * PIECE), _powers(_BASE_INVERSE, 2 * PIECE)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = 1 << (n - 1).bit_length()
-        if size > 1 << 24:
-            return _powers(_BASE, n), _powers(_BASE_INVERSE, n)
-        _POW, _INV = _powers(_BASE, size), _powers(_BASE_INVERSE, size)
+    if n > len(_POW):
+        return _powers(_BASE, n), _powers(_BASE_INVERSE, n)
     return _POW[:n], _INV[:n]
 
 
@@ -74,6 +72,19 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ascending spans. They don't depend on where a span stands, so a long text goes piece by piece."""
+    if len(raw) <= 2 * PIECE:
+        return _span_hashes(raw, starts, ends)
+    cuts = np.searchsorted(starts, np.arange(0, len(raw) + PIECE, PIECE))
+    out = [np.empty(0, np.uint64)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if a < b:
+            base, end = starts[a], ends[b - 1]
+            out.append(_span_hashes(raw[base:end], starts[a:b] - base, ends[a:b] - base))
+    return np.concatenate(out)
+
+
+def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * power, out=sums[1:])
