@@ -1,19 +1,26 @@
 """Quality rules with thresholds that follow each language and source.
 
-Counts are exact per text. For each measure a mergeable quantile sketch is
-kept per (lang, source): logarithmic buckets of ratio GAMMA with a count each,
-so that sketches merge by adding counts, in any order, to the same result. From a
-group's quartiles comes an upper fence: the third quartile and some
-interquartile ranges more, or some medians, whichever is more. A floor stands in
-where a measure is 0 for most of a group, so that quartiles say nothing. A join
-brings each document's fences to its counts; a document over a fence is
-rejected.
+Counts are exact per text. For each measure a mergeable quantile sketch is kept
+per (lang, source): a histogram over a fixed fine grid (of the arcsine of the
+root for shares, of the binary logarithm for sizes), so that sketches merge by
+adding counts, in any order, to the same result, and a quantile is off by one
+step of the grid at most. Documents that fail the base rule stay out of it. A
+group's sketch is topped up by PRIOR documents distributed as its language,
+and a language's likewise as the whole, so that small groups lean on larger ones.
+
+From the sketch comes a threshold: at least three quarters of a group count as
+ordinary. Where the values above the third quartile fall apart into modes, the
+threshold lies in the first valley; where they don't, it lies RANGES
+interquartile ranges above the quartile; where the quartiles are equal and no
+mode stands apart, nothing is rejected. No measure has a limit of its own. A
+join brings each document's thresholds to its counts. What counts of an event
+that happened n times is n - 2 sqrt(n), so that chance in a short text is not
+taken for a habit.
 
 Defined results: null text has no words, and fails the base rule; null lang or
-source are a group of their own; a group of any size has fences, for the floors
-hold where it is small; repeated rows are judged alike; an empty table gives an
-empty result; clashing column names in the input are ignored, for only doc_id,
-text, lang and source are read.
+source are a group of their own; a group of any size has thresholds; repeated
+rows are judged alike; an empty table gives an empty result; clashing column
+names in the input are ignored, for only doc_id, text, lang and source are read.
 """
 
 from __future__ import annotations
@@ -29,16 +36,23 @@ from .common import stage
 from .textops import _STARTS, span_hashes, window_hashes, word_bounds
 
 WINDOW = 8
-GAMMA = 1.02
-#: Measures of a document. For each: the floor, the interquartile ranges over the third quartile, the medians.
+#: Measures of a document: the events and what they are a share of; for the last a size. Repeated words are the base rule's own.
 MEASURES = {
-    "symbol_share": (0.05, 3.0, 3.0),
-    "dup_line_share": (0.35, 3.0, 3.0),
-    "repeat_share": (0.3, 3.0, 3.0),
-    "caps_share": (0.15, 8.0, 10.0),
-    "mean_chars": (8.0, 8.0, 1.5),
-    "stutter_share": (0.15, 3.0, 3.0),
+    "symbol_share": ("n_symbols", "word_chars"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "caps_share": ("n_upper", "n_letters"),
+    "stutter_share": ("n_stutters", "n_words"),
+    "mean_chars": ("word_chars", "n_words"),
 }
+SIZES = ("mean_chars",)
+#: Steps of the sketch's grid in a unit of the scale, and steps that count as one when modes are looked for.
+STEPS, COARSE = 256, 8
+#: Documents by which a larger group's distribution counts in a smaller one.
+PRIOR = 200
+#: Interquartile ranges over the third quartile, where no mode stands apart.
+RANGES = 8
+#: A mode: so much of a group, beyond a valley of at most an eighth of the lower peak's height; or anything, beyond an empty stretch of APART coarse steps.
+MODE, DEPTH, APART = 0.005, 8, 16
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Bits of every code point: 1 for a letter, 2 for an upper-case letter.
@@ -97,56 +111,93 @@ def base_failed() -> Column:
 
 
 def measure(name: str) -> Column:
-    share = {
-        "symbol_share": ("n_symbols", "word_chars"),
-        "dup_line_share": ("n_dup_lines", "n_lines"),
-        "repeat_share": ("n_repeat_words", "n_words"),
-        "caps_share": ("n_upper", "n_letters", "n_stutters"),
-        "mean_chars": ("word_chars", "n_words"),
-        "stutter_share": ("n_stutters", "n_words"),
-    }[name]
-    return F.when(F.col(share[1]) > 0, F.col(share[0]) / F.col(share[1])).otherwise(0.0)
-
-
-def bucket_of(value: Column) -> Column:
-    """0 for 0; else the number of the logarithmic bucket, over 0."""
-    return F.when(value <= 1e-6, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(value * 1e6) / F.log(F.lit(GAMMA))))).cast("int")
-
-
-def bucket_value(bucket: Column) -> Column:
-    """The middle of a bucket."""
-    return F.when(bucket == 0, 0.0).otherwise(1e-6 * F.pow(F.lit(GAMMA), bucket) * (2 / (1 + GAMMA)))
+    """The measure on its scale."""
+    events, whole = (F.col(c).cast("double") for c in MEASURES[name])
+    sure = F.greatest(events - 2 * F.sqrt(events), F.lit(0.0)) / whole
+    scaled = F.log2(F.greatest(sure, F.lit(1.0))) if name in SIZES else F.asin(F.sqrt(F.least(sure, F.lit(1.0))))
+    return F.when(whole > 0, scaled).otherwise(0.0)
 
 
 def sketch(counts: DataFrame) -> DataFrame:
-    """lang, source, measure, bucket, n: mergeable by adding n."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket_of(measure(m)).alias("bucket")) for m in MEASURES]))
-    return counts.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
-
-
-def quartiles(sketched: DataFrame) -> DataFrame:
-    """The quartiles of each group's measures."""
-    of = Window.partitionBy("lang", "source", "measure")
-    running = sketched.withColumn("upto", F.sum("n").over(of.orderBy("bucket"))).withColumn("all", F.sum("n").over(of))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bucket")))
-    return running.groupBy("lang", "source", "measure").agg(*[bucket_value(at(k / 4)).alias(f"q{k}") for k in (1, 2, 3)])
+    """lang, source, measure (its number), bucket, n, of the documents that pass the base rule: mergeable by adding n."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("measure"), F.floor(measure(m) * STEPS).cast("int").alias("bucket")) for i, m in enumerate(MEASURES)]))
+    return counts.filter(~base_failed()).select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def topped_up(own: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """A histogram with PRIOR documents more, distributed as the parent's."""
+    n = max(len(own), len(parent))
+    whole = parent.sum()
+    return np.pad(own.astype(float), (0, n - len(own))) + (np.pad(parent.astype(float), (0, n - len(parent))) * (PRIOR / whole) if whole else 0)
+
+
+def threshold(histogram: np.ndarray) -> float:
+    """Above which a measure (on its scale) stands apart from its group; infinite if nothing does."""
+    total = histogram.sum()
+    if not total:
+        return float("inf")
+    upto = np.cumsum(histogram)
+    low, high = (int(np.searchsorted(upto, total * q - 1e-9)) for q in (0.25, 0.75))
+    coarse = np.add.reduceat(np.append(histogram, np.zeros(-len(histogram) % COARSE)), np.arange(0, len(histogram), COARSE))
+    begin = high // COARSE
+    peak_before = np.maximum.accumulate(coarse[begin:])
+    after = np.append(np.maximum.accumulate(coarse[:begin:-1])[::-1], 0.0)
+    beyond = total - np.cumsum(coarse)[begin:]
+    valley = (coarse[begin:] * DEPTH <= np.minimum(peak_before, after)) & (beyond >= MODE * total)
+    empty = 0
+    for k, h in enumerate(coarse[begin:]):
+        # What the prior adds is less than a document.
+        empty = empty + 1 if h < 0.5 else 0
+        if valley[k] or (empty >= APART and beyond[k] > 0):
+            # The middle of the stretch that is as low.
+            end = k
+            while end + 1 < len(valley) and valley[end + 1] and coarse[begin + end + 1] <= coarse[begin + k]:
+                end += 1
+            return (begin + (k + end + 1) / 2) * COARSE / STEPS if valley[k] else (begin + k + 1 - empty / 2) * COARSE / STEPS
+    return (high + 1 + RANGES * (high - low)) / STEPS if high > low else float("inf")
+
+
+def _histograms(entries) -> list[np.ndarray]:
+    out: list[np.ndarray] = [np.zeros(0) for _ in MEASURES]
+    for i in range(len(MEASURES)):
+        own = [(e["bucket"], e["n"]) for e in entries if e["measure"] == i]
+        out[i] = np.zeros(max((b for b, _ in own), default=-1) + 1)
+        for b, n in own:
+            out[i][b] += n
+    return out
+
+
+def _thresholds(batches):
+    for batch in batches:
+        rows = []
+        for own, parent, everything in zip(*(batch.column(c) for c in ("own", "parent", "everything"))):
+            levels = [_histograms(x.as_py()) for x in (own, parent, everything)]
+            rows.append([threshold(topped_up(a, topped_up(b, c))) for a, b, c in zip(*levels)])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), batch.column("source"), *[pa.array([r[i] for r in rows], pa.float64()) for i in range(len(MEASURES))]],
+            names=["fence_lang", "fence_source", *[f"fence_{m}" for m in MEASURES]],
+        )
 
 
 def fences(counts: DataFrame) -> DataFrame:
-    """One row per lang and source, with a fence for each measure."""
-    part = lambda i: F.element_at(F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[i]))]), F.col("measure"))
-    fence = F.greatest(part(0), F.col("q3") + part(1) * (F.col("q3") - F.col("q1")), part(2) * F.col("q2"))
-    return quartiles(sketch(counts)).groupBy("lang", "source").pivot("measure", list(MEASURES)).agg(F.first(fence)).select(
-        F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *[F.col(m).alias(f"fence_{m}") for m in MEASURES]
-    )
+    """One row per lang and source that has a document beyond the base rule, with a threshold for each measure."""
+    groups = stage(sketch(counts), "sketch")
+    # A group's entries are bounded by the grid. Parents are sums of their groups' sketches.
+    packed = F.collect_list(F.struct("measure", "bucket", "n"))
+    own = groups.groupBy("lang", "source").agg(packed.alias("own"))
+    parent = groups.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")).groupBy(F.col("lang").alias("parent_lang")).agg(packed.alias("parent"))
+    everything = groups.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).agg(packed.alias("everything"))
+    joined = own.join(parent, own["lang"].eqNullSafe(parent["parent_lang"])).crossJoin(F.broadcast(everything))
+    schema = "fence_lang string, fence_source string, " + ", ".join(f"fence_{m} double" for m in MEASURES)
+    return joined.select("lang", "source", "own", "parent", "everything").mapInArrow(_thresholds, schema)
 
 
 def judge(counts: DataFrame, limits: DataFrame) -> DataFrame:
     """counts with base_failed and kept."""
     over = F.lit(False)
     for m in MEASURES:
-        over = over | (measure(m) > F.col(f"fence_{m}"))
-    joined = counts.join(limits, counts["lang"].eqNullSafe(limits["fence_lang"]) & counts["source"].eqNullSafe(limits["fence_source"]))
+        over = over | F.coalesce(measure(m) > F.col(f"fence_{m}"), F.lit(False))
+    joined = counts.join(limits, counts["lang"].eqNullSafe(limits["fence_lang"]) & counts["source"].eqNullSafe(limits["fence_source"]), "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
 
 

@@ -37,29 +37,98 @@ def test_counts_and_verdicts(documents, sample):
 
 
 def measures(c):
-    share = lambda a, b: a / b if b else 0.0
+    """The measures on their scales."""
     n, chars, symbols, dup, repeat, lines, upper, letters, stutters = c
-    of = {"symbol_share": share(symbols, chars), "dup_line_share": share(dup, lines), "repeat_share": share(repeat, n), "caps_share": share(upper, letters), "mean_chars": share(chars, n), "stutter_share": share(stutters, n)}
-    return [of[m] for m in quality.MEASURES]
+    sure = lambda a, b: max(0.0, a - 2 * math.sqrt(a)) / b if b else 0.0
+    angle = lambda a, b: math.asin(math.sqrt(min(1.0, sure(a, b))))
+    return [angle(symbols, chars), angle(dup, lines), angle(upper, letters), angle(stutters, n), math.log2(max(1.0, sure(chars, n)))]
 
 
 def brute_fences(rows):
+    """Thresholds of each group, from lists of values in place of sketches."""
+
+    def histogram(values):
+        out = [0.0] * 2000
+        for v in values:
+            out[math.floor(v * quality.STEPS)] += 1
+        return out
+
+    def mixed(own, parent):
+        return [a + quality.PRIOR * b / sum(parent) for a, b in zip(own, parent)] if any(parent) else own
+
+    def limit(h):
+        total = sum(h)
+        upto, low, high = 0.0, None, None
+        for i, x in enumerate(h):
+            upto += x
+            low = i if low is None and upto >= total / 4 - 1e-9 else low
+            high = i if high is None and upto >= 3 * total / 4 - 1e-9 else high
+        step = quality.COARSE
+        coarse = [sum(h[i : i + step]) for i in range(0, len(h), step)]
+        begin = high // step
+
+        def is_valley(k):
+            after = coarse[k + 1 :]
+            return bool(after) and sum(after) >= quality.MODE * total and coarse[k] * quality.DEPTH <= min(max(coarse[begin : k + 1]), max(after))
+
+        for k in range(begin, len(coarse)):
+            if is_valley(k):
+                end = k
+                while is_valley(end + 1) and coarse[end + 1] <= coarse[k]:
+                    end += 1
+                return (k + end + 1) / 2 * step / quality.STEPS
+            stretch = coarse[k - quality.APART + 1 : k + 1]
+            if k - quality.APART + 1 >= begin and all(x < 0.5 for x in stretch) and sum(coarse[k + 1 :]) > 0:
+                return (k + 1 - quality.APART / 2) * step / quality.STEPS
+        return (high + 1 + quality.RANGES * (high - low)) / quality.STEPS if high > low else math.inf
+
     groups = defaultdict(list)
     for lang, source, c in rows:
-        groups[lang, source].append(measures(c))
+        if c[0] >= 20 and 100 * c[4] <= 30 * c[0]:
+            groups[lang, source].append(measures(c))
     out = {}
-    for key, values in groups.items():
+    for lang, source in {(r[0], r[1]) for r in rows}:
         fence = []
-        for k, (floor, wide, times) in enumerate(quality.MEASURES.values()):
-            buckets = sorted(0 if v[k] <= 1e-6 else max(1, math.ceil(math.log(v[k] * 1e6) / math.log(quality.GAMMA))) for v in values)
-            at = lambda q: buckets[math.ceil(len(buckets) * q) - 1]
-            value = lambda b: 0.0 if b == 0 else 1e-6 * quality.GAMMA**b * 2 / (1 + quality.GAMMA)
-            q1, q2, q3 = (value(at(x / 4)) for x in (1, 2, 3))
-            fence.append(max(floor, q3 + wide * (q3 - q1), times * q2))
-        out[key] = fence
+        for k in range(len(quality.MEASURES)):
+            of = lambda test: histogram(v[k] for key, values in groups.items() if test(key) for v in values)
+            own, parent, everything = of(lambda key: key == (lang, source)), of(lambda key: key[0] == lang), of(lambda key: True)
+            fence.append(limit(mixed(own, mixed(parent, everything))) if groups[lang, source] else math.inf)
+        out[lang, source] = fence
     return out
 
 
+def test_thresholds_follow_their_group(documents):
+    """The same document is rejected where its habits stand apart and kept where they are common; between modes lies the threshold."""
+    import random
+
+    rng = random.Random(5)
+
+    def text(marked):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) + ("#" if rng.random() < marked else "") for _ in range(120))
+
+    rows = [(i, text(0.0), "en", "prose") for i in range(400)] + [(400 + i, text(0.5), "en", "prose") for i in range(12)]
+    rows += [(1000 + i, text(0.5), "de", "code") for i in range(400)]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(documents(rows)).collect()}
+    assert all(kept[i] for i in range(400)) and not any(kept[400 + i] for i in range(12))
+    assert all(kept[1000 + i] for i in range(400))
+
+
+def test_threshold_cases():
+    import numpy as np
+
+    def of(*parts):
+        h = np.zeros(600)
+        for at, n in parts:
+            h[at] += n
+        return quality.threshold(h)
+
+    assert of() == math.inf and of((0, 100)) == math.inf
+    assert 0 < of((0, 100), (100, 5)) < 100 / quality.STEPS
+    # A slope without a valley has a limit by its quartiles, and one far off doesn't move it.
+    slope = [(i * 4, 100 - 3 * i) for i in range(30)]
+    assert of(*slope) > 116 / quality.STEPS and 116 / quality.STEPS < of(*slope, (500, 1)) < 500 / quality.STEPS
+
+
 def test_labelled_documents(spark):
     folder = "/root/testdata/sf0.01"
     kept = {r.doc_id: (r.kept, r.base_failed) for r in quality.quality_rules(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
