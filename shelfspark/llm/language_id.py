@@ -1,18 +1,24 @@
 """Language ID by compression: the language whose dictionary encodes a text in the fewest bytes.
 
 Fitting takes, for each language, the labelled rows with the smallest hash of
-their identifier (at most SAMPLE_DOCS, the documented bound of the sample) and
-packs their letters into a raw-content dictionary of DICTIONARY_BYTES. A text
-is reduced to lower-case runs of letters, cut into blocks of BLOCK bytes, and
-every block is compressed against every dictionary; the sums over the whole
-text decide. The score is the margin between the best and second language,
-relative to the second; under MIN_SCORE the answer is marked as rejected.
-
-Defined results: null text, or text without a letter, is `und` with score 0;
-equal sums go to the language that sorts first; rows with null lang or null
-text are not learned from; without any labelled row every text is `und`; with
-one language learned its score is 1; repeated rows are judged alike; other
-columns are ignored.
+their identifier: at most SAMPLE_DOCS, the documented bound of the sample. Each
+of them gives up to SHARE bytes of letters to the language's raw-content
+dictionary, in PIECES whole-word pieces spread evenly over the whole text, so
+that a dictionary holds something of every sampled row and never more than
+SAMPLE_DOCS * SHARE bytes. A text is reduced to lower-case runs of letters, cut
+into blocks of BLOCK bytes, and every block is compressed against every
+dictionary; the sums over the whole text decide. The score is the margin between
+the best and second language, relative to the second; under MIN_SCORE the answer
+is marked as rejected.
+
+Defined results: null text, or text without a letter (a character of Unicode's
+categories L), is `und` with score 0; equal sums go to the language that sorts
+first; rows with null lang, text or identifier are not learned from, and a row
+without an identifier is not held out; of rows that repeat an identifier and a
+language the smallest text is learned from; of more than MAX_LANGUAGES languages
+those with the most rows are learned, equal ones in order of name; without any
+labelled row every text is `und`; with one language learned its score is 1;
+repeated rows are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +30,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows per language that fitting reads at most, and bytes of each that it takes.
+#: Labelled rows per language that fitting reads at most, bytes that each of them gives, and the pieces that they come in.
 SAMPLE_DOCS = 400
-SAMPLE_BYTES = 2048
-DICTIONARY_BYTES = 256 * 1024
-#: Languages that may be learned; more is an error, so that the model stays small.
+SHARE = 640
+PIECES = 8
+#: Languages that are learned at most, so that the model stays small.
 MAX_LANGUAGES = 256
 BLOCK = 4096
 LEVEL = 9
@@ -39,7 +45,27 @@ _RUN = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str) -> bytes:
-    return " ".join(_RUN.findall(text.lower())).encode("utf-8", "surrogatepass")
+    """Lower-case runs that hold a letter. Numbers such as one half or a Roman eight count as word characters, but not as letters."""
+    runs = _RUN.findall(text.lower())
+    return " ".join([r for r in runs if r.isalpha() or any(map(str.isalpha, r))]).encode("utf-8", "surrogatepass")
+
+
+def spread(data: bytes, size: int = SHARE, pieces: int = PIECES) -> bytes:
+    """All of data if it has at most `size` bytes; else whole words from `pieces` places over its whole length."""
+    if len(data) <= size:
+        return data
+    each, step, out = size // pieces, (len(data) - size // pieces) / (pieces - 1), []
+    for k in range(pieces):
+        at = round(k * step)
+        # From the first whole word to the last one; a word longer than the piece is left out.
+        begin = at if at == 0 else data.find(b" ", at - 1) + 1
+        end = at + each if at + each >= len(data) else data.rfind(b" ", 0, at + each + 1)
+        if 0 <= begin < end and (at == 0 or begin):
+            out.append(data[begin:end])
+    if out:
+        return b" ".join(out)
+    # No blank anywhere near: as much of the text as there are whole code points.
+    return data[:size].decode("utf-8", "ignore").encode()
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -47,28 +73,31 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
+def _given(batches):
+    for batch in batches:
+        parts = [spread(letters(x.as_py())) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(parts, pa.binary())], names=["doc_id", "lang", "part"])
+
+
 def fit(labelled: DataFrame) -> list[tuple[str, bytes]]:
-    """labelled: doc_id, text, lang. (lang, dictionary) in order of lang. At most SAMPLE_DOCS rows a language reach the driver."""
-    usable = labelled.filter("lang is not null and text is not null")
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    """labelled: doc_id, text, lang. (lang, dictionary) in order of lang. At most SAMPLE_DOCS rows a language, of SHARE bytes each, reach the driver."""
+    usable = labelled.filter("lang is not null and text is not null and doc_id is not null")
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return []
     # A bound on the hash leaves about twice the sample of a large language to rank.
     bound = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, _HASHES if r.n <= 4 * SAMPLE_DOCS else _HASHES * 2 * SAMPLE_DOCS // r.n)]), F.col("lang"))
-    hashed = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("hash")).filter(F.col("hash") < bound)
+    hashed = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("hash")).filter(F.col("hash") < bound).distinct()
     order = Window.partitionBy("lang").orderBy("hash", "doc_id")
     rows = hashed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "lang").collect()
-    names = sorted({r.lang for r in rows})
     spark = labelled.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(r.doc_id, r.lang) for r in rows], "doc_id bigint, lang string"))
-    head = F.substring(F.col("text"), 1, SAMPLE_BYTES)
-    texts = usable.join(wanted, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", head.alias("head")).dropDuplicates(["doc_id", "lang"]).collect()
-    by_lang: dict[str, list] = {name: [] for name in names}
-    for r in texts:
-        by_lang[r.lang].append((r.doc_id, letters(r.head)))
-    return [(name, b" ".join(t for _, t in sorted(by_lang[name]))[-DICTIONARY_BYTES:]) for name in names]
+    # Beside each other rows of one identifier and language are rare; the smallest text stands for them.
+    texts = usable.join(wanted, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    by_lang: dict[str, list] = {r.lang: [] for r in rows}
+    for r in texts.mapInArrow(_given, "doc_id bigint, lang string, part binary").collect():
+        by_lang[r.lang].append((r.doc_id, bytes(r.part)))
+    return [(name, b" ".join(t for _, t in sorted(by_lang[name]))) for name in sorted(by_lang)]
 
 
 class Classifier:
