@@ -1,4 +1,8 @@
-"""A small forgiving HTML parser: elements as flat arrays, texts as runs in page order."""
+"""A small forgiving HTML parser: elements as flat arrays, texts as runs in page order.
+
+Text and inline elements that stand directly in body, or outside any element,
+get a block element of their own, LOOSE, which the next block ends.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,13 @@ import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag, and never shown.
-RAW = frozenset("script style noscript template iframe textarea title svg math object select button canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object select button canvas audio video annotation".split())
+#: Elements whose own text is loose, the name of the block that holds it, and elements that take input.
+SHELLS, LOOSE = frozenset(["#root", "html", "body"]), "#loose"
+CONTROLS = frozenset("input textarea select button".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    "header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption #loose".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key ends an open element of these, if no element of the second set lies between.
@@ -31,12 +38,21 @@ _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|itemprop|aria-label|hidden|styl
 
 
 class Page:
-    """tags, parents, depths, attributes by element; runs: (element, block number, text) in page order."""
+    """tags, parents, depths, attributes by element; runs: (element, block number, text) in page order; controls: the elements that inputs stand in."""
 
-    __slots__ = ("tags", "parents", "depths", "attributes", "runs")
+    __slots__ = ("tags", "parents", "depths", "attributes", "runs", "controls")
 
     def __init__(self):
-        self.tags, self.parents, self.depths, self.attributes, self.runs = ["#root"], [-1], [0], [""], []
+        self.tags, self.parents, self.depths, self.attributes, self.runs, self.controls = ["#root"], [-1], [0], [""], [], []
+
+
+_END: dict[str, re.Pattern] = {}
+
+
+def _end_of(name: str) -> re.Pattern:
+    if name not in _END:
+        _END[name] = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+    return _END[name]
 
 
 def parse(source: str) -> Page:
@@ -45,11 +61,28 @@ def parse(source: str) -> Page:
     stack = [0]
     block = at = 0
     size = len(source)
-    lower = None
+
+    def opened(name: str, attribute: str) -> None:
+        tags.append(name)
+        parents.append(stack[-1])
+        depths.append(depths[stack[-1]] + 1)
+        attributes.append(attribute)
+
+    def loose() -> None:
+        """Before text or an inline element: a block for what no other block holds."""
+        nonlocal block
+        if tags[stack[-1]] in SHELLS:
+            opened(LOOSE, "")
+            stack.append(len(tags) - 1)
+            block += 1
 
     def text(a: int, b: int) -> None:
         if a < b:
             piece = source[a:b]
+            if tags[stack[-1]] in SHELLS:
+                if piece.isspace():
+                    return
+                loose()
             runs.append((stack[-1], block, html.unescape(piece) if "&" in piece else piece))
 
     def close(tagset, scope) -> None:
@@ -86,26 +119,29 @@ def parse(source: str) -> Page:
             continue
         if name in BLOCK:
             block += 1
+            if tags[stack[-1]] == LOOSE:
+                stack.pop()
             close(frozenset(["p"]), _P_SCOPE)
         if name in ENDS:
             close(*ENDS[name])
+        if name in CONTROLS:
+            page.controls.append(stack[-1])
         if name == "br":
-            runs.append((stack[-1], block, " "))
+            if tags[stack[-1]] not in SHELLS:
+                runs.append((stack[-1], block, " "))
             continue
         if name in VOID:
             continue
         rest = m[3]
-        tags.append(name)
-        parents.append(stack[-1])
-        depths.append(depths[stack[-1]] + 1)
-        attributes.append(" ".join(" ".join(filter(None, (a[0] if a[0] in ("hidden",) else "", a[1], a[2], a[3]))) for a in _ATTRIBUTE.findall(rest)).lower() if rest.strip() else "")
+        if name not in BLOCK and name not in RAW and name != "head":
+            loose()
+        opened(name, " ".join(" ".join(filter(None, (a[0] if a[0] in ("hidden",) else "", a[1], a[2], a[3]))) for a in _ATTRIBUTE.findall(rest)).lower() if rest.strip() else "")
         if name in RAW:
             if rest.rstrip().endswith("/") and name == "svg":
                 continue
-            lower = lower if lower is not None else source.lower()
-            end = lower.find("</" + name, at)
+            end = _end_of(name).search(source, at)
             # An end tag that never comes leaves the rest of the page inside.
-            at = size if end < 0 else (source.find(">", end) + 1 or size)
+            at = end.end() if end else size
             continue
         stack.append(len(tags) - 1)
     return page

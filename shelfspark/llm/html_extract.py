@@ -1,16 +1,19 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes.
 
 Every block element gets a row of features: what its subtree holds (text,
-links, tags, headings, punctuation, in all and by share of the page), tokens of
-its tag, class, id and role, its depth, its place and weight among its
-siblings, and the same tokens on its ancestors. Boosted trees give it a
-log-odds of being main text. Decoding is hierarchical: an element may only be
-kept with its parent, and the kept set is the one of largest total, so that no
-answer contradicts an ancestor's.
+links, tags, headings, punctuation, long runs, inputs, in all and by share of the
+page), tokens of its tag, class, id and role, its depth, its place and weight
+among its siblings, what its neighbours hold, and the same tokens on its
+ancestors. Text directly in body counts as a block of its own. Boosted trees
+give it a log-odds of being main text. Decoding is hierarchical: an element may
+only be kept with its parent, and the kept set is the one of largest total, so
+that no answer contradicts an ancestor's.
 
 The trees are trained here, on pages that this module writes itself from random
-layouts, of which it knows the main parts; training takes seconds, on the
-driver, with a fixed seed.
+layouts, of which it knows the main parts. In a share of the pages (FAMILIES) no
+name tells anything: elements are plain `div`s of random or misleading classes,
+or the article stands in body itself, as paragraphs or bare text. Training takes
+seconds, on the driver, with a fixed seed.
 
 Defined results: null or empty html has empty text; a page cut off in the
 middle counts as far as it goes; a page without main text has empty text;
@@ -27,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .html_dom import BLOCK, HEADINGS, Page, parse
+from .html_dom import BLOCK, HEADINGS, LOOSE, Page, parse
 
 #: Tokens of tag, class, id and role, by what they speak of.
 LEXICON = {
@@ -46,8 +49,10 @@ _LEXICON = {w: i for i, words in enumerate(LEXICON.values()) for w in words.spli
 _KINDS = len(LEXICON)
 _TOKEN = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
-TAGS = ("p", "div", "section", "article", "main", "ul", "ol", "li", "nav", "aside", "header", "footer", "form", "table", "td", "blockquote", "pre", "figure")
-N_FEATURES = 2 * _KINDS + len(TAGS) + 22
+TAGS = ("p", "div", "section", "article", "main", "ul", "ol", "li", "nav", "aside", "header", "footer", "form", "table", "td", "blockquote", "pre", "figure", LOOSE)
+N_FEATURES = 2 * _KINDS + len(TAGS) + 34
+#: Characters of a run of text that no menu, button or caption has.
+LONG = 80
 
 
 def kinds(page: Page) -> np.ndarray:
@@ -68,7 +73,9 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the block elements, and their feature rows."""
     n = len(page.tags)
     parents = np.array(page.parents)
-    text, links, marks, runs = (np.zeros(n) for _ in range(4))
+    text, links, marks, runs, long, longest, controls = (np.zeros(n) for _ in range(7))
+    for element in page.controls:
+        controls[element] += 1
     link = [False] * n
     for i in range(1, n):
         link[i] = page.tags[i] == "a" or link[page.parents[i]]
@@ -78,6 +85,8 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
             text[element] += size
             runs[element] += 1
             marks[element] += len(_PUNCTUATION.findall(piece))
+            long[element] += size >= LONG
+            longest[element] = max(longest[element], size)
             if link[element]:
                 links[element] += size
     own = text.copy()
@@ -86,9 +95,13 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     for element, _, piece in page.runs:
         if "©" in piece:
             copyright_sign[element] += 1
-    columns = np.stack([text, links, marks, runs, count, paragraphs, headings, anchors, copyright_sign], 1)
+    columns = np.stack([text, links, marks, runs, count, paragraphs, headings, anchors, copyright_sign, long, controls], 1)
+    titles = np.array([t == "h1" for t in page.tags])
+    has_title = titles.copy()
     for i in range(n - 1, 0, -1):
         columns[parents[i]] += columns[i]
+        longest[parents[i]] = max(longest[parents[i]], longest[i])
+        has_title[parents[i]] |= has_title[i]
     blocks = np.array([i for i in range(1, n) if page.tags[i] in BLOCK and page.tags[i] not in ("html", "body")], int)
     if not len(blocks):
         return blocks, np.empty((0, N_FEATURES), np.float32)
@@ -100,13 +113,21 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     siblings: dict[int, list[int]] = {}
     for i in blocks:
         siblings.setdefault(parents[i], []).append(i)
-    place = np.zeros((n, 4))
+    place = np.zeros((n, 10))
+    density = columns[:, 1] / (columns[:, 0] + 1)
     for group in siblings.values():
         sizes = columns[group, 0]
         whole = sizes.sum() + 1
         same = [page.tags[i] for i in group]
+        last = len(group) - 1
+        titled = next((k for k, i in enumerate(group) if has_title[i]), None)
         for k, i in enumerate(group):
-            place[i] = (k / max(1, len(group) - 1), len(group), sizes[k] / whole, same.count(same[k]) / len(group))
+            before, after = group[max(0, k - 1)], group[min(last, k + 1)]
+            place[i] = (
+                k / max(1, last), len(group), sizes[k] / whole, same.count(same[k]) / len(group),
+                np.log1p(columns[before, 0]) * (k > 0), density[before] * (k > 0), np.log1p(columns[after, 0]) * (k < last), density[after] * (k < last),
+                0 if titled is None else 1 + (k > titled) + (k == titled) * 2, sizes[k] / (sizes.max() + 1),
+            )
     c = columns[blocks]
     page_text = columns[0, 0] + 1
     depth = np.array(page.depths)[blocks]
@@ -115,7 +136,8 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     extra = np.stack(
         [
             np.log1p(c[:, 0]), np.log1p(own[blocks]), c[:, 1] / size, c[:, 2] / size, size / c[:, 4], c[:, 0] / page_text, np.log1p(c[:, 4]), np.log1p(c[:, 5]), np.log1p(c[:, 6]), np.log1p(c[:, 7]),
-            c[:, 8] > 0, depth, position, *(place[blocks][:, j] for j in range(4)), np.array([page.tags[i] in HEADINGS for i in blocks]),
+            c[:, 8] > 0, depth, position, *(place[blocks].T), np.array([page.tags[i] in HEADINGS for i in blocks]),
+            np.log1p(c[:, 9]), np.log1p(longest[blocks]), np.log1p(c[:, 10]), has_title[blocks], titles[blocks], np.full(len(blocks), np.log1p(columns[0, 9])),
             np.log1p(columns[parents[blocks], 0]), columns[parents[blocks], 1] / (columns[parents[blocks], 0] + 1), np.log1p(columns[parents[blocks], 5]), size / (columns[parents[blocks], 0] + 1),
         ],
         1,
@@ -125,9 +147,9 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Boosted:
-    """Gradient-boosted regression trees of fixed depth for two classes, with binned features."""
+    """Gradient-boosted regression trees of fixed depth for two classes, with binned features. `least` is the second-order weight that a child needs."""
 
-    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, least: int = 12):
+    def __init__(self, trees: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32, least: float = 2.0):
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -136,9 +158,10 @@ class Boosted:
         self.bias = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         score = np.full(len(y), self.bias)
         self.forest = []
+        rng = np.random.default_rng(11)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(b, y - p, p * (1 - p))
+            tree = self._grow(b, y - p, p * (1 - p), rng)
             self.forest.append(tree)
             score += self._run(tree, b)
         return self
@@ -146,36 +169,41 @@ class Boosted:
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1).astype(np.int16)
 
-    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray):
-        """Arrays over a complete tree: feature (-1 for none) and cut by inner node, value by leaf."""
+    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray, rng: np.random.Generator):
+        """Arrays over a complete tree: feature (-1 for none) and cut by inner node, value by leaf. Grown on a random half of the rows."""
         inner = (1 << self.depth) - 1
         feature, cut, value = np.full(inner, -1), np.zeros(inner, int), np.zeros(inner + 1)
-        node = np.zeros(len(g), int)
+        half = np.flatnonzero(rng.random(len(g)) < 0.5)
+        width = self.bins
+        flat, gh, hh = b[half].astype(np.int32) + np.arange(b.shape[1], dtype=np.int32) * width, g[half], h[half]
+
+        def sums(rows):
+            cells, times = flat[rows].ravel(), b.shape[1]
+            return np.stack([np.bincount(cells, np.repeat(x[rows], times), width * times) for x in (gh, hh)]).reshape(2, times, width)
+
+        node = np.zeros(len(half), int)
+        known = {0: sums(np.arange(len(half)))}
         for k in range(inner):
+            total = known[k][:, 0].sum(1)
+            left = np.cumsum(known[k], 2)[:, :, :-1]
+            right = total[:, None, None] - left
+            gain = left[0] ** 2 / (left[1] + 1) + right[0] ** 2 / (right[1] + 1) - total[0] ** 2 / (total[1] + 1)
+            gain[(left[1] < self.least) | (right[1] < self.least)] = 0
+            j, at = np.unravel_index(int(gain.argmax()), gain.shape)
             rows = np.flatnonzero(node == k)
-            best = (1e-3, -1, 0)
-            if len(rows) >= 2 * self.least:
-                total_g, total_h = g[rows].sum(), h[rows].sum()
-                base = total_g**2 / (total_h + 1)
-                for j in range(b.shape[1]):
-                    size = len(self.edges[j]) + 1
-                    if size < 2:
-                        continue
-                    column = b[rows, j]
-                    lg = np.cumsum(np.bincount(column, g[rows], size))[:-1]
-                    lh = np.cumsum(np.bincount(column, h[rows], size))[:-1]
-                    ln = np.cumsum(np.bincount(column, minlength=size))[:-1]
-                    gain = lg**2 / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - base
-                    gain[(ln < self.least) | (len(rows) - ln < self.least)] = 0
-                    at = int(gain.argmax())
-                    if gain[at] > best[0]:
-                        best = (gain[at], j, at)
-            feature[k], cut[k] = best[1], best[2]
-            right = (b[rows, best[1]] > best[2]) if best[1] >= 0 else np.zeros(len(rows), bool)
-            node[rows] = 2 * k + 1 + right
+            goes = np.zeros(len(rows), bool)
+            if gain[j, at] > 1e-3:
+                feature[k], cut[k] = j, at
+                goes = b[half[rows], j] > at
+            node[rows] = 2 * k + 1 + goes
+            if 2 * k + 2 < inner:
+                fewer = sums(rows[goes] if goes.sum() * 2 <= len(rows) else rows[~goes])
+                small, large = (2 * k + 2, 2 * k + 1) if goes.sum() * 2 <= len(rows) else (2 * k + 1, 2 * k + 2)
+                known[small], known[large] = fewer, known[k] - fewer
+            del known[k]
         for leaf in range(inner + 1):
             rows = node == inner + leaf
-            value[leaf] = self.rate * g[rows].sum() / (h[rows].sum() + 1) if rows.any() else 0
+            value[leaf] = self.rate * gh[rows].sum() / (hh[rows].sum() + 1) if rows.any() else 0
         return feature, cut, value
 
     def _run(self, tree, b: np.ndarray) -> np.ndarray:
@@ -194,12 +222,21 @@ class Boosted:
         return self.bias + sum(self._run(t, b) for t in self.forest)
 
 
-#: A mark that the page writer leaves on its main elements; parse() does not hand it to the features.
-_MAIN = "data-main"
+#: Marks that the page writer leaves on its main elements and at the front of main text that no element holds. The features don't see them.
+_MAIN, _MAIN_TEXT = "data-main", "\ue000"
+#: Kinds of layouts, with their shares: parts with telling names; plain elements of random classes; an article whose classes tell of something else; an article's elements directly in body; and its bare text there.
+FAMILIES = {"named": 0.5, "plain": 0.17, "misnamed": 0.08, "bare": 0.15, "text": 0.1}
 
 
-def write_page(rng: random.Random) -> str:
-    """A page of random layout. Elements of the main text bear the mark _MAIN."""
+def write_page(rng: random.Random, family: str | None = None) -> str:
+    """A page of random layout. Elements of the main text bear the mark _MAIN, main text outside them _MAIN_TEXT."""
+    family = family or rng.choices(list(FAMILIES), list(FAMILIES.values()))[0]
+    telling = family == "named"
+    semantic = telling or rng.random() < 0.4
+
+    def random_class() -> str:
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(1, 7)))
+        return rng.choice(["", f' class="x{word}"', f' class="css-{word}"', f' id="{word}z"', f' class="row {word}q"'])
 
     def words(least: int, most: int) -> str:
         out = ["".join(rng.choice("aeiounrstldhmgcbpé") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(least, most))]
@@ -211,6 +248,8 @@ def write_page(rng: random.Random) -> str:
         return "".join(f'<{tag}><a href="/{i}">{words(1, 3)}</a></{tag}>' for i in range(n))
 
     def named(tag: str, kind: str, inside: str) -> str:
+        if not telling:
+            return f"<div{random_class()}>{inside}</div>"
         word = rng.choice(LEXICON[kind].split())
         word = rng.choice([word, word, f"{word}-{rng.choice(['box', 'wrap', 'area', 'inner', '1'])}", f"site-{word}"])
         return f'<{tag} {rng.choice(["class", "class", "id"])}="{word}">{inside}</{tag}>'
@@ -221,21 +260,32 @@ def write_page(rng: random.Random) -> str:
     def bad(kind: str) -> str:
         if kind == "menu":
             inside = rng.choice([f"<ul>{linked(rng.randint(2, 12))}</ul>", linked(rng.randint(2, 8), "span")])
-            return f"<nav>{inside}</nav>" if rng.random() < 0.6 else named(rng.choice(["div", "ul", "nav"]), "menu", inside)
+            if not semantic and rng.random() < 0.4:
+                return inside if inside.startswith("<ul") else f"<p>{inside}</p>"
+            return f"<nav>{inside}</nav>" if semantic and rng.random() < 0.6 else named(rng.choice(["div", "ul", "nav"]), "menu", inside)
         if kind == "comment":
-            inside = "".join(f'<{rng.choice(["div", "li"])} class="comment">{rng.choice(["", f"<h4>{words(1, 2)}</h4>"])}<p>{words(1, 80)}</p></div>' for _ in range(rng.randint(1, 8)))
+            mark = ' class="comment"' if telling else random_class()
+            inside = "".join(f'<{rng.choice(["div", "li"])}{mark}>{rng.choice(["", f"<h4>{words(1, 2)}</h4>"])}<p>{words(1, 80)}</p></div>' for _ in range(rng.randint(1, 8)))
             return named(rng.choice(["section", "div", "ol"]), "comment", f"<h3>{words(1, 3)}</h3>" * (rng.random() < 0.5) + inside)
         if kind == "form":
             inside = f'<label>{words(1, 4)}</label><input name="q"><p>{words(1, 12)}</p><button>{words(1, 2)}</button>'
             return rng.choice([f"<form>{inside}</form>", named("div", "form", f"<form>{inside}</form>")])
         if kind == "foot":
             inside = rng.choice(["&copy; ", "&copy; 2020 ", ""]) + bulk()
-            return f"<footer>{inside}</footer>" if rng.random() < 0.7 else named("div", "foot", inside)
+            if not telling:
+                inside = rng.choice([f"&copy; 2021 {words(1, 6)}", f"<p>&copy; {words(1, 8)}</p>", linked(rng.randint(2, 6), "span"), f"<ul>{linked(rng.randint(2, 6))}</ul>&copy; {words(1, 4)}"])
+            return f"<footer>{inside}</footer>" if semantic and rng.random() < 0.7 else named("div", "foot", inside)
         if kind == "side":
+            if not telling:
+                return named("div", "side", f"<h3>{words(1, 4)}</h3><ul>{linked(rng.randint(2, 10))}</ul>")
             return f"<aside>{bulk()}</aside>" if rng.random() < 0.5 else named(rng.choice(["div", "section"]), "side", bulk())
         if kind == "head":
             inside = rng.choice([f"<h2>{words(1, 4)}</h2>", bulk(), f"<p>{words(1, 12)}</p>"])
-            return f"<header>{inside}</header>" if rng.random() < 0.6 else named("div", "head", inside)
+            if not telling:
+                inside = rng.choice([f'<a href="/">{words(1, 3)}</a>', f'<a href="/"><b>{words(1, 2)}</b></a>' + linked(rng.randint(1, 4), "span")])
+            return f"<header>{inside}</header>" if semantic and rng.random() < 0.6 else named("div", "head", inside)
+        if not telling:
+            return named("div", kind, rng.choice([linked(rng.randint(1, 3), "span"), f'{words(1, 12)} <a href="/c">{words(1, 2)}</a> <button>{words(1, 2)}</button>', f'<a href="/b">{words(1, 8)}</a>']))
         return named(rng.choice(["div", "div", "section", "p"]), kind, rng.choice([words(1, 40), bulk()]))
 
     def good() -> str:
@@ -259,35 +309,58 @@ def write_page(rng: random.Random) -> str:
             return f"<table {_MAIN}>" + "".join(f"<tr {_MAIN}><td {_MAIN}>{words(1, 3)}</td><td {_MAIN}>{words(1, 3)}</td></tr>" for _ in range(rng.randint(1, 5))) + "</table>"
         return f"<pre {_MAIN}>{words(1, 60)}</pre>"
 
-    inner_bad = [k for k in ("advert", "share", "comment", "side", "form", "notice") if rng.random() < 0.12]
-    parts = [good() for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 13, 25]))]
-    for k in inner_bad:
-        parts.insert(rng.randint(0, len(parts)) if k != "comment" else len(parts), bad(k))
     title = words(1, 12)
-    if rng.random() < 0.8:
-        title_part = f"<h1 {_MAIN}>{title}</h1>"
-        parts.insert(0, title_part if rng.random() < 0.85 else f"<header {_MAIN}>{title_part}</header>")
-    elif not parts:
-        parts = [good()]
-    body = "".join(parts)
-    if rng.random() < 0.3:
-        body = f'<div {_MAIN} class="{rng.choice(["content", "entry", "text", "body", "inner", "wrap"])}">{body}</div>'
-    shell = rng.random()
-    if shell < 0.6:
-        body = f"<article {_MAIN}>{body}</article>"
-    elif shell < 0.75:
-        body = f"<main {_MAIN}>{body}</main>"
+    title_part = f"<h1 {_MAIN}>{title}</h1>" if rng.random() < 0.8 else ""
+    if family == "text":
+        pieces = [words(15, rng.choice([30, 120, 400])) for _ in range(rng.choice([1, 1, 2, 4]))]
+        if rng.random() < 0.3:
+            pieces.append(f'<b>{words(1, 9)}</b> {words(5, 30)} <a href="/x">{words(1, 3)}</a> {words(5, 60)}')
+        body = title_part + _MAIN_TEXT + rng.choice(["<br>", "<br><br>", " "]).join(pieces)
+    elif telling:
+        inner_bad = [k for k in ("advert", "share", "comment", "side", "form", "notice") if rng.random() < 0.12]
+        parts = [good() for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 13, 25]))]
+        for k in inner_bad:
+            parts.insert(rng.randint(0, len(parts)) if k != "comment" else len(parts), bad(k))
+        if title_part:
+            parts.insert(0, title_part if rng.random() < 0.85 else f"<header {_MAIN}>{title_part}</header>")
+        elif not parts:
+            parts = [good()]
+        body = "".join(parts)
+        if rng.random() < 0.3:
+            body = f'<div {_MAIN} class="{rng.choice(["content", "entry", "text", "body", "inner", "wrap"])}">{body}</div>'
+        shell = rng.random()
+        if shell < 0.6:
+            body = f"<article {_MAIN}>{body}</article>"
+        elif shell < 0.75:
+            body = f"<main {_MAIN}>{body}</main>"
+        else:
+            body = f'<div {_MAIN} {rng.choice(["class", "id"])}="{rng.choice(["content", "main", "post", "article", "entry-content", "page", "story"])}">{body}</div>'
+        if rng.random() < 0.3:
+            body = f"<main {_MAIN}>{body}" + (bad(rng.choice(["side", "comment", "advert"])) if rng.random() < 0.4 else "") + "</main>"
     else:
-        body = f'<div {_MAIN} {rng.choice(["class", "id"])}="{rng.choice(["content", "main", "post", "article", "entry-content", "page", "story"])}">{body}</div>'
-    if rng.random() < 0.3:
-        body = f"<main {_MAIN}>{body}" + (bad(rng.choice(["side", "comment", "advert"])) if rng.random() < 0.4 else "") + "</main>"
-    before = [bad(k) for k in ("head", "menu", "notice", "advert", "form", "advert") if rng.random() < 0.45]
-    after = [bad(k) for k in ("side", "comment", "advert", "notice", "form", "share", "foot") if rng.random() < 0.4]
+        parts = [good() for _ in range(rng.choice([0, 1, 2, 4, 8, 16]))]
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            parts.insert(rng.randint(0, len(parts)), f"<p {_MAIN}>{words(25, rng.choice([40, 120, 300]))}</p>")
+        if rng.random() < 0.2:
+            parts.insert(rng.randint(0, len(parts)), bad(rng.choice(["share", "advert", "form"])))
+        body = title_part + "".join(parts)
+        if rng.random() < 0.2:
+            body = title_part + f"<div {_MAIN}{random_class()}>{''.join(parts)}</div>"
+        if family == "misnamed":
+            word = rng.choice([w for kind in ("head", "side", "comment", "foot", "form", "share", "notice", "menu") for w in LEXICON[kind].split()])
+            body = f'<div {_MAIN} {rng.choice(["class", "id"])}="{rng.choice([word, "layout-" + word, word + "-page"])}">{body}</div>'
+        elif family == "plain":
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                body = f"<{(tag := rng.choice(['div', 'div', 'section'] if semantic else ['div']))} {_MAIN}{random_class()}>{body}</{tag}>"
+    often = 1.0 if telling else 0.7
+    before = [bad(k) for k in ("head", "menu", "notice", "advert", "form", "advert") if rng.random() < 0.45 * often]
+    after = [bad(k) for k in ("side", "comment", "advert", "notice", "form", "share", "foot") if rng.random() < 0.4 * often]
     rng.shuffle(before)
     page = "".join(before) + body + "".join(after)
-    if rng.random() < 0.25:
+    if rng.random() < 0.25 and family not in ("bare", "text"):
         page = f'<div {_MAIN} class="{rng.choice(["wrapper", "container", "outer", "site"])}">{page}</div>'
-    page = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{page}</body></html>"
+    if rng.random() < 0.5 or family not in ("bare", "text"):
+        page = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{page}</body></html>"
     return page[: rng.randint(len(page) // 2, len(page))] if rng.random() < 0.08 else page
 
 
@@ -298,19 +371,26 @@ def labelled_page(source: str) -> tuple[Page, np.ndarray]:
     """The page without its marks, and for each element whether it bore one."""
     page = parse(_MARKED.sub(r'<\1 id="qqmainqq"', source))
     marked = np.array(["qqmainqq" in a for a in page.attributes])
+    for k, (element, block, piece) in enumerate(page.runs):
+        if _MAIN_TEXT in piece:
+            page.runs[k] = (element, block, piece.replace(_MAIN_TEXT, ""))
+            while page.tags[element] != LOOSE and element:
+                element = page.parents[element]
+            marked[element] = page.tags[element] == LOOSE
     page.attributes = [" ".join(a.replace("qqmainqq", "").split()) for a in page.attributes]
     return page, marked
 
 
-TRAINING_PAGES = 900
+TRAINING_PAGES = 1400
 _model: Boosted | None = None
 
 
-def train(pages: int = TRAINING_PAGES, seed: int = 7) -> Boosted:
+def train(pages: int = TRAINING_PAGES, seed: int = 7, families: dict[str, float] | None = None) -> Boosted:
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
-        page, marked = labelled_page(write_page(rng))
+        family = rng.choices(list(families), list(families.values()))[0] if families else None
+        page, marked = labelled_page(write_page(rng, family))
         blocks, x = features(page)
         xs.append(x)
         ys.append(marked[blocks])
@@ -343,7 +423,7 @@ def main_text(page: Page, keep: np.ndarray) -> str:
     blocks: list[str] = []
     last = None
     for element, block, piece in page.runs:
-        if not keep[element] or element == 0 or page.tags[element] in ("html", "body"):
+        if not keep[element]:
             continue
         if block == last:
             blocks[-1] += piece

@@ -43,6 +43,84 @@ def test_unseen_layouts():
     assert right / total > 0.98
 
 
+@pytest.mark.parametrize("family", list(hx.FAMILIES))
+def test_every_family_of_layouts(family):
+    trees, rng = hx.model(), random.Random(99)
+    right = total = 0
+    for _ in range(60):
+        page, marked = hx.labelled_page(hx.write_page(rng, family))
+        blocks, x = hx.features(page)
+        right += int((hx.decode(page, blocks, trees.score(x))[blocks] == marked[blocks]).sum())
+        total += len(blocks)
+    assert right / total > 0.96
+
+
+def test_a_family_that_training_never_saw():
+    """Trees of the other families on articles whose class tells of a menu, a sidebar, a footer."""
+    trees, rng = hx.train(500, 3, {k: v for k, v in hx.FAMILIES.items() if k != "misnamed"}), random.Random(5)
+    right = total = 0
+    for _ in range(60):
+        page, marked = hx.labelled_page(hx.write_page(rng, "misnamed"))
+        blocks, x = hx.features(page)
+        right += int((hx.decode(page, blocks, trees.score(x))[blocks] == marked[blocks]).sum())
+        total += len(blocks)
+    assert right / total > 0.85
+
+
+PROSE = " ".join("The quick brown fox jumps over the lazy dog, and then it sleeps for a while near the river." for _ in range(12))
+BAR = '<div class="links"><a href="/">a</a> <a href="/b">bb</a></div>'
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        (PROSE, [PROSE]),
+        (f"<html><body>{PROSE}</body></html>", [PROSE]),
+        (f"<body><h1>Title here</h1>{PROSE}<br>{PROSE}</body>", ["Title here", f"{PROSE} {PROSE}"]),
+        (f"<body><h1>Title here</h1><p>{PROSE}</p><p>{PROSE}</p></body>", ["Title here", PROSE, PROSE]),
+        (f'<body>{BAR}<div class="x1"><h1>Title here</h1><p>{PROSE}</p><p>{PROSE}</p></div>{BAR}</body>', ["Title here", PROSE, PROSE]),
+        (f"<body><p>{PROSE}</p><b>Loose</b> {PROSE} <i>end</i>.<p>{PROSE}</p></body>", [PROSE, f"Loose {PROSE} end.", PROSE]),
+    ],
+)
+def test_pages_without_telling_names(source, want):
+    assert hx.extract_pages([source], hx.model())[0].split("\n") == want
+
+
+def test_characters_that_grow_in_lower_case_do_not_move_the_end_of_a_script():
+    page = parse("<article><p>" + "İ" * 12 + "</p><SCRIPT>var x = 1</Script ><p>after it</p></article>")
+    assert hx.main_text(page, np.ones(len(page.tags), bool)).split("\n") == ["İ" * 12, "after it"]
+    page = parse("<article>a <math><mi>x</mi></math> b<script></scripted>z</script></article>")
+    assert hx.main_text(page, np.ones(len(page.tags), bool)) == "a x b"
+
+
+def test_repeated_rows_and_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    source = f"<body><article><h1>T</h1><p>{PROSE}</p></article></body>"
+    df = spark.createDataFrame([(1, "u", source), (1, "u", source), (None, "v", source)], "page_id bigint, url string, html string").withColumns({c: F.lit("x") for c in ("text", "n_chars", "id")})
+    got = hx.html_extract(df).collect()
+    assert len(got) == 3 and {r.text for r in got} == {f"T\n{PROSE}"}
+
+
+def test_decoding_against_brute_force():
+    """Of all sets that are closed under parents, the one of largest total."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    page = parse("<div><p>a</p><div><p>b</p><ul><li>c<li>d</ul></div></div><section><p>e</p></section>loose")
+    blocks = np.array([i for i in range(1, len(page.tags))])
+    for _ in range(40):
+        scores = rng.normal(size=len(blocks))
+        own = dict(zip(blocks.tolist(), scores))
+        best = -1.0
+        for chosen in product((False, True), repeat=len(blocks)):
+            kept = {0, *(b for b, c in zip(blocks.tolist(), chosen) if c)}
+            if all(page.parents[b] in kept for b in kept if b):
+                best = max(best, sum(own[b] for b in kept if b))
+        keep = hx.decode(page, blocks, scores)
+        assert abs(sum(own[b] for b in blocks.tolist() if keep[b]) - best) < 1e-9
+
+
 def test_a_page_with_everything(spark):
     source = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><h2>Site name</h2></header>
     <nav><ul><li><a href="/">Home</a></li><li><a href="/x">Other things</a></li></ul></nav><div class="cookie-notice">We use cookies on this site.</div>
