@@ -1,39 +1,60 @@
 """Secret scans: fixed patterns, and strings that a primed compressor can't predict.
 
-The patterns give the base spans. Beside them, every candidate (a run of 20 or
-more of `[A-Za-z0-9+/_=.-]` in which digits and letters mix) is priced: the
-bytes that it adds to a zstandard frame of its surroundings, where the
-compressor is primed with a dictionary of identifiers and common words. A
-candidate that costs at least MIN_BITS a character, near a sensitive word, is
-reported with kind `novel`, unless a base span overlaps it. Copies of the
-candidate in its surroundings are blanked out before, unless a span that is
-already reported holds them: a string that repeats is reported once at least, and
-a copy near a reported one is not reported again.
+The patterns give the base spans. Beside them, every candidate (a run of 16 or
+more of `[A-Za-z0-9+/_=.-]` in which digits and letters mix, after a leading
+`name=`, that is no host name) within AROUND characters of a sensitive word is
+priced: zstandard, primed with a dictionary of identifiers, reads the
+candidate's surroundings and then, as a block of its own, the candidate. The
+block's bytes are what the candidate adds. Its novelty is their share of what a
+random string of the same length and alphabet adds there: 1 where neither
+dictionary nor surroundings help, less where they do. A candidate that reaches
+the threshold is reported with kind `novel`, unless a base span overlaps it.
+Copies of the candidate in its surroundings are blanked out before, unless a span
+that is already reported holds them: a string that repeats is reported once at
+least, and a copy near a reported one is not reported again.
+
+Dictionary and threshold come from the corpus: identifiers (words joined by `_`
+or by capitals, or before `=`, `:` or `(`) are counted over all documents; the
+WORDS most frequent of those in MIN_DOCS documents or more are the bounded sample
+that is kept. A half of them, by hash, goes to the dictionary, after a few words
+that are known beforehand. The other half is priced against it: the threshold is
+the QUANTILE of those prices, where PRIOR identifiers at PRIOR_NOVELTY count
+besides, and never over 1.
 
 Defined results: null or empty text has no spans; offsets count code points,
-ends are exclusive; each row stands alone, so repeated rows repeat their spans;
-an empty table gives an empty result; other columns are ignored.
+ends are exclusive; each row stands alone, so repeated rows repeat their spans; a
+null identifier stays null; a corpus without identifiers has the known words and
+the prior; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
-SENSITIVE = re.compile(r"(?ai:passw|secret|token|api.?key|auth|credential|bearer|private|signature|access)")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z_]+=)?([A-Za-z0-9+/_.=-]{16,})")
+HOST = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,}")
+SENSITIVE = re.compile(r"(?ai:passw|secret|token|api.?key|auth(?!or)|credential|bearer|private|signature|access)")
+IDENTIFIER = re.compile(r"""[A-Za-z][A-Za-z0-9]{0,40}(?:_[A-Za-z0-9]{1,40})+|[a-z]{2,40}(?:[A-Z][a-z]{1,40})+|[A-Za-z][A-Za-z0-9]{2,40}(?=["']?\x20?[=:(])""")
 #: Characters before and after a candidate that count as its surroundings.
 AROUND = 160
-MIN_BITS = 4.5
-#: Identifiers and words that code and configuration repeat, for priming.
+WORDS, MIN_DOCS = 2000, 3
+QUANTILE, PRIOR, PRIOR_NOVELTY = 0.95, 100, 0.88
+LEVEL = 19
+_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
+#: Identifiers and words that code and configuration repeat, known beforehand.
 IDENTIFIERS = (
     "access_key access_token account api_key apikey application argument authorization base64 bearer boolean bucket "
     "cache callback certificate class client_id client_secret config connection const content-type cookie credentials "
@@ -46,19 +67,97 @@ IDENTIFIERS = (
 )
 
 
-class Novelty:
-    """Prices a string by the bytes that it adds to its surroundings."""
+def dictionary(words: list[str]) -> bytes:
+    """The identifiers, and the known words and the identifiers' parts between each of the usual separators, so that a word matches with what joins it."""
+    parts = dict.fromkeys(x for w in [*IDENTIFIERS.split(), *words] for x in _PART.findall(w))
+    return "\n".join([" ".join(words), *(s.join(["", *parts, ""]) for s in " /.-_")]).encode()
 
-    def __init__(self, words: str = IDENTIFIERS):
-        primer = zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compress = zstandard.ZstdCompressor(level=12, dict_data=primer, write_content_size=False, write_dict_id=False).compress
 
-    def bits(self, before: str, text: str, after: str) -> float:
+class Novelty:
+    """Prices strings in their surroundings, against a dictionary of identifiers."""
+
+    def __init__(self, words: list[str] = (), limit: float = PRIOR_NOVELTY):
+        primer = zstandard.ZstdCompressionDict(dictionary(words), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primer.precompute_compress(level=LEVEL)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=primer, write_content_size=False, write_dict_id=False, write_checksum=False)
+        self.limit = limit
+
+    def added(self, near: bytes, text: str) -> int:
+        """Bytes of a block that holds text, after its surroundings; its header left out."""
+        out = self.compressor.compressobj()
+        out.compress(near)
+        out.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+        out.compress(text.encode("utf-8", "surrogatepass"))
+        return len(out.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)) - 3
+
+    def novelty(self, before: str, text: str, after: str) -> float:
+        """Bytes that text adds, as a share of what a random string of its length and alphabet adds. Capitals count as a way of joining words: the lower price of text and of its lower case holds."""
         near = f"{before}\n{after}\n".encode("utf-8", "surrogatepass")
-        return 8 * (len(self.compress(near + text.encode())) - len(self.compress(near))) / len(text)
+        most = self.added(near, random_like(text))
+        least = self.added(near, text)
+        if text != text.lower():
+            least = min(least, self.added(near, text.lower()))
+        return least / max(1, most)
+
+
+def random_like(text: str) -> str:
+    """A string of the same length over the same characters, drawn by a seed from the text."""
+    rng = random.Random(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+    return "".join(rng.choices(sorted(set(text)), k=len(text)))
+
 
+def limit_of(prices: list[float]) -> float:
+    """The threshold: the quantile of prices, leaning on the prior where they are few."""
+    if not prices:
+        return PRIOR_NOVELTY
+    at = sorted(prices)[min(len(prices) - 1, int(QUANTILE * len(prices)))]
+    return min(1.0, (len(prices) * at + PRIOR * PRIOR_NOVELTY) / (len(prices) + PRIOR))
+
+
+def learn(words: list[str]) -> tuple[list[str], float]:
+    """From identifiers the words of the dictionary and the threshold."""
+    known = [w for w in words if xxhash.xxh3_64_intdigest(w.encode()) & 1]
+    held = [w for w in words if not xxhash.xxh3_64_intdigest(w.encode()) & 1]
+    price = Novelty(known).novelty
+    return known, limit_of([price("", w, "") for w in held if len(w) >= 8])
+
+
+def _identified(batches):
+    for batch in batches:
+        times: dict[str, int] = {}
+        for x in batch.column("text"):
+            # What looks like a key itself must not teach the dictionary.
+            for word in {w for w in IDENTIFIER.findall(x.as_py() or "") if sum(map(str.isdigit, w)) < 4}:
+                times[word] = times.get(word, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64())], names=["word", "n"])
 
-_price = None
+
+def identifiers(rows: DataFrame) -> list[str]:
+    """The most frequent identifiers of all documents, by number of documents, then by spelling: WORDS at most."""
+    counted = rows.select("text").mapInArrow(_identified, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+
+
+class Covered:
+    """Disjoint spans, to ask whether one overlaps another."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = [], []
+        for start, _, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,7 +169,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def surroundings(text: str, start: int, end: int, reported: list[tuple[int, int, int]]) -> tuple[str, str]:
+def surroundings(text: str, start: int, end: int, reported: Covered) -> tuple[str, str]:
     """AROUND characters before and after, with copies of the string blanked that no reported span overlaps."""
     word, low = text[start:end], max(0, start - AROUND)
     sides = [text[low:start], text[end : end + AROUND]]
@@ -79,7 +178,7 @@ def surroundings(text: str, start: int, end: int, reported: list[tuple[int, int,
         found = text.find(word, a, b)
         while found >= 0:
             stop = found + len(word)
-            if not any(s < stop and found < e for s, _, e in reported):
+            if not reported.overlaps(found, stop):
                 x, y = max(0, found - at), min(stop - at, len(sides[side]))
                 if x < y:
                     sides[side] = sides[side][:x] + " " * (y - x) + sides[side][y:]
@@ -87,21 +186,20 @@ def surroundings(text: str, start: int, end: int, reported: list[tuple[int, int,
     return sides[0], sides[1]
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    global _price
-    out = []
+def novel_spans(text: str, base: list[tuple[int, int, int]], price: Novelty) -> list[tuple[int, int, int]]:
+    out, covered = [], Covered(base)
     for m in CANDIDATE.finditer(text):
-        start, end, word = m.start(), m.end(), m[0]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+        start, end, word = m.start(1), m.end(1), m[1]
+        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or HOST.fullmatch(word):
             continue
-        if any(s < end and start < e for s, _, e in base):
+        if covered.overlaps(start, end):
             continue
-        if not SENSITIVE.search(text[max(0, start - 60) : start] + " " + word[:12]):
+        if not SENSITIVE.search(text[max(0, start - AROUND) : end + AROUND]):
             continue
-        before, after = surroundings(text, start, end, base + out)
-        _price = _price or Novelty()
-        if _price.bits(before, word, after) >= MIN_BITS:
+        before, after = surroundings(text, start, end, covered)
+        if price.novelty(before, word, after) >= price.limit:
             out.append((start, 3, end))
+            covered.add(start, end)
     return out
 
 
@@ -109,25 +207,27 @@ def _spell(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_text(text: str) -> tuple[int, int, int, str, str, int]:
+def scan_text(text: str, price: Novelty) -> tuple[int, int, int, str, str, int]:
     base = base_spans(text)
-    every = sorted(base + novel_spans(text, base))
+    every = sorted(base + novel_spans(text, base, price))
     kinds = [k for _, k, _ in base]
     digest = hashlib.sha256(_spell(base).encode()).hexdigest()
     return kinds.count(0), kinds.count(1), kinds.count(2), digest, _spell(every), len(every) - len(base)
 
 
-def _scanned(batches):
-    for batch in batches:
-        rows = [scan_text(x.as_py() or "") for x in batch.column("text")]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"],
-        )
-
-
 def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_scanned, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint")
+    shared = docs.sparkSession.sparkContext.broadcast(learn(identifiers(rows)))
+
+    def run(batches):
+        price = Novelty(*shared.value)
+        for batch in batches:
+            found = [scan_text(x.as_py() or "", price) for x in batch.column("text")]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.array([r[i] for r in found], t) for i, t in enumerate(types)]],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"],
+            )
+
+    return rows.mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint")

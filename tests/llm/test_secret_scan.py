@@ -48,7 +48,7 @@ def test_table(documents, sample, clashing):
 
 def test_novel_strings_in_sensitive_places():
     secret = "Zx9Qw3Er7Ty1Ui5Op8As2Df4"
-    found = lambda t: [x for x in ss.scan_text(t)[4].split(",") if x.startswith("novel")]
+    found = lambda t: [x for x in ss.scan_text(t, ss.Novelty())[4].split(",") if x.startswith("novel")]
     assert found(f"the bearer credential is {secret} for now") == [f"novel:25:{25 + len(secret)}"]
     assert not found(f"just a word {secret} for now")
     assert not found("the credential is settings-session-timeout-1 for now")
@@ -62,7 +62,7 @@ def test_offsets_count_code_points():
 
 
 def novel(text):
-    return [text[s:e] for s, k, e in ss.novel_spans(text, ss.base_spans(text))]
+    return [text[s:e] for s, k, e in ss.novel_spans(text, ss.base_spans(text), ss.Novelty())]
 
 
 SECRET = "Zx9Qw3Er7Ty1Ui5Op8As2Df4"
@@ -80,5 +80,74 @@ def test_copies_cut_by_the_window_are_blanked():
     for gap in range(ss.AROUND - len(SECRET), ss.AROUND + 2):
         text = SECRET + " " * gap + SECRET + " " * gap + SECRET + " " * ss.AROUND
         start = len(SECRET) + gap
-        before, after = ss.surroundings(text, start, start + len(SECRET), [])
+        before, after = ss.surroundings(text, start, start + len(SECRET), ss.Covered([]))
         assert (len(before), len(after)) == (ss.AROUND, ss.AROUND) and not (before + after).strip()
+
+
+def test_spans_that_overlap():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        spans = [(a := rng.randint(0, 60), 0, a + rng.randint(1, 9)) for _ in range(rng.randint(0, 8))]
+        covered = ss.Covered(spans)
+        for a in range(70):
+            for b in range(a + 1, min(a + 12, 71)):
+                assert covered.overlaps(a, b) == any(s < b and a < e for s, _, e in spans)
+
+
+def test_sensitive_words_anywhere_around():
+    value = '{"value": "Zx9Qw3Er7Ty1Ui5Op8As2Df4", "type": "api_key"}'
+    assert novel(value) == [SECRET]
+    assert novel("credential " + "words and more " * 9 + SECRET) == [SECRET]
+    assert not novel("credential " + "words and more " * 20 + SECRET)
+    assert novel(f"the credential id={SECRET} ends") == [SECRET]
+    assert not novel("access to mail3.example2.host.com from here")
+
+
+def test_dictionary_of_the_corpus(documents):
+    """Identifiers of the corpus become ordinary; what only one document spells stays novel."""
+    word = "zyxPqr9vWmkTj4bHdQ"
+    rows = [(i, f"call the access {word}_name = 1 here") for i in range(20)] + [(100, f"the access {SECRET} here")]
+    words = ss.identifiers(documents(rows).select("text"))
+    assert words == [f"{word}_name"]
+    price = ss.Novelty(words)
+    assert price.novelty("the access", word, "here") < 0.6 < 0.88 <= price.novelty("the access", SECRET, "here")
+    assert ss.limit_of([]) == ss.PRIOR_NOVELTY and ss.limit_of([1.2] * 10_000) == 1.0
+
+
+def test_recall_of_planted_secrets_and_false_reports(documents, sample):
+    """Secrets of several alphabets, planted in whole documents beside a sensitive word; and as many ordinary identifiers there."""
+    import random
+    import string
+
+    rng = random.Random(8)
+    alphabets = (string.ascii_letters + string.digits, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits + "+/", "0123456789ABCDEF")
+    parts = "user session timeout header client value config server request default version index account storage".split()
+    texts = [r[1] for r in sample if r[1] and len(r[1]) > 300]
+    planted, plain = [], []
+    for k in range(400):
+        text = texts[k % len(texts)]
+        at = text.find(" ", rng.randint(50, 200))
+        secret = "".join(rng.choices(alphabets[k % 4], k=rng.choice([20, 24, 32, 40, 64])))
+        ordinary = rng.choice("_-./").join(rng.choices(parts, k=3)) + str(rng.randint(1, 9))
+        if any(c.isdigit() for c in secret) and any(c.isalpha() for c in secret):
+            planted.append((k, text[:at] + f" the credential {secret} is" + text[at:], secret))
+        plain.append((10_000 + k, text[:at] + f" the credential {ordinary} is" + text[at:], ordinary))
+    known = {r.doc_id: r.spans for r in ss.secret_scan(documents([(i, t) for i, t, _ in planted + plain])).collect()}
+
+    def reported(i, text, word):
+        start = text.index(word)
+        return f"novel:{start}:{start + len(word)}" in known[i].split(",")
+
+    caught = sum(reported(*x) for x in planted) / len(planted)
+    false = sum(reported(*x) for x in plain) / len(plain)
+    assert caught >= 0.95 and false <= 0.1, (caught, false)
+    clean = ss.secret_scan(documents(sample)).agg({"n_novel": "sum"}).first()[0]
+    assert clean == 0
+
+
+def test_long_texts_and_repeated_rows(documents):
+    text = f"the bearer credential {SECRET} " + "plain words " * 100_000 + "token = abcdefghijklmnop"
+    got = ss.secret_scan(documents([(1, text), (1, text), (None, text)])).collect()
+    assert len(got) == 3 and {(r.n_assign, r.n_novel) for r in got} == {(1, 1)} and len({r.spans for r in got}) == 1
