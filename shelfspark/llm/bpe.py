@@ -3,10 +3,17 @@
 A merge at rank r can only change, to the left of where it acts, a merge of a
 later rank whose right part begins with its left part; so what text to come can
 still change reaches back at most the longest chain of such merges. lookahead()
-computes that reach from the merge list. A run of symbols is then encoded block
-by block: tokens that end before the last `lookahead` symbols are final and are
-emitted, the rest waits for more input. A blank ends a run, so that most tokens
-are final at once; memory stays constant however long a text or a run is.
+computes a sufficient reach from the merge list (an upper bound; some thousand
+symbols for a list of 49,000 merges). A run of symbols is then encoded block by
+block: tokens that end before the last `lookahead` symbols are final and are
+emitted, the rest waits for more input. Every word goes this way, whatever its
+length; words of up to PIECE bytes are remembered.
+
+Texts go through in windows of about CHUNK code points, cut before a blank, or
+where there is none before a code point that normalisation can't join to what
+stands before it. A word longer than a window feeds its symbols to the transducer
+window by window. So beside the text itself a worker holds some windows, a
+transducer's rest and what it remembers, however long a text or a word is.
 
 Decoding maps each id to its string's bytes and feeds them through an
 incremental UTF-8 state machine that holds at most three bytes.
@@ -14,9 +21,10 @@ incremental UTF-8 state machine that holds at most three bytes.
 Ids are little-endian on every platform that Spark runs on here; array("I") is
 checked to be 32 bits wide.
 
-Defined results: null text counts as empty: no tokens, the digests of nothing;
-each row stands alone, so ties and repeated rows repeat their results; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty: no tokens, the digests of nothing; a
+null identifier stays null; each row stands alone, so ties and repeated rows
+repeat their results; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .common import tokenizer_file
+
 assert array("I").itemsize == 4
 
 #: White space as the tokenizer's normaliser takes it (Unicode's White_Space).
@@ -42,7 +52,9 @@ WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 CHUNK = 1 << 16
 #: Blank-free pieces up to this length are encoded once and remembered.
 PIECE = 64
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Ids of a block that a long stretch gives out.
+BLOCK_IDS = 1 << 14
 
 
 def _ranges(points: list[int]) -> str:
@@ -185,14 +197,15 @@ class Merger:
 
 
 def _length(token: str) -> int:
-    return len(token) - 3 if token.endswith("</w>") else len(token)
+    """Symbols of a token; the mark of a word's end is part of its last one."""
+    return len(token) - 4 if token.endswith("</w>") else len(token)
 
 
 class WordBpe:
     """A tokenizers-library BPE with word ends, as its JSON file describes it."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(tokenizer_file(path), encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -204,6 +217,8 @@ class WordBpe:
         letters, numbers, self.lowered = unicode_classes()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = re.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", WHITE[1:-2]))
+        self.letter_run = re.compile(f"[{letters}]+")
+        self.other_run = re.compile(f"[^{WHITE[1:-2]}{letters}{numbers}]+")
         self.odd_case = re.compile("[" + "".join(map(re.escape, map(chr, self.lowered))) + "]").search if self.lowered else None
         self.symbols = byte_symbols()
         self.strings = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
@@ -219,17 +234,15 @@ class WordBpe:
         known = self.words_known.get(word)
         if known is not None:
             return known
-        data = word.encode("utf-8", "surrogatepass")
-        marks = [self.symbols[b] for b in data]
+        marks = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
         marks[-1] += self.end
         vocab = self.vocab
+        out = array("I", [vocab[t] for t in self.merger.stream(iter(marks)) if t in vocab]).tobytes()
         if len(marks) <= PIECE:
-            out = array("I", [vocab[t] for t in self.merger.merge(marks) if t in vocab]).tobytes()
             if len(self.words_known) >= REMEMBERED // 2:
                 self.words_known.clear()
             self.words_known[word] = out
-            return out
-        return array("I", [vocab[t] for t in self.merger.stream(iter(marks)) if t in vocab]).tobytes()
+        return out
 
     def _piece(self, piece: str) -> bytes:
         out = b"".join(map(self._word, self.words.findall(piece)))
@@ -251,15 +264,86 @@ class WordBpe:
 
     def encode(self, text: str):
         """Blocks of little-endian 32-bit ids."""
-        parts = self.split_special.split(text) if self.split_special else [text]
-        for part in parts:
-            if part in self.special:
-                yield np.array([self.special[part]], "<u4").tobytes()
+        at = 0
+        for m in self.split_special.finditer(text) if self.split_special else ():
+            yield from self._plain(text, at, m.start())
+            yield np.array([self.special[m[0]]], "<u4").tobytes()
+            at = m.end()
+        yield from self._plain(text, at, len(text))
+
+    def _plain(self, text: str, at: int, end: int):
+        for a, b in spans(text, CHUNK, at, end):
+            if b - a > 2 * CHUNK:
+                yield from self._stretch(text, a, b)
                 continue
-            for chunk in chunks(part):
-                pieces = _WHITE.split(self.normalise(chunk))
-                known = self.known
-                yield b"".join([known.get(p) or self._piece(p) for p in pieces if p])
+            known = self.known
+            yield b"".join([known.get(p) or self._piece(p) for p in _WHITE.split(self.normalise(text[a:b])) if p])
+
+    def _windows(self, text: str, at: int, end: int):
+        """Normalised windows of a stretch without an ASCII blank, cut where normalisation joins nothing."""
+        while at < end:
+            to = min(at + CHUNK, end)
+            while to < end and not _begins(text[to]):
+                to += 1
+            yield self.normalise(text[at:to])
+            at = to
+
+    def _stretch(self, text: str, at: int, end: int):
+        """Blocks of ids of a long stretch without an ASCII blank."""
+        windows = self._windows(text, at, end)
+        buffer, at, more, out = "", 0, True, array("I")
+        vocab = self.vocab
+
+        def fill():
+            nonlocal buffer, at, more
+            window = next(windows, None)
+            if window is None:
+                more = False
+            else:
+                buffer, at = buffer[at:] + window, 0
+
+        def symbols(run):
+            """The symbols of a run of one kind that may go on in further windows."""
+            nonlocal at
+            held = None
+            while (m := run.match(buffer, at)) is not None:
+                for b in m[0].encode("utf-8", "surrogatepass"):
+                    if held is not None:
+                        yield held
+                    held = self.symbols[b]
+                at = m.end()
+                if at < len(buffer) or not more:
+                    break
+                fill()
+            yield held + self.end
+
+        while True:
+            m = self.words.search(buffer, at)
+            if more and (m is None or m.end() == len(buffer)):
+                # The word may go on: look at it again with more text.
+                at = len(buffer) if m is None else m.start()
+                if len(buffer) - at <= CHUNK:
+                    fill()
+                    continue
+                run = self.letter_run if self.letter_run.match(buffer, at) else self.other_run
+                tokens = self.merger.stream(symbols(run))
+            elif m is None:
+                break
+            else:
+                at = m.end()
+                out.frombytes(self._word(m[0]))
+                tokens = ()
+            for t in tokens:
+                if t in vocab:
+                    out.append(vocab[t])
+                    if len(out) >= BLOCK_IDS:
+                        yield out.tobytes()
+                        del out[:]
+            if len(out) >= BLOCK_IDS:
+                yield out.tobytes()
+                del out[:]
+        if out:
+            yield out.tobytes()
 
     def decode(self, blocks):
         """Text, in order, of blocks of ids. This vocabulary has no decoder of its own: strings are joined by a blank."""
@@ -280,16 +364,19 @@ _WHITE = re.compile(WHITE)
 _BLANK = re.compile("[\\t-\\r ]")
 
 
-def chunks(text: str, size: int = CHUNK):
-    if len(text) <= size:
-        yield text
-        return
-    at = 0
-    while at < len(text):
-        m = _BLANK.search(text, at + size)
-        end = m.start() if m else len(text)
-        yield text[at:end]
-        at = end
+def _begins(char: str) -> bool:
+    """Whether normalisation never joins a code point to what stands before it: no mark, and no Hangul vowel or final consonant."""
+    return char < "\u0300" or (unicodedata.category(char)[0] not in "MC" and not "\u1160" <= char <= "\u11ff" and not "\ud7b0" <= char <= "\ud7ff")
+
+
+def spans(text: str, size: int = CHUNK, at: int = 0, end: int | None = None):
+    """Parts of a text, of `size` code points and up to the next blank."""
+    end = len(text) if end is None else end
+    while at < end:
+        m = _BLANK.search(text, at + size, end) if end - at > size else None
+        to = m.start() if m else end
+        yield at, to
+        at = to
 
 
 _loaded: dict[str, WordBpe] = {}

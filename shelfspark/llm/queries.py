@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, exact_dedup, html_extract, jaccard, language_id, line_dedup, mixing, quality, secret_scan, token_scan
 from .common import read
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("SHELFSPARK_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def byte_pattern() -> str:
-    import public_tokenizers
-
     return public_tokenizers.PATTERN
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from .common import new_path, stage, tokenizer_file
 
 #: 0xC480 spells U+0100 in UTF-8; it lies over every id of a 50k vocabulary.
 END_OF_DOCUMENT = 0xC480
@@ -63,7 +63,7 @@ def encoder(path: str, pattern: str):
     import tiktoken
 
     if path not in _encoders:
-        with open(path, "rb") as f:
+        with open(tokenizer_file(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[path] = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]

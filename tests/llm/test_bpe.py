@@ -82,7 +82,45 @@ def test_lookahead_grows_along_chains():
 
 def test_chunks_lose_nothing():
     text = "abc déf\n" * 2000 + "x" * 50_000
-    assert "".join(bpe.chunks(text, 100)) == text
+    parts = [text[a:b] for a, b in bpe.spans(text, 100)]
+    assert "".join(parts) == text and len(parts) > 100
+    assert [a for a, _ in bpe.spans(text, 100, 7, 300)][0] == 7 and list(bpe.spans("")) == []
+
+
+LONG = [
+    "ab" * 400_000,
+    "é" * 70_000 + "e\u0301" * 100_000 + "1" * 70_000,
+    "!?" * 120_000 + "'s" + "..." * 50_000 + "it's" * 40_000,
+    "漢字" * 100_000 + "\u3000" + "한국" * 60_000 + "\u1112\u1161\u11ab" * 30_000 + "\u00a0Σ" * 70_000,
+    "x" * 200_000 + "<|endoftext|>" + "Y" * 140_000 + " z",
+    "a" + "\u0301\u0323" * 80_000 + "b" * 70_000,
+]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_long_stretches_without_a_blank(text, library):
+    assert bpe.encode_text(bpe.load(WORD_BPE), text) == expected(library, text)
+
+
+def test_memory_does_not_follow_the_length():
+    """What encoding a word without a blank takes beside the text: the same for two million code points as for some hundred thousand."""
+    import tracemalloc
+
+    model, peaks = bpe.load(WORD_BPE), []
+    bpe.encode_text(model, "warm up " * 100)
+    for n in (300_000, 2_000_000):
+        text = "abcdefghij" * (n // 10)
+        tracemalloc.start()
+        bpe.encode_text(model, text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + (1 << 20), peaks
+
+
+def test_lengths_of_tokens():
+    merger = bpe.load(WORD_BPE).merger
+    symbols = [*"there", "d</w>"]
+    assert sum(bpe._length(t) for t in merger.merge(list(symbols))) == len(symbols)
 
 
 def test_ids_and_empty_table(documents):
