@@ -3,14 +3,19 @@
 Each source's token share p is raised to an exponent a; the normalised p^a are
 the weights. A bisection over a (wide sections, one small aggregation each)
 finds the exponent at which the entropy of the weights or the largest number of
-repetitions meets its target. A token budget times the weight is a source's
+repetitions meets its target. The entropy may be given in nats, or as a share of
+the way from that of the token shares (0) to that of equal weights (1), a target
+that binds whatever the sources are. A token budget times the weight is a source's
 quota: as many whole epochs as fit, and one part of an epoch, taken from the
 front of a keyed permutation of the source's documents. The permutation is cut
 into about sqrt(n) blocks, so that prefix sums go over blocks first and over
 documents only inside a block.
 
-Defined results: null source counts as ''; null text as empty, with 0 tokens;
-a document without tokens counts as 1 token, so that quotas always advance;
+Tokens are words of the text, or what a column of token counts says.
+
+Defined results: null source counts as ''; null text as empty, with 0 tokens, as
+does a null count; a document without tokens counts as 1 token, so that quotas
+always advance; a null identifier has a place in the permutation like any other;
 rows that repeat an identifier share its fate; an empty table gives an empty
 result; a source whose quota is below its first document gets no row copied.
 """
@@ -55,15 +60,18 @@ def _measures(shares: DataFrame, grid: list[float], budget_factor: float) -> lis
 
 
 def solve_exponent(shares: DataFrame, target: tuple[str, float], budget_factor: float = 1.0) -> float:
-    """The exponent in [0, 1] that meets ('entropy', nats) or ('max_repeats', r).
+    """The exponent in [0, 1] that meets ('entropy', nats), ('entropy_share', way from proportional to equal weights) or ('max_repeats', r).
 
-    Both measures fall as the exponent grows. The answer is the smallest
+    All measures fall as the exponent grows. The answer is the smallest
     exponent at which the measure is at most its target; 1 if none is, 0 if all
     are. Each round asks for SECTIONS exponents in one aggregation.
     """
     kind, want = target
-    if kind not in ("entropy", "max_repeats"):
+    if kind not in ("entropy", "entropy_share", "max_repeats"):
         raise ValueError(f"unknown target: {kind}")
+    if kind == "entropy_share":
+        (equal, _), (proportional, _) = _measures(shares, [0.0, 1.0], budget_factor)
+        want = proportional + want * (equal - proportional)
     low, high = 0.0, 1.0
     for at in range(ROUNDS):
         grid = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
@@ -131,22 +139,23 @@ def with_copies(docs: DataFrame, plan: DataFrame, seed: int = 0, id_col: str = "
     return joined.withColumn("mix_copies", F.col("mix_epochs") + part)
 
 
-def token_meta(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    n = F.greatest(word_count(text_of(docs, text_col)), F.lit(1).cast("bigint"))
+def token_meta(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", token_col: str | None = None) -> DataFrame:
+    tokens = word_count(text_of(docs, text_col)) if token_col is None else F.coalesce(docs[token_col].cast("bigint"), F.lit(0).cast("bigint"))
+    n = F.greatest(tokens, F.lit(1).cast("bigint"))
     return stage(docs.select(docs[id_col].cast("bigint").alias("doc_id"), source_key(docs, source_col).alias("source_key"), n.alias("n_tokens")), "tokens")
 
 
-def mix_counts(docs: DataFrame, target: tuple[str, float] = ("max_repeats", MAX_REPEATS), budget_factor: float = 1.0, seed: int = 0) -> DataFrame:
+def mix_counts(docs: DataFrame, target: tuple[str, float] = ("max_repeats", MAX_REPEATS), budget_factor: float = 1.0, seed: int = 0, token_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, n_tokens, weight (of its source, to six places), copies (0 if it is left out)."""
-    meta = token_meta(docs)
+    meta = token_meta(docs, token_col=token_col)
     plan = stage(plan_mix(meta, target, budget_factor, seed), "plan")
     out = with_copies(meta.withColumnRenamed("source_key", "source"), plan, seed)
     return out.select("doc_id", "source", "n_tokens", F.round("mix_weight", 6).alias("weight"), F.col("mix_copies").alias("copies"))
 
 
-def mix(docs: DataFrame, target: tuple[str, float] = ("max_repeats", MAX_REPEATS), budget_factor: float = 1.0, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, target: tuple[str, float] = ("max_repeats", MAX_REPEATS), budget_factor: float = 1.0, seed: int = 0, token_col: str | None = None) -> DataFrame:
     """The mixture: each row of docs as often as its copies say, with its own columns."""
-    meta = token_meta(docs)
+    meta = token_meta(docs, token_col=token_col)
     plan = stage(plan_mix(meta, target, budget_factor, seed), "plan")
     drop(meta)
     out = with_copies(docs, plan, seed).filter("mix_copies > 0")

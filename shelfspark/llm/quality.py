@@ -18,8 +18,8 @@ that happened n times is n - 2 sqrt(n), so that chance in a short text is not
 taken for a habit.
 
 Defined results: null text has no words, and fails the base rule; null lang or
-source are a group of their own; a group of any size has thresholds; repeated
-rows are judged alike; an empty table gives an empty result; clashing column
+source are a group of their own; a group of any size has thresholds, but a corpus
+of under LEAST documents beyond the base rule has none; repeated rows are judged alike; an empty table gives an empty result; clashing column
 names in the input are ignored, for only doc_id, text, lang and source are read.
 """
 
@@ -49,6 +49,8 @@ SIZES = ("mean_chars",)
 STEPS, COARSE = 256, 8
 #: Documents by which a larger group's distribution counts in a smaller one.
 PRIOR = 200
+#: Documents that a corpus needs for anything to stand apart from them.
+LEAST = 50
 #: Interquartile ranges over the third quartile, where no mode stands apart.
 RANGES = 8
 #: A mode: so much of a group, beyond a valley of at most an eighth of the lower peak's height; or anything, beyond an empty stretch of APART coarse steps.
@@ -172,7 +174,7 @@ def _thresholds(batches):
         rows = []
         for own, parent, everything in zip(*(batch.column(c) for c in ("own", "parent", "everything"))):
             levels = [_histograms(x.as_py()) for x in (own, parent, everything)]
-            rows.append([threshold(topped_up(a, topped_up(b, c))) for a, b, c in zip(*levels)])
+            rows.append([threshold(topped_up(a, topped_up(b, c))) if c.sum() >= LEAST else float("inf") for a, b, c in zip(*levels)])
         yield pa.RecordBatch.from_arrays(
             [batch.column("lang"), batch.column("source"), *[pa.array([r[i] for r in rows], pa.float64()) for i in range(len(MEASURES))]],
             names=["fence_lang", "fence_source", *[f"fence_{m}" for m in MEASURES]],

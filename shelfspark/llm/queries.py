@@ -12,6 +12,10 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Half the way from the sources' own shares to equal weights.
+MIX_TARGET = ("entropy_share", 0.5)
+
+
 def byte_pattern() -> str:
     return public_tokenizers.PATTERN
 
@@ -53,7 +57,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_counts(read(spark, sf_dir, "documents"))
+    return mixing.mix_counts(read(spark, sf_dir, "documents"), MIX_TARGET)
 
 
 QUERIES = {
@@ -83,13 +87,16 @@ WITH RECURSIVE
 d AS (SELECT doc_id, coalesce(source, '') AS s, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) AS n,
              CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT) AS u FROM documents),
 sh AS (SELECT s, sum(n) AS tok, sum(n) / sum(sum(n)) OVER () AS p, sum(sum(n)) OVER () AS total FROM d GROUP BY s),
-ps AS (SELECT list(p) AS ps FROM sh),
+ps AS (SELECT list(p) AS ps, ln(len(list(p))) AS equal, -list_sum(list_transform(list(p), lambda x: x * ln(x))) AS own FROM sh),
 bis(i, lo, hi) AS (
   SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
   UNION ALL
-  SELECT i + 1, CASE WHEN m <= 4 THEN lo ELSE mid END, CASE WHEN m <= 4 THEN mid ELSE hi END
-  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, list_max(list_transform(ps, lambda x: pow(x, (lo + hi) / 2 - 1))) / list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))) AS m FROM bis, ps WHERE i < 60)),
-e AS (SELECT CASE WHEN list_max(list_transform(ps, lambda x: pow(x, -1.0))) / len(ps) <= 4 THEN 0.0 ELSE hi END AS a FROM bis, ps WHERE i = 60),
+  SELECT i + 1, CASE WHEN h <= want THEN lo ELSE mid END, CASE WHEN h <= want THEN mid ELSE hi END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, own + 0.5 * (equal - own) AS want,
+               ln(list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))))
+               - (lo + hi) / 2 * list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2) * ln(x))) / list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))) AS h
+        FROM bis, ps WHERE i < 60)),
+e AS (SELECT hi AS a FROM bis WHERE i = 60),
 w AS (SELECT s, tok, total, pow(p, a) / sum(pow(p, a)) OVER () AS weight FROM sh, e),
 q AS (SELECT *, floor(weight * total / tok + 1e-6) AS epochs FROM w),
 r AS (SELECT d.doc_id, d.s AS source, CAST(d.n AS BIGINT) AS n_tokens, round(q.weight, 6) AS weight, epochs, greatest(0.0, weight * total - epochs * tok) AS rest,

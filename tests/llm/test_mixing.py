@@ -21,10 +21,12 @@ def solve(shares, target, factor):
 
     def measure(a):
         z = sum(p**a for p in shares)
-        if kind == "entropy":
+        if kind != "max_repeats":
             return -sum(p**a / z * math.log(p**a / z) for p in shares)
         return max(factor * p ** (a - 1) / z for p in shares)
 
+    if kind == "entropy_share":
+        want = measure(1) + want * (measure(0) - measure(1))
     if measure(0) <= want:
         return 0.0
     if measure(1) > want:
@@ -71,7 +73,7 @@ def rows_of(sizes, words=10):
     return rows
 
 
-@pytest.mark.parametrize("target,factor", [(("max_repeats", 4.0), 1.0), (("max_repeats", 1.5), 1.0), (("entropy", 1.0), 1.0), (("entropy", 0.2), 0.5), (("max_repeats", 3.0), 2.0)])
+@pytest.mark.parametrize("target,factor", [(("max_repeats", 4.0), 1.0), (("max_repeats", 1.5), 1.0), (("entropy", 1.0), 1.0), (("entropy", 0.2), 0.5), (("entropy_share", 0.5), 1.0), (("entropy_share", 0.9), 0.7), (("max_repeats", 3.0), 2.0)])
 def test_against_brute_force(documents, target, factor):
     rows = rows_of({"big": 150, "middle": 40, "small": 12, "tiny": 3})
     got = {r.doc_id: (r.copies, r.weight) for r in mixing.mix_counts(documents(rows), target, factor).collect()}
@@ -114,3 +116,25 @@ def test_edges(documents):
 def test_one_source(documents):
     got = mixing.mix_counts(documents(rows_of({"only": 30}))).collect()
     assert {r.copies for r in got} == {1}
+
+
+def test_the_registered_target_binds(spark, sf_dir):
+    """On the driver's documents the exponent lies inside the interval, and sources get neither their own nor equal weights."""
+    from shelfspark.llm.queries import MIX_TARGET
+
+    meta = mixing.token_meta(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plan = mixing.plan_mix(meta, MIX_TARGET).collect()
+    assert 0.05 < plan[0].exponent < 0.95
+    entropy = lambda w: -sum(x * math.log(x) for x in w)
+    own, got = entropy([r.share for r in plan]), entropy([r.weight for r in plan])
+    assert abs(got - (own + math.log(len(plan))) / 2) < 1e-6
+
+
+def test_tokens_from_a_column_and_long_texts(documents):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * 5, "en", "a" if i % 3 else "b") for i in range(30)]
+    df = documents(rows).withColumn("tokens", F.when(F.col("doc_id") != 4, F.col("doc_id") * 2))
+    got = {r.doc_id: r.n_tokens for r in mixing.mix_counts(df, token_col="tokens").collect()}
+    assert got == {i: max(1, 0 if i == 4 else 2 * i) for i in range(30)}
+    assert mixing.mix_counts(documents([(1, "w " * 500_000), (2, "w")])).agg({"n_tokens": "max"}).first()[0] == 500_000

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from shelfspark.llm import bpe, jaccard, line_dedup, mixing, quality
 from shelfspark.llm.common import stage
-from shelfspark.llm.queries import ORACLE, QUERIES, WORD_BPE
+from shelfspark.llm.queries import MIX_TARGET, ORACLE, QUERIES, WORD_BPE
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,7 @@ def test_each_stage_against_its_operator(staged):
     assert {r.doc_id: r.text for r in lines.collect()} == {i: t for i, t in clean.items() if t.strip()}
     found = jaccard.near_classes(lines, 5, 80)
     assert ids(near) == ids(found.filter("doc_id = component_id"))
-    copies = {r.doc_id: r.copies for r in mixing.mix_counts(near).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix_counts(near, MIX_TARGET).collect()}
     assert ids(mixed) == sorted(i for i, n in copies.items() for _ in range(n))
     model = bpe.load(WORD_BPE)
     texts = {r.doc_id: r.text for r in mixed.collect()}
@@ -52,6 +52,32 @@ def test_empty_table(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_edge_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and identifiers, ties, and columns of names that the operators use."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n)) + "."
+    long, twice, tie = prose(60_000), prose(80), prose(90)
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, long, "en", "a"), (4, twice, "en", "b"), (4, twice, "en", "b"), (None, prose(70), None, "b"), (7, tie, "de", None), (8, tie, "de", None)]
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df = df.withColumns({c: F.lit(1) for c in ("id", "n", "token", "kept", "label", "templates", "mix_copies", "quality_text")})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [spark.read.parquet(str(tmp_path / "documents.parquet"))]
+    for name, function in corpus_pipeline.STAGES:
+        got.append(stage(function(spark, got[-1], str(tmp_path)), name))
+    ids = [sorted((r.doc_id for r in x.collect()), key=repr) for x in got]
+    assert all(x.columns == got[0].columns for x in got[1:5])
+    assert ids[1] == ids[2] == [3, 4, 4, 7, 8, None] and ids[3] == [3, 4, 4, 7, None]
+    assert {r.text for r in got[3].filter("doc_id = 3").collect()} == {long}
+    model = bpe.load(WORD_BPE)
+    assert set(ids[4]) <= set(ids[3]) and sorted(ids[5], key=repr) == ids[4]
+    assert all(r.n_tokens == bpe.encode_text(model, long)[0] for r in got[5].filter("doc_id = 3").collect())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[5])
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
 
