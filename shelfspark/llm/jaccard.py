@@ -5,12 +5,17 @@ link when 100 * |intersection| >= percent * |union|. The result is one class
 per document (the smallest identifier that links reach) and never the pairs of
 a class.
 
-1. Documents of the same word sequence fall into one representative.
-2. Shingle frequencies over all documents: tasks deal shingles of a chunk of
+1. Shingle frequencies over all documents: tasks deal shingles of a chunk of
    documents out to buckets as packed arrays; a bucket counts its shingles and
    answers each chunk with those that occur more than once. A shingle of many
    documents of a chunk goes out once, with their number, so that a bucket's
    size follows the chunks and not the documents of its commonest shingle.
+   Chunks and buckets hold a million shingles each, and beyond 15 billion
+   shingles (some 100 GB of text) as many as the root of 64 times their number,
+   so that a packed array keeps 64 shingles on average: 32 million at 100 TB.
+2. Documents of the same word sequence (by a digest of it) fall into one
+   representative. Copies were counted, which moves all of their shingles back
+   in the order and finds no fewer links.
 3. Prefixes: shingles are ordered by rising frequency. With o = ceil(percent *
    n / 100) the first n - o + l shingles of a document share at least l with
    the like prefix of any document it links to. Each document picks its own l
@@ -23,9 +28,11 @@ a class.
    rounds: first each document with its smallest candidate, then, after links
    are closed, the pairs whose classes still differ.
 5. Entries with more documents whose classes still differ, or chains of such
-   entries where that costs less, are dealt out by blocks of documents; each
-   pair of blocks is one task group, which verifies by a matrix product what no
-   class joins yet.
+   entries where that costs less, are dealt out by blocks of documents of about
+   the same set size, as only those can link; each pair of blocks is one task
+   group, which verifies by a matrix product what no class joins yet. A block
+   holds BLOCK documents at most, and fewer where sets are large, so that it has
+   BLOCK_SHINGLES shingles at most (or one document).
 6. Classes: smallest labels along links, with pointer jumping.
 
 Defined results: null text, or text without words, has an empty set, links with
@@ -37,6 +44,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,9 +56,9 @@ from pyspark.sql import functions as F
 from .common import bit_filter, drop, passes, stage
 from .textops import shingles
 
-#: Shingles of a chunk, and mean shingles of a bucket.
+#: Shingles of a chunk, and mean shingles of a bucket, at least; and mean shingles of a chunk in a bucket, at least.
 CHUNK = 1_000_000
-BUCKET = 1_000_000
+PACKED = 64
 #: Documents of a chunk that make a shingle common in it.
 COMMON = 8
 _MANY = 65_535
@@ -61,7 +70,9 @@ BYTES_A_WORD = 6
 #: Cost of verifying one candidate, in entries scanned.
 VERIFY_COST = 8.0
 FEW = 8
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+#: Entries of a token that meet its statistics in one task, about.
+SALTED = 256
 _NONE = -(1 << 63)
 
 
@@ -78,7 +89,7 @@ def _expanded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(sizes.as_buffer(), np.int64)), pa.array(each, pa.binary())], names=["id", "n", "signature"])
 
 
-def _dealt(width: int, bits: int):
+def _dealt(width: int, bits: int, chunk: int = CHUNK):
     """Chunks of documents: for each bucket a part of its shingles' bits, with document numbers; under a negative number of its own the chunk's head: identifiers, set sizes and digests of the word sequences."""
 
     def run(batches):
@@ -133,7 +144,7 @@ def _dealt(width: int, bits: int):
                 sets.append(s)
                 signatures.append(xxhash.xxh3_128_digest(b" ".join(data.split())))
                 held += len(s)
-                if held >= CHUNK or len(ids) >= 65_000:
+                if held >= chunk or len(ids) >= 65_000:
                     yield flush()
         if ids:
             yield flush()
@@ -183,7 +194,7 @@ def _prefixes(percent: int):
         side = pdf[pdf["bucket"] <= _SIDE].iloc[0]
         ids, sizes = np.frombuffer(head["tokens"], np.int64), np.frombuffer(head["owners"], np.int64)
         rest = pdf[pdf["bucket"] >= 0]
-        columns = ([], [], [], [])
+        columns = ([], [], [], [], [])
         if len(rest):
             tokens = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(rest["bucket"], rest["tokens"])])
             owners = np.concatenate([np.frombuffer(x, np.uint16) for x in rest["owners"]])
@@ -216,7 +227,8 @@ def _prefixes(percent: int):
                 columns[1].append(np.full(reach, ids[k]))
                 columns[2].append(np.full(reach, n))
                 columns[3].append(np.full(reach, matches))
-        return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in zip(("token", "id", "n", "matches"), columns)})
+                columns[4].append(times[a : a + reach].astype(np.int64))
+        return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in zip(("token", "id", "n", "matches", "times"), columns)})
 
     return run
 
@@ -280,7 +292,7 @@ def _block_group(percent: int):
         pdf = pdf.drop_duplicates(["id"])
         if pdf["label"].nunique() < 2:
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        side = (pdf["own"] != pdf["low"]).to_numpy().astype(int)
+        side = pdf["upper"].to_numpy().astype(int)
         found = block_links(pdf["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["tokens"]], pdf["label"].to_numpy(), side, percent)
         return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
@@ -321,21 +333,26 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NONE)).alias("id"), docs[text_col].cast("string").alias("text"))
     # Bucket numbers follow the number of shingles, as the bytes of text tell it.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, min(28, (size // BYTES_A_WORD // BUCKET).bit_length()))
+    each = max(CHUNK, int((PACKED * (size // BYTES_A_WORD)) ** 0.5))
+    bits = max(6, min(28, (size // BYTES_A_WORD // each).bit_length()))
     schema = "bucket bigint, chunk bigint, tokens binary, owners binary, times binary"
-    dealt = rows.mapInArrow(_dealt(width, bits), schema)
+    dealt = rows.mapInArrow(_dealt(width, bits, each), schema)
     answers = stage(dealt.groupBy("bucket").applyInPandas(_count_bucket, "chunk bigint, bucket bigint, tokens binary, owners binary, times binary"), "answers")
     _settle(spark)
     profiles = stage(answers.filter((F.col("bucket") < 0) & (F.col("bucket") > _SIDE)).mapInArrow(_expanded, "id bigint, n bigint, signature binary"), "profiles")
     firsts = stage(profiles.filter("n > 0").groupBy("signature").agg(F.min("id").alias("first")), "firsts")
     # Copies were counted, which only moves their shingles back in the order; their entries go here.
     copies = profiles.join(firsts, "signature").filter("id != first").select("id")
-    entries = stage(answers.groupBy("chunk").applyInPandas(_prefixes(percent), "token bigint, id bigint, n bigint, matches bigint").join(copies, "id", "left_anti"), "entries")
+    entries = stage(answers.groupBy("chunk").applyInPandas(_prefixes(percent), "token bigint, id bigint, n bigint, matches bigint, times bigint").join(copies, "id", "left_anti"), "entries")
     drop(answers)
     _settle(spark)
 
-    stats = stage(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).filter("m > 1"), "stats")
-    sized = stage(entries.join(stats, "token"), "sized")
+    # An entry knows how often its token occurs at most, and so over how many salts its entries are dealt.
+    salts = F.floor(F.col("times") / SALTED).cast("int") + 1
+    stats = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub"), F.first(salts).alias("salts")).filter("m > 1")
+    stats = stage(stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), "stats")
+    salted = entries.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("times")
+    sized = stage(salted.join(stats, ["token", "salt"]), "sized")
     drop(entries, stats)
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     few = sized.filter(F.col("m") <= FEW)
@@ -386,26 +403,41 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     # Entries of many documents, where more than one class is left: pairs of blocks. Entries that chain the same
     # documents together are dealt as one group where that means fewer comparisons.
     many = with_labels(sized.filter(F.col("m") > FEW), "id")
-    mixed = many.groupBy("token").agg(F.min("label_id").alias("low_label"), F.max("label_id").alias("high_label")).filter("low_label != high_label").select("token")
-    left_over = stage(many.join(mixed, "token", "left_semi").select("token", "id", "m", "hub", F.col("label_id").alias("label")), "open")
+    mixed = many.groupBy("token").agg(F.min("label_id").alias("low_label"), F.max("label_id").alias("high_label"), F.max("salt").alias("last")).filter("low_label != high_label")
+    # The salts of a token go on from 0 to the last that it has; those between that hold nothing do no harm.
+    mixed = mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("salt"))
+    left_over = stage(many.join(mixed, ["token", "salt"], "left_semi").select("token", "salt", "id", "n", "m", "hub", F.col("label_id").alias("label")), "open")
     chained = classes(left_over.select(F.col("hub").alias("a"), F.col("id").alias("b"))).select("id", F.col("label").alias("chain"))
-    each = left_over.select("id", "label").distinct().join(chained, "id")
-    alone = left_over.groupBy("token").agg(F.max("m").alias("m"), F.min("hub").alias("id")).join(chained, "id")
+    each = left_over.select("id", "n", "label").distinct().join(chained, "id")
+    alone = left_over.groupBy("token").agg(F.max("m").alias("m"), F.min("hub").alias("id"), F.max("salt").alias("last")).join(chained, "id")
     costs = alone.groupBy("chain").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
-    chains = stage(each.groupBy("chain").agg(F.count(F.lit(1)).alias("size")).join(costs, "chain").filter(F.col("size") * F.col("size") <= F.col("cost")).select("chain", "size"), "chains")
-    as_chain = each.join(chains, "chain").select(F.lit(True).alias("whole"), F.col("chain").alias("unit"), "size", "id", "label")
-    by_entry = left_over.join(alone.select("token", "chain"), "token").join(chains, "chain", "left_anti").select(F.lit(False).alias("whole"), F.col("token").alias("unit"), F.col("m").alias("size"), "id", "label")
+    sizes = each.groupBy("chain").agg(F.count(F.lit(1)).alias("size"))
+    chains = stage(sizes.join(costs, "chain").withColumn("whole", F.col("size") * F.col("size") <= F.col("cost")).select("chain", "whole"), "chains")
+    as_chain = each.join(chains.filter("whole"), "chain").select("whole", F.col("chain").alias("unit"), "id", "n", "label")
+    split = alone.join(chains.filter("not whole"), "chain").select("token", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("salt"))
+    by_entry = left_over.join(split, ["token", "salt"]).select(F.lit(False).alias("whole"), F.col("token").alias("unit"), "id", "n", "label")
+    # Classes of set size, each wider than a link can span: documents link within a class or to the next one.
+    ratio = max(0.01, math.log(100 / percent) + 1e-9)
+    units = stage(as_chain.unionByName(by_entry).withColumn("band", F.floor(F.log("n") / ratio).cast("int")), "units")
+    room = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK_SHINGLES)) / F.exp((F.col("band") + 1) * ratio)))
+    bands = units.groupBy("whole", "unit", "band").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / room).cast("int"))
+    above = bands.select("whole", "unit", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = bands.select("whole", "unit", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    key = ["whole", "unit", "band"]
+    bands = stage(bands.join(above, key, "left").join(below, key, "left").fillna(0, ["above", "below"]), "bands")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = lambda count, step: F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda k: F.struct((F.col("band") + step).alias("band"), k.alias("block")))
+    some = lambda count, step: F.when(F.col(count) > 0, others(count, step)).otherwise(F.array().cast("array<struct<band:int,block:int>>"))
     dealt_blocks = (
-        as_chain.unionByName(by_entry)
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("whole", "unit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "label")
+        units.join(bands, key)
+        .withColumn("own", F.struct("band", own.alias("block")))
+        .withColumn("other", F.explode(F.concat(some("below", -1), some("blocks", 0), some("above", 1))))
+        .select("whole", "unit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("upper"), "id", "label")
     )
     block_rows = dealt_blocks.join(sets, "id")
     found = block_rows.groupBy("whole", "unit", "low", "high").applyInPandas(_block_group(percent), "a bigint, b bigint")
     links = stage(links.unionByName(found.distinct()), "links")
-    drop(sized, sets, left_over, chains)
+    drop(sized, sets, left_over, chains, units, bands)
     old, labels = labels, classes(links)
     drop(old, links)
     _settle(spark)

@@ -64,6 +64,23 @@ def test_large_group_of_near_copies(documents, width, percent, monkeypatch):
     assert result(jaccard.near_classes(documents(rows), width, percent)) == brute(rows, width, percent)
 
 
+def test_blocks_of_many_sizes_and_salted_tokens(documents, monkeypatch):
+    """Near copies cut to many lengths share tokens; small blocks of a few shingles, and one entry a salt."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(jaccard, "SALTED", 8)
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(160)]
+    rows = []
+    for i in range(400):
+        w = base[: rng.randint(20, 160)]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"q{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    assert result(jaccard.near_classes(documents(rows), 4, 85)) == brute(rows, 4, 85)
+
+
 def test_sample(documents, sample):
     rows = [r[:2] for r in sample]
     assert result(jaccard.near_classes(documents(rows), 4, 85)) == brute(rows, 4, 85)
