@@ -12,9 +12,12 @@ further. In the others, masked lines whose tokens agree in ALIKE of their
 places merge into one template, whose differing places become `<*>`. They meet in
 cells of a leaf, by the token at a place that changes from round to round
 (PLACES); the last round's cell is what is left of the leaf, so that any two
-templates of a leaf meet. A cell is merged as a whole, whatever its size: alike
-templates agree in one of a few blocks of places, and an index of the blocks finds
-every group that a template can join. A template that occurs in MIN_DOCS different
+templates of a leaf meet. A cell is merged as a whole: alike templates agree in one
+of a few blocks of places, and an index of the blocks finds every group that a
+template can join. Cells of more than MOST templates are not gathered. Leaves that
+stay so large are cut into cells by all tokens of one block of places, block after
+block; alike templates agree wholly in one of the blocks, so they meet in one of
+these rounds, and a cell holds only what agrees in a block. A template that occurs in MIN_DOCS different
 texts recurs: its lines are dropped from every document but the one with the
 smallest identifier.
 
@@ -47,6 +50,8 @@ LEADING = 3
 ALIKE = 0.8
 #: Templates that a task gets on average (a larger cell travels whole); and by round the place whose token picks the cell, (a, b, c) for a * n // b + c of n tokens. The first token is the leaf's own.
 CELL = 512
+#: Templates of a cell that one task merges at most, but where a whole block of places agrees.
+MOST = 200_000
 #: Groups of a cell that are compared one and all; for more an index picks them.
 SCAN = 256
 PLACES = ((1, 2, 0), (3, 4, 0), (0, 1, LEADING), (1, 1, -2), (0, 1, 0))
@@ -139,27 +144,57 @@ def recurring(rows: DataFrame) -> DataFrame:
 def merge_templates(templates: DataFrame) -> DataFrame:
     """templates: leaf, template, spelled, n. The group of each template: template, grp."""
     whole = stage(templates, "templates")
-    several = whole.groupBy("leaf").agg(F.count(F.lit(1)).alias("here")).filter("here > 1")
-    current = whole.join(several, "leaf").drop("here")
-    groups = whole.join(several, "leaf", "left_anti").select("template", F.col("template").alias("grp"))
-    placed = None
-    for a, b, c in PLACES:
-        tokens = F.split(F.col("spelled").cast("string"), " ")
-        place = (F.floor(F.size(tokens) * a / b) + c).cast("int")
-        celled = current.withColumn("cell", F.xxhash64("leaf", F.get(tokens, place)))
-        sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-        sized = stage(celled.join(sizes, "cell"), "celled")
-        # Templates alone in their cell stay as they are; the others travel in buckets of several cells.
-        buckets = sized.filter("size > 1").count() // CELL + 1
-        together = sized.filter("size > 1").withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
+    # Counts are staged, so that a join with them lies between two scans and Spark can split a hot leaf or cell.
+    several = stage(whole.groupBy("leaf").agg(F.count(F.lit(1)).alias("here")).filter("here > 1").select("leaf"), "several")
+    alone = whole.join(several, "leaf", "left_anti").select("template", F.col("template").alias("grp"))
+    current, placed = whole.join(several, "leaf"), None
+    tokens = F.split(F.col("spelled").cast("string"), " ")
+
+    def merge(rows: DataFrame, cell, bounded: bool) -> DataFrame:
+        """rows with grp added, and merged groups' spelling and count; of each cell that has several, and MOST at most if that is asked for."""
+        celled = stage(rows.withColumn("cell", cell), "celled")
+        sizes = stage(celled.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size").between(2, MOST) if bounded else F.col("size") > 1), "sizes")
+        # The templates travel in buckets of several cells; those alone in their cell, or in one too large, stay as they are.
+        buckets = (sizes.agg(F.sum("size")).first()[0] or 0) // CELL + 1
+        together = celled.join(sizes, "cell").withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
         merged = together.select("bucket", "cell", "leaf", "template", "spelled", "n").groupBy("bucket").applyInPandas(_merge_bucket, "leaf bigint, template bigint, grp bigint, spelled binary, n bigint")
-        alone = sized.filter("size = 1").select("leaf", "template", F.col("template").alias("grp"), "spelled", "n")
-        merged = stage(merged.unionByName(alone), "merged")
-        drop(sized)
+        others = celled.join(sizes, "cell", "left_anti").select("leaf", "template", F.col("template").alias("grp"), "spelled", "n")
+        out = stage(merged.unionByName(others), "merged")
+        drop(celled, sizes)
+        return out
+
+    def followed(merged: DataFrame) -> None:
+        nonlocal placed
         step = merged.select(F.col("template").alias("was"), F.col("grp").alias("now"))
-        placed = step.withColumnsRenamed({"was": "template", "now": "grp"}) if placed is None else placed.join(step, F.col("grp") == F.col("was")).select("template", F.col("now").alias("grp"))
+        placed = step.withColumnsRenamed({"was": "template", "now": "grp"}) if placed is None else placed.join(step, F.col("grp") == F.col("was"), "left").select("template", F.coalesce("now", "grp").alias("grp"))
+
+    for a, b, c in PLACES:
+        place = (F.floor(F.size(tokens) * a / b) + c).cast("int")
+        merged = merge(current, F.xxhash64("leaf", F.get(tokens, place)), True)
+        followed(merged)
         current = merged.filter("template = grp").drop("grp")
-    return groups.unionByName(placed)
+    large = stage(current.groupBy("leaf").agg(F.count(F.lit(1)).alias("here"), F.max(F.size(tokens)).alias("width")).filter(F.col("here") > MOST), "large")
+    widest = large.agg(F.max("width")).first()[0]
+    if widest is not None:
+        current = current.join(large.select("leaf"), "leaf")
+        for k in range(_spare(widest) + 1):
+            # Places between those that make the leaf, dealt to the blocks in turn.
+            blocks = _spare_of(F.size(tokens)) + 1
+            block = F.filter(tokens, lambda x, i: (i >= LEADING) & (i < F.size(tokens) - 1) & (F.pmod(i - LEADING, blocks) == k % blocks))
+            merged = merge(current, F.xxhash64("leaf", F.lit(k), F.array_join(block, " ")), False)
+            followed(merged)
+            current = merged.filter("template = grp").drop("grp")
+    return alone.unionByName(placed)
+
+
+def _spare(width: int) -> int:
+    """Places in which two alike templates of `width` tokens may differ."""
+    return width - next(k for k in range(width + 1) if k / width >= ALIKE)
+
+
+def _spare_of(width):
+    """The same for a column."""
+    return width - F.ceil(width * F.lit(ALIKE) - 1e-9).cast("int")
 
 
 def _merge_bucket(pdf):
@@ -187,7 +222,7 @@ def merge_cell(rows: list[tuple[int, bytes, int]], scan: int = SCAN) -> list[tup
     varying = np.flatnonzero((codes != codes[0]).any(0))
     codes = np.ascontiguousarray(codes[:, varying])
     # Of the places that differ at all in this cell, so many have to agree.
-    need = next(k for k in range(width + 1) if k / width >= ALIKE) - (width - len(varying))
+    need = width - _spare(width) - (width - len(varying))
     blocks = _blocks(codes, len(varying) - need + 1) if need > 0 and len(rows) > scan else []
     index: dict[tuple[int, bytes], list[int]] = {}
 
@@ -249,7 +284,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, n_lines, n_dropped, clean (the text without the dropped lines), n_dropped 0 where nothing recurs."""
     rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NONE)).alias("id"), docs[text_col].cast("string").alias("text"))
     drops = recurring(rows)
-    by_doc = drops.groupBy("id").agg(F.collect_set("template").alias("templates"))
+    # Staged, so that the join with the texts lies between two scans: rows of one identifier, or of none, can be split.
+    by_doc = stage(drops.groupBy("id").agg(F.collect_set("template").alias("templates")), "by_doc")
+    drop(drops)
     joined = rows.join(by_doc, "id", "left")
     return joined.select("id", "text", "templates").mapInArrow(_clean, "id bigint, n_lines bigint, n_dropped bigint, clean string")
 
@@ -285,7 +322,9 @@ def line_filter(docs: DataFrame) -> DataFrame:
     at = {c: names[i] for i, c in reversed(list(enumerate(docs.columns)))}
     plain = docs.toDF(*names)
     rows = plain.withColumn("id", F.coalesce(F.col(at["doc_id"]).cast("bigint"), F.lit(_NONE)))
-    by_doc = recurring(rows.select("id", F.col(at["text"]).cast("string").alias("text"))).groupBy("id").agg(F.collect_set("template").alias("templates"))
+    drops = recurring(rows.select("id", F.col(at["text"]).cast("string").alias("text")))
+    by_doc = stage(drops.groupBy("id").agg(F.collect_set("template").alias("templates")), "by_doc")
+    drop(drops)
     joined = rows.join(by_doc, "id", "left")
     text = at["text"]
     fields = [(n, t) for n, t in plain.dtypes]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pytest
 from shelfspark.llm import line_dedup as ld
 
 
@@ -131,6 +132,26 @@ def test_alike_templates_meet_in_a_hot_leaf(documents):
     assert sum(r.n_dropped for r in got) == 2 * groups
 
 
+@pytest.mark.parametrize("most,templates", [(200_000, 1500), (100, 1500), (100, 4000)])
+def test_recall_in_one_leaf_of_any_size(documents, monkeypatch, most, templates):
+    """Four documents for each template, one free word each: three of four lines go, as in a merge over the whole leaf, also where a leaf is too large to gather."""
+    monkeypatch.setattr(ld, "MOST", most)
+    word = lambda *x: "w" + "".join(chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in x)
+    rows = []
+    for t in range(templates):
+        for k in range(4):
+            w = ["a", "b", "c", word(t, 1), word(t, 2), "f", word(t, 3), word(t, 4), word(t, 5), word(t, 6), "z"]
+            w[3 + t % 7] = word(t, 9, k)
+            rows.append((len(rows), " ".join(w)))
+    got = ld.line_counts(documents(rows)).collect()
+    assert sum(r.n_dropped for r in got) == 3 * templates
+
+
+def test_differences_that_alike_lines_may_have():
+    for width in range(1, 60):
+        assert ld._spare(width) == sum(k / width < 1 and (width - j) / width >= ld.ALIKE for k, j in [(0, j) for j in range(1, width + 1)])
+
+
 def test_index_finds_what_a_scan_finds():
     import random
 
