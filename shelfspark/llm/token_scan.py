@@ -35,8 +35,6 @@ from .common import new_path, stage, tokenizer_file
 END_OF_DOCUMENT = 0xC480
 BLOCK_TOKENS = 1 << 16
 HEADER, HEADER_BASE = 5, 40_000
-#: Documents are tokenised in pieces of so many code points, cut before a blank.
-PIECE = 1 << 16
 
 
 def header_of(doc_id: int) -> list[int]:
@@ -48,12 +46,13 @@ def header_of(doc_id: int) -> list[int]:
     return out
 
 
-def id_of(header) -> int | None:
-    value = 0
-    for digit in reversed([int(x) for x in header]):
-        value = value * HEADER_BASE + digit
-    value -= 1 << 63
-    return value if value > -(1 << 63) else None
+def ids_of(headers: np.ndarray) -> list[int | None]:
+    """The identifiers that rows of five ids spell."""
+    value = np.zeros(len(headers), np.uint64)
+    for digit in range(HEADER - 1, -1, -1):
+        value = value * np.uint64(HEADER_BASE) + headers[:, digit].astype(np.uint64)
+    out = (value ^ np.uint64(1 << 63)).view(np.int64).tolist()
+    return [x if x > -(1 << 63) else None for x in out]
 
 
 _encoders: dict = {}
@@ -107,13 +106,13 @@ def scan_blocks(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, dtyp
                 for k, at in enumerate(range(0, len(flat), block_tokens)):
                     block = flat[at : at + block_tokens]
                     found = scan_block(block, end)
-                    begins = found + 1 + at if at or not header else np.concatenate(([-1], found)) + 1 + at
-                    heads = []
+                    heads: list = []
                     if header:
+                        begins = np.concatenate(([-1], found)) + 1 if k == 0 else found + 1
                         padded = np.concatenate((flat[at : at + block_tokens + header].astype(np.int32), np.full(header, -1, np.int32)))
-                        for b in begins - at:
-                            own = padded[b : b + header]
-                            heads.append(id_of(own) if len(own) == header and (own >= 0).all() and (own != end).all() else None)
+                        own = padded[begins[:, None] + np.arange(header)]
+                        whole = ((own >= 0) & (own != end)).all(1)
+                        heads = [x if ok else None for x, ok in zip(ids_of(np.where(whole[:, None], own, 0)), whole.tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name]), pa.array([k], pa.int64()), pa.array([len(block)], pa.int64()), pa.array([found.tolist()], pa.list_(pa.int64())), pa.array([heads], pa.list_(pa.int64()))],
                         names=["file", "block", "n", "separators", "heads"],
@@ -124,25 +123,23 @@ def scan_blocks(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, dtyp
 
 
 def stitch(blocks: DataFrame) -> DataFrame:
-    """file, doc_index, start, n_ids of every document, by a prefix scan over each file's blocks."""
+    """file, doc_index, start, n_ids, doc_id of every document, by a prefix scan over each file's blocks. doc_id comes from the ids that follow a file's begin and each separator, null without."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("separators") > 0, F.element_at("separators", -1))
-    placed = (
-        blocks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("first_doc", F.coalesce(F.sum(F.size("separators")).over(before), F.lit(0)))
-        .withColumn("last", F.col("base") + last)
+    # In a struct, so that a null identifier is told from none.
+    last_head = F.when(F.size("heads") > 0, F.struct(F.element_at("heads", -1).alias("id")))
+    placed = blocks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumns(
+        {
+            "first_doc": F.coalesce(F.sum(F.size("separators")).over(before), F.lit(0)),
+            "open_from": F.coalesce(F.last(F.col("base") + last, ignorenulls=True).over(before), F.lit(-1).cast("bigint")) + 1,
+            "open_head": F.last(last_head, ignorenulls=True).over(before),
+        }
     )
-    placed = placed.withColumn("open_from", F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(-1).cast("bigint")) + 1)
-    ends = placed.select("file", "block", "base", "first_doc", "open_from", F.col("separators"), F.posexplode("separators").alias("k", "at"))
+    ends = placed.select("file", "block", "base", "first_doc", "open_from", "open_head", "separators", "heads", F.posexplode("separators").alias("k", "at"))
     start = F.when(F.col("k") == 0, F.col("open_from")).otherwise(F.col("base") + F.get("separators", F.col("k") - 1) + 1)
-    return ends.select("file", (F.col("first_doc") + F.col("k")).alias("doc_index"), start.alias("start"), (F.col("base") + F.col("at") - start).alias("n_ids"))
-
-
-def identifiers(blocks: DataFrame) -> DataFrame:
-    """file, doc_index, doc_id, from the ids that follow a file's begin and each separator."""
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = blocks.withColumn("first_head", F.coalesce(F.sum(F.size("heads")).over(before), F.lit(0)))
-    return heads.select("file", "first_head", F.posexplode("heads").alias("k", "doc_id")).select("file", (F.col("first_head") + F.col("k")).alias("doc_index"), "doc_id")
+    own = F.get("heads", F.when(F.col("block") == 0, F.col("k")).otherwise(F.col("k") - 1))
+    doc_id = F.when((F.col("k") == 0) & (F.col("block") > 0), F.col("open_head.id")).otherwise(own)
+    return ends.select("file", (F.col("first_doc") + F.col("k")).alias("doc_index"), start.alias("start"), (F.col("base") + F.col("at") - start).alias("n_ids"), doc_id.alias("doc_id"))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
@@ -150,6 +147,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFram
     spark = docs.sparkSession
     path = write_token_files(docs, tokenizer_path, pattern)
     blocks = stage(scan_blocks(spark, path, header=HEADER), "blocks")
-    joined = stitch(blocks).join(identifiers(blocks), ["file", "doc_index"])
     n = F.greatest(F.col("n_ids") - HEADER, F.lit(0))
-    return joined.select("doc_id", n.alias("n_tokens"), F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "doc_index", "start")
+    return stitch(blocks).select("doc_id", n.alias("n_tokens"), F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "doc_index", "start")
