@@ -284,10 +284,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, n_lines, n_dropped, clean (the text without the dropped lines), n_dropped 0 where nothing recurs."""
     rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NONE)).alias("id"), docs[text_col].cast("string").alias("text"))
     drops = recurring(rows)
-    # Staged, so that the join with the texts lies between two scans: rows of one identifier, or of none, can be split.
+    # Staged, so that the join with the texts lies between two scans: rows of one identifier, or of none, can be split. Templates by document grow with the input and are not broadcast.
     by_doc = stage(drops.groupBy("id").agg(F.collect_set("template").alias("templates")), "by_doc")
     drop(drops)
-    joined = rows.join(by_doc, "id", "left")
+    joined = rows.join(by_doc.hint("merge"), "id", "left")
     return joined.select("id", "text", "templates").mapInArrow(_clean, "id bigint, n_lines bigint, n_dropped bigint, clean string")
 
 
@@ -325,7 +325,7 @@ def line_filter(docs: DataFrame) -> DataFrame:
     drops = recurring(rows.select("id", F.col(at["text"]).cast("string").alias("text")))
     by_doc = stage(drops.groupBy("id").agg(F.collect_set("template").alias("templates")), "by_doc")
     drop(drops)
-    joined = rows.join(by_doc, "id", "left")
+    joined = rows.join(by_doc.hint("merge"), "id", "left")
     text = at["text"]
     fields = [(n, t) for n, t in plain.dtypes]
     columns = [n for n, _ in fields]
