@@ -7,7 +7,7 @@ computes a sufficient reach from the merge list (an upper bound; some thousand
 symbols for a list of 49,000 merges). A run of symbols is then encoded block by
 block: tokens that end before the last `lookahead` symbols are final and are
 emitted, the rest waits for more input. Every word goes this way, whatever its
-length; words of up to PIECE bytes are remembered.
+length; words of up to PIECE code points are remembered.
 
 Texts go through in windows of about CHUNK code points, cut before a blank, or
 where there is none before a code point that normalisation can't join to what
@@ -36,6 +36,7 @@ import json
 import re
 import unicodedata
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,8 @@ WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 CHUNK = 1 << 16
 #: Blank-free pieces up to this length are encoded once and remembered.
 PIECE = 64
-REMEMBERED = 200_000
+#: Pieces, and words, that are remembered since the last turn; those of the turn before stay beside them.
+REMEMBERED = 250_000
 #: Ids of a block that a long stretch gives out.
 BLOCK_IDS = 1 << 14
 
@@ -178,22 +180,22 @@ class Merger:
         `lookahead` symbols before the last symbol read are final; a part of a
         run between two token ends is encoded alone as it is within the run.
         """
-        held: list[str] = []
-        for s in symbols:
-            held.append(s)
-            if len(held) >= self.block + 2 * self.lookahead:
-                tokens = self.merge(list(held))
-                done = at = 0
-                limit = len(held) - self.lookahead
-                for t in tokens:
-                    n = _length(t)
-                    if at + n > limit:
-                        break
-                    at += n
-                    done += 1
-                yield from tokens[:done]
-                held = held[at:]
-        yield from self.merge(held)
+        full, held = self.block + 2 * self.lookahead, []
+        while True:
+            held += islice(symbols, full - len(held))
+            if len(held) < full:
+                yield from self.merge(held)
+                return
+            done = at = 0
+            tokens = self.merge(list(held))
+            for t in tokens:
+                n = _length(t)
+                if at + n > full - self.lookahead:
+                    break
+                at += n
+                done += 1
+            yield from tokens[:done]
+            held = held[at:]
 
 
 def _length(token: str) -> int:
@@ -225,8 +227,8 @@ class WordBpe:
         for s, i in (*self.vocab.items(), *self.special.items()):
             self.strings[i] = s
         self.as_bytes = [s.encode() for s in self.strings]
-        self.known: dict[str, bytes] = {}
-        self.words_known: dict[str, bytes] = {}
+        self.known, self.known_before = {}, {}
+        self.words_known, self.words_before = {}, {}
         # The library's composition tables are its own; they matter only for texts that aren't composed yet.
         self.compose = normalizers.NFC().normalize_str
 
@@ -234,21 +236,25 @@ class WordBpe:
         known = self.words_known.get(word)
         if known is not None:
             return known
-        marks = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-        marks[-1] += self.end
-        vocab = self.vocab
-        out = array("I", [vocab[t] for t in self.merger.stream(iter(marks)) if t in vocab]).tobytes()
-        if len(marks) <= PIECE:
-            if len(self.words_known) >= REMEMBERED // 2:
-                self.words_known.clear()
+        out = self.words_before.get(word)
+        if out is None:
+            marks = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
+            marks[-1] += self.end
+            vocab = self.vocab
+            out = array("I", [vocab[t] for t in self.merger.stream(iter(marks)) if t in vocab]).tobytes()
+        if len(word) <= PIECE:
+            if len(self.words_known) >= REMEMBERED:
+                self.words_known, self.words_before = {}, self.words_known
             self.words_known[word] = out
         return out
 
     def _piece(self, piece: str) -> bytes:
-        out = b"".join(map(self._word, self.words.findall(piece)))
+        out = self.known_before.get(piece)
+        if out is None:
+            out = b"".join(map(self._word, self.words.findall(piece)))
         if len(piece) <= PIECE:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.known_before = {}, self.known
             self.known[piece] = out
         return out
 
@@ -276,8 +282,7 @@ class WordBpe:
             if b - a > 2 * CHUNK:
                 yield from self._stretch(text, a, b)
                 continue
-            known = self.known
-            yield b"".join([known.get(p) or self._piece(p) for p in _WHITE.split(self.normalise(text[a:b])) if p])
+            yield b"".join([self.known.get(p) or self._piece(p) for p in _WHITE.split(self.normalise(text[a:b])) if p])
 
     def _windows(self, text: str, at: int, end: int):
         """Normalised windows of a stretch without an ASCII blank, cut where normalisation joins nothing."""
