@@ -70,7 +70,7 @@ BYTES_A_WORD = 6
 #: Cost of verifying one candidate, in entries scanned.
 VERIFY_COST = 8.0
 FEW = 8
-BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 #: Entries of a token that meet its statistics in one task, about.
 SALTED = 256
 _NONE = -(1 << 63)
