@@ -47,7 +47,11 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z_]+=)?([A-Za-z0-9+/_.=-]{16,})")
 HOST = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,}")
 SENSITIVE = re.compile(r"(?ai:passw|secret|token|api.?key|auth(?!or)|credential|bearer|private|signature|access)")
-IDENTIFIER = re.compile(r"""[A-Za-z][A-Za-z0-9]{0,40}(?:_[A-Za-z0-9]{1,40})+|[a-z]{2,40}(?:[A-Z][a-z]{1,40})+|[A-Za-z][A-Za-z0-9]{2,40}(?=["']?\x20?[=:(])""")
+#: Identifiers: words joined by underscores, by capitals, or before a sign of assignment or call (looked for from the sign backwards).
+JOINED = re.compile(r"[A-Za-z][A-Za-z0-9]{0,40}(?:_[A-Za-z0-9]{1,40})+")
+CAMEL = re.compile(r"\b[a-z]{2,40}(?:[A-Z][a-z]{1,40})+\b")
+HUMP, SIGN = re.compile(r"[a-z][A-Z]"), re.compile(r"[=:(]")
+BEFORE = re.compile(r"""(?<![A-Za-z0-9_])([A-Za-z][A-Za-z0-9]{2,40})["']?\x20?\Z""")
 #: Characters before and after a candidate that count as its surroundings.
 AROUND = 160
 WORDS, MIN_DOCS = 2000, 3
@@ -122,12 +126,23 @@ def learn(words: list[str]) -> tuple[list[str], float]:
     return known, limit_of([price("", w, "") for w in held if len(w) >= 8])
 
 
+def identifiers_of(text: str) -> set[str]:
+    found = set(JOINED.findall(text)) if "_" in text else set()
+    if HUMP.search(text):
+        found.update(CAMEL.findall(text))
+    for sign in SIGN.finditer(text):
+        m = BEFORE.search(text, max(0, sign.start() - 44), sign.start())
+        if m:
+            found.add(m[1])
+    # What looks like a key itself must not teach the dictionary.
+    return {w for w in found if sum(map(str.isdigit, w)) < 4}
+
+
 def _identified(batches):
     for batch in batches:
         times: dict[str, int] = {}
         for x in batch.column("text"):
-            # What looks like a key itself must not teach the dictionary.
-            for word in {w for w in IDENTIFIER.findall(x.as_py() or "") if sum(map(str.isdigit, w)) < 4}:
+            for word in identifiers_of(x.as_py() or ""):
                 times[word] = times.get(word, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64())], names=["word", "n"])
 

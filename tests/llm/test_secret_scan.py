@@ -151,3 +151,9 @@ def test_long_texts_and_repeated_rows(documents):
     text = f"the bearer credential {SECRET} " + "plain words " * 100_000 + "token = abcdefghijklmnop"
     got = ss.secret_scan(documents([(1, text), (1, text), (None, text)])).collect()
     assert len(got) == 3 and {(r.n_assign, r.n_novel) for r in got} == {(1, 1)} and len({r.spans for r in got}) == 1
+
+
+def test_identifiers_of_a_text():
+    text = 'snake_case_name = getThatValue(other, "key": 1) x=1 Word: a_1234b AbcDef plain text'
+    assert ss.identifiers_of(text) == {"snake_case_name", "getThatValue", "key", "Word"}
+    assert ss.identifiers_of("") == set() and ss.identifiers_of("= ( :") == set()
