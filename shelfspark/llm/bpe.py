@@ -258,6 +258,10 @@ class WordBpe:
             self.known[piece] = out
         return out
 
+    def forget(self) -> None:
+        """Let go of remembered pieces and words: a worker that ends a task may wait for quite another one."""
+        self.known, self.known_before, self.words_known, self.words_before = {}, {}, {}, {}
+
     def normalise(self, text: str) -> str:
         if text.isascii():
             return text.lower()
@@ -420,6 +424,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        model.forget()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
@@ -433,6 +438,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             blobs = [b"".join(model.encode(x.as_py() or "")) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "ids"])
+        model.forget()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids binary")
