@@ -215,6 +215,59 @@ HAY = norm("array_to_string(list_filter(list_concat([title, original_title, desc
 CLICKS = "clicks AS (SELECT user_id, event_id % 40 AS item, event_id AS seq FROM events WHERE event_type = 'click')"
 
 
+def parameter(key: str) -> str:
+    """The first value of a key of `params`, decoded; NULL if the key isn't there."""
+    first = f"list_filter(str_split(params, '&'), lambda x: split_part(x, '=', 1) = '{key}')[1]"
+    return f"url_decode(replace(CASE WHEN contains({first}, '=') THEN substr({first}, strpos({first}, '=') + 1) WHEN {first} IS NOT NULL THEN '' END, '+', ' '))"
+
+
+def age_between(value: str, low: int, high: int) -> str:
+    number = f"CASE WHEN trim({value}) = '' THEN 0 ELSE try_cast({value} AS DOUBLE) END"
+    return f"CASE WHEN {number} BETWEEN {low} AND {high} THEN {number} END"
+
+
+def encoded(parts: list[tuple[str, str]]) -> str:
+    """Parts that are neither NULL nor empty, as a form encodes them."""
+    return "concat_ws('&', " + ", ".join(f"'{key}=' || replace(replace(replace(url_encode(nullif({value}, '')), '%20', '+'), '~', '%7E'), '%2A', '*')" for key, value in parts) + ")"
+
+
+def codecs() -> dict[str, str]:
+    """URL, JSON and router queries. Their inputs are literals; what they must give is spelled out here."""
+    rows = lambda values: ", ".join(f"({k}, {s(v)})" for k, v in enumerate(values))
+    number = "CASE WHEN age = floor(age) THEN CAST(CAST(age AS BIGINT) AS VARCHAR) ELSE CAST(age AS VARCHAR) END"
+    listed = lambda key: f"coalesce(array_to_string(list_filter(str_split({parameter(key)}, '|'), lambda x: x <> ''), '|'), '')"
+    only = lambda key, allowed, otherwise="NULL": f"CASE WHEN {parameter(key)} IN ({', '.join(map(s, allowed))}) THEN {parameter(key)} ELSE {otherwise} END"
+    queries = ", ".join(
+        f"({s(k)}, {'NULL' if q.age is None else float(q.age)}::DOUBLE, {s(q.format)}, {arr(q.interests)}, {arr(q.moods)}, {s(q.situation)}, {s(q.duration)}, {s(q.search)})" for k, q in S.SCENARIOS.items()
+    )
+    keys = {"search": "q", "theme": "theme", "mood": "mood", "duration": "duration", "primary": "mode", "secondary": "detail", "tertiary": "extra"}
+    state = ", ".join(f"coalesce({parameter(key)}, '') AS \"{name}\"" for name, key in keys.items())
+    inner = ["book", "cartoon", "movie"], ["book"], ["cartoon"], ["movie", "book"]
+    types = ", ".join(f"({i}, {arr(t)})" for i, t in enumerate(inner))
+    return {
+        "json_favorites_sanitize": f"""SELECT CAST(k AS INTEGER) AS k, CASE WHEN json_valid(stored) AND json_type(try_cast(stored AS JSON)) = 'ARRAY'
+            THEN array_to_string(list_transform(list_filter(json_extract(try_cast(stored AS JSON), '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')), '|') ELSE '' END AS items
+            FROM (VALUES {rows(S.STORED)}) t(k, stored)""",
+        "params_decode": f"""SELECT CAST(k AS INTEGER) AS k, {age_between(parameter("age"), 1, 17)} AS age, {only("format", ("reading", "cartoon", "movie"), "'all'")} AS format, {listed("interests")} AS interests, {listed("moods")} AS moods,
+            {only("situation", ("bedtime", "family", "independent"))} AS situation, {parameter("duration")} AS duration, coalesce({parameter("q")}, '') AS search FROM (VALUES {rows(S.PARAMS)}) t(k, params)""",
+        "params_encode": f"""SELECT qid, {encoded([("age", number), ("format", "nullif(format, 'all')"), ("interests", "array_to_string(interests, '|')"), ("moods", "array_to_string(moods, '|')"), ("situation", "situation"), ("duration", "duration"), ("q", "search")])} AS params
+            FROM (VALUES {queries}) t(qid, age, format, interests, moods, situation, duration, search)""",
+        "section_params": f"""SELECT *, {encoded([("age", number), *[(key, f'"{name}"') for name, key in keys.items()], ("sort", "sort")])} AS params FROM (
+            SELECT CAST(k AS INTEGER) AS k, {age_between(parameter("age"), 2, 17)} AS age, {state}, {only("sort", ("age", "duration", "new"), "''")} AS sort
+            FROM (VALUES (0, 'age=6&mode=both&sort=new&q=a+b'), (1, 'age=40&sort=best&extra=x'), (2, '')) t(k, params))""",
+        "routes": f"""SELECT path, page, CASE page WHEN 'section' THEN CASE head WHEN 'cartoons' THEN 'cartoon' WHEN 'movies' THEN 'movie' ELSE 'book' END
+              WHEN 'detail' THEN CASE head WHEN 'books' THEN 'book' WHEN 'cartoons' THEN 'cartoon' WHEN 'movies' THEN 'movie' END END AS type,
+              CASE WHEN page IN ('detail', 'collection') THEN url_decode(rest) END AS slug FROM (
+            SELECT path, head, rest, CASE WHEN p = '' THEN 'home' WHEN head IN ('books', 'catalog', 'cartoons', 'movies') THEN CASE WHEN rest IS NULL THEN 'section' ELSE 'detail' END
+              WHEN head = 'collections' THEN CASE WHEN rest IS NULL THEN 'collections' ELSE 'collection' END WHEN p = '/recommend' THEN 'wizard' WHEN p = '/favorites' THEN 'favorites' ELSE 'not-found' END AS page
+            FROM (SELECT path, p, split_part(p, '/', 2) AS head, CASE WHEN contains(substr(p, 2), '/') THEN regexp_extract(p, '^/[^/]*/(.*)$', 1) END AS rest
+                  FROM (SELECT path, regexp_replace(path, '/$', '') AS p FROM (VALUES {", ".join(f"({s(x)})" for x in S.ROUTES)}) t(path))))""",
+        "collection_cards": f"""SELECT 'col-' || i AS id, 'collection-' || i AS slug, 'Подборка ' || i AS title, CAST(7 + i AS INTEGER) AS n_items, CASE WHEN i % 2 = 0 THEN '4–12 лет' ELSE 'Для всей семьи' END AS age_label,
+            strftime(DATE '2026-06-10' + CAST(i AS INTEGER), '%d.%m.%Y') AS published, CASE WHEN i < 2 THEN strftime(DATE '2026-06-10' + CAST(i + 36 AS INTEGER), '%d.%m.%Y') END AS updated,
+            array_to_string(list_transform(types, lambda x: CASE x WHEN 'book' THEN 'книги' WHEN 'cartoon' THEN 'мультфильмы' WHEN 'movie' THEN 'фильмы' END), ', ') AS types FROM (VALUES {types}) t(i, types)""",
+    }
+
+
 def oracle() -> dict[str, str]:
     out = {
         "catalog_enriched": with_items(
@@ -303,6 +356,7 @@ def oracle() -> dict[str, str]:
         "favorites_view": with_items("SELECT id, title FROM item WHERE ord IN (SELECT item FROM clicks GROUP BY user_id, item HAVING count(*) % 2 = 1)", CLICKS),
         "debounced_events": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 250000",
     }
+    out |= codecs()
     fq = S.FACET_QUERY
     toggle = lambda c, v: f"CASE WHEN list_contains({c}, {v}) THEN list_filter({c}, lambda y: y <> {v}) ELSE list_append({c}, {v}) END"
     fixed = ", ".join([f"('format', {s(f)})" for f in V.FORMAT_LABELS] + [f"('situation', {s(f)})" for f in V.SITUATION_LABELS])
