@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import values as V
 from shelfspark.functions.text import ru, strings
 
-from .recommend import Query, age_match, beside, evaluated, query_frame
+from .recommend import Query, beside, evaluated, query_frame
 
 
 def sorted_domain(items: DataFrame, column: str) -> DataFrame:
@@ -60,7 +60,7 @@ def variants(items: DataFrame, query: Query) -> DataFrame:
 def facet_counts(items: DataFrame, query: Query) -> DataFrame:
     """facet, value, n, selected, unavailable: how many exact results each value would leave. One pass over the catalog for all values."""
     asked = variants(items, query)
-    rows = evaluated(*beside(items, asked, age_match()))
+    rows = evaluated(*beside(items, asked))
     counts = rows.groupBy("qid").agg(F.count_if(F.size("missed") == 0).alias("n"))
     names = asked.select("qid", F.substring_index("qid", "|", 1).alias("facet")).withColumn("value", F.expr("substring(qid, length(facet) + 2)"))
     out = names.join(counts, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -172,3 +172,26 @@ def test_empty_catalog(spark):
 @pytest.mark.parametrize("age", [None, 6.5])
 def test_ages_may_be_missing_or_decimal(spark, age):
     assert len(buckets(items(spark, {}), change(age=age))["exact"]) == 1
+
+
+def test_many_queries_meet_rows_on_whole_years(spark, sf_dir, monkeypatch):
+    """Above the broadcast bound the result is the same, with and without ages, and no cartesian product is planned for aged ones."""
+    from shelfspark.operators import recommend as module
+    from shelfspark.operators.enrich import enrich
+    from shelfspark.plans.scenarios import SCENARIOS
+    from shelfspark.sources.catalog import derived_catalog
+
+    rows = enrich(derived_catalog(spark, sf_dir))
+    aged = {k: q for k, q in SCENARIOS.items() if q.age is not None}
+
+    def found(queries):
+        return sorted(map(repr, recommend_batch(rows, query_frame(spark, queries)).select("qid", "bucket", "id", "score", "rank").collect()))
+
+    want, want_aged = found(SCENARIOS), found(aged)
+    monkeypatch.setattr(module, "BROADCAST_QUERIES", 1)
+    assert found(SCENARIOS) == want and found(aged) == want_aged
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined, _ = module.beside(rows, query_frame(spark, aged))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
