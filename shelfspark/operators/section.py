@@ -16,7 +16,7 @@ from .search import haystack_hit
 
 @dataclass(frozen=True)
 class Section:
-    """The state of a section page; an empty string is unset. Any sort but age, duration and new is by identifier."""
+    """The state of a section page; an empty string is unset. Any sort but age, duration and new is by identifier in Russian collation."""
 
     kind: str
     age: float | None = None
@@ -59,10 +59,15 @@ def sort_keys(sort: str) -> list[Column]:
         "age": [F.col("age_min")],
         "duration": [F.coalesce("duration_minutes", "page_count", F.lit(9999))],
         "new": [F.coalesce("year", F.lit(0)).desc()],
-    }.get(sort, [F.col("id")])
+    }.get(sort, [ru(F.col("id"))])
     return [*keys, F.col("ord")]
 
 
+def result_count(items: DataFrame, state: Section) -> DataFrame:
+    """n: how many rows the section shows."""
+    return items.filter(conditions(state)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def section(items: DataFrame, state: Section) -> DataFrame:
     """The matching rows in the page's order."""
     return items.filter(conditions(state)).orderBy(*sort_keys(state.sort))
@@ -83,10 +88,10 @@ def as_query(s: Section) -> Query:
 
 def near_matches(items: DataFrame, state: Section) -> DataFrame:
     """Where nothing matches: up to six rows of the section among what recommend() finds in the whole catalog, in catalog order."""
+    if not items.filter(conditions(state)).isEmpty():
+        return items.limit(0)
     found = recommend(items, as_query(state))
-    inside = items.filter(F.col("app_type") == state.kind).join(found.select("id").distinct(), "id", "left_semi").orderBy("ord").limit(V.NEAR_LIMIT)
-    none = items.filter(conditions(state)).limit(1).agg(F.count(F.lit(1)).alias("matching"))
-    return inside.crossJoin(F.broadcast(none)).filter("matching = 0").drop("matching")
+    return items.filter(F.col("app_type") == state.kind).join(found.select("id").distinct(), "id", "left_semi").orderBy("ord").limit(V.NEAR_LIMIT)
 
 
 def domain(items: DataFrame, column: str, array: bool) -> DataFrame:

@@ -211,6 +211,14 @@ def section(kind: str, where: str, more: str = "") -> str:
     return with_items(f"SELECT id, ord, age_min, duration_minutes, page_count, year FROM sec WHERE {where}", f"sec AS (SELECT *, {derived} FROM item WHERE app_type = '{kind}')" + more)
 
 
+def domains(kind: str, tertiary: str) -> str:
+    rows = f"FROM item WHERE app_type = '{kind}'"
+    return with_items(
+        f"""SELECT DISTINCT facet, value FROM (SELECT 'theme' AS facet, unnest(interests) AS value {rows} UNION ALL SELECT 'mood', unnest(moods) {rows}
+            UNION ALL SELECT 'duration', duration_category {rows} UNION ALL SELECT 'tertiary', {tertiary} {rows}) WHERE value <> ''"""
+    )
+
+
 HAY = norm("array_to_string(list_filter(list_concat([title, original_title, description, creator, studio], interests), lambda x: x <> ''), ' ')")
 CLICKS = "clicks AS (SELECT user_id, event_id % 40 AS item, event_id AS seq FROM events WHERE event_type = 'click')"
 
@@ -306,10 +314,18 @@ def oracle() -> dict[str, str]:
         "section_movies_new": section("movie", "audience_type = 'family' AND discussion_potential = 'high' AND list_contains(moods, 'уютное')"),
         "section_books_mode": section("book", "reading_mode IN ('together', 'both') AND language_difficulty = 'medium' AND duration_category = 'на один вечер' AND list_contains(interests, 'дружба')"),
         "section_haystack": section("movie", f"contains({HAY}, {norm(s('  STORY  about r'))})"),
-        "section_facets": with_items(
-            """SELECT DISTINCT facet, value FROM (
-              SELECT 'theme' AS facet, unnest(interests) AS value FROM item WHERE app_type = 'cartoon' UNION ALL SELECT 'mood', unnest(moods) FROM item WHERE app_type = 'cartoon'
-              UNION ALL SELECT 'duration', duration_category FROM item WHERE app_type = 'cartoon' UNION ALL SELECT 'tertiary', studio FROM item WHERE app_type = 'cartoon') WHERE value <> ''"""
+        "section_facets": domains("cartoon", "studio"),
+        "section_facets_book": domains("book", "unnest(genres)"),
+        "section_facets_movie": domains("movie", "unnest(genres)"),
+        "section_result_counts": with_items("SELECT app_type AS kind, count(*) AS n FROM item WHERE 7 BETWEEN age_min AND age_max GROUP BY app_type"),
+        "collection_slug": "SELECT 'col-2' AS id, 'Подборка 2' AS title",
+        "json_catalog": with_items(
+            """SELECT ord, id, CASE WHEN ord % 17 <> 0 THEN slug END AS slug, title, content_type, age_min, age_max, CASE WHEN ord % 10 <> 7 THEN year END AS year, array_to_string(interests, '|') AS interests
+               FROM cat WHERE ord % 13 <> 0"""
+        ),
+        "params_round_trip": with_items(
+            """SELECT id, CAST(age_min AS DOUBLE) AS age, CASE WHEN content_type IN ('cartoon', 'movie') THEN content_type ELSE 'reading' END AS format, array_to_string(interests, '|') AS interests,
+               array_to_string(moods, '|') AS moods, CASE WHEN bedtime THEN 'bedtime' END AS situation, duration_category AS duration, title AS search FROM cat"""
         ),
         "section_near": with_items(
             "SELECT id, title FROM item WHERE app_type = 'movie' AND id IN (SELECT id FROM found) ORDER BY ord LIMIT 6",
@@ -320,7 +336,7 @@ def oracle() -> dict[str, str]:
               FROM (SELECT unnest({arr([*V.WATCH_DURATIONS, *V.READ_DURATIONS, 'иное'])}) AS a), (SELECT unnest({arr([*V.WATCH_DURATIONS, *V.READ_DURATIONS, 'иное'])}) AS b)""",
         "evaluate_scores": with_items("SELECT qid, id, score, array_to_string(reasons, '; ') AS reasons, array_to_string(missed, '; ') AS missed FROM ev", f"{query_rows(S.SCENARIOS)}, {evaluated()}"),
         "recommend_batch": recommended(S.SCENARIOS, f"SELECT {SHOWN}, {NO_EXACT_RANK} FROM found"),
-        "recommend_exact": recommended({"q2": S.SCENARIOS["q2"]}, "SELECT id, score, CAST(rank AS INTEGER) AS rank FROM found WHERE bucket = 'exact' AND rank <= 100"),
+        "recommend_exact": recommended({"q2": S.SCENARIOS["q2"]}, "SELECT id, score, CAST(rank AS INTEGER) AS rank FROM found WHERE bucket = 'exact'"),
         "recommend_partial": recommended({k: S.SCENARIOS[k] for k in ("q3", "q4", "q5", "q6")}, "SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM found WHERE bucket = 'partial'"),
         "recommend_alternate": recommended({k: S.SCENARIOS[k] for k in ("q7", "q8", "q9")}, "SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM found WHERE bucket = 'alternate'"),
         "recommendation_cards": recommended(
@@ -337,7 +353,7 @@ def oracle() -> dict[str, str]:
                || (CASE format WHEN 'reading' THEN 'историю для чтения' WHEN 'cartoon' THEN 'мультфильм' WHEN 'movie' THEN 'фильм' ELSE 'книгу, мультфильм или фильм' END) || ' '
                || (CASE interaction WHEN 'self' THEN 'для самостоятельного знакомства' ELSE 'для совместного времени' END) || '. ' || {s(V.WIZARD_NOTE)} AS sentence FROM answers""",
         "home_picks": with_items("SELECT id, app_type FROM (SELECT *, row_number() OVER (PARTITION BY app_type ORDER BY ord) - 1 AS spot FROM item) WHERE spot = CASE app_type WHEN 'book' THEN 10 WHEN 'cartoon' THEN 0 ELSE 4 END"),
-        "slug_lookup": with_items("SELECT id, slug FROM item WHERE app_type = 'cartoon' AND slug = (SELECT min(slug) FROM item WHERE app_type = 'cartoon' AND ord < 20) ORDER BY ord LIMIT 1"),
+        "slug_lookup": with_items("SELECT id, slug FROM item WHERE app_type = 'cartoon' AND slug = (SELECT min(slug) FROM item WHERE app_type = 'cartoon') ORDER BY ord LIMIT 1"),
         "collection_expand": with_items(
             "SELECT cid AS collection_id, CAST(pos AS INTEGER) AS pos, id, 'соответствует темам «' || array_to_string(interests[1:2], '» и «') || '» и возрастной рекомендации ' || age_label AS why FROM listed JOIN item USING (id)", COLLECTIONS
         ),

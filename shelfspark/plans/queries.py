@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ from shelfspark.operators import cards, collections, facets, favorites, similar,
 from shelfspark.operators.enrich import enrich
 from shelfspark.operators.recommend import Query, evaluate, first_results, neighbour_duration, query_frame, recommend, recommend_batch, relevance
 from shelfspark.operators.search import matches_search, needle_columns
-from shelfspark.operators.section import Section, near_matches, section, section_domains
+from shelfspark.operators.section import Section, near_matches, result_count, section, section_domains
 from shelfspark.sources import codec
-from shelfspark.sources.catalog import derived_catalog, derived_collections
+from shelfspark.sources.catalog import derived_catalog, derived_collections, from_json_rows, require_rows
 
 from . import scenarios as S
 from .oracle import oracle
@@ -152,9 +154,20 @@ def section_near(spark, d):
     return near_matches(items(spark, d), state).select("id", "title")
 
 
+def _domains(kind: str):
+    return lambda spark, d: section_domains(items(spark, d), kind)
+
+
+QUERIES["section_facets"] = _domains("cartoon")
+QUERIES["section_facets_book"] = _domains("book")
+QUERIES["section_facets_movie"] = _domains("movie")
+
+
 @query
-def section_facets(spark, d):
-    return section_domains(items(spark, d), "cartoon")
+def section_result_counts(spark, d):
+    rows = items(spark, d)
+    counts = [result_count(rows, Section(kind, age=7)).withColumn("kind", F.lit(kind)) for kind in ("book", "cartoon", "movie")]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query
@@ -241,7 +254,7 @@ def home_picks(spark, d):
 @query
 def slug_lookup(spark, d):
     rows = items(spark, d)
-    front = rows.filter("app_type = 'cartoon' and ord < 20").agg(F.min("slug").alias("slug"))
+    front = rows.filter("app_type = 'cartoon'").agg(F.min("slug").alias("slug"))
     return rows.filter("app_type = 'cartoon'").join(F.broadcast(front), "slug").orderBy("ord").limit(1).select("id", "slug")
 
 
@@ -260,6 +273,35 @@ def collection_cards(spark, d):
     return collections.cards(derived_collections(spark))
 
 
+@query
+def collection_slug(spark, d):
+    return collections.by_slug(derived_collections(spark), "collection-2").select("id", "title")
+
+
+@query
+def json_catalog(spark, d):
+    """The derived catalog by way of its JSON: some rows lack a required key, some have a null one, some a year in quotes."""
+    k = F.col("ord")
+    keys = {"id": F.col("id"), "slug": F.when(k % 17 != 0, F.col("slug")), "title": F.col("title"), "contentType": F.col("content_type"), "recommendedAgeMin": F.col("age_min"), "recommendedAgeMax": F.col("age_max"), "interests": F.col("interests")}
+    written = lambda year: F.to_json(F.struct(*[c.alias(name) for name, c in keys.items()], year.alias("originalYear")), {"ignoreNullFields": "false"})
+    raw = F.when(k % 10 == 7, written(F.col("year").cast("string"))).otherwise(written(F.col("year")))
+    raw = F.when(k % 13 == 0, F.replace(raw, F.lit('"slug":'), F.lit('"page":'))).otherwise(raw)
+    rows = require_rows(from_json_rows(derived_catalog(spark, d).select("ord", raw.alias("raw"))))
+    return text(rows.select("ord", "id", "slug", "title", "content_type", "age_min", "age_max", "year", "interests"), "interests")
+
+
+@query
+def params_round_trip(spark, d):
+    """A query made of each catalog row, written as a URL and read back."""
+    c = F.col
+    asked = derived_catalog(spark, d).select(
+        "id", c("age_min").cast("double").alias("age"), F.when(c("content_type").isin("cartoon", "movie"), c("content_type")).otherwise("reading").alias("format"),
+        "interests", "moods", F.when(c("bedtime"), "bedtime").alias("situation"), c("duration_category").alias("duration"), c("title").alias("search"),
+    )
+    sent = asked.select("id", codec.encode_query(asked).alias("params"))
+    return text(sent.select("id", *[v.alias(n) for n, v in codec.decode_query(F.col("params")).items()]), "interests", "moods")
+
+
 @query
 def similar_theme(spark, d):
     rows = items(spark, d)
