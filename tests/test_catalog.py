@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import dataclasses
 import json
 
 import pytest
 from fixtures import items
 from pyspark.sql import functions as F
 from shelfspark.operators import cards, collections, facets, favorites, similar
-from shelfspark.operators.section import Section, active_filters, near_matches, section
+from shelfspark.operators.recommend import Query, evaluate, query_frame
+from shelfspark.operators.section import Section, active_filters, near_matches, result_count, section
 from shelfspark.sources import codec
 from shelfspark.sources.catalog import derived_catalog, derived_collections, load_json
 from shelfspark.operators.enrich import enrich
@@ -168,9 +170,50 @@ def test_page_meta(spark):
 
 
 def test_facet_counts_toggle_the_chosen_value(spark):
-    from shelfspark.operators.recommend import Query
-
     rows = items(spark, {}, {"interests": ["семья"]})
     got = {(r.facet, r.value): r for r in facets.facet_counts(rows, Query(6, "all", ("дружба",))).collect()}
     assert got["interests", "дружба"].n == 2 and got["interests", "семья"].n == 0 and got["interests", "семья"].unavailable
     assert got["interests", "дружба"].selected and got["format", "movie"].n == 0 and got["duration", "до 15 минут"].n == 1
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        Query(6, "all", ("дружба", "red"), ("уютное",), None, None, ""),
+        Query(None, "reading", (), (), "family", "на один вечер", ""),
+        Query(5, "cartoon", ("дружба", "нет такого"), ("уютное", "спокойное"), "bedtime", "до 30 минут", "story"),
+        Query(8.5, "all", (), (), None, None, "почитать на ночь"),
+    ],
+)
+def test_facet_counts_are_those_of_each_changed_query(spark, sf_dir, query):
+    rows = enrich(derived_catalog(spark, sf_dir)).cache()
+    got = {(r.facet, r.value): (r.n, r.selected, r.unavailable) for r in facets.facet_counts(rows, query).collect()}
+    changed = {}
+    for facet, value in got:
+        old = getattr(query, facet)
+        new = value if facet not in ("interests", "moods") else tuple(x for x in old if x != value) if value in old else (*old, value)
+        changed[f"{facet}|{value}"] = dataclasses.replace(query, **{facet: new})
+    found = evaluate(rows, query_frame(spark, changed)).filter("size(missed) = 0").groupBy("qid").count().collect()
+    exact = {r["qid"]: r["count"] for r in found}
+    for (facet, value), (n, selected, unavailable) in got.items():
+        old = getattr(query, facet)
+        assert n == exact.get(f"{facet}|{value}", 0)
+        assert selected == (value in old if isinstance(old, tuple) else value == old)
+        assert unavailable == (n == 0 and not selected)
+    seen = {v for column in ("interests", "moods") for r in rows.select(column).collect() for v in r[0]}
+    assert {v for f, v in got if f in ("interests", "moods")} == seen
+    rows.unpersist()
+
+
+def test_facet_counts_of_no_rows_and_unset_columns(spark):
+    none = items(spark, {}).limit(0)
+    assert {(r.facet, r.n) for r in facets.facet_counts(none, Query()).collect()} == {("format", 0), ("situation", 0)}
+    bare = items(spark, {"interests": None, "moods": None, "duration_category": None}, {"interests": ["a", "a", None], "duration_category": ""})
+    got = {(r.facet, r.value): r.n for r in facets.facet_counts(bare, Query()).collect()}
+    assert got["interests", "a"] == 1 and got["format", "all"] == 2 and not any(f == "duration" for f, _ in got)
+
+
+def test_default_sort_is_collated(spark):
+    rows = items(spark, {"id": "B"}, {"id": "a"}, {"id": "C"})
+    assert [r.id for r in section(rows, Section("cartoon")).collect()] == ["a", "B", "C"]
+    assert result_count(rows, Section("cartoon")).first().n == 3
