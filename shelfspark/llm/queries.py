@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, jaccard, language_id, line_dedup, mixing, quality, secret_scan, token_scan
+from . import bpe, exact_dedup, html_extract, jaccard, language_id, line_dedup, merkle, mixing, quality, secret_scan, token_scan, vector_codes
 from .common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"), MIX_TARGET)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,9 +81,34 @@ QUERIES = {
         op8_line_dedup,
         op9_secret_scan,
         op10_source_mixing,
+        op11_merkle_manifest,
+        op13_vector_codes,
     )
 }
 
+def _vector_codes_sql() -> str:
+    """Four rounds over distinct parts, one after another. Inner products of such integers are exact in doubles."""
+    apart = "list_inner_product(d.v, d.v) - 2 * list_inner_product(d.v, c.v) + list_inner_product(c.v, c.v)"
+    steps = [
+        """
+k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, i AS part, v[len(v) // 4 * i + 1 : len(v) // 4 * (i + 1)] AS v FROM k, range(4) AS r(i)),
+d AS (SELECT part, v, count(*) AS n FROM p GROUP BY part, v),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256))"""
+    ]
+    for i in range(5):
+        steps.append(f"a{i} AS (SELECT d.part, d.v, d.n, min({{'error': {apart}, 'e': c.e}}) AS best FROM d JOIN c{i} AS c ON d.part = c.part GROUP BY d.part, d.v, d.n)")
+        if i < 4:
+            steps.append(
+                f"m{i} AS (SELECT part, e, list(mean ORDER BY j) AS v FROM (SELECT part, best.e AS e, j, floor(sum(n * v[j]) / sum(n)) AS mean FROM a{i}, range(1, len(v) + 1) AS r(j) GROUP BY part, best.e, j) GROUP BY part, e)"
+            )
+            steps.append(f"c{i + 1} AS (SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN m{i} AS m ON m.part = c.part AND m.e = c.e)")
+    steps.append("own AS (SELECT p.vec_id, p.label, string_agg(printf('%02x', best.e), '' ORDER BY p.part) AS code, sum(best.error)::BIGINT AS error FROM p JOIN a4 ON a4.part = p.part AND a4.v = p.v GROUP BY p.vec_id, p.label)")
+    steps.append("book AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, e, j)) AS digest FROM (SELECT part, e, j, v[j] AS x FROM c4, range(1, len(v) + 1) AS r(j)))")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM own, book"
+
+
 ORACLE = {
     "op3_ngram_join": r"""
 WITH RECURSIVE
@@ -117,4 +150,33 @@ r AS (SELECT d.doc_id, d.s AS source, CAST(d.n AS BIGINT) AS n_tokens, round(q.w
              sum(d.n) OVER (PARTITION BY d.s ORDER BY d.u RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN q USING (s))
 SELECT doc_id, source, n_tokens, weight, CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r
 """,
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE
+f AS (SELECT *, coalesce('=' || lang, '') AS key,
+        list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS crc,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+          || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front FROM documents),
+l AS (SELECT doc_id, key, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(front || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM l),
+nodes(key, lvl, pos, h, n) AS (
+  SELECT key, 0, pos, leaf, n FROM r UNION ALL
+  SELECT key, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY key, lvl, pos // 8, n),
+subs AS (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lvl, pos, h, n) AS (
+  SELECT 0, pos, h, n FROM subs UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY lvl, pos // 8, n),
+runs AS (SELECT key, lvl, pos // 8 AS run, string_agg(h, '' ORDER BY pos) AS s FROM nodes WHERE n > 1 GROUP BY key, lvl, pos // 8),
+top_runs AS (SELECT lvl, pos // 8 AS run, string_agg(h, '' ORDER BY pos) AS s FROM tops WHERE n > 1 GROUP BY lvl, pos // 8),
+steps AS (
+  SELECT r.key, r.pos, lvl, r.pos // pow(8, lvl)::BIGINT % 8 AS i, s FROM r JOIN runs ON runs.key = r.key AND run = r.pos // pow(8, lvl + 1)::BIGINT UNION ALL
+  SELECT r.key, r.pos, 1000 + lvl, subs.pos // pow(8, lvl)::BIGINT % 8, s FROM r JOIN subs ON subs.key = r.key JOIN top_runs ON run = subs.pos // pow(8, lvl + 1)::BIGINT),
+paths AS (SELECT key, pos, string_agg(s[1:64 * i] || s[64 * i + 65:], '' ORDER BY lvl) AS sibs, list(i || s[1:64 * i] || s[64 * i + 65:] ORDER BY lvl) AS folds FROM steps GROUP BY key, pos),
+o AS (SELECT r.doc_id, r.leaf, subs.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(coalesce(sibs, '')) AS proof_sha256,
+        list_reduce(list_prepend(coalesce(changed, leaf), coalesce(folds, [])), lambda a, x: sha256(x[2:1 + 64 * x[1]::INT] || a || x[2 + 64 * x[1]::INT:])) AS folded_root
+      FROM r JOIN subs ON subs.key = r.key LEFT JOIN paths AS p ON p.key = r.key AND p.pos = r.pos)
+SELECT *, folded_root = root AS verified FROM o
+""",
+    "op13_vector_codes": _vector_codes_sql(),
 }
