@@ -99,7 +99,7 @@ class Levels:
         """rows: b, p, depth, h. Tables n0, n1, .. of nodes and r0, r1, .. of runs; returns the number of levels."""
         self.db.register("nodes_in", rows)
         self.db.execute("CREATE OR REPLACE TEMP TABLE n0 AS SELECT b, p, depth, h FROM nodes_in WHERE p >= 0")
-        levels = self.db.execute("SELECT coalesce(max(depth), 0) FROM n0").fetchone()[0]
+        levels = self.db.execute("SELECT coalesce(max(depth), 0) FROM n0").fetchall()[0][0]
         for k in range(levels):
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE r{k} AS SELECT b, p // {FAN} AS p, depth, string_agg(h, '' ORDER BY p) AS s FROM n{k} WHERE depth > {k} GROUP BY b, p // {FAN}, depth")
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE n{k + 1} AS SELECT b, p, depth, sha256(s) AS h FROM r{k}")
@@ -136,7 +136,7 @@ class Levels:
             "CREATE OR REPLACE TEMP TABLE f AS SELECT i.row, i.lefts || o.lefts AS lefts, i.rights || o.rights AS rights, n.tampered AS cur "
             "FROM inner_paths AS i JOIN nodes_in AS n ON n.row = i.row JOIN nodes_in AS o ON o.b = n.b AND o.p = -1"
         )
-        steps = self.db.execute("SELECT coalesce(max(len(lefts)), 0) FROM f").fetchone()[0]
+        steps = self.db.execute("SELECT coalesce(max(len(lefts)), 0) FROM f").fetchall()[0][0]
         self.db.execute("CREATE OR REPLACE TEMP TABLE f AS SELECT *, sha256(list_aggregate(list_transform(lefts, lambda x, i: x || rights[i]), 'string_agg', '')) AS proof FROM f WHERE len(lefts) > 0 UNION ALL SELECT *, sha256('') FROM f WHERE len(lefts) = 0")
         for k in range(1, steps + 1):
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE f AS SELECT row, lefts, rights, CASE WHEN len(lefts) >= {k} THEN sha256(lefts[{k}] || cur || rights[{k}]) ELSE cur END AS cur, proof FROM f")
