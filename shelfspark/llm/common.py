@@ -52,12 +52,12 @@ def _bytes_of(size: str) -> int:
     return int(digits) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(size[len(digits) : len(digits) + 1].lower(), 0)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors."""
+def stage(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table to the shared folder, in folders by some columns if asked, and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
     bounded_batches(spark)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, jaccard, language_id, line_dedup, merkle, mixing, quality, secret_scan, token_scan, vector_codes
+from . import bpe, exact_dedup, html_extract, jaccard, katz, language_id, line_dedup, merkle, mixing, quality, secret_scan, token_scan, vector_codes
 from .common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
 
@@ -82,6 +86,7 @@ QUERIES = {
         op9_secret_scan,
         op10_source_mixing,
         op11_merkle_manifest,
+        op12_lm_scoring,
         op13_vector_codes,
     )
 }
