@@ -158,5 +158,9 @@ def mix(docs: DataFrame, target: tuple[str, float] = ("max_repeats", MAX_REPEATS
     meta = token_meta(docs, token_col=token_col)
     plan = stage(plan_mix(meta, target, budget_factor, seed), "plan")
     drop(meta)
-    out = with_copies(docs, plan, seed).filter("mix_copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies")))).select(*[out[c] for c in docs.columns])
+    # The columns of docs may have any names; here they go by their places.
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    out = with_copies(own, plan, seed, names[docs.columns.index("doc_id")], names[docs.columns.index("source")]).filter("mix_copies > 0")
+    repeated = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies"))))
+    return repeated.select(*names).toDF(*docs.columns)

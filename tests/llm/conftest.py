@@ -30,6 +30,6 @@ def clashing(documents):
         from pyspark.sql import functions as F
 
         df = documents(rows)
-        return df.withColumns({c: F.lit(1) for c in ("id", "n", "token", "kept", "digest", "mix_copies", "bucket", "label", "signature", "templates", "lost", "held_out", "quality_text")})
+        return df.withColumns({c: F.lit(1) for c in ("id", "n", "token", "kept", "digest", "mix_copies", "mix_copy", "mix_weight", "mix_cut", "mix_epochs", "mix_source_key", "mix_share", "mix_exponent", "in_0", "bucket", "label", "signature", "templates", "lost", "held_out", "quality_text")})
 
     return make
