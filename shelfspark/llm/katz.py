@@ -51,8 +51,10 @@ from .textops import mix, span_hashes, word_bounds
 FOLDS = 10
 #: The hash that stands for the end of a text.
 END = 1
-#: Bytes of text in a bucket, and the coarse buckets that packs are dealt to.
-BUCKET_BYTES, COARSE = 24 << 20, 4096
+#: Bytes of text in a bucket, the coarse buckets that packs are dealt to at most, and the buckets of a task.
+BUCKET_BYTES, COARSE, EACH = 8 << 20, 4096, 8
+#: Documents whose sums a task holds over its buckets.
+DOCS = 1 << 18
 HOT, HOT_PAIR, SALTS = 1 << 16, 1 << 10, 64
 #: Counts that Turing's estimate discounts.
 TURING = 5
@@ -252,7 +254,8 @@ def packs(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
 
 def finer(packed: DataFrame, hot: Hot, buckets: int) -> DataFrame:
     """Packs dealt by coarse bucket, each cut by the finer buckets that the coarse one holds, sorted by these."""
-    dealt = packed.repartition("bucket")
+    tasks = max(2 * packed.sparkSession.sparkContext.defaultParallelism, min(buckets, COARSE) // EACH)
+    dealt = packed.repartition(tasks, "bucket")
     if buckets > COARSE:
         shared = packed.sparkSession.sparkContext.broadcast(hot)
 
@@ -278,47 +281,82 @@ def finer(packed: DataFrame, hot: Hot, buckets: int) -> DataFrame:
 _ANSWER = "kind int, key bigint, before bigint, word bigint, n bigint, word_n bigint, base double, rest double, seen array<int>"
 
 
-def _bucket_answer(rows: list[dict], hot: Hot, total: int, distinct: int, d1: list[float], unknown: float) -> Iterator[pa.RecordBatch]:
+class Sums:
+    """Sums of documents over a task's buckets, given out when they are many."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, keys: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((keys, sums))
+        self.rows += len(keys)
+        if self.rows > 2 * DOCS:
+            self._merge()
+            if self.rows > DOCS:
+                yield from self.given()
+
+    def _merge(self) -> None:
+        keys, of_key = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        every = np.concatenate([x for _, x in self.parts], axis=1)
+        self.parts = [(keys, np.stack([np.bincount(of_key, weights=row, minlength=len(keys)) for row in every]))]
+        self.rows = len(keys)
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            keys, sums = self.parts[0]
+            whole = lambda row: np.rint(sums[row]).astype(np.int64)
+            seen = pa.array(np.rint(sums[4:].T).astype(np.int32).reshape(-1))
+            yield _answer(len(keys), 0, key=keys, n=whole(0), word_n=whole(1), base=sums[2], rest=sums[3], seen=pa.FixedSizeListArray.from_arrays(seen, TURING).cast(pa.list_(pa.int32())))
+        self.parts, self.rows = [], 0
+
+
+def _bucket_answer(rows: list[dict], hot: Hot, total: int, distinct: int, d1: list[float], unknown: float, kept_sums: Sums) -> Iterator[pa.RecordBatch]:
     parts = [_unpack(r) for r in rows]
     word, context = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     n = np.concatenate([p[2] for p in parts])
     keys, held = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
     offset = np.cumsum([0] + [len(p[4]) for p in parts])
-    doc = np.concatenate([p[3] + o for p, o in zip(parts, offset)])
-    at = np.repeat(np.arange(len(n)), n)
-    train = np.bincount(at, weights=~held[doc], minlength=len(n)).astype(np.int64)
+    doc = np.concatenate([(p[3] + o).astype(np.int32) for p, o in zip(parts, offset)])
+    del parts
+    at = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    train = np.bincount(at, weights=~held[doc], minlength=len(n))
 
     pair, first, of_pair = np.unique(_pair(context, word), return_index=True, return_inverse=True)
+    of_pair = of_pair.astype(np.int32)
     pair_n = np.bincount(of_pair, weights=train, minlength=len(pair)).astype(np.int64)
     salted = known(hot.pairs, pair)
     pair_n = looked_up(hot.pairs, hot.pair_counts, pair, pair_n)
+    del pair
     values, of_word = np.unique(word, return_inverse=True)
+    of_word = of_word.astype(np.int32)
     word_n = np.bincount(of_word, weights=train, minlength=len(values)).astype(np.int64)
     word_n = looked_up(hot.words, hot.word_counts, values, word_n)
-
-    # Numbers of a pair, then of a place.
-    c2, c1 = pair_n[of_pair], word_n[of_word]
-    base = np.log10((c1 + ADDED) / (total + ADDED * (distinct + 1)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alone = np.log10(np.where(c1 > 0, kept_of(c1, d1) / max(total, 1), unknown))
-        # Pairs of count 1 to TURING get d2 later.
-        paired = np.log10(c2) + np.where(c2 > TURING, np.log10((c2 + 1) / (c2 + 2)), 0.0)
-        rest = np.where(c2 > 0, paired, alone) - np.where(c1 > 0, np.log10(c1), 0.0)
-    docs = len(keys)
-    sums = lambda x: np.bincount(doc, weights=x[at], minlength=docs)
-    whole = lambda x: np.rint(sums(x)).astype(np.int64)
-    seen = np.column_stack([whole(c2 == r) for r in range(1, TURING + 1)]).astype(np.int32)
-    yield _answer(docs, 0, key=keys, n=whole(np.ones(len(n))), word_n=whole(c1 > 0), base=sums(base), rest=sums(rest), seen=pa.FixedSizeListArray.from_arrays(pa.array(seen.reshape(-1)), TURING).cast(pa.list_(pa.int32())))
-
+    del train, values
     # A salted pair has its row elsewhere.
     shown = (pair_n > 0) & ~salted
     own = first[shown]
     yield _answer(len(own), 1, before=context[own].view(np.int64), word=word[own].view(np.int64), n=pair_n[shown], word_n=word_n[of_word[own]])
+    del word, first, salted, shown, own
 
+    # Numbers of a pair, then of a place.
+    c2, c1 = pair_n[of_pair], word_n[of_word]
     back = c2[at] == 0
     if back.any():
         asked, times = np.unique(np.rec.fromarrays([context[at[back]].view(np.int64), keys[doc[back]]], names="c,k"), return_counts=True)
         yield _answer(len(asked), 2, key=asked["k"], before=asked["c"], n=times)
+    del context, of_pair, of_word, back
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alone = np.log10(np.where(c1 > 0, kept_of(c1, d1) / max(total, 1), unknown))
+        # Pairs of count 1 to TURING get d2 later.
+        paired = np.log10(c2) + np.where(c2 > TURING, np.log10((c2 + 1) / (c2 + 2)), 0.0)
+        rest = np.where(c2 > 0, paired, alone) - np.where(c1 > 0, np.log10(c1), 0.0)
+    del alone, paired
+    base = np.log10((c1 + ADDED) / (total + ADDED * (distinct + 1)))
+    sums = lambda x: np.bincount(doc, weights=x[at], minlength=len(keys))
+    yield from kept_sums.add(keys, np.stack([sums(np.ones(len(n))), sums(c1 > 0), sums(base), sums(rest), *[sums(c2 == r) for r in range(1, TURING + 1)]]))
 
 
 def _answer(rows: int, kind: int, **columns) -> pa.RecordBatch:
@@ -334,15 +372,16 @@ def answers(sorted_packs: DataFrame, hot: Hot, total: int, distinct: int, d1: li
     shared = sorted_packs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        held: list[dict] = []
+        held, sums = [], Sums()
         for batch in batches:
             for row in batch.to_pylist():
                 if held and (row["bucket"], row["fine"]) != (held[0]["bucket"], held[0]["fine"]):
-                    yield from _bucket_answer(held, shared.value, total, distinct, d1, unknown)
+                    yield from _bucket_answer(held, shared.value, total, distinct, d1, unknown, sums)
                     held = []
                 held.append(row)
         if held:
-            yield from _bucket_answer(held, shared.value, total, distinct, d1, unknown)
+            yield from _bucket_answer(held, shared.value, total, distinct, d1, unknown, sums)
+        yield from sums.given()
 
     return sorted_packs.mapInArrow(run, _ANSWER)
 
