@@ -16,6 +16,7 @@ from shelfspark.operators.search import matches_search, needle_columns
 from shelfspark.operators.section import Section, near_matches, result_count, section, section_domains
 from shelfspark.sources import codec
 from shelfspark.sources.catalog import derived_catalog, derived_collections, from_json_rows, require_rows
+from shelfspark.streaming import event_time
 
 from . import scenarios as S
 from .oracle import oracle
@@ -338,6 +339,27 @@ def debounced_events(spark, d):
     return favorites.debounced(events).select("event_id", "user_id")
 
 
+def _timed(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_id") % 40).alias("item"), "event_type")
+
+
+@query
+def favorites_stream(spark, d):
+    """The sets of favorites_parity from a stream of clicks that arrive out of order."""
+    clicks = _timed(spark, d).filter("event_type = 'click'").drop("event_type")
+    sets = event_time.run_to_end(event_time.ordered_toggles(event_time.replayed(clicks, "clicks"), S.STREAM_DELAY), "sets")
+    newest = sets.groupBy("user_id").agg(F.max_by("items", "toggles").alias("items"))
+    return newest.select("user_id", F.posexplode("items").alias("place", "item")).select("user_id", "item", (F.col("place") + 1).cast("int").alias("place"))
+
+
+@query
+def debounced_stream(spark, d):
+    """The events that are quiet for an hour, from a stream of events that arrive out of order."""
+    events = event_time.replayed(_timed(spark, d).select("user_id", "ts", "seq"), "events")
+    quiet = event_time.run_to_end(event_time.quiet_events(events, S.STREAM_DELAY, S.STREAM_QUIET_MS), "quiet")
+    return quiet.select(F.col("seq").alias("event_id"), "user_id")
+
+
 @query
 def json_favorites_sanitize(spark, d):
     stored = spark.createDataFrame([(i, t) for i, t in enumerate(S.STORED)], "k int, stored string")

@@ -45,3 +45,6 @@ PARAMS = [
 ]
 ROUTES = ["/", "/books/", "/catalog", "/cartoons", "/movies/a-b", "/books/%D0%B0+b", "/catalog/x%20y", "/collections", "/collections/c-1/", "/recommend", "/favorites", "/nowhere", "/booksx"]
 STORED = ["not json", '{"a":1}', '["a",1,null,"b"]', "[]", None, '["b","b"]', "3"]
+# How late a replayed event may be (a third of the events' month), and the quiet time of the streamed debounce.
+STREAM_DELAY = "10 days"
+STREAM_QUIET_MS = 3_600_000
