@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -71,6 +72,12 @@ def drop(*tables: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does when the driver's objects for them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     _ALIVE.pop(path, None)
     jvm = spark.sparkContext._jvm

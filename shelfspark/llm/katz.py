@@ -27,8 +27,9 @@ log C(v) is its sum of log c(w), but for unseen pairs, whose context adds C(v) a
 
 Frequent words (more than one in HOT tokens: fewer than HOT of them, counted
 exactly and broadcast) are spread over buckets by the word before; pairs with more than one in HOT_PAIR
-tokens, over SALTS buckets besides. Buckets number as many as the bytes of text ask for; packs
-are shuffled by at most COARSE of them, and cut into the finer ones inside of the task.
+tokens, over SALTS buckets besides. Buckets number as many as the bytes of text ask for. EACH of
+them, or more beyond COARSE groups, travel in one pack to one task, which cuts the packs into those of its buckets
+and sorts these; frequent words before a word are written as their places in the list of frequent words.
 
 Defined results: null or empty text is the end alone; a null identifier counts as
 held out (its text is empty, of checksum 0); rows that repeat identifier and text each get the score; without
@@ -42,17 +43,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop, stage, text_of
+from .common import bounded_batches, drop, settle, stage, text_of
 from .textops import mix, span_hashes, word_bounds
 
 FOLDS = 10
 #: The hash that stands for the end of a text.
 END = 1
-#: Bytes of text in a bucket, the coarse buckets that packs are dealt to at most, and the buckets of a task.
-BUCKET_BYTES, COARSE, EACH = 8 << 20, 4096, 8
+#: Bytes of text in a bucket, the groups of buckets that packs are dealt to at most, and the buckets of a group.
+BUCKET_BYTES, COARSE, EACH = 8 << 20, 4096, 4
 #: Documents whose sums a task holds over its buckets.
 DOCS = 1 << 18
 HOT, HOT_PAIR, SALTS = 1 << 16, 1 << 10, 64
@@ -198,54 +200,72 @@ def counts_of_counts(table: DataFrame, column: str = "n") -> dict[int, int]:
 
 # --- packs of pairs, by bucket
 
-_PACK = "bucket bigint, fine bigint, salt bigint, words binary, pairs_each binary, befores binary, docs_each binary, docs binary, keys binary, held binary"
+_PACK = "coarse bigint, fine bigint, salt bigint, pack binary"
+_LEVEL = 1
 
 
-def _pack(bucket: int, fine: int, salt: int, word, context, n, docs, keys, held) -> tuple:
-    """One pack. word, context, n: its pairs, those of a word together, and how many places each has; docs: the places' documents, as indexes into keys."""
+def coarse_of(buckets: int) -> int:
+    return min(-(-buckets // EACH), COARSE)
+
+
+def _pack(word, context, n, docs, keys, held, hot: Hot) -> bytes:
+    """word, context, n: pairs, those of a word together, and how many places each has; docs: the places' documents, as indexes into keys."""
     used, docs = np.unique(docs, return_inverse=True)
     new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     each = np.diff(np.append(new, len(word)))
-    parts = (word[new].astype("<u8"), each.astype("<u4"), context.astype("<u8"), n.astype("<u4"), docs.astype("<u2"), keys[used].astype("<i8"), held[used].astype("<u1"))
-    return (bucket, fine, salt, *[p.tobytes() for p in parts])
+    often = known(hot.words, context)
+    at = np.searchsorted(hot.words, context[often])
+    parts = (keys[used].astype("<i8"), word[new].astype("<u8"), context[~often].astype("<u8"), each.astype("<u4"), n.astype("<u4"), at.astype("<u2"), docs.astype("<u2"), np.packbits(often), np.packbits(held[used]))
+    sizes = np.array([len(p) for p in parts], "<u4")
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(b"".join([sizes.tobytes(), *[p.tobytes() for p in parts]]))
+
+
+_KINDS = ("<i8", "<u8", "<u8", "<u4", "<u4", "<u2", "<u2", "u1", "u1")
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, ...]:
+def _unpack(pack: bytes, hot: Hot) -> tuple[np.ndarray, ...]:
     """word, context, n of the pairs, docs of the places, keys, held."""
-    kinds = {"words": "<u8", "pairs_each": "<u4", "befores": "<u8", "docs_each": "<u4", "docs": "<u2", "keys": "<i8", "held": "<u1"}
-    a = {c: np.frombuffer(row[c], kind) for c, kind in kinds.items()}
-    return np.repeat(a["words"], a["pairs_each"]), a["befores"], a["docs_each"].astype(np.int64), a["docs"].astype(np.int64), a["keys"], a["held"].astype(bool)
+    raw = zstandard.ZstdDecompressor().decompress(pack)
+    sizes, at, parts = np.frombuffer(raw, "<u4", len(_KINDS)), 4 * len(_KINDS), []
+    for size, kind in zip(sizes.tolist(), _KINDS):
+        parts.append(np.frombuffer(raw, kind, size, at))
+        at += parts[-1].nbytes
+    keys, word, rare, each, n, frequent, docs, often, held = parts
+    often = np.unpackbits(often, count=len(n)).astype(bool)
+    context = np.empty(len(n), _U)
+    context[~often], context[often] = rare, hot.words[frequent]
+    return np.repeat(word, each), context, n.astype(np.int64), docs.astype(np.int32), keys, np.unpackbits(held, count=len(keys)).astype(bool)
 
 
 def _pack_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [pa.binary()] * 7
+    kinds = [pa.int64()] * 3 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _PACK.split(", ")])
 
 
 def packs(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
-    """The pairs of each batch of documents, packed by bucket."""
+    """The pairs of each batch of documents, packed by group of buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    coarse = min(buckets, COARSE)
+    coarse = coarse_of(buckets)
 
     def run(batches):
+        hot = shared.value
         for whole in batches:
             for batch in (whole.slice(i, 1 << 15) for i in range(0, whole.num_rows, 1 << 15)):
                 word, each = tokens_of(batch.column("text"))
-                context, doc = before(word), np.repeat(np.arange(len(each)), each)
+                context, doc = before(word), np.repeat(np.arange(len(each), dtype=np.int32), each)
                 keys, held = batch.column("key").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
                 salt = int(keys[0] % SALTS)
-                bucket = shared.value.bucket(context, word, salt, buckets)
-                # By coarse bucket, then word, then the word before: places of a pair stand together but for collisions, which only split a pair.
-                order = np.argsort((bucket % coarse).astype(_U) << _U(50) | (mix(word) >> _U(39)) << _U(25) | mix(context) >> _U(39))
-                word, context, doc, bucket = word[order], context[order], doc[order], bucket[order] % coarse
-                new = np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])])
-                first = np.flatnonzero(new)
+                group = hot.bucket(context, word, salt, buckets) % coarse
+                # By group, then word, then the word before: places of a pair stand together but for collisions, which only split a pair.
+                order = np.argsort(group.astype(_U) << _U(50) | (mix(word) >> _U(39)) << _U(25) | mix(context) >> _U(39))
+                word, context, doc, group = word[order], context[order], doc[order], group[order]
+                first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (group[1:] != group[:-1])]))
                 n = np.diff(np.append(first, len(word)))
-                edges = np.flatnonzero(np.concatenate([[True], bucket[first][1:] != bucket[first][:-1]]))
+                edges = np.flatnonzero(np.concatenate([[True], group[first][1:] != group[first][:-1]]))
                 out = []
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(first)]):
                     lo, hi = first[a], first[b - 1] + n[b - 1]
-                    out.append(_pack(int(bucket[lo]), 0, salt, word[first[a:b]], context[first[a:b]], n[a:b], doc[lo:hi], keys, held))
+                    out.append((int(group[lo]), 0, salt, _pack(word[first[a:b]], context[first[a:b]], n[a:b], doc[lo:hi], keys, held, hot)))
                 for i in range(0, len(out), 64):
                     yield _pack_batch(out[i : i + 64])
 
@@ -253,26 +273,25 @@ def packs(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
 
 
 def finer(packed: DataFrame, hot: Hot, buckets: int) -> DataFrame:
-    """Packs dealt by coarse bucket, each cut by the finer buckets that the coarse one holds, sorted by these."""
-    tasks = max(2 * packed.sparkSession.sparkContext.defaultParallelism, min(buckets, COARSE) // EACH)
-    dealt = packed.repartition(tasks, "bucket")
-    if buckets > COARSE:
-        shared = packed.sparkSession.sparkContext.broadcast(hot)
-
-        def run(batches):
-            for batch in batches:
+    """Packs dealt by group, each cut by bucket, sorted by bucket."""
+    shared, coarse = packed.sparkSession.sparkContext.broadcast(hot), coarse_of(buckets)
+
+    def run(batches):
+        hot = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                word, context, n, docs, keys, held = _unpack(row["pack"], hot)
+                fine = hot.bucket(context, word, row["salt"], buckets) // coarse
+                of_place = np.repeat(fine, n)
                 out = []
-                for row in batch.to_pylist():
-                    word, context, n, docs, keys, held = _unpack(row)
-                    fine = shared.value.bucket(context, word, row["salt"], buckets) // COARSE
-                    for f in np.unique(fine).tolist():
-                        own = fine == f
-                        out.append(_pack(row["bucket"], f, row["salt"], word[own], context[own], n[own], docs[np.repeat(own, n)], keys, held))
+                for f in np.unique(fine).tolist():
+                    own = fine == f
+                    out.append((row["coarse"], f, row["salt"], _pack(word[own], context[own], n[own], docs[of_place == f], keys, held, hot)))
                 for i in range(0, len(out), 1024):
                     yield _pack_batch(out[i : i + 1024])
 
-        dealt = dealt.mapInArrow(run, _PACK)
-    return dealt.sortWithinPartitions("bucket", "fine")
+    dealt = packed.repartitionById(coarse, F.col("coarse").cast("int")) if hasattr(packed, "repartitionById") else packed.repartition(coarse, "coarse")
+    return dealt.mapInArrow(run, _PACK).sortWithinPartitions("coarse", "fine")
 
 
 # --- a bucket's answer
@@ -312,13 +331,13 @@ class Sums:
         self.parts, self.rows = [], 0
 
 
-def _bucket_answer(rows: list[dict], hot: Hot, total: int, distinct: int, d1: list[float], unknown: float, kept_sums: Sums) -> Iterator[pa.RecordBatch]:
-    parts = [_unpack(r) for r in rows]
+def _bucket_answer(rows: list[bytes], hot: Hot, total: int, distinct: int, d1: list[float], unknown: float, kept_sums: Sums) -> Iterator[pa.RecordBatch]:
+    parts = [_unpack(r, hot) for r in rows]
     word, context = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     n = np.concatenate([p[2] for p in parts])
     keys, held = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
     offset = np.cumsum([0] + [len(p[4]) for p in parts])
-    doc = np.concatenate([(p[3] + o).astype(np.int32) for p, o in zip(parts, offset)])
+    doc = np.concatenate([p[3] + np.int32(o) for p, o in zip(parts, offset)])
     del parts
     at = np.repeat(np.arange(len(n), dtype=np.int32), n)
     train = np.bincount(at, weights=~held[doc], minlength=len(n))
@@ -372,13 +391,14 @@ def answers(sorted_packs: DataFrame, hot: Hot, total: int, distinct: int, d1: li
     shared = sorted_packs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        held, sums = [], Sums()
+        held, at, sums = [], None, Sums()
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (row["bucket"], row["fine"]) != (held[0]["bucket"], held[0]["fine"]):
+                if held and (row["coarse"], row["fine"]) != at:
                     yield from _bucket_answer(held, shared.value, total, distinct, d1, unknown, sums)
                     held = []
-                held.append(row)
+                at = row["coarse"], row["fine"]
+                held.append(row["pack"])
         if held:
             yield from _bucket_answer(held, shared.value, total, distinct, d1, unknown, sums)
         yield from sums.given()
@@ -409,11 +429,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     among = [w for w, n in frequent if n * HOT_PAIR > total]
     salted = [(r.before, r.word, r.n) for r in pair_counts(rows, among).filter(F.col("n") * HOT_PAIR > total).collect()] if among else []
     hot = Hot(frequent, salted)
+    settle(spark)
 
     buckets = 1 + (docs.agg(F.sum(F.octet_length(text_of(docs)))).first()[0] or 0) // BUCKET_BYTES
     found = answers(finer(packs(rows, hot, buckets), hot, buckets), hot, total, distinct, d1, unknown)
     found = stage(found, "answers", by=("kind",))
     drop(words)
+    settle(spark)
     count_of = dict(frequent)
     rest = spark.createDataFrame([(c, w, n, count_of[w]) for c, w, n in salted], "before bigint, word bigint, n bigint, word_n bigint")
     pairs = found.filter("kind = 1").select("before", "word", "n", "word_n").unionByName(rest)
