@@ -1,11 +1,12 @@
-"""Similar items: by shared themes, and by score."""
+"""Similar items: by shared themes, and by score, for a set of sources or for every item."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import values as V
+from shelfspark.sources.staging import staged
 
 
 def similar_by_theme(items: DataFrame, sources: DataFrame) -> DataFrame:
@@ -24,21 +25,35 @@ def similar_by_theme(items: DataFrame, sources: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= V.SIMILAR_LIMIT).select("source_id", "rank", "id")
 
 
+#: Points of a shared tag by its kind, and of equal middle ages.
+KINDS = {"interests": 3, "moods": 2, "genres": 2}
+AGE_POINTS = 5
+
+
 def similar_by_score(items: DataFrame, sources: DataFrame) -> DataFrame:
     """source_id, rank, id, score: the three best others by closeness of ages and shared themes, moods and genres.
 
-    Candidates are items that share a tag, and for each distinct middle age the
+    For a set of sources: with hot tags, its pairs grow with the sources times a tag's items. Candidates are items that share a tag, and for each distinct middle age the
     first items by age score: an untagged item beyond those can't be among the
     best. Shared tags count with the candidate's multiplicity.
     """
+    return _first_three(_scored(items, sources))
+
+
+def _first_three(scored: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("score").desc(), "ord"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= V.SIMILAR_LIMIT).select("source_id", "rank", "id", "score")
+
+
+def _scored(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """source_id, id, ord, score of all pairs that can be among a source's best."""
     middle = (F.col("age_min") + F.col("age_max")) / 2
-    kinds = {"interests": 3, "moods": 2, "genres": 2}
 
     def tagged(kind: str, distinct: bool):
         values = F.array_distinct(kind) if distinct else F.col(kind)
-        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("tag"), F.lit(kinds[kind]).alias("weight")))
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("tag"), F.lit(KINDS[kind]).alias("weight")))
 
-    tag = lambda distinct: F.explode(F.concat(*[tagged(k, distinct) for k in kinds]))
+    tag = lambda distinct: F.explode(F.concat(*[tagged(k, distinct) for k in KINDS]))
     src = sources.select(F.col("id").alias("source_id"), middle.alias("source_mid"), tag(True).alias("t")).select("source_id", "source_mid", "t.kind", "t.tag")
     own = items.select("id", "ord", middle.alias("mid"), tag(False).alias("t")).select("id", "ord", "mid", "t.kind", "t.tag", "t.weight")
     shared = (
@@ -51,7 +66,116 @@ def similar_by_score(items: DataFrame, sources: DataFrame) -> DataFrame:
     mids = sources.select(F.col("id").alias("source_id"), middle.alias("source_mid"))
     untagged = near.crossJoin(mids).filter("source_id <> id").withColumn("shared", F.lit(0).cast("bigint"))
     both = shared.unionByName(untagged).groupBy("source_id", "source_mid", "id", "ord", "mid").agg(F.max("shared").alias("shared"))
-    score = F.greatest(F.lit(0.0), 5 - F.abs(F.col("mid") - F.col("source_mid"))) + F.col("shared")
-    scored = both.withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("score").desc(), "ord"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= V.SIMILAR_LIMIT).select("source_id", "rank", "id", "score")
+    score = age_points(F.col("mid"), F.col("source_mid")) + F.col("shared")
+    return both.select("source_id", "id", "ord", score.alias("score"))
+
+
+def age_points(a: Column, b: Column) -> Column:
+    """Points of two middle ages; none if one is unset."""
+    return F.greatest(F.lit(0.0), AGE_POINTS - F.abs(a - b))
+
+
+#: Items of more distinct tags than this have too many sets of tags, and are compared pair by pair.
+MOST_TAGS = 10
+#: So many first items of a set hold the first SIMILAR_LIMIT others of any source.
+_HEADS = V.SIMILAR_LIMIT + 1
+#: What stands for an unset middle age of a source and of a candidate: far from all others.
+_NO_SOURCE, _NO_CANDIDATE = -1e9, -3e9
+
+
+def similar_for_all(items: DataFrame) -> DataFrame:
+    """What similar_by_score gives with every item as a source, without comparing pairs.
+
+    A source and a candidate share some set of tags. Of the items that have a set and
+    a middle age, only the first few by catalog order can be among a source's best:
+    the others stand behind them at the same points. So each item names the sets of
+    its tags, each set keeps the first items of each middle age (hot sets are cut
+    before they are shuffled), and for each middle age that sources of the set have,
+    the best few by points. A source, with all sources of equal tags and middle age,
+    then reads the short lists of its own sets. Rows that move are items times the sets
+    of an item's tags, however many share a tag.
+
+    A tag that stands several times in a candidate counts as often: it is then a tag of
+    its own, with that many times the points, which sources that have the tag name too.
+    Items of more than MOST_TAGS distinct tags are compared with the others by
+    similar_by_score's pairs. Identifiers are taken to be unique.
+    """
+    rows = staged(_tagged(items), "tagged")
+    short, long = rows.filter(F.size("tags") <= MOST_TAGS), rows.filter(F.size("tags") > MOST_TAGS)
+    best = _by_sets(short, short)
+    if long.isEmpty():
+        return _ranked_lists(best)
+    ids = long.select("id")
+    with_many, others = items.join(ids, "id", "left_semi"), items.join(ids, "id", "left_anti")
+    pairs = _scored(with_many, items).unionByName(_scored(others, with_many))
+    listed = best.select("source_id", F.explode("best").alias("x")).select("source_id", "x.id", "x.ord", "x.score")
+    return _first_three(listed.unionByName(pairs))
+
+
+def _tagged(items: DataFrame) -> DataFrame:
+    """id, ord, mid, tags: an array of (kind and tag, times in the item, points each), sorted."""
+
+    def of(kind: str) -> Column:
+        values = F.filter(F.coalesce(F.col(kind), F.array().cast("array<string>")), lambda x: x.isNotNull())
+        times = lambda x: F.size(F.filter(values, lambda y: y == x))
+        return F.transform(F.array_distinct(values), lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x).alias("tag"), times(x).alias("times"), F.lit(KINDS[kind]).alias("points")))
+
+    middle = (F.col("age_min") + F.col("age_max")) / 2
+    return items.select("id", "ord", middle.alias("mid"), F.array_sort(F.concat(*[of(k) for k in KINDS])).alias("tags"))
+
+
+def _sets(options: Column) -> Column:
+    """All sets that take at most one entry (name, points) of each element of options, as (key, points); the empty one too."""
+    none = F.array(F.struct(F.lit("").alias("key"), F.lit(0).alias("points")))
+    # A name is led by its length, so that no two sets read alike.
+    joined = lambda s, o: F.struct(F.concat(s["key"], F.length(o["name"]).cast("string"), F.lit("="), o["name"]).alias("key"), (s["points"] + o["points"]).alias("points"))
+    with_each = lambda sets, entries: F.concat(sets, F.flatten(F.transform(entries, lambda o: F.transform(sets, lambda s: joined(s, o)))))
+    return F.aggregate(options, none, with_each)
+
+
+def _entry(tag: Column, times: Column, points: Column) -> Column:
+    return F.struct(F.concat(tag, F.lit("*"), times.cast("string")).alias("name"), (points * times).alias("points"))
+
+
+def _by_sets(sources: DataFrame, candidates: DataFrame) -> DataFrame:
+    """source_id, best: the first SIMILAR_LIMIT others as an array of (score, ord, id), best first."""
+    digest = lambda key: F.unhex(F.md5(key))
+    # Items of equal tags and middle age: the first few stand for all.
+    alike = Window.partitionBy("tags", "mid").orderBy("ord")
+    few = candidates.withColumn("mid", F.coalesce("mid", F.lit(_NO_CANDIDATE))).withColumn("k", F.row_number().over(alike)).filter(F.col("k") <= _HEADS)
+    own = F.transform("tags", lambda t: F.array(_entry(t["tag"], t["times"], t["points"])))
+    named = few.select("id", "ord", "mid", F.explode(_sets(own)).alias("s")).select("id", "ord", "mid", digest(F.col("s.key")).alias("key"), "s.points")
+    heads = named.withColumn("k", F.row_number().over(Window.partitionBy("key", "mid").orderBy("ord"))).filter(F.col("k") <= _HEADS)
+    # A few for each middle age, of which there are few.
+    lists = heads.groupBy("key").agg(F.first("points").alias("points"), F.collect_list(F.struct("mid", "ord", "id")).alias("heads"))
+
+    # Sources that ask alike are one profile. Its tags count as often as they stand in any candidate.
+    names = F.transform("tags", lambda t: F.struct(t["tag"].alias("tag"), t["points"].alias("points")))
+    asking = sources.select(F.col("id").alias("source_id"), F.coalesce("mid", F.lit(_NO_SOURCE)).alias("mid"), names.alias("names"))
+    asking = staged(asking.withColumn("profile", digest(F.to_json(F.struct("names", "mid")))), "asking")
+    profiles = asking.groupBy("profile").agg(F.first("names").alias("names"), F.first("mid").alias("mid"))
+    times = candidates.select(F.explode("tags").alias("t")).select("t.tag", "t.times").distinct().groupBy("tag").agg(F.collect_list("times").alias("times"))
+    unusual = times.filter((F.size("times") > 1) | (F.get("times", F.lit(0)) != 1))
+    named = profiles.select("profile", F.explode("names.tag").alias("tag")).join(unusual, "tag")
+    named = named.groupBy("profile").agg(F.map_from_entries(F.collect_list(F.struct("tag", "times"))).alias("unusual"))
+    often = lambda t: F.coalesce(F.try_element_at(F.col("unusual"), t["tag"]), F.array(F.lit(1)))
+    options = F.transform("names", lambda t: F.transform(often(t), lambda n: _entry(t["tag"], n, t["points"])))
+    asked = profiles.join(named, "profile", "left").select("profile", "mid", F.explode(F.transform(_sets(options), lambda s: digest(s["key"]))).alias("key"))
+    asked = staged(asked, "asked")
+
+    wanted = asked.select("key", "mid").distinct()
+    scored = F.transform("heads", lambda h: F.struct((-(age_points(h["mid"], F.col("mid")) + F.col("points"))).alias("minus"), h["ord"].alias("ord"), h["id"].alias("id")))
+    best = wanted.join(lists, "key").select("key", "mid", F.slice(F.array_sort(scored), 1, _HEADS).alias("best"))
+    found = asked.join(best, ["key", "mid"]).select("profile", F.explode("best").alias("x"))
+    # An item may be found by several sets; its whole set gives it the most points.
+    found = found.groupBy("profile", "x.id").agg(F.min(F.struct("x.minus", "x.ord")).alias("y"))
+    order = Window.partitionBy("profile").orderBy("y")
+    found = found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= _HEADS)
+    first = found.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("y.minus", "y.ord", "id"))).alias("best"))
+    others = F.slice(F.filter("best", lambda x: x["id"] != F.col("source_id")), 1, V.SIMILAR_LIMIT)
+    shown = F.transform(others, lambda x: F.struct((-x["minus"]).alias("score"), x["ord"].alias("ord"), x["id"].alias("id")))
+    return asking.join(first, "profile").select("source_id", shown.alias("best"))
+
+
+def _ranked_lists(best: DataFrame) -> DataFrame:
+    return best.select("source_id", F.posexplode("best").alias("place", "x")).select("source_id", (F.col("place") + 1).alias("rank"), "x.id", "x.score")

@@ -372,6 +372,7 @@ def oracle() -> dict[str, str]:
         "favorites_view": with_items("SELECT id, title FROM item WHERE ord IN (SELECT item FROM clicks GROUP BY user_id, item HAVING count(*) % 2 = 1)", CLICKS),
         "debounced_events": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 250000",
     }
+    out["similar_scored_all"] = out["similar_scored"].replace("(SELECT * FROM item WHERE id IN (SELECT id FROM listed)) a", "item a")
     out["favorites_stream"] = out["favorites_parity"]
     out["debounced_stream"] = out["debounced_events"].replace("250000", str(S.STREAM_QUIET_MS * 1000))
     out |= codecs()

@@ -316,6 +316,12 @@ def similar_scored(spark, d):
     return similar.similar_by_score(rows, rows.join(F.broadcast(listed), "id", "left_semi"))
 
 
+@query
+def similar_scored_all(spark, d):
+    """Every item as a source."""
+    return similar.similar_for_all(items(spark, d))
+
+
 def _clicks(spark, d) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'click'")
     return events.select("user_id", (F.col("event_id") % 40).alias("item"), F.col("event_id").alias("seq"))
