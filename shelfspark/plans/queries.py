@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import values as V
 from shelfspark.functions.text import norm
 from shelfspark.operators import cards, collections, facets, favorites, similar, wizard
 from shelfspark.operators.enrich import enrich
+from shelfspark.operators.ranking import with_rank
 from shelfspark.operators.recommend import Query, evaluate, first_results, neighbour_duration, query_frame, recommend, recommend_batch, relevance
 from shelfspark.operators.search import matches_search, needle_columns
 from shelfspark.operators.section import Section, near_matches, result_count, section, section_domains
@@ -203,7 +204,7 @@ QUERIES["recommend_batch"] = QUERIES.pop("recommend_all")
 @query
 def recommend_exact(spark, d):
     exact = recommend(items(spark, d), S.SCENARIOS["q2"]).filter("bucket = 'exact'")
-    return exact.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*relevance()))).select("id", "score", "rank")
+    return with_rank(exact.select("id", "score", "missed", "title", "ord"), relevance()).select("id", "score", "rank")
 
 
 @query
