@@ -15,7 +15,7 @@ Zipf's law of n(r), (r + 1) / (r + 2), which is below one for every r, so that e
 word leaves something to the unseen ones.
 
 Words are 64-bit hashes. The tables are: words (word, n); pairs (before, word, n, and the
-word's own n), in folders by kind; contexts (before, its backoff). The pairs of a batch of documents are
+word's own n), in files by group of buckets; contexts (before, its backoff). The pairs of a batch of documents are
 packed by bucket, the hash of the pair's last word, with the documents in which
 they occur, so that one shuffle serves counting and scoring: a bucket holds all
 of a word's pairs, hence c(w) and P(w) as well, and answers with a few sums for
@@ -433,7 +433,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     buckets = 1 + (docs.agg(F.sum(F.octet_length(text_of(docs)))).first()[0] or 0) // BUCKET_BYTES
     found = answers(finer(packs(rows, hot, buckets), hot, buckets), hot, total, distinct, d1, unknown)
-    found = stage(found, "answers", by=("kind",))
+    found = stage(found, "answers")
     drop(words)
     settle(spark)
     count_of = dict(frequent)
