@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,9 @@ FOLDS = 10
 #: The hash that stands for the end of a text.
 END = 1
 #: Bytes of text in a bucket, the groups of buckets that packs are dealt to at most, and the buckets of a group.
-BUCKET_BYTES, COARSE, EACH = 8 << 20, 4096, 4
+BUCKET_BYTES, COARSE, EACH = 6 << 20, 4096, 5
+#: Bytes of text that are packed together, unless one text is longer, and rows of an answer that are given at a time.
+BLOCK_BYTES, ROWS = 3 << 20, 1 << 16
 #: Documents whose sums a task holds over its buckets.
 DOCS = 1 << 18
 HOT, HOT_PAIR, SALTS = 1 << 16, 1 << 10, 64
@@ -242,6 +245,17 @@ def _pack_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _PACK.split(", ")])
 
 
+def blocks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about BLOCK_BYTES of text, and of so few rows that 16 bits number them."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_BYTES))
+        end = min(max(end, at + 1), at + (1 << 15), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def packs(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
     """The pairs of each batch of documents, packed by group of buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -250,7 +264,7 @@ def packs(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
     def run(batches):
         hot = shared.value
         for whole in batches:
-            for batch in (whole.slice(i, 1 << 15) for i in range(0, whole.num_rows, 1 << 15)):
+            for batch in blocks_of(whole):
                 word, each = tokens_of(batch.column("text"))
                 context, doc = before(word), np.repeat(np.arange(len(each), dtype=np.int32), each)
                 keys, held = batch.column("key").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
@@ -327,7 +341,7 @@ class Sums:
             keys, sums = self.parts[0]
             whole = lambda row: np.rint(sums[row]).astype(np.int64)
             seen = pa.array(np.rint(sums[4:].T).astype(np.int32).reshape(-1))
-            yield _answer(len(keys), 0, key=keys, n=whole(0), word_n=whole(1), base=sums[2], rest=sums[3], seen=pa.FixedSizeListArray.from_arrays(seen, TURING).cast(pa.list_(pa.int32())))
+            yield from _answer(len(keys), 0, key=keys, n=whole(0), word_n=whole(1), base=sums[2], rest=sums[3], seen=pa.FixedSizeListArray.from_arrays(seen, TURING).cast(pa.list_(pa.int32())))
         self.parts, self.rows = [], 0
 
 
@@ -356,7 +370,7 @@ def _bucket_answer(rows: list[bytes], hot: Hot, total: int, distinct: int, d1: l
     # A salted pair has its row elsewhere.
     shown = (pair_n > 0) & ~salted
     own = first[shown]
-    yield _answer(len(own), 1, before=context[own].view(np.int64), word=word[own].view(np.int64), n=pair_n[shown], word_n=word_n[of_word[own]])
+    yield from _answer(len(own), 1, before=context[own].view(np.int64), word=word[own].view(np.int64), n=pair_n[shown], word_n=word_n[of_word[own]])
     del word, first, salted, shown, own
 
     # Numbers of a pair, then of a place.
@@ -364,7 +378,7 @@ def _bucket_answer(rows: list[bytes], hot: Hot, total: int, distinct: int, d1: l
     back = c2[at] == 0
     if back.any():
         asked, times = np.unique(np.rec.fromarrays([context[at[back]].view(np.int64), keys[doc[back]]], names="c,k"), return_counts=True)
-        yield _answer(len(asked), 2, key=asked["k"], before=asked["c"], n=times)
+        yield from _answer(len(asked), 2, key=asked["k"], before=asked["c"], n=times)
     del context, of_pair, of_word, back
 
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -378,7 +392,13 @@ def _bucket_answer(rows: list[bytes], hot: Hot, total: int, distinct: int, d1: l
     yield from kept_sums.add(keys, np.stack([sums(np.ones(len(n))), sums(c1 > 0), sums(base), sums(rest), *[sums(c2 == r) for r in range(1, TURING + 1)]]))
 
 
-def _answer(rows: int, kind: int, **columns) -> pa.RecordBatch:
+def _answer(rows: int, kind: int, **columns) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows, ROWS):
+        n = min(ROWS, rows - at)
+        yield _answer_rows(n, kind, **{name: x[at : at + n] for name, x in columns.items()})
+
+
+def _answer_rows(rows: int, kind: int, **columns) -> pa.RecordBatch:
     types = {"key": pa.int64(), "before": pa.int64(), "word": pa.int64(), "n": pa.int64(), "word_n": pa.int64(), "base": pa.float64(), "rest": pa.float64(), "seen": pa.list_(pa.int32())}
     arrays = [pa.array(np.full(rows, kind, np.int32))]
     for name, t in types.items():
