@@ -372,6 +372,22 @@ def oracle() -> dict[str, str]:
         "favorites_view": with_items("SELECT id, title FROM item WHERE ord IN (SELECT item FROM clicks GROUP BY user_id, item HAVING count(*) % 2 = 1)", CLICKS),
         "debounced_events": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 250000",
     }
+    toggled = lambda c: f"CASE WHEN facet <> '{c}' THEN q.{c} WHEN list_contains(q.{c}, value) THEN list_filter(q.{c}, lambda y: y <> value) ELSE list_append(q.{c}, value) END"
+    out["facet_counts_index"] = with_items(
+        f"""SELECT qid, facet, value, count(*) FILTER (WHERE i.id IS NOT NULL) AS n, bool_or(selected) AS selected, count(*) FILTER (WHERE i.id IS NOT NULL) = 0 AND NOT bool_or(selected) AS unavailable
+        FROM t LEFT JOIN item i ON (t.age IS NULL OR t.age BETWEEN i.age_min AND i.age_max)
+          AND (f = 'all' OR i.content_type = f OR (f = 'reading' AND i.content_type IN ('book', 'fairy-tale')))
+          AND (s IS NULL OR (s = 'bedtime' AND i.bedtime) OR (s = 'family' AND i.family) OR (s = 'independent' AND i.independent))
+          AND (du IS NULL OR i.duration_category = du) AND list_has_all(i.interests, ti) AND list_has_all(i.moods, tm) GROUP BY qid, facet, value""",
+        f"""q AS (SELECT id AS qid, CASE WHEN ord % 4 > 0 THEN age_min + CASE WHEN ord % 3 = 0 THEN 0.5 ELSE 1 END END AS age,
+            CASE WHEN ord % 5 = 0 THEN 'all' WHEN content_type IN ('cartoon', 'movie') THEN content_type ELSE 'reading' END AS format, interests[1:ord % 3] AS interests, moods[1:ord // 50 % 2] AS moods,
+            CASE ord % 7 WHEN 0 THEN 'bedtime' WHEN 1 THEN 'family' END AS situation, CASE WHEN ord % 9 = 0 THEN duration_category END AS duration FROM item WHERE ord % 50 = 0),
+          val AS (SELECT 'format' AS facet, unnest(['all', 'reading', 'cartoon', 'movie']) AS value UNION ALL SELECT 'situation', unnest(['bedtime', 'family', 'independent']) UNION ALL
+            SELECT DISTINCT 'duration', duration_category FROM item WHERE duration_category <> '' UNION ALL SELECT DISTINCT 'interests', unnest(interests) FROM item UNION ALL SELECT DISTINCT 'moods', unnest(moods) FROM item),
+          t AS (SELECT qid, facet, value, age, CASE facet WHEN 'format' THEN value ELSE format END AS f, CASE facet WHEN 'situation' THEN value ELSE situation END AS s,
+            CASE facet WHEN 'duration' THEN value ELSE duration END AS du, {toggled("interests")} AS ti, {toggled("moods")} AS tm,
+            CASE facet WHEN 'format' THEN value = format WHEN 'situation' THEN coalesce(value = situation, false) WHEN 'duration' THEN coalesce(value = duration, false) WHEN 'interests' THEN list_contains(q.interests, value) ELSE list_contains(q.moods, value) END AS selected FROM q, val)""",
+    )
     out["similar_scored_all"] = out["similar_scored"].replace("(SELECT * FROM item WHERE id IN (SELECT id FROM listed)) a", "item a")
     out["favorites_stream"] = out["favorites_parity"]
     out["debounced_stream"] = out["debounced_events"].replace("250000", str(S.STREAM_QUIET_MS * 1000))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import values as V
 from shelfspark.functions.text import norm
-from shelfspark.operators import cards, collections, facets, favorites, similar, wizard
+from shelfspark.operators import bitmaps, cards, collections, facets, favorites, similar, wizard
 from shelfspark.operators.enrich import enrich
 from shelfspark.operators.ranking import with_rank
 from shelfspark.operators.recommend import Query, evaluate, first_results, neighbour_duration, query_frame, recommend, recommend_batch, relevance
@@ -17,6 +17,7 @@ from shelfspark.operators.search import matches_search, needle_columns
 from shelfspark.operators.section import Section, near_matches, result_count, section, section_domains
 from shelfspark.sources import codec
 from shelfspark.sources.catalog import derived_catalog, derived_collections, from_json_rows, require_rows
+from shelfspark.sources.staging import staged
 from shelfspark.streaming import event_time
 
 from . import scenarios as S
@@ -229,6 +230,19 @@ def facet_counts(spark, d):
     return facets.facet_counts(items(spark, d), S.FACET_QUERY)
 
 
+@query
+def facet_counts_index(spark, d):
+    """Facet counts of queries made of catalog rows, from the bitmap index alone."""
+    rows, k = items(spark, d), F.col("ord")
+    asked = rows.filter(k % 50 == 0).select(
+        "id", F.when(k % 4 > 0, F.col("age_min") + F.when(k % 3 == 0, 0.5).otherwise(1)).cast("double").alias("age"),
+        F.when(k % 5 == 0, "all").when(F.col("content_type").isin("cartoon", "movie"), F.col("content_type")).otherwise("reading").alias("format"),
+        F.slice("interests", 1, (k % 3).cast("int")).alias("interests"), F.slice("moods", 1, (k / 50 % 2).cast("int")).alias("moods"),
+        F.when(k % 7 == 0, "bedtime").when(k % 7 == 1, "family").alias("situation"), F.when(k % 9 == 0, F.col("duration_category")).alias("duration"), F.lit("").alias("search"),
+    )
+    return bitmaps.facet_counts_of(staged(bitmaps.facet_index(rows), "facets"), asked.withColumnRenamed("id", "qid"))
+
+
 def _answers(spark) -> DataFrame:
     return spark.createDataFrame(S.ANSWERS, "qid string, age int, format string, feeling string, interest string, time string, interaction string")
 
