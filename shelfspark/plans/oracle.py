@@ -192,11 +192,16 @@ def recommended(queries: dict[str, Query], body: str) -> str:
     return with_items(body, f"{query_rows(queries)}, {evaluated()}, {RELAXED}")
 
 
-def wizard_rows() -> str:
+CUSTOMER_ANSWERS = """SELECT 'c' || c_custkey AS qid, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 15 + 2 END AS age, ['all', 'reading', 'cartoon', 'movie', NULL][c_custkey % 5 + 1] AS format,
+  ['', 'rest', 'anxious', 'sad', 'bored', 'angry', 'changes', 'laugh', 'learn', 'other', NULL][c_custkey % 11 + 1] AS feeling, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN lower(c_mktsegment) END AS interest,
+  ['', 'short', 'medium', 'hour', 'long', NULL][c_custkey % 6 + 1] AS time, ['', 'self', 'family', 'adult', NULL, 'friends', 'self'][c_custkey % 7 + 1] AS interaction FROM customer"""
+
+
+def wizard_rows(answers: str | None = None) -> str:
     lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else s(v)
     rows = ", ".join("(" + ", ".join(lit(v) for v in a) + ")" for a in S.ANSWERS)
     moods = "CASE feeling " + " ".join(f"WHEN {s(k)} THEN {arr(v)}" for k, v in V.FEELING_MOODS.items()) + " ELSE []::VARCHAR[] END"
-    return f"""answers(qid, age, format, feeling, interest, time, interaction) AS (VALUES {rows}),
+    return f"""answers(qid, age, format, feeling, interest, time, interaction) AS ({answers or f"VALUES {rows}"}),
 wq AS (SELECT qid, CAST(coalesce(age, 7) AS DOUBLE) AS q_age, coalesce(format, 'all') AS q_format,
   list_filter([interest, CASE WHEN feeling = 'learn' THEN 'наука' END], lambda x: x <> '') AS q_interests, {moods} AS q_moods,
   CASE WHEN interaction = 'self' THEN 'independent' WHEN interaction IN ('family', 'adult') THEN 'family' END AS q_situation,
@@ -240,39 +245,56 @@ def encoded(parts: list[tuple[str, str]]) -> str:
 
 
 def codecs() -> dict[str, str]:
-    """URL, JSON and router queries. Their inputs are literals; what they must give is spelled out here."""
-    rows = lambda values: ", ".join(f"({k}, {s(v)})" for k, v in enumerate(values))
+    """URL, JSON, router and collection queries, with their inputs derived from the tables as plans/inputs.py says."""
     number = "CASE WHEN age = floor(age) THEN CAST(CAST(age AS BIGINT) AS VARCHAR) ELSE CAST(age AS VARCHAR) END"
     listed = lambda key: f"coalesce(array_to_string(list_filter(str_split({parameter(key)}, '|'), lambda x: x <> ''), '|'), '')"
     only = lambda key, allowed, otherwise="NULL": f"CASE WHEN {parameter(key)} IN ({', '.join(map(s, allowed))}) THEN {parameter(key)} ELSE {otherwise} END"
-    queries = ", ".join(
-        f"({s(k)}, {'NULL' if q.age is None else float(q.age)}::DOUBLE, {s(q.format)}, {arr(q.interests)}, {arr(q.moods)}, {s(q.situation)}, {s(q.duration)}, {s(q.search)})" for k, q in S.SCENARIOS.items()
-    )
     keys = {"search": "q", "theme": "theme", "mood": "mood", "duration": "duration", "primary": "mode", "secondary": "detail", "tertiary": "extra"}
     state = ", ".join(f"coalesce({parameter(key)}, '') AS \"{name}\"" for name, key in keys.items())
-    inner = ["book", "cartoon", "movie"], ["book"], ["cartoon"], ["movie", "book"]
-    types = ", ".join(f"({i}, {arr(t)})" for i, t in enumerate(inner))
+    query_urls = """urls AS (SELECT id, CASE ord % 6 WHEN 0 THEN 'age=' || age_min || '&format=' || content_type || '&interests=' || array_to_string(interests, '%7C') || '&q=' || replace(title, ' ', '+') || '%2Bc'
+      WHEN 1 THEN 'age=' || age_min || '.5&format=radio&moods=%7C%7C' || coalesce(moods[1], '') || '&situation=family' WHEN 2 THEN 'age=99&situation=never&q=' || replace(title, ' ', '+') || '&duration='
+      WHEN 3 THEN 'age=0&interests=a%7C%7C' || coalesce(interests[1], '') || '&interests=z' WHEN 4 THEN 'age=x&q=%20%20&format=reading&situation=bedtime&duration=' || replace(coalesce(duration_category, ''), ' ', '%20') ELSE '' END AS params FROM item)"""
+    section_urls = """urls AS (SELECT id, CASE WHEN ord % 7 = 0 THEN '' ELSE 'age=' || (CASE ord % 4 WHEN 0 THEN '40' WHEN 1 THEN '' ELSE CAST(age_max AS VARCHAR) END) || '&mode=both&sort=' || ['age', 'duration', 'new', 'best', ''][ord % 5 + 1]
+      || '&q=' || replace(title, ' ', '+') || (CASE WHEN ord % 3 = 0 THEN '&theme=' || coalesce(interests[3], '') || '&extra=x' ELSE '' END) END AS params FROM item)"""
+    paths = f"""paths AS (SELECT id, CASE ord % 10 WHEN 0 THEN '/catalog/' || slug WHEN 1 THEN {PATH} || '/' WHEN 2 THEN '/collections/' || slug || '%20+x' WHEN 3 THEN '/nowhere/' || slug
+      WHEN 4 THEN ['/', '/books/', '/catalog', '/cartoons', '/movies', '/collections', '/recommend', '/favorites', '/booksx'][ord // 10 % 9 + 1] ELSE {PATH} END AS path FROM item)"""
+    stored = """SELECT user_id, CASE user_id % 10 WHEN 0 THEN 'not json ' || user_id WHEN 1 THEN '{"a":' || user_id || '}' WHEN 2 THEN '[' || user_id || ',null,{"b":"c"},true,' || substr(l, 2) WHEN 3 THEN '[]' WHEN 4 THEN NULL
+      WHEN 5 THEN '["b","b",""]' WHEN 6 THEN CAST(user_id AS VARCHAR) ELSE l END AS stored
+      FROM (SELECT user_id, '["' || string_agg(DISTINCT format('w-{:06d}', event_id % 40), '","' ORDER BY format('w-{:06d}', event_id % 40)) || '"]' AS l FROM events WHERE event_type = 'click' GROUP BY user_id)"""
     return {
-        "json_favorites_sanitize": f"""SELECT CAST(k AS INTEGER) AS k, CASE WHEN json_valid(stored) AND json_type(try_cast(stored AS JSON)) = 'ARRAY'
-            THEN array_to_string(list_transform(list_filter(json_extract(try_cast(stored AS JSON), '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')), '|') ELSE '' END AS items
-            FROM (VALUES {rows(S.STORED)}) t(k, stored)""",
-        "params_decode": f"""SELECT CAST(k AS INTEGER) AS k, {age_between(parameter("age"), 1, 17)} AS age, {only("format", ("reading", "cartoon", "movie"), "'all'")} AS format, {listed("interests")} AS interests, {listed("moods")} AS moods,
-            {only("situation", ("bedtime", "family", "independent"))} AS situation, {parameter("duration")} AS duration, coalesce({parameter("q")}, '') AS search FROM (VALUES {rows(S.PARAMS)}) t(k, params)""",
-        "params_encode": f"""SELECT qid, {encoded([("age", number), ("format", "nullif(format, 'all')"), ("interests", "array_to_string(interests, '|')"), ("moods", "array_to_string(moods, '|')"), ("situation", "situation"), ("duration", "duration"), ("q", "search")])} AS params
-            FROM (VALUES {queries}) t(qid, age, format, interests, moods, situation, duration, search)""",
-        "section_params": f"""SELECT *, {encoded([("age", number), *[(key, f'"{name}"') for name, key in keys.items()], ("sort", "sort")])} AS params FROM (
-            SELECT CAST(k AS INTEGER) AS k, {age_between(parameter("age"), 2, 17)} AS age, {state}, {only("sort", ("age", "duration", "new"), "''")} AS sort
-            FROM (VALUES (0, 'age=6&mode=both&sort=new&q=a+b'), (1, 'age=40&sort=best&extra=x'), (2, '')) t(k, params))""",
-        "routes": f"""SELECT path, page, CASE page WHEN 'section' THEN CASE head WHEN 'cartoons' THEN 'cartoon' WHEN 'movies' THEN 'movie' ELSE 'book' END
+        "json_favorites_sanitize": f"""SELECT user_id, CASE WHEN json_valid(stored) AND json_type(try_cast(stored AS JSON)) = 'ARRAY'
+            THEN array_to_string(list_transform(list_filter(json_extract(try_cast(stored AS JSON), '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')), '|') ELSE '' END AS items FROM ({stored})""",
+        "params_decode": with_items(
+            f"""SELECT id, {age_between(parameter("age"), 1, 17)} AS age, {only("format", ("reading", "cartoon", "movie"), "'all'")} AS format, {listed("interests")} AS interests, {listed("moods")} AS moods,
+            {only("situation", ("bedtime", "family", "independent"))} AS situation, {parameter("duration")} AS duration, coalesce({parameter("q")}, '') AS search FROM urls""",
+            query_urls,
+        ),
+        "params_encode": with_items(
+            f"""SELECT id, {encoded([("age", number), ("format", "nullif(format, 'all')"), ("interests", "array_to_string(interests, '|')"), ("moods", "array_to_string(moods, '|')"), ("situation", "situation"), ("duration", "duration_category"), ("q", "short_description")])} AS params
+            FROM (SELECT *, CASE WHEN ord % 4 <> 0 THEN age_min + ord % 2 / 2 END AS age, CASE WHEN ord % 3 = 0 THEN 'all' ELSE content_type END AS format, CASE WHEN family THEN 'family' ELSE '' END AS situation FROM item)"""
+        ),
+        "section_params": with_items(
+            f"""SELECT *, {encoded([("age", number), *[(key, f'"{name}"') for name, key in keys.items()], ("sort", "sort")])} AS params FROM (
+            SELECT id, {age_between(parameter("age"), 2, 17)} AS age, {state}, {only("sort", ("age", "duration", "new"), "''")} AS sort FROM urls)""",
+            section_urls,
+        ),
+        "routes": with_items(
+            f"""SELECT id, path, page, CASE page WHEN 'section' THEN CASE head WHEN 'cartoons' THEN 'cartoon' WHEN 'movies' THEN 'movie' ELSE 'book' END
               WHEN 'detail' THEN CASE head WHEN 'books' THEN 'book' WHEN 'cartoons' THEN 'cartoon' WHEN 'movies' THEN 'movie' END END AS type,
               CASE WHEN page IN ('detail', 'collection') THEN url_decode(rest) END AS slug FROM (
-            SELECT path, head, rest, CASE WHEN p = '' THEN 'home' WHEN head IN ('books', 'catalog', 'cartoons', 'movies') THEN CASE WHEN rest IS NULL THEN 'section' ELSE 'detail' END
+            SELECT id, path, head, rest, CASE WHEN p = '' THEN 'home' WHEN head IN ('books', 'catalog', 'cartoons', 'movies') THEN CASE WHEN rest IS NULL THEN 'section' ELSE 'detail' END
               WHEN head = 'collections' THEN CASE WHEN rest IS NULL THEN 'collections' ELSE 'collection' END WHEN p = '/recommend' THEN 'wizard' WHEN p = '/favorites' THEN 'favorites' ELSE 'not-found' END AS page
-            FROM (SELECT path, p, split_part(p, '/', 2) AS head, CASE WHEN contains(substr(p, 2), '/') THEN regexp_extract(p, '^/[^/]*/(.*)$', 1) END AS rest
-                  FROM (SELECT path, regexp_replace(path, '/$', '') AS p FROM (VALUES {", ".join(f"({s(x)})" for x in S.ROUTES)}) t(path))))""",
-        "collection_cards": f"""SELECT 'col-' || i AS id, 'collection-' || i AS slug, 'Подборка ' || i AS title, CAST(7 + i AS INTEGER) AS n_items, CASE WHEN i % 2 = 0 THEN '4–12 лет' ELSE 'Для всей семьи' END AS age_label,
-            strftime(DATE '2026-06-10' + CAST(i AS INTEGER), '%d.%m.%Y') AS published, CASE WHEN i < 2 THEN strftime(DATE '2026-06-10' + CAST(i + 36 AS INTEGER), '%d.%m.%Y') END AS updated,
-            array_to_string(list_transform(types, lambda x: CASE x WHEN 'book' THEN 'книги' WHEN 'cartoon' THEN 'мультфильмы' WHEN 'movie' THEN 'фильмы' END), ', ') AS types FROM (VALUES {types}) t(i, types)""",
+            FROM (SELECT id, path, p, split_part(p, '/', 2) AS head, CASE WHEN contains(substr(p, 2), '/') THEN regexp_extract(p, '^/[^/]*/(.*)$', 1) END AS rest
+                  FROM (SELECT id, path, regexp_replace(path, '/$', '') AS p FROM paths)))""",
+            paths,
+        ),
+        "collection_cards": with_items(
+            """SELECT 'col-' || b AS id, 'collection-' || b // 2 AS slug, 'Подборка ' || creator AS title, CAST(n AS INTEGER) AS n_items, CASE WHEN b % 2 = 0 THEN '4–12 лет' ELSE 'Для всей семьи' END AS age_label,
+            strftime(DATE '2026-06-10' + b, '%d.%m.%Y') AS published, CASE WHEN b % 3 = 0 THEN strftime(DATE '2026-06-10' + (b + 36), '%d.%m.%Y') END AS updated,
+            array_to_string(list_transform(types, lambda x: CASE x WHEN 'book' THEN 'книги' WHEN 'cartoon' THEN 'мультфильмы' WHEN 'movie' THEN 'фильмы' END), ', ') AS types
+            FROM (SELECT creator, CAST(substr(creator, 7) AS INTEGER) AS b, count(*) AS n, list_sort(list_distinct(list(app_type))) AS types
+              FROM (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY ord) AS k FROM item WHERE creator IS NOT NULL) WHERE k <= 8 GROUP BY creator)"""
+        ),
     }
 
 
@@ -318,7 +340,7 @@ def oracle() -> dict[str, str]:
         "section_facets_book": domains("book", "unnest(genres)"),
         "section_facets_movie": domains("movie", "unnest(genres)"),
         "section_result_counts": with_items("SELECT app_type AS kind, count(*) AS n FROM item WHERE 7 BETWEEN age_min AND age_max GROUP BY app_type"),
-        "collection_slug": "SELECT 'col-2' AS id, 'Подборка 2' AS title",
+        "collection_slug": with_items("SELECT 'col-' || b AS id, 'Подборка ' || creator AS title FROM (SELECT DISTINCT creator, CAST(substr(creator, 7) AS INTEGER) AS b FROM item WHERE creator IS NOT NULL) WHERE b // 2 = 3 ORDER BY b LIMIT 1"),
         "json_catalog": with_items(
             """SELECT ord, id, CASE WHEN ord % 17 <> 0 THEN slug END AS slug, title, content_type, age_min, age_max, CASE WHEN ord % 10 <> 7 THEN year END AS year, array_to_string(interests, '|') AS interests
                FROM cat WHERE ord % 13 <> 0"""
@@ -331,9 +353,10 @@ def oracle() -> dict[str, str]:
             "SELECT id, title FROM item WHERE app_type = 'movie' AND id IN (SELECT id FROM found) ORDER BY ord LIMIT 6",
             f"{query_rows({'q': Query(5, 'movie', ('роботы',), ('уютное',), None, 'до 30 минут', '')})}, {evaluated()}, {RELAXED}",
         ),
-        "neighbour_duration": f"""SELECT a AS selected, b AS candidate, coalesce(CASE WHEN list_contains({arr(V.WATCH_DURATIONS)}, a) THEN abs(list_position({arr(V.WATCH_DURATIONS)}, a) - list_position({arr(V.WATCH_DURATIONS)}, b)) = 1
-              ELSE abs(list_position({arr(V.READ_DURATIONS)}, a) - list_position({arr(V.READ_DURATIONS)}, b)) = 1 END, false) AS neighbour
-              FROM (SELECT unnest({arr([*V.WATCH_DURATIONS, *V.READ_DURATIONS, 'иное'])}) AS a), (SELECT unnest({arr([*V.WATCH_DURATIONS, *V.READ_DURATIONS, 'иное'])}) AS b)""",
+        "neighbour_duration": with_items(
+            f"""SELECT x.id, x.duration_category AS selected, y.duration_category AS candidate, coalesce(CASE WHEN list_contains({arr(V.WATCH_DURATIONS)}, selected) THEN abs(list_position({arr(V.WATCH_DURATIONS)}, selected) - list_position({arr(V.WATCH_DURATIONS)}, candidate)) = 1
+              ELSE abs(list_position({arr(V.READ_DURATIONS)}, selected) - list_position({arr(V.READ_DURATIONS)}, candidate)) = 1 END, false) AS neighbour FROM item x JOIN item y ON y.ord = x.ord + 1"""
+        ),
         "evaluate_scores": with_items("SELECT qid, id, score, array_to_string(reasons, '; ') AS reasons, array_to_string(missed, '; ') AS missed FROM ev", f"{query_rows(S.SCENARIOS)}, {evaluated()}"),
         "recommend_batch": recommended(S.SCENARIOS, f"SELECT {SHOWN}, {NO_EXACT_RANK} FROM found"),
         "recommend_exact": recommended({"q2": S.SCENARIOS["q2"]}, "SELECT id, score, CAST(rank AS INTEGER) AS rank FROM found WHERE bucket = 'exact'"),
@@ -344,12 +367,12 @@ def oracle() -> dict[str, str]:
             """SELECT id, coalesce(nullif(creator, ''), nullif(studio, ''), 'Автор не указан') || ' · ' || age_label AS meta, array_to_string(list_concat(interests, genres)[1:3], ', ') AS tags,
                array_to_string(reasons[1:2], '; ') AS reasons, array_to_string(missed[1:1], '; ') AS missed FROM found""",
         ),
-        "wizard_query": f"WITH {wizard_rows()} SELECT qid, q_age AS age, q_format AS format, array_to_string(q_interests, '|') AS interests, array_to_string(q_moods, '|') AS moods, q_situation AS situation, q_duration AS duration FROM wq",
+        "wizard_query": f"WITH {wizard_rows(CUSTOMER_ANSWERS)} SELECT qid, q_age AS age, q_format AS format, array_to_string(q_interests, '|') AS interests, array_to_string(q_moods, '|') AS moods, q_situation AS situation, q_duration AS duration FROM wq",
         "wizard_results": with_items(
             "SELECT qid, bucket, id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bo, rank) AS place FROM found) WHERE place <= 6",
             f"{wizard_rows()}, {evaluated('wq')}, {RELAXED}",
         ),
-        "wizard_explanation": f"""WITH {wizard_rows()} SELECT qid, 'Сейчас лучше выбрать ' || (CASE feeling WHEN 'anxious' THEN 'спокойный и уютный' WHEN 'laugh' THEN 'смешной' WHEN 'learn' THEN 'познавательный' ELSE 'подходящий по настроению' END) || ' '
+        "wizard_explanation": f"""WITH {wizard_rows(CUSTOMER_ANSWERS)} SELECT qid, 'Сейчас лучше выбрать ' || (CASE feeling WHEN 'anxious' THEN 'спокойный и уютный' WHEN 'laugh' THEN 'смешной' WHEN 'learn' THEN 'познавательный' ELSE 'подходящий по настроению' END) || ' '
                || (CASE format WHEN 'reading' THEN 'историю для чтения' WHEN 'cartoon' THEN 'мультфильм' WHEN 'movie' THEN 'фильм' ELSE 'книгу, мультфильм или фильм' END) || ' '
                || (CASE interaction WHEN 'self' THEN 'для самостоятельного знакомства' ELSE 'для совместного времени' END) || '. ' || {s(V.WIZARD_NOTE)} AS sentence FROM answers""",
         "home_picks": with_items("SELECT id, app_type FROM (SELECT *, row_number() OVER (PARTITION BY app_type ORDER BY ord) - 1 AS spot FROM item) WHERE spot = CASE app_type WHEN 'book' THEN 10 WHEN 'cartoon' THEN 0 ELSE 4 END"),

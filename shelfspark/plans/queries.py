@@ -20,6 +20,7 @@ from shelfspark.sources.catalog import derived_catalog, derived_collections, fro
 from shelfspark.sources.staging import staged
 from shelfspark.streaming import event_time
 
+from . import inputs
 from . import scenarios as S
 from .oracle import oracle
 
@@ -174,13 +175,14 @@ def section_result_counts(spark, d):
 
 
 @query
-def neighbour_durations(spark, d):
-    names = [*V.WATCH_DURATIONS, *V.READ_DURATIONS, "иное"]
-    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "selected string, candidate string")
-    return pairs.withColumn("neighbour", neighbour_duration(F.col("selected"), F.col("candidate")))
+def neighbour_duration_of_rows(spark, d):
+    """Each row's duration category beside the next row's."""
+    rows = items(spark, d).select("id", "ord", F.col("duration_category").alias("selected"))
+    following = rows.select((F.col("ord") - 1).alias("ord"), F.col("selected").alias("candidate"))
+    return rows.join(following, "ord").select("id", "selected", "candidate", neighbour_duration(F.col("selected"), F.col("candidate")).alias("neighbour"))
 
 
-QUERIES["neighbour_duration"] = QUERIES.pop("neighbour_durations")
+QUERIES["neighbour_duration"] = QUERIES.pop("neighbour_duration_of_rows")
 
 
 @query
@@ -249,7 +251,7 @@ def _answers(spark) -> DataFrame:
 
 @query
 def wizard_query(spark, d):
-    return text(wizard.to_queries(_answers(spark)), "interests", "moods").drop("search")
+    return text(wizard.to_queries(inputs.answers(spark, d)), "interests", "moods").drop("search")
 
 
 @query
@@ -259,7 +261,7 @@ def wizard_results(spark, d):
 
 @query
 def wizard_explanation(spark, d):
-    return wizard.explanation(_answers(spark))
+    return wizard.explanation(inputs.answers(spark, d))
 
 
 @query
@@ -286,12 +288,13 @@ def collection_orphans(spark, d):
 
 @query
 def collection_cards(spark, d):
-    return collections.cards(derived_collections(spark))
+    return collections.cards(inputs.brand_collections(items(spark, d)))
 
 
 @query
 def collection_slug(spark, d):
-    return collections.by_slug(derived_collections(spark), "collection-2").select("id", "title")
+    """The first collection of a slug that two collections have."""
+    return collections.by_slug(inputs.brand_collections(items(spark, d)), "collection-3").select("id", "title")
 
 
 @query
@@ -383,33 +386,37 @@ def debounced_stream(spark, d):
 
 @query
 def json_favorites_sanitize(spark, d):
-    stored = spark.createDataFrame([(i, t) for i, t in enumerate(S.STORED)], "k int, stored string")
-    return stored.select("k", F.array_join(favorites.parse_favorites(F.col("stored")), "|").alias("items"))
+    stored = inputs.stored_lists(spark, d)
+    return stored.select("user_id", F.array_join(favorites.parse_favorites(F.col("stored")), "|").alias("items"))
 
 
 @query
 def params_decode(spark, d):
-    rows = spark.createDataFrame([(i, p) for i, p in enumerate(S.PARAMS)], "k int, params string")
-    return text(rows.select("k", *[c.alias(n) for n, c in codec.decode_query(F.col("params")).items()]), "interests", "moods")
+    rows = inputs.query_urls(items(spark, d))
+    return text(rows.select("id", *[c.alias(n) for n, c in codec.decode_query(F.col("params")).items()]), "interests", "moods")
 
 
 @query
 def params_encode(spark, d):
-    queries = _scenarios(spark)
-    return queries.select("qid", codec.encode_query(queries).alias("params"))
+    c = F.col
+    asked = items(spark, d).select(
+        "id", F.when(c("ord") % 4 == 0, None).otherwise(c("age_min") + c("ord") % 2 / 2).cast("double").alias("age"), F.when(c("ord") % 3 == 0, "all").otherwise(c("content_type")).alias("format"),
+        "interests", "moods", F.when(c("family"), "family").otherwise("").alias("situation"), c("duration_category").alias("duration"), c("short_description").alias("search"),
+    )
+    return asked.select("id", codec.encode_query(asked).alias("params"))
 
 
 @query
 def section_params(spark, d):
-    rows = spark.createDataFrame([(0, "age=6&mode=both&sort=new&q=a+b"), (1, "age=40&sort=best&extra=x"), (2, "")], "k int, params string")
-    decoded = rows.select("k", *[c.alias(n) for n, c in codec.decode_section(F.col("params"), 2, 17).items()])
+    rows = inputs.section_urls(items(spark, d))
+    decoded = rows.select("id", *[c.alias(n) for n, c in codec.decode_section(F.col("params"), 2, 17).items()])
     return decoded.withColumn("params", codec.encode_section(decoded))
 
 
 @query
 def routes(spark, d):
-    rows = spark.createDataFrame([(p,) for p in S.ROUTES], "path string")
-    return rows.select("path", codec.route(F.col("path")).alias("r")).select("path", "r.*")
+    rows = inputs.paths(items(spark, d))
+    return rows.select("id", "path", codec.route(F.col("path")).alias("r")).select("id", "path", "r.*")
 
 
 ORACLE = oracle()

@@ -34,17 +34,6 @@ ANSWERS = [
     ("a6", None, None, None, None, None, None),
 ]
 ANSWER_COLUMNS = ("qid", "age", "format", "feeling", "interest", "time", "interaction")
-PARAMS = [
-    "",
-    "age=6&format=cartoon&interests=%D0%B4%D1%80%D1%83%D0%B6%D0%B1%D0%B0%7C%D1%81%D0%B5%D0%BC%D1%8C%D1%8F&q=a+b%2Bc",
-    "age=6.5&format=radio&moods=%7C%7C&situation=family",
-    "age=99&situation=never&duration=",
-    "age=0&interests=a%7C%7Cb&interests=z",
-    "age=x&q=%20%20",
-    "age=&format=reading&duration=%D0%B4%D0%BE%2015%20%D0%BC%D0%B8%D0%BD%D1%83%D1%82",
-]
-ROUTES = ["/", "/books/", "/catalog", "/cartoons", "/movies/a-b", "/books/%D0%B0+b", "/catalog/x%20y", "/collections", "/collections/c-1/", "/recommend", "/favorites", "/nowhere", "/booksx"]
-STORED = ["not json", '{"a":1}', '["a",1,null,"b"]', "[]", None, '["b","b"]', "3"]
 # How late a replayed event may be (a third of the events' month), and the quiet time of the streamed debounce.
 STREAM_DELAY = "10 days"
 STREAM_QUIET_MS = 3_600_000
