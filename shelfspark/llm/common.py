@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from urllib.parse import urlsplit
 
@@ -73,9 +74,11 @@ def drop(*tables: DataFrame) -> None:
 
 
 def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps, which it does when the driver's objects for them are collected."""
+    """Let Spark delete the shuffle files of finished steps, which it does when the driver's objects for them are collected: Python's first, whose hold on the JVM's ends a little later."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -55,9 +55,9 @@ FOLDS = 10
 #: The hash that stands for the end of a text.
 END = 1
 #: Bytes of text in a bucket, the groups of buckets that packs are dealt to at most, and the buckets of a group.
-BUCKET_BYTES, COARSE, EACH = 6 << 20, 4096, 5
+BUCKET_BYTES, COARSE, EACH = 4 << 20, 4096, 8
 #: Bytes of text that are packed together, unless one text is longer, and rows of an answer that are given at a time.
-BLOCK_BYTES, ROWS = 3 << 20, 1 << 16
+BLOCK_BYTES, ROWS = 4 << 20, 1 << 15
 #: Documents whose sums a task holds over its buckets.
 DOCS = 1 << 18
 HOT, HOT_PAIR, SALTS = 1 << 16, 1 << 10, 64
@@ -259,33 +259,37 @@ def blocks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def packs(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
     """The pairs of each batch of documents, packed by group of buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    coarse = coarse_of(buckets)
 
     def run(batches):
-        hot = shared.value
         for whole in batches:
             for batch in blocks_of(whole):
-                word, each = tokens_of(batch.column("text"))
-                context, doc = before(word), np.repeat(np.arange(len(each), dtype=np.int32), each)
-                keys, held = batch.column("key").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
-                salt = int(keys[0] % SALTS)
-                group = hot.bucket(context, word, salt, buckets) % coarse
-                # By group, then word, then the word before: places of a pair stand together but for collisions, which only split a pair.
-                order = np.argsort(group.astype(_U) << _U(50) | (mix(word) >> _U(39)) << _U(25) | mix(context) >> _U(39))
-                word, context, doc, group = word[order], context[order], doc[order], group[order]
-                first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (group[1:] != group[:-1])]))
-                n = np.diff(np.append(first, len(word)))
-                edges = np.flatnonzero(np.concatenate([[True], group[first][1:] != group[first][:-1]]))
-                out = []
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(first)]):
-                    lo, hi = first[a], first[b - 1] + n[b - 1]
-                    out.append((int(group[lo]), 0, salt, _pack(word[first[a:b]], context[first[a:b]], n[a:b], doc[lo:hi], keys, held, hot)))
-                for i in range(0, len(out), 64):
-                    yield _pack_batch(out[i : i + 64])
+                rows = _block_packs(batch, shared.value, buckets)
+                for i in range(0, len(rows), 16):
+                    yield _pack_batch(rows[i : i + 16])
 
     return docs.select("key", "held", "text").mapInArrow(run, _PACK)
 
 
+def _block_packs(batch: pa.RecordBatch, hot: Hot, buckets: int) -> list[tuple]:
+    word, each = tokens_of(batch.column("text"))
+    context, doc = before(word), np.repeat(np.arange(len(each), dtype=np.int32), each)
+    keys, held = batch.column("key").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
+    salt = int(keys[0] % SALTS)
+    group = (hot.bucket(context, word, salt, buckets) % coarse_of(buckets)).astype(np.int32)
+    # By group, then word, then the word before: places of a pair stand together but for collisions, which only split a pair.
+    order = np.argsort(group.astype(_U) << _U(50) | (mix(word) >> _U(39)) << _U(25) | mix(context) >> _U(39))
+    word, context, doc, group = word[order], context[order], doc[order], group[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (group[1:] != group[:-1])]))
+    n = np.diff(np.append(first, len(word)))
+    edges = np.flatnonzero(np.concatenate([[True], group[first][1:] != group[first][:-1]]))
+    out = []
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(first)]):
+        lo, hi = first[a], first[b - 1] + n[b - 1]
+        out.append((int(group[lo]), 0, salt, _pack(word[first[a:b]], context[first[a:b]], n[a:b], doc[lo:hi], keys, held, hot)))
+    return out
+
+
 def finer(packed: DataFrame, hot: Hot, buckets: int) -> DataFrame:
     """Packs dealt by group, each cut by bucket, sorted by bucket."""
     shared, coarse = packed.sparkSession.sparkContext.broadcast(hot), coarse_of(buckets)
