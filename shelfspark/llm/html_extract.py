@@ -7,13 +7,14 @@ among its siblings, what its neighbours hold, and the same tokens on its
 ancestors. Text directly in body counts as a block of its own. Boosted trees
 give it a log-odds of being main text. Decoding is hierarchical: an element may
 only be kept with its parent, and the kept set is the one of largest total, so
-that no answer contradicts an ancestor's.
+that no answer contradicts an ancestor's. Where that set has no text but the page has
+prose, the best closed set that holds some of it is taken.
 
 The trees are trained here, on pages that this module writes itself from random
 layouts, of which it knows the main parts. In a share of the pages (FAMILIES) no
 name tells anything: elements are plain `div`s of random or misleading classes,
-or the article stands in body itself, as paragraphs or bare text. Training takes
-seconds, on the driver, with a fixed seed.
+or the article stands in body itself, as paragraphs or bare text; articles may be in
+several parts, rich in links, or end in lists of links. Training takes some 15 seconds, on the driver, with a fixed seed.
 
 Defined results: null or empty html has empty text; a page cut off in the
 middle counts as far as it goes; a page without main text has empty text;
@@ -42,8 +43,11 @@ LEXICON = {
     "notice": "cookie cookies consent gdpr notice alert alertdialog modal popup overlay newsletter subscribe paywall toast",
     "comment": "comment comments reply replies disqus discussion respond responses feedback thread",
     "form": "form search searchbox login signup fieldset input",
-    "share": "share sharing social follow tags tag tagged meta byline tools buttons",
+    "share": "share sharing social follow tags tag tagged tools buttons",
     "main": "article main content post entry story body text prose articlebody hentry page",
+    "byline": "byline author meta date dateline published time credit",
+    "part": "question answer answers chapter section part lead intro summary step accepted",
+    "quote": "pullquote quote blockquote epigraph callout",
 }
 _LEXICON = {w: i for i, words in enumerate(LEXICON.values()) for w in words.split()}
 _KINDS = len(LEXICON)
@@ -149,7 +153,7 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
 class Boosted:
     """Gradient-boosted regression trees of fixed depth for two classes, with binned features. `least` is the second-order weight that a child needs."""
 
-    def __init__(self, trees: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32, least: float = 2.0):
+    def __init__(self, trees: int = 100, depth: int = 6, rate: float = 0.2, bins: int = 32, least: float = 2.0):
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -225,7 +229,7 @@ class Boosted:
 #: Marks that the page writer leaves on its main elements and at the front of main text that no element holds. The features don't see them.
 _MAIN, _MAIN_TEXT = "data-main", "\ue000"
 #: Kinds of layouts, with their shares: parts with telling names; plain elements of random classes; an article whose classes tell of something else; an article's elements directly in body; and its bare text there.
-FAMILIES = {"named": 0.5, "plain": 0.17, "misnamed": 0.08, "bare": 0.15, "text": 0.1}
+FAMILIES = {"named": 0.43, "plain": 0.2, "misnamed": 0.14, "bare": 0.14, "text": 0.09}
 
 
 def write_page(rng: random.Random, family: str | None = None) -> str:
@@ -288,27 +292,74 @@ def write_page(rng: random.Random, family: str | None = None) -> str:
             return named("div", kind, rng.choice([linked(rng.randint(1, 3), "span"), f'{words(1, 12)} <a href="/c">{words(1, 2)}</a> <button>{words(1, 2)}</button>', f'<a href="/b">{words(1, 8)}</a>']))
         return named(rng.choice(["div", "div", "section", "p"]), kind, rng.choice([words(1, 40), bulk()]))
 
+    def link() -> str:
+        return f'<a href="/{rng.randint(1, 99)}">{words(1, rng.choice([2, 4, 8]))}</a>'
+
+    def with_links() -> str:
+        """A sentence that is links for a good part."""
+        pieces = [rng.choice([words(1, 6), words(1, 25), ""])]
+        for _ in range(rng.choice([1, 2, 3, 5])):
+            pieces += [link(), rng.choice([words(1, 3), words(1, 12), ",", "and"])]
+        return " ".join(pieces)
+
+    def sources() -> str:
+        """A heading and a list of what the text refers to: links, with or without words beside them."""
+        tag, heading = rng.choice(["ul", "ol"]), rng.choice(["h2", "h3", "h4", "p"])
+        kinds = rng.choice([[link], [link], [link, lambda: f"{link()} {words(1, 9)}", lambda: f"{words(1, 6)} {link()}", lambda: words(3, 15)]])
+        item = lambda: rng.choice(kinds)()
+        return f"<{heading} {_MAIN}>{words(1, 3)}</{heading}><{tag} {_MAIN}>" + "".join(f"<li {_MAIN}>{item()}</li>" for _ in range(rng.randint(1, 9))) + f"</{tag}>"
+
+    def byline() -> str:
+        tag, word = rng.choice(["p", "div", "span", "address"]), rng.choice(LEXICON["byline"].split())
+        inside = rng.choice([words(1, 7), words(2, 5), f"{words(1, 2)} {link()}", f"<time>{rng.randint(1, 28)} {words(1, 1)} {rng.randint(1990, 2030)}</time>", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}"])
+        inside = f"<{tag} {_MAIN}" + (f' class="{word}"' if telling else random_class()) + f">{inside}</{tag}>"
+        return f"<p {_MAIN}>{inside}</p>" if tag == "span" else inside
+
     def good() -> str:
         kind = rng.random()
-        if kind < 0.7:
+        if kind < 0.6:
             inside = words(1, rng.choice([3, 20, 150, 400]))
             if rng.random() < 0.2:
                 inside = f"<b>{words(1, 12)}<br>" + inside * (rng.random() < 0.3)
             if rng.random() < 0.1:
                 inside += f' <a href="/x">{words(1, 5)}</a> {words(1, 9)}'
             return f"<p {_MAIN}>{inside}" + "</p>" * (rng.random() < 0.9)
-        if kind < 0.78:
+        if kind < 0.68:
+            return f"<p {_MAIN}>{with_links()}</p>"
+        if kind < 0.75:
             return f"<{(h := rng.choice(['h2', 'h3']))} {_MAIN}>{words(1, 8)}</{h}>"
+        if kind < 0.83:
+            tag = rng.choice(["ul", "ul", "ol"])
+            item = lambda: rng.choice([words(1, 20), words(1, 4), f"{words(1, 12)} {link()}", with_links()])
+            return f"<{tag} {_MAIN}>" + "".join(f"<li {_MAIN}>{item()}</li>" for _ in range(rng.randint(1, 6))) + f"</{tag}>"
         if kind < 0.86:
-            return f"<ul {_MAIN}>" + "".join(f"<li {_MAIN}>{words(1, 20)}</li>" for _ in range(rng.randint(1, 6))) + "</ul>"
-        if kind < 0.9:
-            return f"<blockquote {_MAIN}><p {_MAIN}>{words(3, 40)}</p></blockquote>"
-        if kind < 0.94:
+            inside = f"<p {_MAIN}>{words(3, 40)}</p>"
+            if rng.random() < 0.4:
+                word = rng.choice(LEXICON["quote"].split())
+                return f'<{(q := rng.choice(["aside", "div", "blockquote"]))} {_MAIN} class="{word}">{inside}</{q}>'
+            return f"<blockquote {_MAIN}>{inside}</blockquote>"
+        if kind < 0.89:
             return f"<div {_MAIN}>{words(1, 100)}</div>"
-        if kind < 0.97:
-            return f"<table {_MAIN}>" + "".join(f"<tr {_MAIN}><td {_MAIN}>{words(1, 3)}</td><td {_MAIN}>{words(1, 3)}</td></tr>" for _ in range(rng.randint(1, 5))) + "</table>"
+        if kind < 0.92:
+            cell = lambda: f"<{(c := rng.choice(['td', 'td', 'th']))} {_MAIN}>{words(1, 3)}</{c}>"
+            return f"<table {_MAIN}>" + "".join(f"<tr {_MAIN}>{cell()}{cell()}</tr>" for _ in range(rng.randint(1, 5))) + "</table>"
+        if kind < 0.94:
+            return f"<dl {_MAIN}>" + "".join(f"<dt {_MAIN}>{words(1, 3)}</dt><dd {_MAIN}>{words(2, 40)}</dd>" for _ in range(rng.randint(1, 5))) + "</dl>"
+        if kind < 0.96:
+            return f'<figure {_MAIN}><img src="x"><figcaption {_MAIN}>{words(2, 20)}</figcaption></figure>'
         return f"<pre {_MAIN}>{words(1, 60)}</pre>"
 
+    def divided(parts: list[str]) -> str:
+        """The article's elements in several containers, most with a heading of their own."""
+        tag = rng.choice(["section", "div", "div"]) if semantic else "div"
+        named_part = lambda: f' class="{rng.choice(LEXICON["part"].split())}"' if telling and rng.random() < 0.6 else "" if rng.random() < 0.4 else random_class()
+        cuts = sorted(rng.sample(range(1, len(parts)), min(len(parts) - 1, rng.choice([1, 1, 2, 4])))) if len(parts) > 1 else []
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(parts)]):
+            heading = f"<{(h := rng.choice(['h2', 'h2', 'h3']))} {_MAIN}>{words(1, 8)}</{h}>" if rng.random() < 0.75 else ""
+            out.append(f"<{tag} {_MAIN}{named_part()}>{heading}{''.join(parts[a:b])}</{tag}>")
+        return "".join(out)
+
     title = words(1, 12)
     title_part = f"<h1 {_MAIN}>{title}</h1>" if rng.random() < 0.8 else ""
     if family == "text":
@@ -319,17 +370,25 @@ def write_page(rng: random.Random, family: str | None = None) -> str:
     elif telling:
         inner_bad = [k for k in ("advert", "share", "comment", "side", "form", "notice") if rng.random() < 0.12]
         parts = [good() for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 13, 25]))]
+        if parts and rng.random() < 0.25:
+            parts.append(sources())
+        in_parts = len(parts) > 1 and rng.random() < 0.25
+        if in_parts:
+            parts = [divided(parts)]
         for k in inner_bad:
             parts.insert(rng.randint(0, len(parts)) if k != "comment" else len(parts), bad(k))
+        under_title = byline() if rng.random() < 0.2 else ""
         if title_part:
-            parts.insert(0, title_part if rng.random() < 0.85 else f"<header {_MAIN}>{title_part}</header>")
+            parts.insert(0, title_part + under_title if rng.random() < 0.75 else f"<header {_MAIN}>{title_part}{under_title}</header>")
         elif not parts:
             parts = [good()]
         body = "".join(parts)
         if rng.random() < 0.3:
             body = f'<div {_MAIN} class="{rng.choice(["content", "entry", "text", "body", "inner", "wrap"])}">{body}</div>'
         shell = rng.random()
-        if shell < 0.6:
+        if in_parts and shell < 0.45:
+            pass
+        elif shell < 0.6:
             body = f"<article {_MAIN}>{body}</article>"
         elif shell < 0.75:
             body = f"<main {_MAIN}>{body}</main>"
@@ -343,14 +402,20 @@ def write_page(rng: random.Random, family: str | None = None) -> str:
             parts.insert(rng.randint(0, len(parts)), f"<p {_MAIN}>{words(25, rng.choice([40, 120, 300]))}</p>")
         if rng.random() < 0.2:
             parts.insert(rng.randint(0, len(parts)), bad(rng.choice(["share", "advert", "form"])))
-        body = title_part + "".join(parts)
-        if rng.random() < 0.2:
-            body = title_part + f"<div {_MAIN}{random_class()}>{''.join(parts)}</div>"
+        if rng.random() < 0.25:
+            parts.append(sources())
+        under_title = byline() if title_part and rng.random() < 0.15 else ""
+        body = title_part + under_title + "".join(parts)
+        shape = rng.random()
+        if shape < 0.2:
+            body = title_part + under_title + f"<div {_MAIN}{random_class()}>{''.join(parts)}</div>"
+        elif shape < 0.5:
+            body = title_part + under_title + divided([x for x in parts if _MAIN in x] if family == "bare" else parts)
         if family == "misnamed":
             word = rng.choice([w for kind in ("head", "side", "comment", "foot", "form", "share", "notice", "menu") for w in LEXICON[kind].split()])
             body = f'<div {_MAIN} {rng.choice(["class", "id"])}="{rng.choice([word, "layout-" + word, word + "-page"])}">{body}</div>'
         elif family == "plain":
-            for _ in range(rng.choice([1, 1, 2, 3])):
+            for _ in range(rng.choice([0, 1, 1, 2, 3]) if 0.2 <= shape < 0.5 else rng.choice([1, 1, 2, 3])):
                 body = f"<{(tag := rng.choice(['div', 'div', 'section'] if semantic else ['div']))} {_MAIN}{random_class()}>{body}</{tag}>"
     often = 1.0 if telling else 0.7
     before = [bad(k) for k in ("head", "menu", "notice", "advert", "form", "advert") if rng.random() < 0.45 * often]
@@ -381,7 +446,7 @@ def labelled_page(source: str) -> tuple[Page, np.ndarray]:
     return page, marked
 
 
-TRAINING_PAGES = 1400
+TRAINING_PAGES = 2500
 _model: Boosted | None = None
 
 
@@ -419,6 +484,46 @@ def decode(page: Page, blocks: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: The lowest total at which prose is kept where nothing else is.
+LEAST_SCORE = -4.0
+
+
+def with_prose(page: Page, blocks: np.ndarray, scores: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """keep, unless it holds no text though the page has prose (a run of LONG characters outside of links): then the closed set of largest total that holds some, if that total is at least LEAST_SCORE."""
+    if any(keep[element] and piece.strip() for element, _, piece in page.runs):
+        return keep
+    n = len(page.tags)
+    linked = [False] * n
+    for i in range(1, n):
+        linked[i] = page.tags[i] == "a" or linked[page.parents[i]]
+    prose = sorted({element for element, _, piece in page.runs if len(piece.strip()) >= LONG and not linked[element]})
+    own = np.zeros(n)
+    own[blocks] = scores
+    total, gains = own.copy(), np.zeros(n)
+    for i in range(n - 1, 0, -1):
+        if total[i] > 0:
+            total[page.parents[i]] += total[i]
+            gains[page.parents[i]] += total[i]
+    best, chosen = LEAST_SCORE, None
+    for element in prose:
+        path, sum_of_path = set(), gains[0]
+        while element > 0:
+            path.add(element)
+            # What is gained beside the path counts too; the path's own elements were counted if they gain.
+            sum_of_path += own[element] + gains[element]
+            sum_of_path -= max(total[element], 0)
+            element = page.parents[element]
+        if sum_of_path >= best and not any(page.tags[i] == "head" for i in path):
+            best, chosen = sum_of_path, path
+    if chosen is None:
+        return keep
+    out = np.zeros(n, bool)
+    out[0] = True
+    for i in range(1, n):
+        out[i] = i in chosen or (out[page.parents[i]] and total[i] >= 0 and page.tags[i] != "head")
+    return out
+
+
 def main_text(page: Page, keep: np.ndarray) -> str:
     blocks: list[str] = []
     last = None
@@ -441,7 +546,7 @@ def extract_pages(sources: list[str], trees: Boosted) -> list[str]:
     for page, (blocks, _) in zip(pages, rows):
         own = scores[at : at + len(blocks)]
         at += len(blocks)
-        out.append(main_text(page, decode(page, blocks, own)))
+        out.append(main_text(page, with_prose(page, blocks, own, decode(page, blocks, own))))
     return out
 
 

@@ -153,3 +153,56 @@ def test_decoding_is_hierarchical():
 def test_blocks(source, texts):
     page = parse(f"<article>{source}</article>")
     assert hx.main_text(page, np.ones(len(page.tags), bool)).split("\n") == texts
+
+
+def test_pages_written_by_hand():
+    """Recall and precision by block on pages that training never saw, and whole results for nearly all."""
+    from pages_by_hand import PAGES
+
+    names = list(PAGES)
+    found = [t.split("\n") if t else [] for t in hx.extract_pages([PAGES[n][0] for n in names], hx.model())]
+    missing = {n: [b for b in PAGES[n][1] if b not in f] for n, f in zip(names, found)}
+    more = {n: [b for b in f if b not in PAGES[n][1]] for n, f in zip(names, found)}
+    blocks = sum(len(want) for _, want in PAGES.values())
+    assert sum(map(len, missing.values())) <= 0.03 * blocks, missing
+    assert sum(map(len, more.values())) <= 0.01 * blocks, more
+    assert sum(f == PAGES[n][1] for n, f in zip(names, found)) >= len(names) - 3
+
+
+@pytest.mark.parametrize("name", ["links in front", "links between, plain", "sources at the end", "byline in a header", "pull quote"])
+def test_link_rich_and_divided_articles_come_whole(name):
+    from pages_by_hand import PAGES
+
+    source, want = PAGES[name]
+    assert hx.extract_pages([source], hx.model())[0].split("\n") == want
+
+
+def test_prose_is_kept_where_nothing_else_is():
+    """The closed set of largest total among those that hold some prose, against all sets; none below the least total, none without prose."""
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    page = parse(f"<div><p>{PROSE}</p><div><p>short</p><p>{PROSE}</p></div></div><section><p><a>{PROSE}</a></p></section>")
+    blocks = np.arange(1, len(page.tags))
+    blocks = np.array([b for b in blocks if page.tags[b] != "a"])
+    prose = {e for e, _, t in page.runs if len(t) >= hx.LONG and page.tags[e] != "a"}
+    for _ in range(60):
+        scores = rng.normal(-1, 1, size=len(blocks))
+        keep = hx.decode(page, blocks, scores)
+        out = hx.with_prose(page, blocks, scores, keep)
+        if any(keep[e] for e, _, _ in page.runs):
+            assert (out == keep).all()
+            continue
+        own, best = dict(zip(blocks.tolist(), scores)), None
+        for chosen in product((False, True), repeat=len(blocks)):
+            kept = {0, *(b for b, c in zip(blocks.tolist(), chosen) if c)}
+            if kept & prose and all(page.parents[b] in kept for b in kept if b):
+                total = sum(own[b] for b in kept if b)
+                best = total if best is None else max(best, total)
+        if best < hx.LEAST_SCORE:
+            assert (out == keep).all()
+        else:
+            assert abs(sum(own[b] for b in own if out[b]) - best) < 1e-9 and any(out[e] for e in prose)
+    menus = parse("<nav><ul><li><a href='/'>Home</a></li></ul></nav><footer>All rights reserved</footer>")
+    blocks, x = hx.features(menus)
+    assert hx.extract_pages(["<nav><ul><li><a href='/'>Home</a></li></ul></nav><footer>All rights reserved</footer>"], hx.model()) == [""]
