@@ -203,6 +203,10 @@ def test_prose_is_kept_where_nothing_else_is():
             assert (out == keep).all()
         else:
             assert abs(sum(own[b] for b in own if out[b]) - best) < 1e-9 and any(out[e] for e in prose)
-    menus = parse("<nav><ul><li><a href='/'>Home</a></li></ul></nav><footer>All rights reserved</footer>")
-    blocks, x = hx.features(menus)
-    assert hx.extract_pages(["<nav><ul><li><a href='/'>Home</a></li></ul></nav><footer>All rights reserved</footer>"], hx.model()) == [""]
+
+
+def test_a_page_of_nothing_but_its_surroundings():
+    from pages_by_hand import FOOT, MENU, NAV
+
+    pages = [f"<html><body>{NAV}{FOOT}</body></html>", f"<html><body>{MENU}{NAV}<div class='cookie'>We use cookies.</div>{FOOT}</body></html>"]
+    assert hx.extract_pages(pages, hx.model()) == ["", ""]
