@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from shelfspark.functions.text import strings
 
+from .json_array import json_objects
+
 REQUIRED = ("id", "slug", "title", "contentType", "recommendedAgeMin", "recommendedAgeMax")
 #: JSON key, column, type.
 FIELDS = (
@@ -75,6 +77,11 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     return require_rows(from_json_rows(items.select(F.col("ord").cast("bigint").alias("ord"), F.to_json("item").alias("raw"))))
 
 
+def load_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """What load_json gives, for a file of any size: the array is read by byte ranges, in many tasks. Its elements should be objects."""
+    return require_rows(from_json_rows(json_objects(spark, path)))
+
+
 def load_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Rows as JSON lines with their own `ord` key: the form for catalogs too large for one array."""
     raw = spark.read.text(path).withColumnRenamed("value", "raw")
