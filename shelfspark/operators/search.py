@@ -52,8 +52,11 @@ def matches_search(prefix: str = "") -> Column:
     return F.when(needle == "", True).when(direct_hit(needle), True).otherwise(recorded & ~refuted)
 
 
-def haystack_hit(search: Column) -> Column:
-    """The section's own search: one joined text of titles, description, creator, studio and themes."""
+def haystack_text() -> Column:
+    """The section's own search looks through one text of titles, description, creator, studio and themes, normalised."""
     parts = F.concat(F.array("title", "original_title", "description", "creator", "studio"), F.coalesce("interests", F.array().cast("array<string>")))
-    joined = F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")
-    return sure(norm(joined).contains(norm(search)))
+    return norm(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " "))
+
+
+def haystack_hit(search: Column) -> Column:
+    return sure(haystack_text().contains(norm(search)))

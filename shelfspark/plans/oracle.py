@@ -395,6 +395,28 @@ def oracle() -> dict[str, str]:
         "favorites_view": with_items("SELECT id, title FROM item WHERE ord IN (SELECT item FROM clicks GROUP BY user_id, item HAVING count(*) % 2 = 1)", CLICKS),
         "debounced_events": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 250000",
     }
+    out["favorites_log"] = out["favorites_parity"]
+    out["json_file_catalog"] = with_items("SELECT ord, id, slug, title, content_type, age_min, age_max, year, array_to_string(interests, '|') AS interests, 'a \"quoted } text\" [,\\' || title AS note FROM item")
+    ok = {
+        "age": "(q_age IS NULL OR q_age BETWEEN i.age_min AND i.age_max)",
+        "format": "(q_format = 'all' OR q_format = i.content_type)",
+        "situation": "(q_situation IS NULL OR i.bedtime)",
+        "interests": "list_has_all(i.interests, q_interests)",
+        "moods": "list_has_all(i.moods, q_moods)",
+        "duration": "(q_duration IS NULL OR i.duration_category IS NOT DISTINCT FROM q_duration)",
+        "search": f"(q_search = '' OR {matches(norm('q_search'), 'q_search')})",
+    }
+    given = ["q_age IS NOT NULL", "q_format <> 'all'", "q_situation IS NOT NULL", "len(q_interests) > 0", "len(q_moods) > 0", "q_duration IS NOT NULL", "q_search <> ''"]
+    gone = lambda k: f"(r >> {k}) & 1 = 1"
+    out["relaxing_filters"] = with_items(
+        f"""SELECT qid, array_to_string(list_filter([{', '.join(f"CASE WHEN {gone(k)} THEN '{name}' END" for k, name in enumerate(ok))}], lambda x: x IS NOT NULL), ',') AS filters, n
+          FROM (SELECT *, min(bit_count(r)) OVER (PARTITION BY qid) AS least FROM sums) WHERE bit_count(r) = least""",
+        f"""q AS (SELECT id AS qid, age_max + 1.0 + ord % 3 AS q_age, CASE WHEN ord % 4 = 0 THEN 'all' WHEN content_type = 'movie' THEN 'cartoon' ELSE 'movie' END AS q_format,
+            list_concat(interests[1:2], CASE WHEN ord % 3 = 0 THEN ['роботы'] ELSE [] END) AS q_interests, moods AS q_moods, CASE WHEN ord % 100 = 0 THEN 'bedtime' END AS q_situation,
+            CASE WHEN ord % 7 > 2 THEN duration_category END AS q_duration, CASE WHEN ord % 8 = 0 THEN split_part(title, ' ', 1) ELSE '' END AS q_search FROM item WHERE ord % 50 = 0),
+          flags AS (SELECT qid, {', '.join(f"{x} AS ok{k}" for k, x in enumerate(ok.values()))}, {', '.join(f"{x} AS on{k}" for k, x in enumerate(given))} FROM q, item i),
+          sums AS (SELECT qid, r, count(*) AS n FROM flags, range(128) t(r) WHERE {' AND '.join(f"(ok{k} OR {gone(k)}) AND (on{k} OR NOT {gone(k)})" for k in range(len(ok)))} GROUP BY qid, r)""",
+    )
     toggled = lambda c: f"CASE WHEN facet <> '{c}' THEN q.{c} WHEN list_contains(q.{c}, value) THEN list_filter(q.{c}, lambda y: y <> value) ELSE list_append(q.{c}, value) END"
     out["facet_counts_index"] = with_items(
         f"""SELECT qid, facet, value, count(*) FILTER (WHERE i.id IS NOT NULL) AS n, bool_or(selected) AS selected, count(*) FILTER (WHERE i.id IS NOT NULL) = 0 AND NOT bool_or(selected) AS unavailable
@@ -430,4 +452,5 @@ def oracle() -> dict[str, str]:
     )
     for name, phrase in S.SEARCHES.items():
         out[name] = with_items(f"SELECT id, title FROM item WHERE {matches(norm(s(phrase)), s(phrase))}")
+    out["search_direct_index"], out["section_haystack_index"] = out["search_direct"], out["section_haystack"]
     return out

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import values as V
 from shelfspark.functions.text import norm
-from shelfspark.operators import bitmaps, cards, collections, facets, favorites, similar, wizard
+from shelfspark.operators import bitmaps, cards, collections, facets, favorites, relaxing, similar, wizard
 from shelfspark.operators.enrich import enrich
 from shelfspark.operators.ranking import with_rank
 from shelfspark.operators.recommend import Query, evaluate, first_results, neighbour_duration, query_frame, recommend, recommend_batch, relevance
 from shelfspark.operators.search import matches_search, needle_columns
 from shelfspark.operators.section import Section, near_matches, result_count, section, section_domains
+from shelfspark.operators.text_index import TextIndex
 from shelfspark.sources import codec
-from shelfspark.sources.catalog import derived_catalog, derived_collections, from_json_rows, require_rows
-from shelfspark.sources.staging import staged
+from shelfspark.sources.catalog import derived_catalog, derived_collections, from_json_rows, load_json_array, require_rows
+from shelfspark.sources.favorites_log import FavoritesLog
+from shelfspark.sources.staging import new_folder, staged
 from shelfspark.streaming import event_time
 
 from . import inputs
@@ -141,6 +143,23 @@ for _name, _phrase in S.SEARCHES.items():
     QUERIES[_name] = _search(_phrase)
 
 
+def _indexed(spark, d) -> TextIndex:
+    return TextIndex.build(items(spark, d), new_folder(spark, "texts"))
+
+
+@query
+def search_direct_index(spark, d):
+    """search_direct by way of the trigram index."""
+    return _indexed(spark, d).search(S.SEARCHES["search_direct"]).select("id", "title")
+
+
+@query
+def section_haystack_index(spark, d):
+    """section_haystack by way of the trigram index."""
+    found = _indexed(spark, d).haystack(S.HAYSTACK)
+    return section(found, Section("movie", search=S.HAYSTACK)).select("id", "ord", "age_min", "duration_minutes", "page_count", "year")
+
+
 def _section(state: Section):
     return lambda spark, d: section(items(spark, d), state).select("id", "ord", "age_min", "duration_minutes", "page_count", "year")
 
@@ -149,7 +168,7 @@ QUERIES["section_books_age"] = _section(Section("book", age=6, sort="age"))
 QUERIES["section_cartoons_duration"] = _section(Section("cartoon", primary="short-or-series", tertiary="Studio 2", sort="duration"))
 QUERIES["section_movies_new"] = _section(Section("movie", primary="family", secondary="high", mood="уютное", sort="new"))
 QUERIES["section_books_mode"] = _section(Section("book", primary="together", secondary="medium", duration="на один вечер", theme="дружба"))
-QUERIES["section_haystack"] = _section(Section("movie", search="  STORY  about r"))
+QUERIES["section_haystack"] = _section(Section("movie", search=S.HAYSTACK))
 
 
 @query
@@ -232,6 +251,18 @@ def facet_counts(spark, d):
     return facets.facet_counts(items(spark, d), S.FACET_QUERY)
 
 
+@query
+def relaxing_filters(spark, d):
+    """For queries made of catalog rows that ask too much: the fewest filters whose removal gives results."""
+    rows, k = items(spark, d), F.col("ord")
+    asked = rows.filter(k % 50 == 0).select(
+        "id", (F.col("age_max") + 1 + k % 3).cast("double").alias("age"), F.when(k % 4 == 0, "all").when(F.col("content_type") == "movie", "cartoon").otherwise("movie").alias("format"),
+        F.concat(F.slice("interests", 1, 2), F.when(k % 3 == 0, F.array(F.lit("роботы"))).otherwise(F.array().cast("array<string>"))).alias("interests"), "moods",
+        F.when(k % 100 == 0, "bedtime").alias("situation"), F.when(k % 7 > 2, F.col("duration_category")).alias("duration"), F.when(k % 8 == 0, F.substring_index("title", " ", 1)).otherwise("").alias("search"),
+    )
+    return relaxing.smallest_removals(rows, asked.withColumnRenamed("id", "qid")).withColumn("filters", F.array_join("filters", ","))
+
+
 @query
 def facet_counts_index(spark, d):
     """Facet counts of queries made of catalog rows, from the bitmap index alone."""
@@ -309,6 +340,19 @@ def json_catalog(spark, d):
     return text(rows.select("ord", "id", "slug", "title", "content_type", "age_min", "age_max", "year", "interests"), "interests")
 
 
+@query
+def json_file_catalog(spark, d):
+    """json_catalog's rows from one file that holds them all as a JSON array, read by byte ranges."""
+    k = F.col("ord")
+    raw = F.to_json(F.struct(F.col("id"), F.col("slug"), F.col("title"), F.col("content_type").alias("contentType"), F.col("age_min").alias("recommendedAgeMin"), F.col("age_max").alias("recommendedAgeMax"), F.col("interests"), F.col("year").alias("originalYear"), F.concat(F.lit('a "quoted } text" [,\\'), F.col("title")).alias("note")))
+    path = new_folder(spark, "json")
+    rows = derived_catalog(spark, d).select("ord", raw.alias("raw")).coalesce(1).sortWithinPartitions("ord")
+    # One array in one file: a bracket before the first object, commas between.
+    first = F.monotonically_increasing_id() == 0
+    rows.select(F.concat(F.when(first, "[ ").otherwise(""), "raw")).write.option("lineSep", ",\n").text(path)
+    return text(load_json_array(spark, path).select("ord", "id", "slug", "title", "content_type", "age_min", "age_max", "year", "interests", "note"), "interests")
+
+
 @query
 def params_round_trip(spark, d):
     """A query made of each catalog row, written as a URL and read back."""
@@ -367,6 +411,19 @@ def _timed(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_id") % 40).alias("item"), "event_type")
 
 
+@query
+def favorites_log(spark, d):
+    """The sets of favorites_parity from a log: a version for each micro-batch, a snapshot halfway, and the last versions delivered twice."""
+    clicks = _timed(spark, d).filter("event_type = 'click'").drop("event_type")
+    log = FavoritesLog(spark, new_folder(spark, "favorites"))
+    log.write_stream(event_time.replayed(clicks, "clicks", closing=False), f"{log.path}/state").awaitTermination()
+    last = log.latest()
+    again = spark.read.parquet(f"{log.path}/log/version={last}")
+    log.compact(last // 2)
+    log.append(again, last)
+    return log.as_of().select("user_id", "item", F.col("place").cast("int").alias("place"))
+
+
 @query
 def favorites_stream(spark, d):
     """The sets of favorites_parity from a stream of clicks that arrive out of order."""

@@ -24,6 +24,7 @@ SEARCHES = {
     "search_intent_age": "что-нибудь для 112 лет",
     "search_intent_contradiction": "почитать и посмотреть",
 }
+HAYSTACK = "  STORY  about r"
 FACET_QUERY = Query(6, "all", ("дружба",), (), None, None)
 ANSWERS = [
     ("a1", 7, "all", "", "", "", ""),

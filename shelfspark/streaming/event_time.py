@@ -133,8 +133,8 @@ def run_to_end(stream: DataFrame, label: str) -> DataFrame:
 FILES = 8
 
 
-def replayed(events: DataFrame, label: str, folders: int = 6) -> DataFrame:
-    """A table of events (user_id, ts, seq, ..) as a stream whose rows are out of order: half of them come a folder of files later than their time. Rows are late by less than two of the `folders` equal parts of the time. A closing row, ten years later, moves the watermark beyond all others."""
+def replayed(events: DataFrame, label: str, folders: int = 6, closing: bool = True) -> DataFrame:
+    """A table of events (user_id, ts, seq, ..) as a stream whose rows are out of order: half of them come a folder of files later than their time. Rows are late by less than two of the `folders` equal parts of the time. A closing row, ten years later and of user 0, moves the watermark beyond all others."""
     spark = events.sparkSession
     path = new_folder(spark, label)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES)
@@ -147,7 +147,8 @@ def replayed(events: DataFrame, label: str, folders: int = 6) -> DataFrame:
     batch = F.least(part + F.pmod(F.xxhash64("seq"), F.lit(2)), F.lit(folders - 1))
     for k in range(folders):
         events.filter(batch == k).write.parquet(f"{path}/{k}")
-    closing = {f.name: F.lit(0).cast(f.dataType) for f in events.schema if f.name != "ts"}
-    closing["ts"] = (F.lit(last) + F.expr("interval 3650 days")).cast(events.schema["ts"].dataType)
-    spark.range(1).select(*[closing[c].alias(c) for c in events.columns]).write.parquet(f"{path}/{folders}")
+    if closing:
+        row = {f.name: F.lit(0).cast(f.dataType) for f in events.schema if f.name != "ts"}
+        row["ts"] = (F.lit(last) + F.expr("interval 3650 days")).cast(events.schema["ts"].dataType)
+        spark.range(1).select(*[row[c].alias(c) for c in events.columns]).write.parquet(f"{path}/{folders}")
     return stream.parquet(f"{path}/*")
