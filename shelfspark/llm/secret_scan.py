@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that a primed compressor can't predict.
 
 The patterns give the base spans. Beside them, every candidate (a run of 16 or
-more of `[A-Za-z0-9+/_=.-]` in which digits and letters mix, after a leading
-`name=`, that is no host name) within AROUND characters of a sensitive word is
+more of `[A-Za-z0-9+/_=.-]` in which digits and letters mix, or capitals and small letters change places all
+the time, after a leading `name=`, that is no host name; or 12 to 64 printable characters between quotes, of three kinds at least) within AROUND characters of a sensitive word is
 priced: zstandard, primed with a dictionary of identifiers, reads the
 candidate's surroundings and then, as a block of its own, the candidate. The
 block's bytes are what the candidate adds. Its novelty is their share of what a
@@ -14,12 +14,13 @@ that is already reported holds them: a string that repeats is reported once at
 least, and a copy near a reported one is not reported again.
 
 Dictionary and threshold come from the corpus: identifiers (words joined by `_`
-or by capitals, or before `=`, `:` or `(`) are counted over all documents; the
-WORDS most frequent of those in MIN_DOCS documents or more are the bounded sample
+or by capitals, or before `=`, `:` or `(`) and plain words are counted over all documents; the
+WORDS most frequent identifiers of those in MIN_DOCS documents or more, and the WORDS most frequent plain words, are the bounded sample
 that is kept. A half of them, by hash, goes to the dictionary, after a few words
-that are known beforehand. The other half is priced against it: the threshold is
-the QUANTILE of those prices, where PRIOR identifiers at PRIOR_NOVELTY count
-besides, and never over 1.
+that are known beforehand. The other half is priced against it, as identifiers and as compounds of three words and a digit,
+which is what an ordinary candidate looks like that the dictionary does not know: the threshold is
+the QUANTILE of those prices, so that 5 % of such strings reach it (PRIOR strings at PRIOR_NOVELTY count
+besides), but never more than random keys of each kind reach, save a share of LOST. Strings of letters alone must be as dear as random ones (LETTERS).
 
 Defined results: null or empty text has no spans; offsets count code points,
 ends are exclusive; each row stands alone, so repeated rows repeat their spans; a
@@ -29,10 +30,13 @@ the prior; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
+import string
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -45,7 +49,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z_]+=)?([A-Za-z0-9+/_.=-]{16,})")
+QUOTED = re.compile(r"""(?<=["'`])[!-~]{12,64}(?=["'`])""")
+KINDS_OF = tuple(map(re.compile, ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")))
+SWITCH = re.compile(r"(?=[a-z][A-Z]|[A-Z][a-z])")
 HOST = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,}")
+WORD = re.compile(r"(?<![A-Za-z])[a-z]{4,24}(?![A-Za-z])")
 SENSITIVE = re.compile(r"(?ai:passw|secret|token|api.?key|auth(?!or)|credential|bearer|private|signature|access)")
 #: Identifiers: words joined by underscores, by capitals, or before a sign of assignment or call (looked for from the sign backwards).
 JOINED = re.compile(r"[A-Za-z][A-Za-z0-9]{0,40}(?:_[A-Za-z0-9]{1,40})+")
@@ -56,6 +64,13 @@ BEFORE = re.compile(r"""(?<![A-Za-z0-9_])([A-Za-z][A-Za-z0-9]{2,40})["']?\x20?\Z
 AROUND = 160
 WORDS, MIN_DOCS = 2000, 3
 QUANTILE, PRIOR, PRIOR_NOVELTY = 0.95, 100, 0.88
+#: The part of random keys of each of KEY_KINDS kinds that the threshold may lose.
+LOST, KEY_KINDS = 0.02, 4
+BASE64 = string.ascii_letters + string.digits + "+/"
+#: Changes between capitals and small letters, as a share of the characters, from which letters alone are a candidate. Names joined by capitals have fewer.
+SWITCHES = 0.38
+#: Price of a string of letters alone from which it is reported.
+LETTERS = 0.97
 LEVEL = 19
 _PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
 #: Identifiers and words that code and configuration repeat, known beforehand.
@@ -97,17 +112,21 @@ class Novelty:
     def novelty(self, before: str, text: str, after: str) -> float:
         """Bytes that text adds, as a share of what a random string of its length and alphabet adds. Capitals count as a way of joining words: the lower price of text and of its lower case holds."""
         near = f"{before}\n{after}\n".encode("utf-8", "surrogatepass")
-        most = self.added(near, random_like(text))
+        most = sum(self.added(near, like) for like in random_likes(text)) / DRAWS
         least = self.added(near, text)
         if text != text.lower():
             least = min(least, self.added(near, text.lower()))
-        return least / max(1, most)
+        return least / max(1.0, most)
 
 
-def random_like(text: str) -> str:
-    """A string of the same length over the same characters, drawn by a seed from the text."""
+#: Random strings that a candidate is compared with.
+DRAWS = 3
+
+
+def random_likes(text: str) -> list[str]:
+    """DRAWS strings of the same length over the same characters, drawn by a seed from the text."""
     rng = random.Random(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
-    return "".join(rng.choices(sorted(set(text)), k=len(text)))
+    return ["".join(rng.choices(sorted(set(text)), k=len(text))) for _ in range(DRAWS)]
 
 
 def limit_of(prices: list[float]) -> float:
@@ -118,12 +137,43 @@ def limit_of(prices: list[float]) -> float:
     return min(1.0, (len(prices) * at + PRIOR * PRIOR_NOVELTY) / (len(prices) + PRIOR))
 
 
-def learn(words: list[str]) -> tuple[list[str], float]:
-    """From identifiers the words of the dictionary and the threshold."""
-    known = [w for w in words if xxhash.xxh3_64_intdigest(w.encode()) & 1]
-    held = [w for w in words if not xxhash.xxh3_64_intdigest(w.encode()) & 1]
+def compounds(words: list[str]) -> list[str]:
+    """Ordinary strings of three words each and a digit, with the usual separators."""
+    return [f"{a}{'-_./'[k % 4]}{b}{'-_./'[k % 4]}{c}{k % 10}" for k, (a, b, c) in enumerate(zip(words[::3], words[1::3], words[2::3]))]
+
+
+def random_keys(n: int = 200, seed: int = 5) -> list[str]:
+    """Keys as they are issued: letters and digits, hexadecimal, base64, and tokens of three parts."""
+    rng = random.Random(seed)
+    some = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    token = lambda: ".".join([base64.b64encode(b'{"alg":"HS256","typ":"JWT"}').decode().rstrip("="), some(BASE64, 40), some(BASE64, 43)])
+    kinds = (lambda: some(BASE64[:62], rng.randint(16, 40)), lambda: some("0123456789ABCDEF", rng.choice([32, 40, 64])), lambda: some(BASE64, rng.randint(20, 64)), token)
+    return [kinds[k % KEY_KINDS]() for k in range(n)]
+
+
+def learn(words: list[str], plain: list[str] = ()) -> tuple[list[str], float]:
+    """From identifiers and plain words the words of the dictionary and the threshold."""
+    odd = lambda w: xxhash.xxh3_64_intdigest(w.encode()) & 1
+    known = [w for w in [*words, *plain] if odd(w)]
+    held = [w for w in words if not odd(w) and len(w) >= 8] + compounds([w for w in plain if not odd(w)])
     price = Novelty(known).novelty
-    return known, limit_of([price("", w, "") for w in held if len(w) >= 8])
+    keys = [price("", w, "") for w in random_keys()]
+    of_kind = [sorted(keys[k::KEY_KINDS]) for k in range(KEY_KINDS)]
+    return known, min(limit_of([price("", w, "") for w in held]), *(x[int(LOST * len(x))] for x in of_kind))
+
+
+def _worded(batches):
+    for batch in batches:
+        times: Counter[str] = Counter()
+        for x in batch.column("text"):
+            times.update(WORD.findall(x.as_py() or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64())], names=["word", "n"])
+
+
+def frequent_words(rows: DataFrame) -> list[str]:
+    """The most frequent plain words of all documents, by number of times, then by spelling: WORDS at most, each MIN_DOCS times at least."""
+    counted = rows.select("text").mapInArrow(_worded, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
 
 
 def identifiers_of(text: str) -> set[str]:
@@ -201,18 +251,35 @@ def surroundings(text: str, start: int, end: int, reported: Covered) -> tuple[st
     return sides[0], sides[1]
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], price: Novelty) -> list[tuple[int, int, int]]:
-    out, covered = [], Covered(base)
+def candidates(text: str):
+    """(start, end) and whether it is of letters alone, of all strings that may be secrets, by their start."""
+    found = []
     for m in CANDIDATE.finditer(text):
-        start, end, word = m.start(1), m.end(1), m[1]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or HOST.fullmatch(word):
+        word = m[1]
+        letters = any(c.isalpha() for c in word)
+        if HOST.fullmatch(word) or not letters:
             continue
+        if any(c.isdigit() for c in word):
+            found.append((m.start(1), m.end(1), False))
+        elif len(SWITCH.findall(word)) >= SWITCHES * len(word):
+            found.append((m.start(1), m.end(1), True))
+    for m in QUOTED.finditer(text):
+        if sum(kind.search(m[0]) is not None for kind in KINDS_OF) >= 3 and not CANDIDATE.fullmatch(m[0]):
+            found.append((m.start(), m.end(), False))
+    return sorted(found, key=lambda x: (x[0], -x[1]))
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], price: Novelty) -> list[tuple[int, int, int]]:
+    out, covered = [], Covered(base)
+    if not SENSITIVE.search(text):
+        return out
+    for start, end, letters in candidates(text):
         if covered.overlaps(start, end):
             continue
         if not SENSITIVE.search(text[max(0, start - AROUND) : end + AROUND]):
             continue
         before, after = surroundings(text, start, end, covered)
-        if price.novelty(before, word, after) >= price.limit:
+        if price.novelty(before, text[start:end], after) >= (max(price.limit, LETTERS) if letters else price.limit):
             out.append((start, 3, end))
             covered.add(start, end)
     return out
@@ -233,7 +300,7 @@ def scan_text(text: str, price: Novelty) -> tuple[int, int, int, str, str, int]:
 def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(identifiers(rows)))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(identifiers(rows), frequent_words(rows)))
 
     def run(batches):
         price = Novelty(*shared.value)

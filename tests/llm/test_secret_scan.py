@@ -157,3 +157,69 @@ def test_identifiers_of_a_text():
     text = 'snake_case_name = getThatValue(other, "key": 1) x=1 Word: a_1234b AbcDef plain text'
     assert ss.identifiers_of(text) == {"snake_case_name", "getThatValue", "key", "Word"}
     assert ss.identifiers_of("") == set() and ss.identifiers_of("= ( :") == set()
+
+
+def of_kind(kind, rng):
+    import base64
+    import string
+
+    n = rng.choice([20, 24, 32, 40])
+    if kind == "hex upper":
+        return "".join(rng.choices("0123456789ABCDEF", k=n))
+    if kind == "base64":
+        return base64.b64encode(rng.randbytes(n)).decode().rstrip("=")
+    if kind == "letters":
+        return "".join(rng.choices(string.ascii_letters, k=n))
+    if kind == "symbols":
+        return '"' + "".join(rng.choices(string.ascii_letters + string.digits + "!#$%&*+@^~", k=n)) + '"'
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256","typ":"JWT"}').decode().rstrip("=")
+    return ".".join([head, base64.urlsafe_b64encode(rng.randbytes(30)).decode(), base64.urlsafe_b64encode(rng.randbytes(32)).decode().rstrip("=")])
+
+
+@pytest.mark.parametrize("kind, least", [("hex upper", 0.95), ("base64", 0.95), ("letters", 0.8), ("symbols", 0.95), ("token of three parts", 0.95)])
+def test_recall_by_kind(sample, kind, least):
+    """Under the dictionary and threshold of the driver's own documents."""
+    import random
+
+    rng, price = random.Random(12), ss.Novelty(*learned(sample))
+    caught = 0
+    for k in range(100):
+        secret = of_kind(kind, rng)
+        text = f"{sample[k % len(sample)][1] or ''} the private credential is {secret} , keep it"
+        word = secret.strip('"')
+        caught += any(text[s:e] == word or word in text[s:e] for s, _, e in ss.novel_spans(text, ss.base_spans(text), price))
+    assert caught >= least * 100, caught
+
+
+def learned(sample):
+    from collections import Counter
+
+    words = Counter(w for r in sample for w in ss.WORD.findall(r[1] or ""))
+    plain = [w for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0])) if n >= ss.MIN_DOCS][: ss.WORDS]
+    return ss.learn([], plain)
+
+
+def test_threshold_follows_the_corpus(sample, documents):
+    """Compounds of the corpus' own words stay below the threshold of that corpus, for all but the stated part."""
+    known, limit = learned(sample)
+    assert len(known) > 100 and limit != ss.PRIOR_NOVELTY
+    words = ss.frequent_words(documents(sample).select("text"))
+    assert words == [*dict.fromkeys(words)] and set(known) <= set(words)
+    # Random keys are lost in the stated part only, whatever the corpus' own strings cost.
+    price = ss.Novelty(known, limit)
+    keys = ss.random_keys(200, 77)
+    assert sum(price.novelty("", k, "") < limit for k in keys) / len(keys) <= 0.05
+    # Where a corpus has many cheap identifiers, the threshold follows them down.
+    names = [f"{a}_{b}_value" for a in "user session header client server config request account".split() for b in "timeout version index storage default number string length".split()] * 4
+    _, lower = ss.learn(list(dict.fromkeys(f"{n}_{k}" if k else n for k, n in enumerate(names))))
+    assert lower < limit
+
+
+def test_letters_alone_and_quoted_passwords():
+    key = "QxZvBnMkLpOiUyTrEwQa"
+    assert novel(f"private key: {key} kept here") == [key]
+    assert novel("the private method getUserNameByAccountIdentifier is called") == []
+    assert novel("the private Donaudampfschifffahrtsgesellschaft has no access") == []
+    assert novel('my token is "q8#kP$2mZ!vL9@xW" and that is it') == ["q8#kP$2mZ!vL9@xW"]
+    assert novel('my token is "only plain words" and that is it') == []
+    assert novel('nothing of note is "q8#kP$2mZ!vL9@xW" and that is it') == []
