@@ -395,6 +395,12 @@ def oracle() -> dict[str, str]:
         "favorites_view": with_items("SELECT id, title FROM item WHERE ord IN (SELECT item FROM clicks GROUP BY user_id, item HAVING count(*) % 2 = 1)", CLICKS),
         "debounced_events": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 250000",
     }
+    out["recommend_diverse"] = recommended(
+        S.SCENARIOS,
+        f"""SELECT qid, bucket, id, CAST(place AS INTEGER) AS place, points FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bo, turn, points DESC, len(missed), title, ord) AS place FROM (
+          SELECT *, CASE WHEN q_format = 'all' THEN row_number() OVER (PARTITION BY qid, bo, app_type ORDER BY points DESC, len(missed), title, ord) ELSE 0 END AS turn FROM (
+            SELECT *, round(score + {S.DIVERSE_MIDDLE} * coalesce(greatest(0.0, 1 - abs(q_age - (age_min + age_max) / 2) / ((age_max - age_min) / 2 + 1)), 0.0) + {S.DIVERSE_SEVERAL} * greatest(0, len(reasons) - 1), 6) AS points FROM found))) WHERE place <= {S.DIVERSE_LIMIT}""",
+    )
     out["favorites_log"] = out["favorites_parity"]
     out["json_file_catalog"] = with_items("SELECT ord, id, slug, title, content_type, age_min, age_max, year, array_to_string(interests, '|') AS interests, 'a \"quoted } text\" [,\\' || title AS note FROM item")
     ok = {

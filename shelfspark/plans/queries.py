@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import values as V
 from shelfspark.functions.text import norm
 from shelfspark.operators import bitmaps, cards, collections, facets, favorites, relaxing, similar, wizard
+from shelfspark.operators.diversity import Weights, diverse_results
 from shelfspark.operators.enrich import enrich
 from shelfspark.operators.ranking import with_rank
 from shelfspark.operators.recommend import Query, evaluate, first_results, neighbour_duration, query_frame, recommend, recommend_batch, relevance
@@ -239,6 +240,13 @@ def recommend_alternate(spark, d):
     return recommend_batch(items(spark, d), _scenarios(spark, "q7", "q8", "q9")).filter("bucket = 'alternate'").select("qid", "id", "score", "rank")
 
 
+@query
+def recommend_diverse(spark, d):
+    """The first twelve results with a turn for every type and points for the middle age and for several reasons."""
+    found = diverse_results(items(spark, d), _scenarios(spark), S.DIVERSE_LIMIT, Weights(S.DIVERSE_MIDDLE, S.DIVERSE_SEVERAL, 1))
+    return found.select("qid", "bucket", "id", F.col("place").cast("int").alias("place"), "points")
+
+
 @query
 def recommendation_cards(spark, d):
     rows = items(spark, d)

@@ -38,3 +38,5 @@ ANSWER_COLUMNS = ("qid", "age", "format", "feeling", "interest", "time", "intera
 # How late a replayed event may be (a third of the events' month), and the quiet time of the streamed debounce.
 STREAM_DELAY = "10 days"
 STREAM_QUIET_MS = 3_600_000
+# Results, and points for the middle age and for each further reason, of the diverse recommendation.
+DIVERSE_LIMIT, DIVERSE_MIDDLE, DIVERSE_SEVERAL = 12, 6.0, 2.0
