@@ -439,6 +439,10 @@ def oracle() -> dict[str, str]:
             CASE facet WHEN 'duration' THEN value ELSE duration END AS du, {toggled("interests")} AS ti, {toggled("moods")} AS tm,
             CASE facet WHEN 'format' THEN value = format WHEN 'situation' THEN coalesce(value = situation, false) WHEN 'duration' THEN coalesce(value = duration, false) WHEN 'interests' THEN list_contains(q.interests, value) ELSE list_contains(q.moods, value) END AS selected FROM q, val)""",
     )
+    row_queries = """q AS (SELECT id AS qid, CASE WHEN ord % 4 > 0 THEN age_min + CASE WHEN ord % 3 = 0 THEN 0.5 ELSE 1 END END::DOUBLE AS q_age,
+            CASE WHEN ord % 5 = 0 THEN 'all' WHEN content_type IN ('cartoon', 'movie') THEN content_type ELSE 'reading' END AS q_format, interests[1:ord % 3] AS q_interests, moods[1:ord // 50 % 2] AS q_moods,
+            CASE ord % 7 WHEN 0 THEN 'bedtime' WHEN 1 THEN 'family' END AS q_situation, CASE WHEN ord % 9 = 0 THEN duration_category END AS q_duration, '' AS q_search FROM item WHERE ord % 50 = 0)"""
+    out["recommend_many"] = with_items(f"SELECT {SHOWN}, {NO_EXACT_RANK} FROM found", f"{row_queries}, {evaluated()}, {RELAXED}")
     out["similar_scored_all"] = out["similar_scored"].replace("(SELECT * FROM item WHERE id IN (SELECT id FROM listed)) a", "item a")
     out["favorites_stream"] = out["favorites_parity"]
     out["debounced_stream"] = out["debounced_events"].replace("250000", str(S.STREAM_QUIET_MS * 1000))

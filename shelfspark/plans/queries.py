@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import values as V
 from shelfspark.functions.text import norm
-from shelfspark.operators import bitmaps, cards, collections, facets, favorites, relaxing, similar, wizard
+from shelfspark.operators import bitmaps, cards, collections, facets, favorites, many_queries, relaxing, similar, wizard
 from shelfspark.operators.diversity import Weights, diverse_results
 from shelfspark.operators.enrich import enrich
 from shelfspark.operators.ranking import with_rank
@@ -271,17 +271,31 @@ def relaxing_filters(spark, d):
     return relaxing.smallest_removals(rows, asked.withColumnRenamed("id", "qid")).withColumn("filters", F.array_join("filters", ","))
 
 
-@query
-def facet_counts_index(spark, d):
-    """Facet counts of queries made of catalog rows, from the bitmap index alone."""
-    rows, k = items(spark, d), F.col("ord")
+def _row_queries(rows: DataFrame) -> DataFrame:
+    """A query made of each fiftieth catalog row, some without an age, none with a search."""
+    k = F.col("ord")
     asked = rows.filter(k % 50 == 0).select(
         "id", F.when(k % 4 > 0, F.col("age_min") + F.when(k % 3 == 0, 0.5).otherwise(1)).cast("double").alias("age"),
         F.when(k % 5 == 0, "all").when(F.col("content_type").isin("cartoon", "movie"), F.col("content_type")).otherwise("reading").alias("format"),
         F.slice("interests", 1, (k % 3).cast("int")).alias("interests"), F.slice("moods", 1, (k / 50 % 2).cast("int")).alias("moods"),
         F.when(k % 7 == 0, "bedtime").when(k % 7 == 1, "family").alias("situation"), F.when(k % 9 == 0, F.col("duration_category")).alias("duration"), F.lit("").alias("search"),
     )
-    return bitmaps.facet_counts_of(staged(bitmaps.facet_index(rows), "facets"), asked.withColumnRenamed("id", "qid"))
+    return asked.withColumnRenamed("id", "qid")
+
+
+@query
+def facet_counts_index(spark, d):
+    """Facet counts of queries made of catalog rows, from the bitmap index alone."""
+    rows = items(spark, d)
+    return bitmaps.facet_counts_of(staged(bitmaps.facet_index(rows), "facets"), _row_queries(rows))
+
+
+@query
+def recommend_many(spark, d):
+    """Results of queries made of catalog rows, from bit vectors."""
+    rows = items(spark, d)
+    found = many_queries.recommend_many(rows, _row_queries(rows))
+    return text(found.select("qid", "bucket", "id", "score", "reasons", "missed", "rank"), "reasons", "missed", sep="; ")
 
 
 def _answers(spark) -> DataFrame:
