@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import values as V
-from shelfspark.functions.text import has, ru, sure, truthy
+from shelfspark.functions.text import has, ru, show_number, sure, truthy
 
 from .recommend import Query, recommend
 from .search import haystack_hit
@@ -114,3 +114,9 @@ def active_filters(s: Section) -> list[str]:
     """The tags of the filters that are set."""
     age = f"{s.age:g} лет" if s.age else ""
     return [x for x in (age, s.theme, s.mood, s.duration, s.primary, s.secondary, s.tertiary) if x]
+
+
+def filter_tags(states: DataFrame) -> Column:
+    """The same for a table of section states (age, theme, mood, duration, primary, secondary, tertiary)."""
+    age = F.when(F.coalesce("age", F.lit(0.0)) != 0, F.concat(show_number(F.col("age")), F.lit(" лет")))
+    return truthy(F.array(age, *[F.col(c) for c in ("theme", "mood", "duration", "primary", "secondary", "tertiary")]))

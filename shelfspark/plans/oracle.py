@@ -278,6 +278,17 @@ def codecs() -> dict[str, str]:
             SELECT id, {age_between(parameter("age"), 2, 17)} AS age, {state}, {only("sort", ("age", "duration", "new"), "''")} AS sort FROM urls)""",
             section_urls,
         ),
+        "active_filters": with_items(
+            f"""SELECT id, array_to_string(list_filter([CASE WHEN age <> 0 THEN {number} || ' лет' END, theme, mood, duration, "primary", secondary, tertiary], lambda x: x <> ''), '|') AS tags FROM (
+            SELECT id, {age_between(parameter("age"), 2, 17)} AS age, {state} FROM urls)""",
+            section_urls,
+        ),
+        "page_meta": with_items(
+            f"""SELECT id, title || ' (' || age_label || ')' AS title, description, {PATH} AS canonical, CASE WHEN params <> '' THEN 'noindex,follow' ELSE 'index,follow' END AS robots FROM item JOIN urls USING (id)""",
+            section_urls,
+        ),
+        "favorites_save": f"""WITH {CLICKS} SELECT user_id, '["' || string_agg(format('w-{{:06d}}', item), '","' ORDER BY added) || '"]' AS stored, CAST(count(*) AS INTEGER) AS n
+            FROM (SELECT user_id, item, max(seq) AS added FROM clicks GROUP BY user_id, item HAVING count(*) % 2 = 1) GROUP BY user_id""",
         "routes": with_items(
             f"""SELECT id, path, page, CASE page WHEN 'section' THEN CASE head WHEN 'cartoons' THEN 'cartoon' WHEN 'movies' THEN 'movie' ELSE 'book' END
               WHEN 'detail' THEN CASE head WHEN 'books' THEN 'book' WHEN 'cartoons' THEN 'cartoon' WHEN 'movies' THEN 'movie' END END AS type,

@@ -15,7 +15,7 @@ from shelfspark.operators.enrich import enrich
 from shelfspark.operators.ranking import with_rank
 from shelfspark.operators.recommend import Query, evaluate, first_results, neighbour_duration, query_frame, recommend, recommend_batch, relevance
 from shelfspark.operators.search import matches_search, needle_columns
-from shelfspark.operators.section import Section, near_matches, result_count, section, section_domains
+from shelfspark.operators.section import Section, filter_tags, near_matches, result_count, section, section_domains
 from shelfspark.operators.text_index import TextIndex
 from shelfspark.sources import codec
 from shelfspark.sources.catalog import derived_catalog, derived_collections, from_json_rows, load_json_array, require_rows
@@ -492,6 +492,35 @@ def section_params(spark, d):
     return decoded.withColumn("params", codec.encode_section(decoded))
 
 
+def _section_states(spark, d) -> DataFrame:
+    rows = inputs.section_urls(items(spark, d))
+    return rows.select("id", "params", *[c.alias(n) for n, c in codec.decode_section(F.col("params"), 2, 17).items()])
+
+
+@query
+def active_filters(spark, d):
+    """The tags of the filters that a section's URL sets."""
+    states = _section_states(spark, d)
+    return states.select("id", F.array_join(filter_tags(states), "|").alias("tags"))
+
+
+@query
+def page_meta(spark, d):
+    """What each item's page tells search engines, reached with its URL's filters."""
+    rows = items(spark, d).join(_section_states(spark, d).select("id", "params"), "id")
+    meta = cards.page_meta(F.concat("title", F.lit(" ("), "age_label", F.lit(")")), F.col("description"), F.col("path"), F.col("params"))
+    return rows.select("id", meta.alias("m")).select("id", "m.*")
+
+
+@query
+def favorites_save(spark, d):
+    """Each user's set as it is stored, read back by favorites_load's rules."""
+    sets = favorites.toggled_set(_clicks(spark, d)).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("x"))
+    names = F.transform("x", lambda x: F.concat(F.lit("w-"), F.lpad(x["item"].cast("string"), 6, "0")))
+    stored = sets.select("user_id", favorites.save_favorites(names).alias("stored"))
+    return stored.select("user_id", "stored", F.size(favorites.parse_favorites(F.col("stored"))).cast("int").alias("n"))
+
+
 @query
 def routes(spark, d):
     rows = inputs.paths(items(spark, d))
