@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfspark.functions import values as V
 from shelfspark.operators.recommend import Query
 
 from . import scenarios as S
+from . import sql_values as V
 
 WHITE = V.WHITE
 
@@ -460,7 +460,7 @@ def oracle() -> dict[str, str]:
     out |= codecs()
     fq = S.FACET_QUERY
     toggle = lambda c, v: f"CASE WHEN list_contains({c}, {v}) THEN list_filter({c}, lambda y: y <> {v}) ELSE list_append({c}, {v}) END"
-    fixed = ", ".join([f"('format', {s(f)})" for f in V.FORMAT_LABELS] + [f"('situation', {s(f)})" for f in V.SITUATION_LABELS])
+    fixed = ", ".join([f"('format', {s(f)})" for f in V.FORMATS] + [f"('situation', {s(f)})" for f in V.SITUATION_LABELS])
     out["facet_counts"] = with_items(
         f"""SELECT facet, value, coalesce(n, 0) AS n, selected, coalesce(n, 0) = 0 AND NOT selected AS unavailable FROM (
           SELECT fv.*, c.n, CASE facet WHEN 'format' THEN value = '{fq.format}' WHEN 'situation' THEN false WHEN 'duration' THEN false WHEN 'interests' THEN list_contains({arr(fq.interests)}, value) ELSE false END AS selected
