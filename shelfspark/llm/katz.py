@@ -258,24 +258,24 @@ def blocks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def packs(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
     """The pairs of each batch of documents, packed by group of buckets."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared, coarse = docs.sparkSession.sparkContext.broadcast(hot), coarse_of(buckets)
 
     def run(batches):
         for whole in batches:
             for batch in blocks_of(whole):
-                rows = _block_packs(batch, shared.value, buckets)
+                rows = _block_packs(batch, shared.value, buckets, coarse)
                 for i in range(0, len(rows), 16):
                     yield _pack_batch(rows[i : i + 16])
 
     return docs.select("key", "held", "text").mapInArrow(run, _PACK)
 
 
-def _block_packs(batch: pa.RecordBatch, hot: Hot, buckets: int) -> list[tuple]:
+def _block_packs(batch: pa.RecordBatch, hot: Hot, buckets: int, coarse: int) -> list[tuple]:
     word, each = tokens_of(batch.column("text"))
     context, doc = before(word), np.repeat(np.arange(len(each), dtype=np.int32), each)
     keys, held = batch.column("key").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
     salt = int(keys[0] % SALTS)
-    group = (hot.bucket(context, word, salt, buckets) % coarse_of(buckets)).astype(np.int32)
+    group = (hot.bucket(context, word, salt, buckets) % coarse).astype(np.int32)
     # By group, then word, then the word before: places of a pair stand together but for collisions, which only split a pair.
     order = np.argsort(group.astype(_U) << _U(50) | (mix(word) >> _U(39)) << _U(25) | mix(context) >> _U(39))
     word, context, doc, group = word[order], context[order], doc[order], group[order]
@@ -290,26 +290,34 @@ def _block_packs(batch: pa.RecordBatch, hot: Hot, buckets: int) -> list[tuple]:
     return out
 
 
-def finer(packed: DataFrame, hot: Hot, buckets: int) -> DataFrame:
-    """Packs dealt by group, each cut by bucket, sorted by bucket."""
-    shared, coarse = packed.sparkSession.sparkContext.broadcast(hot), coarse_of(buckets)
+def _fine_packs(row: dict, hot: Hot, buckets: int, coarse: int) -> list[tuple]:
+    """A group's pack as packs of its buckets."""
+    word, context, n, docs, keys, held = _unpack(row["pack"], hot)
+    fine = (hot.bucket(context, word, row["salt"], buckets) // coarse).astype(np.int32)
+    of_place = np.repeat(fine, n)
+    out = []
+    for f in np.unique(fine).tolist():
+        own = fine == f
+        out.append((row["coarse"], f, row["salt"], _pack(word[own], context[own], n[own], docs[of_place == f], keys, held, hot)))
+    return out
+
+
+def dealt(packed: DataFrame, hot: Hot, buckets: int) -> DataFrame:
+    """Packs by group, one group a task. Where groups have more than EACH buckets, packs are cut by bucket and sorted by Spark; else a task holds its group's, compressed."""
+    coarse = coarse_of(buckets)
+    rows = packed.repartitionById(coarse, F.col("coarse").cast("int")) if hasattr(packed, "repartitionById") else packed.repartition(coarse, "coarse")
+    if buckets <= coarse * EACH:
+        return rows
+    shared = packed.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        hot = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                word, context, n, docs, keys, held = _unpack(row["pack"], hot)
-                fine = hot.bucket(context, word, row["salt"], buckets) // coarse
-                of_place = np.repeat(fine, n)
-                out = []
-                for f in np.unique(fine).tolist():
-                    own = fine == f
-                    out.append((row["coarse"], f, row["salt"], _pack(word[own], context[own], n[own], docs[of_place == f], keys, held, hot)))
+                out = _fine_packs(row, shared.value, buckets, coarse)
                 for i in range(0, len(out), 1024):
                     yield _pack_batch(out[i : i + 1024])
 
-    dealt = packed.repartitionById(coarse, F.col("coarse").cast("int")) if hasattr(packed, "repartitionById") else packed.repartition(coarse, "coarse")
-    return dealt.mapInArrow(run, _PACK).sortWithinPartitions("coarse", "fine")
+    return rows.mapInArrow(run, _PACK).sortWithinPartitions("coarse", "fine")
 
 
 # --- a bucket's answer
@@ -411,23 +419,29 @@ def _answer_rows(rows: int, kind: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["kind", *types])
 
 
-def answers(sorted_packs: DataFrame, hot: Hot, total: int, distinct: int, d1: list[float], unknown: float) -> DataFrame:
-    shared = sorted_packs.sparkSession.sparkContext.broadcast(hot)
+def answers(packed: DataFrame, hot: Hot, buckets: int, total: int, distinct: int, d1: list[float], unknown: float) -> DataFrame:
+    shared, coarse = packed.sparkSession.sparkContext.broadcast(hot), coarse_of(buckets)
+    sorted_by_bucket = buckets > coarse * EACH
 
-    def run(batches):
-        held, at, sums = [], None, Sums()
+    def in_buckets(batches):
+        """The packs of one bucket after another."""
+        held: dict[tuple, list[bytes]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (row["coarse"], row["fine"]) != at:
-                    yield from _bucket_answer(held, shared.value, total, distinct, d1, unknown, sums)
-                    held = []
-                at = row["coarse"], row["fine"]
-                held.append(row["pack"])
-        if held:
-            yield from _bucket_answer(held, shared.value, total, distinct, d1, unknown, sums)
+                for coarse, fine, _, pack in [(row["coarse"], row["fine"], 0, row["pack"])] if sorted_by_bucket else _fine_packs(row, shared.value, buckets, coarse):
+                    if sorted_by_bucket and held and (coarse, fine) not in held:
+                        yield held.popitem()[1]
+                    held.setdefault((coarse, fine), []).append(pack)
+        while held:
+            yield held.popitem()[1]
+
+    def run(batches):
+        sums = Sums()
+        for packs in in_buckets(batches):
+            yield from _bucket_answer(packs, shared.value, total, distinct, d1, unknown, sums)
         yield from sums.given()
 
-    return sorted_packs.mapInArrow(run, _ANSWER)
+    return packed.mapInArrow(run, _ANSWER)
 
 
 def contexts(pairs: DataFrame, d1: list[float], d2: list[float], total: int) -> DataFrame:
@@ -456,7 +470,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     settle(spark)
 
     buckets = 1 + (docs.agg(F.sum(F.octet_length(text_of(docs)))).first()[0] or 0) // BUCKET_BYTES
-    found = answers(finer(packs(rows, hot, buckets), hot, buckets), hot, total, distinct, d1, unknown)
+    found = answers(dealt(packs(rows, hot, buckets), hot, buckets), hot, buckets, total, distinct, d1, unknown)
     found = stage(found, "answers")
     drop(words)
     settle(spark)

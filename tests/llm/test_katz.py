@@ -142,13 +142,13 @@ def test_backoff_weights_are_exactly_normalised(spark, documents):
         assert row.alpha == pytest.approx(want, rel=1e-9) and row.n == sum(model.before[w].values())
 
 
-@pytest.mark.parametrize("hot, pair, size", [(2, 2, 1 << 20), (1 << 30, 8, 500), (1 << 30, 1 << 30, 200)])
-def test_hot_words_and_pairs_and_finer_buckets(documents, monkeypatch, hot, pair, size):
+@pytest.mark.parametrize("hot, pair, size, coarse", [(2, 2, 1 << 20, 3), (1 << 30, 8, 500, 3), (1 << 30, 1 << 30, 200, 3), (64, 64, 100, 4096), (1 << 30, 8, 40, 2)])
+def test_hot_words_and_pairs_and_finer_buckets(documents, monkeypatch, hot, pair, size, coarse):
     """Every word frequent, or many pairs salted, or many buckets, coarse and fine."""
     monkeypatch.setattr(katz, "HOT", hot)
     monkeypatch.setattr(katz, "HOT_PAIR", pair)
     monkeypatch.setattr(katz, "BUCKET_BYTES", size)
-    monkeypatch.setattr(katz, "COARSE", 3)
+    monkeypatch.setattr(katz, "COARSE", coarse)
     rows = [r for r in ROWS if len(r[1] or "") < 1000]
     same(result(katz.lm_scores(documents(rows, 7))), brute(rows)[1])
 

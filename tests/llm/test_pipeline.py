@@ -84,7 +84,7 @@ def test_one_query_for_each_operator():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_tables(spark, sf_dir, name):
-    table = "pages" if name == "op7_html_extract" else "documents"
+    table = {"op7_html_extract": "pages", "op13_vector_codes": "embeddings"}.get(name, "documents")
     assert QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
