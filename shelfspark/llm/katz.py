@@ -428,10 +428,10 @@ def answers(packed: DataFrame, hot: Hot, buckets: int, total: int, distinct: int
         held: dict[tuple, list[bytes]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                for coarse, fine, _, pack in [(row["coarse"], row["fine"], 0, row["pack"])] if sorted_by_bucket else _fine_packs(row, shared.value, buckets, coarse):
-                    if sorted_by_bucket and held and (coarse, fine) not in held:
+                for group, fine, _, pack in [(row["coarse"], row["fine"], 0, row["pack"])] if sorted_by_bucket else _fine_packs(row, shared.value, buckets, coarse):
+                    if sorted_by_bucket and held and (group, fine) not in held:
                         yield held.popitem()[1]
-                    held.setdefault((coarse, fine), []).append(pack)
+                    held.setdefault((group, fine), []).append(pack)
         while held:
             yield held.popitem()[1]
 
