@@ -1,8 +1,7 @@
 """Temperature mixing of sources. DataFrame functions only.
 
 Each source's token share p is raised to an exponent a; the normalised p^a are
-the weights. A bisection over a (wide sections, one small aggregation each)
-finds the exponent at which the entropy of the weights or the largest number of
+the weights. A bisection over a finds the exponent at which the entropy of the weights or the largest number of
 repetitions meets its target. The entropy may be given in nats, or as a share of
 the way from that of the token shares (0) to that of equal weights (1), a target
 that binds whatever the sources are. A token budget times the weight is a source's
@@ -59,16 +58,43 @@ def _measures(shares: DataFrame, grid: list[float], budget_factor: float) -> lis
     return [(math.log(row[f"z{i}"]) - a * row[f"l{i}"] / row[f"z{i}"], budget_factor * row[f"r{i}"] / row[f"z{i}"]) for i, a in enumerate(grid)]
 
 
+#: Shares that are bisected over as one array; more of them by aggregations, a few sections of the exponent each.
+FEW_SOURCES = 4096
+
+
+def _bisected(shares: DataFrame, kind: str, want: float, budget_factor: float) -> float:
+    """solve_exponent() for few sources, in one query."""
+    total = lambda f: F.aggregate("p", F.lit(0.0), f)
+    z = lambda a: total(lambda s, x: s + F.pow(x, a))
+    entropy = lambda a: F.log(z(a)) - a * total(lambda s, x: s + F.pow(x, a) * F.log(x)) / z(a)
+    repeats = lambda a: budget_factor * total(lambda s, x: F.greatest(s, F.pow(x, a - 1))) / z(a)
+    measure = repeats if kind == "max_repeats" else entropy
+    zero, one = F.lit(0.0), F.lit(1.0)
+    row = shares.agg(F.sort_array(F.collect_list("share")).alias("p"))
+    goal = entropy(one) + want * (entropy(zero) - entropy(one)) if kind == "entropy_share" else F.lit(float(want))
+    row = row.select("p", goal.alias("goal"))
+
+    def halved(s, _):
+        middle = (s["low"] + s["high"]) / 2
+        return F.when(measure(middle) <= F.col("goal"), F.struct(s["low"].alias("low"), middle.alias("high"))).otherwise(F.struct(middle.alias("low"), s["high"].alias("high")))
+
+    steps = F.sequence(F.lit(1), F.lit(ROUNDS * (SECTIONS.bit_length() - 1)))
+    found = F.aggregate(steps, F.struct(zero.alias("low"), one.alias("high")), halved)["high"]
+    return row.select(F.when(measure(zero) <= F.col("goal"), 0.0).when(measure(one) > F.col("goal"), 1.0).otherwise(found).alias("a")).first().a
+
+
 def solve_exponent(shares: DataFrame, target: tuple[str, float], budget_factor: float = 1.0) -> float:
     """The exponent in [0, 1] that meets ('entropy', nats), ('entropy_share', way from proportional to equal weights) or ('max_repeats', r).
 
     All measures fall as the exponent grows. The answer is the smallest
     exponent at which the measure is at most its target; 1 if none is, 0 if all
-    are. Each round asks for SECTIONS exponents in one aggregation.
+    are. Both ways end on the same grid of exponents.
     """
     kind, want = target
     if kind not in ("entropy", "entropy_share", "max_repeats"):
         raise ValueError(f"unknown target: {kind}")
+    if shares.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        return _bisected(shares, kind, want, budget_factor)
     if kind == "entropy_share":
         (equal, _), (proportional, _) = _measures(shares, [0.0, 1.0], budget_factor)
         want = proportional + want * (equal - proportional)

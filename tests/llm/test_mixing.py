@@ -138,3 +138,11 @@ def test_tokens_from_a_column_and_long_texts(documents):
     got = {r.doc_id: r.n_tokens for r in mixing.mix_counts(df, token_col="tokens").collect()}
     assert got == {i: max(1, 0 if i == 4 else 2 * i) for i in range(30)}
     assert mixing.mix_counts(documents([(1, "w " * 500_000), (2, "w")])).agg({"n_tokens": "max"}).first()[0] == 500_000
+
+
+@pytest.mark.parametrize("target", [("entropy", 1.0), ("entropy", 0.0), ("entropy", 9.0), ("entropy_share", 0.0), ("entropy_share", 0.5), ("entropy_share", 1.0), ("max_repeats", 1.0), ("max_repeats", 1.7), ("max_repeats", 50.0)])
+def test_few_and_many_sources_are_solved_alike(spark, monkeypatch, target):
+    shares = spark.createDataFrame([(x / 100,) for x in (50, 20, 15, 10, 4, 1)], "share double")
+    few = mixing.solve_exponent(shares, target)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 2)
+    assert abs(few - mixing.solve_exponent(shares, target)) <= 2**-39
