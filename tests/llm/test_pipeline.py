@@ -93,7 +93,8 @@ def test_queries_against_sql(spark, sf_dir, name):
     import duckdb
 
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        c.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     want = c.execute(ORACLE[name])
     names = [d[0] for d in want.description]
     got = QUERIES[name](spark, sf_dir).select(*names).collect()
