@@ -60,11 +60,17 @@ def _scored(items: DataFrame, sources: DataFrame) -> DataFrame:
         src.join(own, ["kind", "tag"]).filter("source_id <> id")
         .groupBy("source_id", "source_mid", "id", "ord", "mid").agg(F.sum("weight").alias("shared"))
     )
-    # Middle ages are few; the first limit + 1 items of each, by catalog order, hold the best untagged ones.
+    # Middle ages are few; the first limit + 1 items of each, by catalog order, hold the best untagged ones. Of these, each
+    # middle age of the sources keeps the best.
     head = Window.partitionBy("mid").orderBy("ord")
-    near = items.select("id", "ord", middle.alias("mid")).withColumn("k", F.row_number().over(head)).filter(F.col("k") <= V.SIMILAR_LIMIT + 1).drop("k")
+    near = items.select("id", "ord", middle.alias("mid")).withColumn("k", F.row_number().over(head)).filter(F.col("k") <= V.SIMILAR_LIMIT + 1)
+    listed = near.groupBy(F.lit(0).alias("all")).agg(F.collect_list(F.struct("mid", "ord", "id")).alias("heads"))
     mids = sources.select(F.col("id").alias("source_id"), middle.alias("source_mid"))
-    untagged = near.crossJoin(mids).filter("source_id <> id").withColumn("shared", F.lit(0).cast("bigint"))
+    by_points = F.transform("heads", lambda h: F.struct((-age_points(h["mid"], F.col("asked_mid"))).alias("minus"), h["ord"].alias("ord"), h["id"].alias("id"), h["mid"].alias("mid")))
+    asked = mids.select(F.col("source_mid").alias("asked_mid"), F.lit(0).alias("all")).distinct().join(listed, "all")
+    best = asked.select("asked_mid", F.explode(F.slice(F.array_sort(by_points), 1, V.SIMILAR_LIMIT + 1)).alias("h"))
+    untagged = mids.join(best, F.col("source_mid").eqNullSafe(F.col("asked_mid"))).select("source_id", "source_mid", "h.id", "h.ord", "h.mid")
+    untagged = untagged.filter("source_id <> id").withColumn("shared", F.lit(0).cast("bigint"))
     both = shared.unionByName(untagged).groupBy("source_id", "source_mid", "id", "ord", "mid").agg(F.max("shared").alias("shared"))
     score = age_points(F.col("mid"), F.col("source_mid")) + F.col("shared")
     return both.select("source_id", "id", "ord", score.alias("score"))
