@@ -299,6 +299,10 @@ def codecs() -> dict[str, str]:
                   FROM (SELECT id, path, regexp_replace(path, '/$', '') AS p FROM paths)))""",
             paths,
         ),
+        "collections_file": with_items(
+            """SELECT CAST(dense_rank() OVER (ORDER BY b) - 1 AS INTEGER) AS ord, 'col-' || b AS id, 'collection-' || b // 2 AS slug, 'Подборка ' || creator AS title, strftime(DATE '2026-06-10' + b, '%Y-%m-%d') AS published, CAST(k - 1 AS INTEGER) AS pos, id AS item_id
+            FROM (SELECT id, creator, CAST(substr(creator, 7) AS INTEGER) AS b, row_number() OVER (PARTITION BY creator ORDER BY ord) AS k FROM item WHERE creator IS NOT NULL) WHERE k <= 8"""
+        ),
         "collection_cards": with_items(
             """SELECT 'col-' || b AS id, 'collection-' || b // 2 AS slug, 'Подборка ' || creator AS title, CAST(n AS INTEGER) AS n_items, CASE WHEN b % 2 = 0 THEN '4–12 лет' ELSE 'Для всей семьи' END AS age_label,
             strftime(DATE '2026-06-10' + b, '%d.%m.%Y') AS published, CASE WHEN b % 3 = 0 THEN strftime(DATE '2026-06-10' + (b + 36), '%d.%m.%Y') END AS updated,

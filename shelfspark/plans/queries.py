@@ -18,7 +18,7 @@ from shelfspark.operators.search import matches_search, needle_columns
 from shelfspark.operators.section import Section, filter_tags, near_matches, result_count, section, section_domains
 from shelfspark.operators.text_index import TextIndex
 from shelfspark.sources import codec
-from shelfspark.sources.catalog import derived_catalog, derived_collections, from_json_rows, load_json_array, require_rows
+from shelfspark.sources.catalog import derived_catalog, derived_collections, from_json_rows, load_collections, load_json_array, require_rows
 from shelfspark.sources.favorites_log import FavoritesLog
 from shelfspark.sources.staging import new_folder, staged
 from shelfspark.streaming import event_time
@@ -344,6 +344,18 @@ def collection_cards(spark, d):
     return collections.cards(inputs.brand_collections(items(spark, d)))
 
 
+@query
+def collections_file(spark, d):
+    """The collections from their JSON file, expanded to the items that they list."""
+    made = inputs.brand_collections(items(spark, d))
+    raw = F.to_json(F.struct("id", "slug", "title", "itemIds", "contentTypes", "ageLabel", "publishedAt", "updatedAt"))
+    path = new_folder(spark, "collections")
+    # One value for each creator, of which there are few.
+    made.agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", raw.alias("raw")))), lambda x: x["raw"]), ","), F.lit("]"))).write.text(path)
+    loaded = load_collections(spark, path)
+    return loaded.select("ord", "id", "slug", "title", F.date_format("publishedAt", "yyyy-MM-dd").alias("published"), F.posexplode("itemIds").alias("pos", "item_id"))
+
+
 @query
 def collection_slug(spark, d):
     """The first collection of a slug that two collections have."""
