@@ -1,7 +1,8 @@
 """Favorites as an append-only log of toggles, with snapshots.
 
 A version is a micro-batch: batch k of a stream is the folder log/version=k. A batch
-that is delivered again overwrites its own folder, so it counts once. A snapshot folds
+that is delivered again replaces its own folder, so it counts once; it is written beside and
+takes the place of the folder only then, so that it may be read from the log itself. A snapshot folds
 all versions up to one into a row for each user and item: the number of toggles and the
 place of the last; such rows add up, so a reader takes the newest snapshot that is not
 after its version and the versions since. Folders without Spark's mark of a finished
@@ -11,6 +12,7 @@ write are not read.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,11 +25,15 @@ class FavoritesLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _file(self, name: str):
+        """A path of the log, and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _versions(self, kind: str) -> list[int]:
         """Finished versions of a kind, ascending."""
-        jvm = self.spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/version=*/_SUCCESS")
-        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        pattern, files = self._file(f"{kind}/version=*/_SUCCESS")
+        found = files.globStatus(pattern)
         return sorted(int(re.search(r"version=(\d+)/_SUCCESS$", f.getPath().toString())[1]) for f in found or [])
 
     def latest(self) -> int | None:
@@ -37,7 +43,12 @@ class FavoritesLog:
         """batch: user_id, item, seq. A version that a snapshot has already folded stays as it is."""
         if version <= max(self._versions("snapshot"), default=-1):
             return
-        batch.select("user_id", "item", "seq").write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
+        made, files = self._file(f"log/_new-{uuid.uuid4().hex}")
+        batch.select("user_id", "item", "seq").write.parquet(made.toString())
+        target, _ = self._file(f"log/version={version}")
+        files.delete(target, True)
+        if not files.rename(made, target):
+            raise OSError(f"{target.toString()} could not be replaced")
 
     def write_stream(self, events: DataFrame, checkpoint: str):
         """events: a stream of user_id, item, seq. A started query that appends a version for each micro-batch until the input is used up."""

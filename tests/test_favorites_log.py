@@ -105,3 +105,10 @@ def test_a_stream_that_starts_again(spark, log, tmp_path):
     spark.createDataFrame(batches[2], SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
     assert log.write_stream(stream(), str(tmp_path / "c")).awaitTermination(120)
     assert read(log) == sets_of(batches) and log.latest() == 2
+
+
+def test_a_batch_that_is_read_from_the_log_itself(spark, log):
+    batches = made(6, 3)
+    fill(spark, log, batches)
+    log.append(spark.read.parquet(f"{log.path}/log/version=2"), 2)
+    assert read(log) == sets_of(batches) and log._versions("log") == [0, 1, 2]
