@@ -30,11 +30,11 @@ def _bonus(weights: Weights) -> Column:
     return weights.middle_age * F.coalesce(near, F.lit(0.0)) + weights.several * F.greatest(F.lit(0), F.size("reasons") - 1)
 
 
-def diverse_results(items: DataFrame, queries: DataFrame, limit: int, weights: Weights = Weights()) -> DataFrame:
+def diverse_results(items: DataFrame, queries: DataFrame, limit: int, weights: Weights = Weights(), key: str = "id") -> DataFrame:
     """qid, bucket, id, place (from 1) and points: the first `limit` results of each query over its buckets in order, without repeated identifiers.
 
     Within a bucket, results go by rounds: a round takes per_type of each type, best
-    first. Rows that share an identifier are one result, the first of them; then a type's
+    first. Rows that share an identifier are one result, the first of them (with `ord` as the key, each is one); then a type's
     row with `limit` better ones before it can't be shown, and windows with that limit are cut before they are shuffled.
     """
     asked = queries.select("qid", F.col("age").alias("q_age"), F.col("format").alias("q_format"))
@@ -43,7 +43,7 @@ def diverse_results(items: DataFrame, queries: DataFrame, limit: int, weights: W
     rows = found.join(ages, "ord").join(asked, "qid")
     rows = rows.withColumns({"points": F.round(F.col("score") + _bonus(weights), 6), "b": lookup(BUCKETS, F.col("bucket"))})
     best = [F.col("points").desc(), F.size("missed"), ru(F.col("title")), F.col("ord")]
-    once = rows.withColumn("k", F.row_number().over(Window.partitionBy("qid", "id").orderBy("b", *best))).filter("k = 1")
+    once = rows.withColumn("k", F.row_number().over(Window.partitionBy("qid", key).orderBy("b", *best))).filter("k = 1")
     of_type = F.row_number().over(Window.partitionBy("qid", "b", "app_type").orderBy(*best))
     once = once.withColumn("of_type", of_type).filter(F.col("of_type") <= limit)
     turns = F.floor((F.col("of_type") - 1) / (weights.per_type or 1))

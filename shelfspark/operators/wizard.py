@@ -29,9 +29,9 @@ def to_queries(answers: DataFrame) -> DataFrame:
     )
 
 
-def results(items: DataFrame, answers: DataFrame) -> DataFrame:
-    """The first six results of each set of answers."""
-    return first_results(items, to_queries(answers), V.WIZARD_LIMIT)
+def results(items: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
+    """The first six results of each set of answers, one for each key."""
+    return first_results(items, to_queries(answers), V.WIZARD_LIMIT, key)
 
 
 def explanation(answers: DataFrame) -> DataFrame:
