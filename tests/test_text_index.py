@@ -59,3 +59,20 @@ def test_only_the_rarest_trigrams_and_their_pages_are_read(index):
 def test_trigrams(spark):
     rows = spark.createDataFrame([("abcab",), ("ab",), ("",), ("aaaa",), ("ё😀x",)], "t string").select(text_index.trigrams(F.col("t")).alias("g")).collect()
     assert [r.g for r in rows] == [["abc", "bca", "cab"], [], [], ["aaa"], ["ё😀x"]]
+
+
+def test_postings_of_a_page(spark):
+    """The bits that numpy lays out against the trigrams of each row, on two pages, with nulls and characters beyond 16 bits."""
+    texts = [["abcab", None], ["ab", ""], ["аё😀x", "bcab"], ["aaaa", "abc"], None]
+    rows = spark.createDataFrame([(i // 3, i * 7, [t for t in ts or [] if t is not None]) for i, ts in enumerate(texts)], "index_page bigint, place int, texts array<string>")
+    got = {}
+    for r in rows.coalesce(1).sortWithinPartitions("index_page").mapInArrow(lambda batches: text_index._postings(batches, 32), text_index._POSTING).collect():
+        at = {p for p in range(32) if r.bits[p // 8] >> (p % 8) & 1}
+        assert len(at) == r.n and len(r.bits) == 4
+        got[r.index_page, r.gram] = at
+    want = {}
+    for i, ts in enumerate(texts):
+        for t in ts or []:
+            for k in range(len(t or "") - 2):
+                want.setdefault((i // 3, t[k : k + 3]), set()).add(i * 7)
+    assert got == want
