@@ -114,3 +114,31 @@ def test_shuffled_events_equal_batch(spark, sf_dir):
 def test_empty_stream(spark):
     rows = timed(spark, [(1, 1, 1, 1)]).limit(0)
     assert event_time.run_to_end(event_time.ordered_toggles(event_time.replayed(rows, "e"), "1 day"), "e").count() == 0
+
+
+def test_groups_of_users_keep_their_rows_apart(spark, tmp_path, monkeypatch):
+    """The state has a key for each group, not for each user; sets grow and empty over several releases."""
+    import random
+
+    monkeypatch.setattr(event_time, "GROUPS", 2)
+    rng, second = random.Random(3), 1_000_000
+    batches = [[(rng.randrange(40), second * (30 * k + rng.randrange(40)), 1000 * k + j, rng.randrange(4)) for j in range(250)] for k in range(3)]
+    every = sum(batches, [])
+    sizes = []
+    for name, stream, want in (("sets", lambda s: event_time.ordered_toggles(s, "20 seconds"), None), ("quiet", lambda s: event_time.quiet_events(s, "20 seconds", 3000), quiet_of(every, 3 * second))):
+        found = event_time.run_to_end(stream(in_batches(spark, batches, tmp_path / name)), name)
+        if want is None:
+            assert newest(found) == sets_of(every) and found.count() > 40
+        else:
+            assert {(r.user_id, r.seq) for r in found.collect()} == want
+        sizes.append(found.count())
+    assert all(sizes)
+
+
+def test_micro_batches_do_not_grow_with_files(spark, tmp_path):
+    """A folder of replayed() is one micro-batch, however many files the table has."""
+    rows = timed(spark, [(u % 7, 1000 * u, u, 0) for u in range(600)]).repartition(30).drop("item")
+    found = event_time.replayed(rows, "f").writeStream.format("memory").queryName("replayed_files").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert found.awaitTermination(120)
+    assert spark.table("replayed_files").count() == 601
+    assert sum(p["numInputRows"] > 0 for p in found.recentProgress) <= 7
