@@ -1,7 +1,7 @@
 """Exact dedup over a log-structured merge index of digests. DataFrame functions only.
 
-The input goes through memtables of MEMTABLE_ROWS rows one after another (a slice of the
-rows each, by hash of the identifier). A memtable is aggregated by digest, range-partitioned and
+The input goes through memtables one after another (a slice of the rows each, by hash of the identifier): MEMTABLES of
+them, more if one would have over MEMTABLE_ROWS rows, fewer if under LEAST_ROWS. A memtable is aggregated by digest, range-partitioned and
 sorted, and flushed as a run: its files hold disjoint ranges of digests, with
 Parquet min/max statistics and Bloom filters. Before the next memtable is flushed,
 each run gets a filter of its digests, FILTER_RATIO bits for each, in pages; a digest
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import delete, drop, new_path, stage
 
-#: Rows of a memtable; so many runs of a level merge.
-MEMTABLE_ROWS, FAN = 1 << 26, 2
+#: Rows of a memtable at most and at least; so many memtables a table has between these.
+MEMTABLE_ROWS, LEAST_ROWS, MEMTABLES = 1 << 26, 1 << 12, 4
+#: So many runs of a level merge.
+FAN = 2
 #: Bits of a filter for each digest in it: one in FILTER_RATIO unknown digests passes.
 FILTER_RATIO = 16
 _PAGE_BITS = 32768
@@ -152,13 +154,18 @@ class DigestIndex:
         return self._read(self.runs[0][0])
 
 
+def memtable_size(rows: int) -> int:
+    return min(MEMTABLE_ROWS, max(LEAST_ROWS, -(-rows // MEMTABLES)))
+
+
 def exact_dedup(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. `digest` may be any function of the text."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NONE)).alias("id"), text.alias("text"))
     digests = stage(base.select("id", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha")), "digests")
     index = DigestIndex(docs.sparkSession)
-    memtables = max(1, -(-digests.count() // (memtable_rows or MEMTABLE_ROWS)))
+    rows = digests.count()
+    memtables = max(1, -(-rows // (memtable_rows or memtable_size(rows))))
     found = None
     for k in range(memtables):
         slot = F.pmod(F.xxhash64("id"), F.lit(memtables))
@@ -167,15 +174,17 @@ def exact_dedup(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col
     hits = stage(index.groups_of(None if memtables == 1 else stage(found.distinct(), "hits")), "hits")
 
     # Only rows whose identifier the filter passes carry their text any further; first the text that stays, by digest and
-    # identifier, so that a large group of copies is not gathered.
+    # identifier, so that a large group of copies is not gathered; a filter of these identifiers keeps the copies of all but the smallest tables from moving.
     known = DigestFilter(digests.select("id", "digest").join(hits.select("digest"), "digest", "left_semi").select("id"), hits.agg(F.sum("n")).first()[0] or 0, "id")
     maybe = known.probe(base).withColumn("digest", digest(F.col("text")))
-    stays = maybe.join(hits.select("digest", F.col("max_id").alias("id")), ["digest", "id"])
+    staying = DigestFilter(hits.select(F.col("max_id").alias("id")), column="id") if memtables > 1 else known
+    stays = staying.probe(base).withColumn("digest", digest(F.col("text"))).join(hits.select("digest", F.col("max_id").alias("id")), ["digest", "id"])
     kept_text = stage(stays.groupBy("digest").agg(F.min("text").alias("kept_text")), "kept")
     # One join on the digest, between two scans: Spark can split a digest with many rows.
     odd = stage(maybe.join(kept_text, "digest").filter("text <> kept_text").select("id", "digest", F.col("text").alias("odd")), "odd")
     drop(kept_text)
     known.drop()
+    staying.drop()
 
     # A collision splits its digest: the odd rows group by their bytes, the others no longer count them.
     odd_groups = odd.groupBy("digest", "odd").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))

@@ -146,3 +146,19 @@ def test_one_memtable_has_no_filter_of_its_run(documents):
     finally:
         module.DigestFilter.__init__ = made
     assert sum(f._table is not None for f in index_runs) == 1
+
+
+def test_ordinary_table_goes_through_several_memtables(documents, monkeypatch):
+    """Without any parameter: runs are flushed, filters of earlier runs probed, and runs merged."""
+    import shelfspark.llm.exact_dedup as module
+
+    monkeypatch.setattr(module, "LEAST_ROWS", 10)
+    seen = []
+    flush, merge, probe = DigestIndex.flush, DigestIndex._merge, DigestFilter.probe
+    monkeypatch.setattr(DigestIndex, "flush", lambda self, *a, **k: (seen.append("flush"), flush(self, *a, **k))[1])
+    monkeypatch.setattr(DigestIndex, "_merge", lambda self, count: (seen.append("merge"), merge(self, count))[1])
+    monkeypatch.setattr(DigestFilter, "probe", lambda self, rows: (seen.append("probe"), probe(self, rows))[1])
+    rows = [(i, f"text {i % 23 if i % 2 else i}") for i in range(80)] + [(None, "text 1"), (7, "text 7")]
+    assert result(exact_dedup(documents(rows))) == brute(rows)
+    assert seen.count("flush") == 4 and seen.count("merge") == 3 and seen.count("probe") >= 4
+    assert [module.memtable_size(n) for n in (0, 40, 41, 1 << 30)] == [10, 10, 11, 1 << 26]
